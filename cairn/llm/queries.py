@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, sharding
+from . import decontaminate, packing, pii, sharding, tokens
 from .common import table
 from .oracles import ORACLES
 
@@ -14,6 +14,10 @@ SHARDS = [f"shard-{i:02d}" for i in range(16)]
 SLOTS = 2039
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_pack(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -23,12 +27,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.report(docs, bench))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id", SHARDS, SLOTS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii, op6_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op3_pii, op6_decontamination, op7_token_counts, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
