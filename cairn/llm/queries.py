@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, repeats, sharding, tokens
+from . import decontaminate, jaccard, packing, pii, repeats, sharding, tokens
 from .common import table
 from .oracles import ORACLES
 
@@ -22,6 +22,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.report(docs, bench))
@@ -40,7 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_pii, op6_decontamination, op7_token_counts, op8_suffix_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op3_pii, op5_jaccard_join, op6_decontamination, op7_token_counts, op8_suffix_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

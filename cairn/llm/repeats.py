@@ -16,7 +16,6 @@ Groups that are left hold the windows that start at two or more places.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,50 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .hashing import mixed, powers, prefixes, window_hashes
 
 GRAM = 100
 #: Suffixes of one run at most; longer runs are cut.
 RUN = 4096
 #: Runs of one digit with different bytes, beyond which windows are counted by a shuffle.
 HOT = 256
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_VALUE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
-_POWERS: dict[bool, np.ndarray] = {}
-
-
-def _powers(n: int, inverse: bool = False) -> np.ndarray:
-    """Powers 0..n-1 of the multiplier, or of its inverse, modulo 2**64."""
-    have = _POWERS.get(inverse)
-    if have is None or len(have) < n:
-        base = np.full(max(n, 1 << 16), INVERSE if inverse else MULTIPLIER, np.uint64)
-        base[0] = 1
-        have = _POWERS[inverse] = np.cumprod(base)
-    return have[:n]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-def prefixes(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums; differences of two, scaled, hash what lies between."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * _powers(len(data)), out=out[1:])
-    return out
-
-
-def window_hashes(sums: np.ndarray, width: int, starts: np.ndarray | None = None) -> np.ndarray:
-    """Hash of the ``width`` bytes at each start (at every one, if none are named)."""
-    n = len(sums) - width
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    if starts is None:
-        return _mixed((sums[width:] - sums[:n]) * _powers(n, inverse=True))
-    return _mixed((sums[starts + width] - sums[starts]) * _powers(len(sums), inverse=True)[starts])
-
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` neighbours, by doubling."""
@@ -100,10 +62,10 @@ def runs_of(data: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
     if (size > RUN).any():
         start = np.concatenate([np.arange(a, a + k, RUN) for a, k in zip(start, size, strict=True)])
         size = np.diff(np.append(start, n))
-    bytes_of = (sums[start + size + threshold - 1] - sums[start]) * _powers(len(sums), inverse=True)[start]
+    bytes_of = (sums[start + size + threshold - 1] - sums[start]) * powers(len(sums), inverse=True)[start]
     digit = digit[start]
     inner = [np.count_nonzero(grams[a : a + k + span] == d) > 1 for a, k, d in zip(start.tolist(), size.tolist(), digit, strict=True)]
-    return digit, _mixed(bytes_of ^ _mixed(size.astype(np.uint64))), start, size, np.array(inner)
+    return digit, mixed(bytes_of ^ mixed(size.astype(np.uint64))), start, size, np.array(inner)
 
 
 def _runs(docs: DataFrame, threshold: int) -> DataFrame:
@@ -136,7 +98,7 @@ def repeated(segments: list[bytes], sizes: np.ndarray, firsts: np.ndarray, thres
     group = np.repeat(firsts, sizes)
     for at in range(0, threshold, digit):
         keys = window_hashes(sums, min(digit, threshold - at), place[number] + at)
-        key = _mixed(_mixed(group) + keys)
+        key = mixed(mixed(group) + keys)
         _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
         stay = counts[inverse] > 1
         number, group = number[stay], key[stay]
