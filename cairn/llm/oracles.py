@@ -21,3 +21,58 @@ SELECT d.doc_id, d.source, d.n_chars, k.slot::INTEGER AS slot, (f.claim % 16)::I
 FROM (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 2039 AS slot FROM documents) k
 JOIN documents d USING (doc_id) JOIN fill f ON f.slot = k.slot
 """
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Pairs of line classes are counted by the shingles they share.
+ORACLES["op9_line_dedup"] = f"""
+WITH lines AS (
+  SELECT doc_id, line_no - 1 AS line_no, line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+       unnest(parts) WITH ORDINALITY AS u(line, line_no)
+), worded AS (
+  SELECT doc_id, line_no, list_filter(string_split_regex({_LOWER.format('line')}, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS words FROM lines
+), shingled AS (
+  SELECT doc_id, line_no, list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))) AS tokens
+  FROM worded WHERE len(words) >= 5
+), classes AS (
+  SELECT tokens, min({{'doc_id': doc_id, 'line_no': line_no}}) AS first FROM shingled GROUP BY tokens
+), flat AS (
+  SELECT first, len(tokens) AS n, unnest(tokens) AS token FROM classes
+), late AS (
+  SELECT DISTINCT b.first FROM flat a JOIN flat b ON a.token = b.token AND a.first < b.first
+  GROUP BY a.first, b.first, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), gone AS (
+  SELECT s.doc_id, s.line_no FROM shingled s JOIN classes c ON s.tokens = c.tokens LEFT JOIN late l ON l.first = c.first
+  WHERE l.first IS NOT NULL OR {{'doc_id': s.doc_id, 'line_no': s.line_no}} > c.first
+), told AS (
+  SELECT l.doc_id, count(*)::INTEGER AS n_lines, count(g.doc_id)::INTEGER AS n_removed,
+         md5(coalesce(string_agg(CASE WHEN g.doc_id IS NULL THEN l.line END, chr(10) ORDER BY l.line_no), '')) AS kept_md5
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed, coalesce(kept_md5, md5('')) AS kept_md5
+FROM documents d LEFT JOIN told USING (doc_id)
+"""
+
+ORACLES["op6_decontamination"] = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS m, unnest(list_transform(range(1, greatest(len(words) - 9, 1) + 1), lambda i: array_to_string(words[i:i + 9], ' '))) AS w
+  FROM b WHERE len(words) > 0
+), dw AS (
+  SELECT doc_id, m, u.i, array_to_string(words[u.i:u.i + m - 1], ' ') AS w
+  FROM d, (SELECT DISTINCT m FROM bw), unnest(range(1, greatest(len(words) - m + 2, 1))) AS u(i)
+), hit AS (
+  SELECT dw.doc_id, dw.i, dw.m, bw.item_id FROM dw JOIN bw ON dw.w = bw.w AND dw.m = bw.m
+), told AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM hit GROUP BY doc_id
+), words_hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN words_hit USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, pii, repeats, sharding, tokens
+from . import decontaminate, jaccard, lines, packing, pii, repeats, sharding, tokens
 from .common import table
 from .oracles import ORACLES
 
@@ -39,12 +39,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove(table(spark, sf_dir, "documents")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id", SHARDS, SLOTS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_pii, op5_jaccard_join, op6_decontamination, op7_token_counts, op8_suffix_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op3_pii, op5_jaccard_join, op6_decontamination, op7_token_counts, op8_suffix_dedup, op9_line_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
