@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lines, packing, pii, repeats, sharding, tokens
+from . import decontaminate, jaccard, lines, packing, pii, repeats, sharding, tokens, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -22,6 +22,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -48,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_pii, op5_jaccard_join, op6_decontamination, op7_token_counts, op8_suffix_dedup, op9_line_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op3_pii, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_token_counts, op8_suffix_dedup, op9_line_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
