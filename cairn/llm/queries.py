@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lines, packing, pii, repeats, sharding, tokens, toxicity
+from . import decontaminate, jaccard, lines, neighbours, packing, pii, repeats, sharding, tokens, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -18,6 +18,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -53,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_pii, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_token_counts, op8_suffix_dedup, op9_line_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_nearest_neighbours, op3_pii, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_token_counts, op8_suffix_dedup, op9_line_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
