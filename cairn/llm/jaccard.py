@@ -20,15 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .graphs import components
 from .hashing import mixed, shingle_sets
 
-#: Bits of a shingle's hash that choose its bucket; 32 more tell it from others there.
-BUCKET_BITS = 10
+#: Bits of a shingle's hash that choose its bucket; 24 more tell it from others there. What
+#: is taken for one shingle by mistake makes a list longer, never a link.
+BUCKET_BITS = 12
+#: Sizes in lists go up to this; pairs of larger sets pass the filters by size and are compared.
+LARGEST = 65_535
 #: Classes that make a shingle frequent.
 FREQUENT = 40
 #: Frequent shingles that are broadcast at most (8 bytes each). If more are frequent, those of most classes.
@@ -57,9 +60,20 @@ def _bucketed(hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
     return ((int(buckets[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    """The 32 bits after the bucket's."""
-    return (hashes >> np.uint64(32 - BUCKET_BITS)).astype("<u4")
+def _short(hashes: np.ndarray) -> bytes:
+    """The 24 bits after the bucket's, three bytes each."""
+    return (hashes >> np.uint64(40 - BUCKET_BITS)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _number(hashes: np.ndarray) -> np.ndarray:
+    """Bucket and 24 bits in one number."""
+    return (hashes >> np.uint64(40 - BUCKET_BITS)).astype(np.int64)
+
+
+def _long(parts: list[bytes]) -> np.ndarray:
+    """What ``_short`` gave, as numbers."""
+    data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 3)
+    return np.column_stack((data, np.zeros(len(data), np.uint8))).view("<u4").ravel()
 
 
 class _Sets:
@@ -102,13 +116,13 @@ class _Sets:
 
         def chunk(sets: list[np.ndarray]) -> pd.DataFrame:
             every = np.sort(np.concatenate(sets))
-            return pd.DataFrame([(b, _short(every[i:j]).tobytes()) for b, i, j in _bucketed(every)], columns=["bucket", "data"])
+            return pd.DataFrame([(b, _short(every[i:j])) for b, i, j in _bucketed(every)], columns=["bucket", "data"])
 
         def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for bucket, data in _by_bucket(batches, ["data"]):
-                value, n = np.unique(np.frombuffer(b"".join(data["data"]), "<u4"), return_counts=True)
+                value, n = np.unique(_long(data["data"]), return_counts=True)
                 keep = n >= FREQUENT
-                yield pd.DataFrame({"shingle": (value[keep].astype(np.int64) | (bucket << 32)), "classes": n[keep].astype(np.int64)})
+                yield pd.DataFrame({"shingle": (value[keep].astype(np.int64) | (bucket << 24)), "classes": n[keep].astype(np.int64)})
 
         dealt = self.docs.mapInPandas(deal, "bucket int, data binary")
         return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(tally, "shingle long, classes long")
@@ -135,7 +149,7 @@ class _Sets:
         def rarest(s: np.ndarray) -> np.ndarray:
             n = len(s)
             want = min(n, n - -(-num * n // den) + 1 + _slack(n))
-            have, number = common.value, (s >> np.uint64(22)).astype(np.int64)
+            have, number = common.value, _number(s)
             if len(have):
                 at = np.minimum(np.searchsorted(have, number), len(have) - 1)
                 often = have[at] == number
@@ -161,15 +175,15 @@ class _Sets:
                 order = np.argsort(hashes, kind="stable")
                 hashes, key, size = hashes[order], np.repeat(keys, counts)[order], np.repeat(sizes, counts)[order]
                 yield pd.DataFrame(
-                    [(b, _short(hashes[i:j]).tobytes(), key[i:j].tobytes(), size[i:j].astype("<u4").tobytes()) for b, i, j in _bucketed(hashes)],
+                    [(b, _short(hashes[i:j]), key[i:j].tobytes(), np.minimum(size[i:j], LARGEST).astype("<u2").tobytes()) for b, i, j in _bucketed(hashes)],
                     columns=["bucket", "shingles", "keys", "sizes"],
                 )
 
         def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for bucket, data in _by_bucket(batches, ["shingles", "keys", "sizes"]):
-                shingle = np.frombuffer(b"".join(data["shingles"]), "<u4")
+                shingle = _long(data["shingles"])
                 key = np.frombuffer(b"".join(data["keys"]), "<i8")
-                size = np.frombuffer(b"".join(data["sizes"]), "<u4")
+                size = np.frombuffer(b"".join(data["sizes"]), "<u2")
                 order = np.lexsort((key, shingle))
                 shingle, key, size = shingle[order], key[order], size[order]
                 fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
@@ -179,7 +193,7 @@ class _Sets:
                 for some in np.array_split(long, len(long) // 5000 + 1) if len(long) else ():
                     yield pd.DataFrame(
                         {
-                            "list": [int(shingle[cuts[i]]) | (bucket << 32) for i in some],
+                            "list": [int(shingle[cuts[i]]) | (bucket << 24) for i in some],
                             "keys": [key[cuts[i] : cuts[i + 1]] for i in some],
                             "sizes": [size[cuts[i] : cuts[i + 1]].astype(np.int32) for i in some],
                         }
@@ -189,24 +203,28 @@ class _Sets:
         dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
         return dealt.mapInPandas(gather, "list long, keys array<long>, sizes array<int>")
 
-    def sets(self, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-        """(key, hashes) of the classes named by ``wanted`` (key), from one document of each."""
-        k = self.k
-        one = classes.join(wanted.distinct(), "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-        ids = written(one.filter("doc_id is not null").select("doc_id"), "ids")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    def linked(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+        """The pairs (a, b) within the threshold: long lists are probed by binary search.
 
-        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                sets = list(shingle_sets(batch["text"].tolist(), k))
-                yield pd.DataFrame({"key": [_set_key(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
+        ``reps``: (key, doc_id), a document of each class. The sets of a pair's classes are
+        made anew from those documents; that of a travels to b.
+        """
+        num, den, k = self.num, self.den, self.k
+        left = pairs.join(reps, pairs["a"] == reps["key"]).groupBy("doc_id", "a").agg(F.collect_set("b").alias("others"))
+        right = pairs.select(F.col("b").alias("key")).distinct().join(reps, "key").select("doc_id", F.col("key").alias("b"))
 
-        found = self.docs.join(ids.distinct(), "doc_id").mapInPandas(find, "key long, hashes binary")
-        return found
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for a, others, s in zip(batch["a"], batch["others"], shingle_sets(batch["text"].tolist(), k), strict=True):
+                    if _set_key(s) == a:  # a doc_id may name several texts
+                        rows += [(a, b, s.tobytes()) for b in others]
+                yield pd.DataFrame(rows, columns=["a", "b", "left"])
 
-    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) within the threshold: long lists are probed by binary search."""
-        num, den = self.num, self.den
+        def stay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(b, s.tobytes()) for b, s in zip(batch["b"], shingle_sets(batch["text"].tolist(), k), strict=True) if _set_key(s) == b]
+                yield pd.DataFrame(rows, columns=["b", "right"])
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -220,9 +238,16 @@ class _Sets:
                     keep.append(den * shared >= num * (len(x) + len(y) - shared))
                 yield batch.loc[keep, ["a", "b"]]
 
-        left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("left"))
-        right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("right"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(probe, "a long, b long")
+        sent = self.docs.join(_small(left, F.size("others")), "doc_id").mapInPandas(send, "a long, b long, left binary")
+        kept = self.docs.join(_small(right), "doc_id").mapInPandas(stay, "b long, right binary")
+        return sent.join(kept, "b").mapInPandas(probe, "a long, b long").distinct()
+
+
+def _small(table: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``table``, to be broadcast if its rows, or the ids that they hold, are no more than BROADCAST_IDS."""
+    table = written(table, "small")
+    held = table.count() if weight is None else table.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(table) if held <= BROADCAST_IDS else table
 
 
 def _by_bucket(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[int, dict]]:
@@ -250,12 +275,24 @@ def _stars(labelled: DataFrame) -> DataFrame:
     return met.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
 
 
+def _members(lists: DataFrame) -> DataFrame:
+    """(list, members array<struct<key,size,label>>) while every class is its own component."""
+    both = F.zip_with("keys", "sizes", lambda k, s: F.struct(k.alias("key"), s.alias("size"), k.alias("label")))
+    return lists.select("list", both.alias("members"))
+
+
 def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(list, members array<struct<key,size,label>>) of the lists that hold several components."""
-    flat = lists.select("list", F.explode(F.arrays_zip("keys", "sizes")).alias("z")).select("list", F.col("z.keys").alias("key"), F.col("z.sizes").alias("size"))
-    named = flat.join(labels, flat["key"] == labels["node"], "left").select("list", "key", "size", F.coalesce("label", "key").alias("label"))
-    grouped = named.groupBy("list").agg(F.array_sort(F.collect_list(F.struct("key", "size", "label"))).alias("members"))
-    return grouped.filter(F.size(F.array_distinct("members.label")) > 1)
+
+    def flat(some: DataFrame) -> DataFrame:
+        each = some.select("list", F.explode(F.arrays_zip("keys", "sizes")).alias("z"))
+        each = each.select("list", F.col("z.keys").alias("key"), F.col("z.sizes").alias("size"))
+        return each.join(labels, each["key"] == labels["node"], "left").select("list", "key", "size", F.coalesce("label", "key").alias("label"))
+
+    labels = _small(labels)
+    mixed = flat(lists).groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("list")
+    grouped = flat(lists.join(_small(mixed), "list")).groupBy("list")
+    return grouped.agg(F.array_sort(F.collect_list(F.struct("key", "size", "label"))).alias("members"))
 
 
 def _meetings(labelled: DataFrame, num: int, den: int) -> DataFrame:
@@ -290,6 +327,13 @@ def _slack_column(n):
     return F.floor(n / 20)
 
 
+def _pairs(labelled: DataFrame) -> int:
+    """Pairs of different components in the lists: those of all members but those within one."""
+    sizes = labelled.select("list", F.explode("members.label").alias("label")).groupBy("list", "label").count()
+    per_list = sizes.groupBy("list").agg(((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("p"))
+    return per_list.agg(F.sum("p")).first()[0] or 0
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of ``docs`` (doc_id, text).
 
@@ -305,19 +349,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     classes = written(work.classes(), "classes")
     lists = written(work.lists(), "lists")
     entries = lists.agg(F.sum(F.size("keys"))).first()[0] or 0
-    sets = written(work.sets(lists.select(F.explode("keys").alias("key")), classes), "sets")
-    spark = docs.sparkSession
-    labels = spark.createDataFrame([], "node long, label long")
-    edges = spark.createDataFrame([], "a long, b long")
+    reps = written(classes.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "reps")
+    edges = labels = None
     for turn in range(STAR_ROUNDS + 1):
-        labelled = written(_labelled(lists, labels), "labelled")
-        # Pairs of different components: those of all members but those within one.
-        pairs = labelled.select(F.explode(F.col("members.label")).alias("label"), "list").groupBy("list", "label").count()
-        pairs = pairs.groupBy("list").agg(((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("p"))
-        cost = pairs.agg(F.sum("p")).first()[0] or 0
-        last = turn == STAR_ROUNDS or (turn > 0 and cost <= PAIRS_PER_ENTRY * entries)
-        found = work.linked(_meetings(labelled, num, den) if last else _stars(labelled), sets)
-        edges = written(edges.unionByName(found), "links")
+        labelled = written(_labelled(lists, labels), "labelled") if turn else _members(lists)
+        last = turn == STAR_ROUNDS or (turn > 0 and _pairs(labelled) <= PAIRS_PER_ENTRY * entries)
+        found = work.linked(_meetings(labelled, num, den) if last else _stars(labelled), reps)
+        edges = written(edges.unionByName(found) if turn else found, "links")
         if last:
             break
         labels = components(edges)
