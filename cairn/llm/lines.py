@@ -31,15 +31,21 @@ def _words(line: Column) -> Column:
 
 def _tokens(words: Column, k: int) -> Column:
     """Distinct hashes of the k-word shingles, for lines of at least k words."""
-    shingles = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
+    # Words are taken one by one: slice() would copy the whole line for each shingle.
+    shingles = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
     return F.array_distinct(shingles)
 
 
 def _lines(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, line_no, tokens) of the lines of k words or more."""
+    """(doc_id, line_no, tokens) of every line; tokens are null below k words.
+
+    No filter stands on computed arrays, here or below, and they are opened by outer
+    explodes: Spark would move a filter below the projections and evaluate the arrays
+    again for it, inside lambdas even for each element.
+    """
     split = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    worded = split.select("doc_id", "line_no", _words(F.col("line")).alias("words")).filter(F.size("words") >= k)
-    return worded.select("doc_id", "line_no", _tokens(F.col("words"), k).alias("tokens"))
+    worded = split.select("doc_id", "line_no", _words(F.col("line")).alias("words"))
+    return worded.select("doc_id", "line_no", F.when(F.size("words") >= k, _tokens(F.col("words"), k)).alias("tokens"))
 
 
 def _levels(lines: DataFrame) -> list[int] | None:
@@ -47,7 +53,8 @@ def _levels(lines: DataFrame) -> list[int] | None:
 
     The counts are of all tokens of all lines. They are as many as there are buckets.
     """
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).count().collect()
+    counts = lines.select(F.explode_outer("tokens").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).count().collect()
+    counts = [r for r in counts if r["b"] is not None]
     total = sum(r["count"] for r in counts)
     packed = [0] * (BUCKETS // 32)
     for r in counts:
@@ -84,10 +91,15 @@ def matches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     ordered = lines.select("doc_id", "line_no", _ordered(F.col("tokens"), levels).alias("tokens"))
     n = F.size("tokens")
     reach = n - F.ceil(n * num / den).cast("int") + 1
-    short = ordered.select("doc_id", "line_no", F.xxhash64("tokens").alias("set"), n.alias("n"), F.slice("tokens", F.lit(1), reach).alias("prefix"))
+    # Lines without tokens are sets of their own. Prefixes keep 32 bits of a hash: a chance meeting only adds a pair to verify.
+    own = F.when(F.col("tokens").isNull(), F.xxhash64("doc_id", "line_no")).otherwise(F.xxhash64("tokens"))
+    prefix = F.transform(F.slice("tokens", F.lit(1), reach), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
+    short = written(ordered.select("doc_id", "line_no", own.alias("set"), n.alias("n"), F.when(F.col("tokens").isNotNull(), prefix).alias("prefix")), "lines")
     # Lines of equal sets are one class, named by its first line.
-    short = short.groupBy("set").agg(F.min(_tuple("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("lines"))
-    classes = written(short, "lines")
+    classes = short.filter("prefix is not null").groupBy("set").agg(
+        F.min(_tuple("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("lines")
+    )
+    classes = written(classes, "classes")
     posted = classes.select("first", "n", F.posexplode("prefix").alias("pos", "token"))
     posted = posted.select("token", "first", F.struct("n", "pos").alias("size"))
     by_token = Window.partitionBy("token")
@@ -127,7 +139,7 @@ def matches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     # A class goes with its first line, or but for its first line.
     gone = classes.join(late, classes["first"] == late["late"], "left")
     gone = gone.filter("late is not null or lines > 1").select("set", "first", F.col("late").isNotNull().alias("all_go"))
-    each = ordered.select("doc_id", "line_no", F.xxhash64("tokens").alias("set")).join(gone, "set")
+    each = short.select("doc_id", "line_no", "set").join(gone, "set")
     return each.filter(F.col("all_go") | (_tuple("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no")
 
 
