@@ -30,14 +30,15 @@ def _slots(n: Column) -> Column:
 
 
 def _grams(words: Column, k: int) -> Column:
-    return F.transform(_slots(F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
+    """Hash of each k words. They are taken one by one: slice() would copy the whole text for each."""
+    return F.transform(_slots(F.size(words) - (k - 1)), lambda i: F.xxhash64(*(F.get(words, i + (j - 1)) for j in range(k))))
 
 
 def _least(grams: Column, width: int) -> Column:
     """Of each window of ``width`` grams the least hash."""
     if width == 1:
         return grams
-    return F.transform(_slots(F.size(grams) - (width - 1)), lambda i: F.array_min(F.slice(grams, i, width)))
+    return F.transform(_slots(F.size(grams) - (width - 1)), lambda i: F.least(*(F.get(grams, i + (j - 1)) for j in range(width))))
 
 
 def _runs(docs: DataFrame, m: int) -> DataFrame:
@@ -55,7 +56,8 @@ def _runs(docs: DataFrame, m: int) -> DataFrame:
             F.get("least", h - 1).alias("print"),
         ),
     )
-    return least.select("doc_id", "words", F.explode(runs).alias("run")).select("doc_id", "words", "run.*")
+    # An outer explode: for a plain one Spark filters on the array, which evaluates it twice.
+    return least.select("doc_id", "words", F.explode_outer(runs).alias("run")).select("doc_id", "words", "run.*")
 
 
 def _texts(words: Column, first: Column, last: Column, m: int) -> Column:
