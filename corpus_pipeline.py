@@ -1,13 +1,70 @@
-"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, decontamination, packing."""
+"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; a runner writes it as Parquet and
+reads it again as the next stage's ``docs``. All stages but the last give the columns of
+``documents`` (doc_id, text, lang, source, n_chars).
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import decontaminate, jaccard, lines, packing, toxicity
+from cairn.llm.common import table, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; the model is learned from the labels of ``sf_dir``."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.reject(docs.select(*COLUMNS), model)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one. A document that loses all lines stays, empty."""
+    cleaned = lines.dedup_lines(docs.select(*COLUMNS))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, the one of the least doc_id; texts without words stay."""
+    groups = jaccard.near_duplicates(docs)
+    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    return kept.select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of ten words with the benchmark, nor the whole of a shorter item."""
+    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
+    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences of 2048 tokens."""
+    return packing.best_fit_pack(docs, 2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
+
+#: SQL cannot express the toxicity model or the tokenizer; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each but the last written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k}")
     return docs
