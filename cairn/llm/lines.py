@@ -158,15 +158,18 @@ def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     plain = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     lone = plain.join(plain.groupBy("doc_id").count().filter("count > 1"), "doc_id", "left_anti") if _repeats(plain) else plain
-    gone = matches(lone, k, num, den).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
-    joined = docs.select(*(F.col(f"`{c}`") for c in kept)).join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left")
+    # Names that no column of ``docs`` has.
+    free = "_".join(["gone", *(c for c in kept if c.lower().startswith("gone"))])
+    found = matches(lone, k, num, den).groupBy(F.col("doc_id").alias(f"{free}_id")).agg(F.collect_list("line_no").alias(f"{free}_lines"))
+    joined = docs.select(*(F.col(f"`{c}`") for c in kept)).join(found, F.col("doc_id") == F.col(f"`{free}_id`"), "left")
+    gone = F.col(f"`{free}_lines`")
     all_lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone)
+    text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
     return joined.select(
         *(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(all_lines)), F.lit(0)).alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"),
+        F.when(gone.isNull(), 0).otherwise(F.size(gone)).alias("n_removed"),
     )
 
 

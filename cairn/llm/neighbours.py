@@ -77,7 +77,7 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = good.filter(F.size("vector") == (sizes["s"] if sizes else 0))
     keyed = good.withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.hash("vector"))
     first = Window.partitionBy("k1", "k2").orderBy("vec_id")
-    least = keyed.select("k1", "k2", "vec_id").withColumn("r", F.row_number().over(first)).filter("r <= 6")
+    least = keyed.select("k1", "k2", "vec_id").distinct().withColumn("r", F.row_number().over(first)).filter("r <= 6")
     members = written(least.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("vec_id")).alias("members")), "members")
     members = members.select(F.col("members")[0].alias("node"), "members")
 
@@ -262,7 +262,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Vectors that are null, zero, or hold a null or a number that is not finite take no part, as
     query or candidate, nor do vectors of another length than the commonest or without a
     vec_id. Equal vectors are one node, whose members stand in order of vec_id; of rows
-    that repeat a vec_id one counts. Empty tables give no rows.
+    that repeat a vec_id the nearest counts. Empty tables give no rows.
     """
     if k > 5:
         raise ValueError("k is 5 at most")
@@ -285,6 +285,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     found = walk(around, nodes, starts).select("query_id", F.explode("ids").alias("node"))
     exact = found.join(nodes.select("node", "vector"), "node").join(asked, "query_id").select("query_id", "node", cosine(F.col("q"), F.col("vector")).alias("score"))
     each = exact.join(members, "node").select("query_id", "score", F.explode("members").alias("vec_id")).filter("query_id <> vec_id")
+    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
