@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .inputs import INPUTS, Tables, sql_of
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable:
+    """Registers a function of ``Tables`` under its name, with the SQL of the same rows.
+
+    Inputs are named in the SQL by a dollar sign: ``$daily``.
+    """
+
+    def register(f: Callable[[Tables], DataFrame]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLES[f.__name__] = re.sub(r"\$(\w+)", lambda m: sql_of(m[1]) if m[1] in INPUTS else m[0], sql).strip()
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from . import evidence, places, sequences, texts, verdicts  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    _load()
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(1)
+    """Status of each place at each date, fused from two kinds of evidence."""
+    return queries()["fused_status"](spark, sf_dir)
