@@ -31,6 +31,21 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.aggregate(edges, F.lit(False), crossed)
 
 
+def ring_km(lon: Column, lat: Column, ring: Column) -> Column:
+    """Distance to the nearest edge of a closed ring, on the plane at the point's latitude."""
+    x = lambda p: (p["lon"] - lon) * 111.320 * F.cos(F.radians(lat))
+    y = lambda p: (p["lat"] - lat) * 110.574
+    n = F.size(ring) - 1
+
+    def away(a: Column, b: Column) -> Column:
+        dx, dy = x(b) - x(a), y(b) - y(a)
+        length = dx * dx + dy * dy
+        along = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x(a) * dx + y(a) * dy) / length))).otherwise(0.0)
+        return F.hypot(x(a) + along * dx, y(a) + along * dy)
+
+    return F.array_min(F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), away))
+
+
 def octagon(lat: Column, lon: Column, radius_m: float) -> Column:
     """Closed ring of eight points round a position."""
     per_degree = 111_320.0

@@ -84,3 +84,15 @@ def fortnights(daily: DataFrame) -> DataFrame:
     """The newest row of each station in each half of 14 days of a month."""
     key = F.concat(F.date_format("day", "yyyy-MM"), F.lit("-"), F.floor((F.dayofmonth("day") - 1) / 14).cast("string"))
     return daily.groupBy("station", key.alias("fortnight")).agg(F.max("day").alias("day"), F.max_by("value", "day").alias("value"))
+
+
+def holds(daily: DataFrame, bare: float = 0.5, days: int = 28, least: int = 26, loss: float = 1.0) -> DataFrame:
+    """station, year, holds: from June to August, whether a run of at least ``bare`` loses less than ``loss`` over ``days`` days."""
+    summer = daily.filter(F.date_format("day", "MM-dd").between("06-01", "08-31")).withColumn("year", F.year("day"))
+    by_day = Window.partitionBy("station", "year").orderBy("day")
+    island = F.sum((F.col("value") < bare).cast("int")).over(by_day.rowsBetween(Window.unboundedPreceding, 0))
+    runs = summer.withColumn("island", island).filter(F.col("value") >= bare)
+    number = F.unix_date("day")
+    span = Window.partitionBy("station", "year", "island").orderBy(number).rangeBetween(-days, 0)
+    kept = (F.datediff("day", F.first("day").over(span)) >= least) & (F.first("value").over(span) - F.col("value") < loss)
+    return runs.withColumn("kept", kept).groupBy("station", "year").agg(F.max("kept").alias("holds"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import KM_PER_DEGREE, haversine_km, in_ring
+from ..functions.geo import KM_PER_DEGREE, haversine_km, in_ring, ring_km
 
 
 def within(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
@@ -41,9 +41,30 @@ def road_links(places: DataFrame, roads: DataFrame, near_km: float = 8, named_km
 def zone_of(points: DataFrame, zones: DataFrame) -> DataFrame:
     """key, zone: of the rings that hold a point the one of the least box. Zones: (zone, ring, west, south, east, north).
 
-    Zones are few; the join is on boxes, then by ray cast.
+    Each zone is copied to the degree cells that its box touches, so the join is one on
+    the cell; boxes, then the ray cast, rule out the rest.
     """
-    boxed = points.join(F.broadcast(zones), F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north")))
+    cells = points.select("key", "lat", "lon", F.floor("lat").alias("row"), F.floor("lon").alias("col"))
+    boxed = cells.join(_celled(zones, F.lit(0.0), F.lit(0.0)), ["row", "col"])
+    boxed = boxed.filter(F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north")))
     inside = boxed.filter(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
     size = (F.col("east") - F.col("west")) * (F.col("north") - F.col("south"))
     return inside.groupBy("key").agg(F.min_by("zone", F.struct(size, "zone")).alias("zone"))
+
+
+def _celled(zones: DataFrame, by_lat, by_lon) -> DataFrame:
+    """A row of each zone for each degree cell of its box, grown by so many degrees."""
+    rows = F.sequence(F.floor(F.col("south") - by_lat), F.floor(F.col("north") + by_lat))
+    cols = F.sequence(F.floor(F.col("west") - by_lon), F.floor(F.col("east") + by_lon))
+    return zones.withColumn("row", F.explode(rows)).withColumn("col", F.explode(cols))
+
+
+def nearest_ring(points: DataFrame, zones: DataFrame, radius_km: float) -> DataFrame:
+    """key, zone, km: the zone whose edge is nearest within the radius, 0 km inside; ties to the lesser zone."""
+    degrees = radius_km / KM_PER_DEGREE
+    cells = points.select("key", "lat", "lon", F.floor("lat").alias("row"), F.floor("lon").alias("col"))
+    wide = degrees / F.greatest(F.cos(F.radians(F.greatest(F.abs("north"), F.abs("south")) + degrees)), F.lit(0.2)) * 1.1
+    met = cells.join(_celled(zones, F.lit(degrees), wide), ["row", "col"])
+    km = F.when(in_ring(F.col("lon"), F.col("lat"), F.col("ring")), F.lit(0.0)).otherwise(ring_km(F.col("lon"), F.col("lat"), F.col("ring")))
+    near = met.withColumn("km", km).filter(F.col("km") <= radius_km).withColumn("km", F.round("km", 2))
+    return near.groupBy("key").agg(F.min(F.struct("km", "zone")).alias("m")).select("key", "m.zone", "m.km")

@@ -56,3 +56,14 @@ def best_split(points: DataFrame) -> DataFrame:
     ranked = steps.select("x", lost.alias("lost"), kept.alias("kept")).join(F.broadcast(total))
     errors = F.col("lost") + F.col("all_downs") - F.col("kept")
     return ranked.agg(F.min(F.struct(errors.alias("errors"), F.col("x").alias("threshold"))).alias("m")).select("m.threshold", "m.errors")
+
+
+def value_on(daily: DataFrame, day_of_season: int, widest: int = 10) -> DataFrame:
+    """station, year, value: each season's series at a day of it, on the line between readings at most ``widest`` days apart."""
+    w = Window.partitionBy("station", "year").orderBy("day")
+    own = daily.filter(in_season(F.col("day"))).withColumn("year", F.year("day"))
+    own = own.select("station", "year", season_day(F.col("day")).alias("d"), "value", F.lead("value").over(w).alias("nv"), (F.datediff(F.lead("day").over(w), "day")).alias("gap"))
+    on = F.col("d") == day_of_season
+    between = (F.col("d") < day_of_season) & (F.col("d") + F.col("gap") > day_of_season) & (F.col("gap") <= widest)
+    value = F.when(on, F.col("value")).otherwise(F.col("value") + (F.col("nv") - F.col("value")) * (day_of_season - F.col("d")) / F.col("gap"))
+    return own.filter(on | between).select("station", "year", F.round(value, 4).alias("value"))

@@ -1 +1,73 @@
-"""To come."""
+"""Queries that hold verdicts against what was observed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import backtest, season
+from .inputs import Tables
+from .registry import query
+
+
+@query("SELECT t.id AS target, count(r.id) AS n FROM $reports t LEFT JOIN $reports r ON r.place = t.place AND NOT (r.id = t.id OR (r.author = t.author AND r.day = t.day)) GROUP BY t.id")
+def holdout_backtest(t: Tables) -> DataFrame:
+    """What is left of a place's reports to judge one of them by."""
+    return backtest.held_out(t.reports, t.reports)
+
+
+def _wilson(sign: str) -> str:
+    return f"(exact / n + (1.959964e0 * 1.959964e0) / (2 * n) {sign} 1.959964e0 * sqrt(exact / n * (1 - exact / n) / n + (1.959964e0 * 1.959964e0) / (4 * n * n))) / (1 + (1.959964e0 * 1.959964e0) / n)"
+
+
+@query(
+    f"""WITH c AS (SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'overall' END AS split, coalesce(lang, source) AS cell, count(*) AS n,
+  count(*) FILTER (WHERE engine = observed) AS exact, count(*) FILTER (WHERE abs(engine - observed) <= 1) AS within_one, count(*) FILTER (WHERE engine > observed) AS more, count(*) FILTER (WHERE engine < observed) AS less
+  FROM $reports r GROUP BY GROUPING SETS ((), (lang), (source)))
+SELECT split, cell, n, exact, within_one, more, less, CASE WHEN n >= 10 THEN round(greatest({_wilson('-')}, 0.0), 6) END AS low, CASE WHEN n >= 10 THEN round(least({_wilson('+')}, 1.0), 6) END AS high FROM c"""
+)
+def outcome_sets(t: Tables) -> DataFrame:
+    """Outcome counts by split in one pass, with intervals."""
+    return backtest.outcome_sets(t.reports, ["lang", "source"])
+
+
+@query("SELECT observed, " + ", ".join(f"count(*) FILTER (WHERE engine = {i}) AS engine_{i}" for i in range(4)) + " FROM $reports r GROUP BY observed")
+def confusion(t: Tables) -> DataFrame:
+    """A30."""
+    return backtest.confusion(t.reports, [0, 1, 2, 3])
+
+
+@query("SELECT min(n) AS n FROM range(1, 5000) t(n) WHERE 1.959964e0 * sqrt(0.25 / n + (1.959964e0 * 1.959964e0) / (4.0 * n * n)) / (1 + (1.959964e0 * 1.959964e0) / n) <= 0.05")
+def reports_needed(t: Tables) -> DataFrame:
+    """The least sample for an interval of a tenth."""
+    return t.spark.range(1).select(F.lit(backtest.reports_needed(0.05)).cast("long").alias("n"))
+
+
+@query("SELECT place, count(*) AS n, count(DISTINCT author) AS authors, min(day) AS first, max(day) AS last, count(*) FILTER (WHERE engine < observed) AS misses FROM $reports r GROUP BY place")
+def corpus_facts(t: Tables) -> DataFrame:
+    """A33."""
+    misses = F.count_if(F.col("engine") < F.col("observed")).alias("misses")
+    return t.reports.groupBy("place").agg(F.count("*").alias("n"), F.countDistinct("author").alias("authors"), F.min("day").alias("first"), F.max("day").alias("last"), misses)
+
+
+@query("SELECT id, place, engine - observed AS steps, day FROM $reports r WHERE engine <> observed")
+def misses(t: Tables) -> DataFrame:
+    """What was missed, less first, by steps."""
+    rows = t.reports.filter("engine <> observed").select("id", "place", (F.col("engine") - F.col("observed")).alias("steps"), "day")
+    return rows.orderBy(F.col("steps") > 0, F.abs("steps").desc(), "day", "id")
+
+
+@query("SELECT field, round(avg(CAST(hit AS INT)), 6) AS accuracy, count(*) AS n FROM (SELECT id, unnest(['exact', 'within_one']) AS field, unnest([engine = observed, abs(engine - observed) <= 1]) AS hit FROM $reports r) x GROUP BY field")
+def field_accuracy(t: Tables) -> DataFrame:
+    """The mean of each field's matches."""
+    fields = F.array(F.struct(F.lit("exact").alias("field"), (F.col("engine") == F.col("observed")).alias("hit")), F.struct(F.lit("within_one").alias("field"), (F.abs(F.col("engine") - F.col("observed")) <= 1).alias("hit")))
+    return t.reports.select(F.inline(fields)).groupBy("field").agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
+
+
+@query(
+    """WITH p AS (SELECT p_size AS x, p_retailprice > 1400 AS up FROM part), e AS (SELECT x, (SELECT count(*) FROM p q WHERE (q.up AND q.x < t.x) OR (NOT q.up AND q.x >= t.x)) AS errors FROM (SELECT DISTINCT x FROM p) t)
+SELECT x AS threshold, errors FROM e ORDER BY errors, x LIMIT 1"""
+)
+def best_split(t: Tables) -> DataFrame:
+    """The elevation that misplaces fewest."""
+    return season.best_split(t.part.select(F.col("p_size").alias("x"), (F.col("p_retailprice") > 1400).alias("up")))
