@@ -48,9 +48,15 @@ def _set_key(s: np.ndarray) -> np.int64:
     return mixed(np.array([mixed(s).sum(dtype=np.uint64) + np.uint64(len(s))])).view(np.int64)[0]
 
 
+#: Of a set's shingles one in so many must be shared in the lists beyond the first meeting.
+SLACK = 40
+#: Pairs that a task holds before it counts them.
+HELD_PAIRS = 400_000
+
+
 def _slack(n: np.ndarray | int):
     """Shingles beyond the first meeting that a set of n must share in the lists."""
-    return n // 20
+    return n // SLACK
 
 
 def _bucketed(hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -142,7 +148,10 @@ class _Sets:
         return np.sort(table.filter(F.col("classes") >= least).select("shingle").toPandas()["shingle"].to_numpy(np.int64))
 
     def lists(self) -> DataFrame:
-        """(list, keys, sizes): the inverted lists of rare shingles that two classes or more have, keys ascending."""
+        """(list, keys, sizes, places): the inverted lists of rare shingles that two classes or more have, keys ascending.
+
+        A place is the shingle's in its class's order of rarity, from 0.
+        """
         k, num, den = self.k, self.num, self.den
         common = self.spark.sparkContext.broadcast(self.common())
 
@@ -174,20 +183,22 @@ class _Sets:
                 hashes = np.concatenate(sets)
                 order = np.argsort(hashes, kind="stable")
                 hashes, key, size = hashes[order], np.repeat(keys, counts)[order], np.repeat(sizes, counts)[order]
+                place = np.concatenate([np.arange(c) for c in counts])[order]
                 yield pd.DataFrame(
-                    [(b, _short(hashes[i:j]), key[i:j].tobytes(), np.minimum(size[i:j], LARGEST).astype("<u2").tobytes()) for b, i, j in _bucketed(hashes)],
-                    columns=["bucket", "shingles", "keys", "sizes"],
+                    [(b, _short(hashes[i:j]), key[i:j].tobytes(), *(np.minimum(x[i:j], LARGEST).astype("<u2").tobytes() for x in (size, place))) for b, i, j in _bucketed(hashes)],
+                    columns=["bucket", "shingles", "keys", "sizes", "places"],
                 )
 
         def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for bucket, data in _by_bucket(batches, ["shingles", "keys", "sizes"]):
+            for bucket, data in _by_bucket(batches, ["shingles", "keys", "sizes", "places"]):
                 shingle = _long(data["shingles"])
                 key = np.frombuffer(b"".join(data["keys"]), "<i8")
                 size = np.frombuffer(b"".join(data["sizes"]), "<u2")
-                order = np.lexsort((key, shingle))
-                shingle, key, size = shingle[order], key[order], size[order]
+                place = np.frombuffer(b"".join(data["places"]), "<u2")
+                order = np.lexsort((place, key, shingle))
+                shingle, key, size, place = shingle[order], key[order], size[order], place[order]
                 fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
-                shingle, key, size = shingle[fresh], key[fresh], size[fresh]
+                shingle, key, size, place = shingle[fresh], key[fresh], size[fresh], place[fresh]
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(shingle)) + 1, [len(shingle)]))
                 long = np.flatnonzero(np.diff(cuts) > 1)
                 for some in np.array_split(long, len(long) // 5000 + 1) if len(long) else ():
@@ -196,12 +207,13 @@ class _Sets:
                             "list": [int(shingle[cuts[i]]) | (bucket << 24) for i in some],
                             "keys": [key[cuts[i] : cuts[i + 1]] for i in some],
                             "sizes": [size[cuts[i] : cuts[i + 1]].astype(np.int32) for i in some],
+                            "places": [place[cuts[i] : cuts[i + 1]].astype(np.int32) for i in some],
                         }
                     )
 
-        dealt = self.docs.mapInPandas(post, "bucket int, shingles binary, keys binary, sizes binary")
+        dealt = self.docs.mapInPandas(post, "bucket int, shingles binary, keys binary, sizes binary, places binary")
         dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-        return dealt.mapInPandas(gather, "list long, keys array<long>, sizes array<int>")
+        return dealt.mapInPandas(gather, "list long, keys array<long>, sizes array<int>, places array<int>")
 
     def linked(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """The pairs (a, b) within the threshold: long lists are probed by binary search.
@@ -276,55 +288,69 @@ def _stars(labelled: DataFrame) -> DataFrame:
 
 
 def _members(lists: DataFrame) -> DataFrame:
-    """(list, members array<struct<key,size,label>>) while every class is its own component."""
-    both = F.zip_with("keys", "sizes", lambda k, s: F.struct(k.alias("key"), s.alias("size"), k.alias("label")))
-    return lists.select("list", both.alias("members"))
+    """(list, members array<struct<key,size,place,label>>) while every class is its own component."""
+    zipped = F.arrays_zip("keys", "sizes", "places")
+    each = F.transform(zipped, lambda z: F.struct(z["keys"].alias("key"), z["sizes"].alias("size"), z["places"].alias("place"), z["keys"].alias("label")))
+    return lists.select("list", each.alias("members"))
 
 
 def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(list, members array<struct<key,size,label>>) of the lists that hold several components."""
+    """(list, members array<struct<key,size,place,label>>) of the lists that hold several components."""
 
     def flat(some: DataFrame) -> DataFrame:
-        each = some.select("list", F.explode(F.arrays_zip("keys", "sizes")).alias("z"))
-        each = each.select("list", F.col("z.keys").alias("key"), F.col("z.sizes").alias("size"))
-        return each.join(labels, each["key"] == labels["node"], "left").select("list", "key", "size", F.coalesce("label", "key").alias("label"))
+        each = some.select("list", F.explode(F.arrays_zip("keys", "sizes", "places")).alias("z"))
+        each = each.select("list", F.col("z.keys").alias("key"), F.col("z.sizes").alias("size"), F.col("z.places").alias("place"))
+        return each.join(labels, each["key"] == labels["node"], "left").select("list", "key", "size", "place", F.coalesce("label", "key").alias("label"))
 
     labels = _small(labels)
     mixed = flat(lists).groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("list")
     grouped = flat(lists.join(_small(mixed), "list")).groupBy("list")
-    return grouped.agg(F.array_sort(F.collect_list(F.struct("key", "size", "label"))).alias("members"))
+    return grouped.agg(F.array_sort(F.collect_list(F.struct("key", "size", "place", "label"))).alias("members"))
 
 
 def _meetings(labelled: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet often enough and may be of a size."""
+    """Pairs (a, b) of different components that meet often enough and may be of a size.
+
+    A pair of sizes x and y within num/den shares at least ``least = num (x + y) / (num + den)``
+    shingles, so of its first ``x - least + 1 + slack`` and ``y - least + 1 + slack`` it
+    shares at least ``1 + slack``. Meetings further back in either order are not listed.
+    """
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            held: list[np.ndarray] = []
-            for keys, sizes, labels in zip(batch["keys"], batch["sizes"], batch["labels"], strict=True):
+            for keys, sizes, places, labels in zip(batch["keys"], batch["sizes"], batch["places"], batch["labels"], strict=True):
+                sizes = np.asarray(sizes, np.int64)
                 for i in range(len(keys) - 1):
-                    near = (labels[i + 1 :] != labels[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) * den >= np.maximum(sizes[i + 1 :], sizes[i]).astype(np.int64) * num)
-                    j = np.flatnonzero(near) + i + 1
+                    x, y = sizes[i], sizes[i + 1 :]
+                    small, large = np.minimum(x, y), np.maximum(x, y)
+                    reach = _slack(small) - -(-num * (x + y) // (num + den))
+                    early = (places[i] <= x + reach) & (places[i + 1 :] <= y + reach) | (large >= LARGEST)
+                    j = np.flatnonzero(early & (labels[i + 1 :] != labels[i]) & (small * den >= large * num)) + i + 1
                     if len(j):
-                        held.append(np.column_stack((np.full(len(j), keys[i]), keys[j], np.minimum(sizes[j], sizes[i]))))
-                if len(held) > 2000:
-                    yield counted(held)
-                    held = []
-            if held:
-                yield counted(held)
+                        held.append(np.column_stack((np.full(len(j), keys[i]), keys[j], np.minimum(sizes[j], x))))
+                        size += len(j)
+                    if size >= HELD_PAIRS:
+                        yield counted(held)
+                        held, size = [], 0
+        if held:
+            yield counted(held)
 
     def counted(held: list[np.ndarray]) -> pd.DataFrame:
-        rows, n = np.unique(np.concatenate(held), axis=0, return_counts=True)
-        return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "least": rows[:, 2], "n": n})
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+        return pd.DataFrame({"a": rows[first, 0], "b": rows[first, 1], "least": rows[first, 2], "n": np.diff(np.append(first, len(rows)))})
 
-    flat = labelled.select(F.col("members.key").alias("keys"), F.col("members.size").alias("sizes"), F.col("members.label").alias("labels"))
+    flat = labelled.select(*(F.col(f"members.{c}").alias(f"{c}s") for c in ("key", "size", "place", "label")))
     met = flat.mapInPandas(pair, "a long, b long, least long, n long")
     met = met.groupBy("a", "b", "least").agg(F.sum("n").alias("n"))
     return met.filter(F.col("n") >= 1 + _slack_column(F.col("least"))).select("a", "b")
 
 
 def _slack_column(n):
-    return F.floor(n / 20)
+    return F.floor(n / SLACK)
 
 
 def _pairs(labelled: DataFrame) -> int:
