@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal
 
+#: Names that are sent to every task (some tens of bytes each); more are shuffled.
+BROADCAST_NAMES = 500_000
+
 
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """key, name: the longest name whose words stand in the text in that order, whole; ties to the lesser name.
@@ -19,7 +22,10 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     names and texts are never paired otherwise.
     """
     known = names.select(normal(F.col("name")).alias("alias"), "name").filter("alias <> ''").groupBy("alias").agg(F.min("name").alias("name"))
-    lengths = sorted(r[0] for r in known.select(F.size(F.split("alias", " "))).distinct().collect())
+    sized = known.groupBy(F.size(F.split("alias", " ")).alias("n")).count().collect()  # a row per length of a name
+    lengths = sorted(r["n"] for r in sized)
+    if sum(r["count"] for r in sized) <= BROADCAST_NAMES:
+        known = F.broadcast(known)
     words = texts.select("key", F.split(normal(F.col("text")), " ").alias("w"))
     grams = None
     for n in lengths:
@@ -27,7 +33,7 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
         grams = cut if grams is None else grams.unionByName(cut)
     if grams is None:
         return texts.select("key", F.lit(None).cast("string").alias("name")).limit(0)
-    found = grams.distinct().join(known, "alias")
+    found = grams.join(known, "alias")  # a run that comes twice changes no maximum
     return found.groupBy("key").agg(F.max_by("name", F.struct(F.length("alias"), F.reverse("alias"))).alias("name"))
 
 
