@@ -21,8 +21,9 @@ BLANKS = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 16
 #: A bucket is of the level of as many of these multiples of the mean as its count exceeds.
 LEVELS = (1.25, 2.0, 8.0)
-#: Documents whose lines to verify may be broadcast (a name and a few line numbers each).
+#: Rows that may be broadcast (names of documents or lines), and line numbers in their lists.
 BROADCAST_ROWS = 300_000
+BROADCAST_NUMBERS = 2_000_000
 
 
 def _words(line: Column) -> Column:
@@ -81,6 +82,12 @@ def _tuple(*names: str) -> Column:
     return F.struct(*names)
 
 
+def _small(table: DataFrame, numbers: str | None = None) -> DataFrame:
+    """A written ``table``, to be broadcast if its rows and the ``numbers`` in its lists are few enough."""
+    held = table.agg(F.count("*").alias("rows"), F.sum(F.size(numbers) if numbers else F.lit(0)).alias("numbers")).first()
+    return F.broadcast(table) if held["rows"] <= BROADCAST_ROWS and (held["numbers"] or 0) <= BROADCAST_NUMBERS else table
+
+
 def matches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, line_no) of the lines that go: an earlier line has a Jaccard similarity of num/den or more.
 
@@ -100,32 +107,36 @@ def matches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         F.min(_tuple("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("lines")
     )
     classes = written(classes, "classes")
-    posted = classes.select("first", "n", F.posexplode("prefix").alias("pos", "token"))
-    posted = posted.select("token", "first", F.struct("n", "pos").alias("size"))
+    # Entries are flat and narrow, size and place in one number: they are most of what is shuffled.
+    posted = classes.select("first.*", "n", F.posexplode("prefix").alias("pos", "token"))
+    posted = posted.select("token", "doc_id", "line_no", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("size"))
     by_token = Window.partitionBy("token")
-    ranked = posted.withColumn("c", F.count("*").over(by_token)).filter("c > 1").drop("c")
-    met = written(ranked, "met")
+    ranked = posted.withColumn("c", F.count("*").over(by_token)).filter("c > 1")
+    met = written(ranked.select("token", _tuple("doc_id", "line_no").alias("first"), "size"), "met")
 
     def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         """(late, early) by token, of sizes and places that leave the threshold in reach."""
         a = left.select("token", F.col("first").alias("late"), F.col("size").alias("s"))
         b = right.select("token", F.col("first").alias("early"), F.col("size").alias("t"))
         both = a.join(b, "token").filter("early < late")
-        least, most = F.least("s.n", "t.n"), F.greatest("s.n", "t.n")
-        both = both.filter(least * den >= most * num)
-        ahead = F.least(F.col("s.n") - F.col("s.pos"), F.col("t.n") - F.col("t.pos"))
-        return both.filter(ahead * (num + den) >= num * (F.col("s.n") + F.col("t.n"))).select("late", "early").distinct()
+        (s, x), (t, y) = ((F.shiftright(c, 32), F.col(c).bitwiseAND(0x7FFFFFFF)) for c in ("s", "t"))
+        both = both.filter(F.least(s, t) * den >= F.greatest(s, t) * num)
+        return both.filter(F.least(s - x, t - y) * (num + den) >= num * (s + t)).select("late", "early").distinct()
 
     wanted = met.select("first").distinct().select("first.*").groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
-    wanted = written(wanted, "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    some = docs.join(wanted, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("line_no"))
-    some = some.select(_tuple("doc_id", "line_no").alias("first"), _words(F.get("all", F.col("line_no"))).alias("words"))
+    wanted = _small(written(wanted, "wanted"), "wanted")
+    # The lines wanted are taken out before they are opened: an explode would copy the whole text for each.
+    parts = docs.join(wanted, "doc_id").select("doc_id", "wanted", F.split("text", "\n", -1).alias("all"))
+    some = parts.select("doc_id", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get("all", i).alias("line")))).alias("w"))
+    some = some.select(F.struct("doc_id", "w.line_no").alias("first"), _words(F.col("w.line")).alias("words"))
     sets = written(some.select("first", _tokens(F.col("words"), k).alias("tokens")), "sets")
 
     def matched(found: DataFrame) -> DataFrame:
-        x = sets.select(F.col("first").alias("late"), F.col("tokens").alias("x"))
-        y = sets.select(F.col("first").alias("early"), F.col("tokens").alias("y"))
+        found = written(found, "pairs")
+        met = found.select(F.explode(F.array("late", "early")).alias("first")).distinct()
+        some = sets.join(_small(written(met, "paired")), "first", "left_semi")
+        x = some.select(F.col("first").alias("late"), F.col("tokens").alias("x"))
+        y = some.select(F.col("first").alias("early"), F.col("tokens").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
         near = found.join(x, "late").join(y, "early").select("late", shared.alias("shared"), (F.size("x") + F.size("y")).alias("both"))
         return near.filter(F.col("shared") * den >= (F.col("both") - F.col("shared")) * num).select("late").distinct()
@@ -161,14 +172,18 @@ def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     # Names that no column of ``docs`` has.
     free = "_".join(["gone", *(c for c in kept if c.lower().startswith("gone"))])
     found = matches(lone, k, num, den).groupBy(F.col("doc_id").alias(f"{free}_id")).agg(F.collect_list("line_no").alias(f"{free}_lines"))
+    # Texts are shuffled only if the lines that go are too many to be sent to them.
+    found = _small(written(found, "gone"), f"{free}_lines")
     joined = docs.select(*(F.col(f"`{c}`") for c in kept)).join(found, F.col("doc_id") == F.col(f"`{free}_id`"), "left")
     gone = F.col(f"`{free}_lines`")
     all_lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone)
     text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
+    # Counted by their ends: texts that keep all lines are not split again.
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return joined.select(
         *(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(all_lines)), F.lit(0)).alias("n_lines"),
+        F.coalesce(n_lines, F.lit(0)).alias("n_lines"),
         F.when(gone.isNull(), 0).otherwise(F.size(gone)).alias("n_removed"),
     )
 
