@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TOKENIZER_FILES, written
-from .tokens import encoder, ids_of
+from .tokens import encoder, library_ids_of
 
 #: Pieces that one task packs at most, on average. More pieces make more groups, not larger ones.
 GROUP_ROWS = 50_000
@@ -28,7 +28,8 @@ def pieces(docs: DataFrame, capacity: int, folder: str = TOKENIZER_FILES) -> Dat
     """Rows (doc_id, piece, start, length, ids_crc32): documents as ids, id 0 at the end, cut to ``capacity``.
 
     A document that fits is one piece. A longer one has a first piece of what is left
-    over and then full pieces. A null text is empty and has only its last id.
+    over and then full pieces. A null text is empty and has only its last id. The name of
+    an added token in a text is that token, as in the ``tokenizers`` library.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,7 +37,7 @@ def pieces(docs: DataFrame, capacity: int, folder: str = TOKENIZER_FILES) -> Dat
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(ids_of(enc, text), np.uint32(0)).astype("<u4")
+                ids = np.append(library_ids_of(enc, text), np.uint32(0)).astype("<u4")
                 n = len(ids)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

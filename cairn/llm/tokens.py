@@ -9,6 +9,7 @@ and a prefix scan over the blocks' summaries stitches documents that span blocks
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The ranks of byte_bpe_50k.json: the same ids as the ``tokenizers`` library finds with that
 #: file (the tests compare them), in a third of its time.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: The end-of-document id of that vocabulary. Texts never yield it: its name in a text is ordinary text.
+#: The file that names the vocabulary's added tokens, which the ranks lack.
+ADDED = "byte_bpe_50k.json"
+#: The end-of-document id of that vocabulary. ``ids_of`` never yields it, so that it marks ends in flat token files.
 END = 50256
 _ENCODERS: dict = {}
 
@@ -38,15 +41,29 @@ def encoder(folder: str = TOKENIZER_FILES, name: str = VOCABULARY):
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        _ENCODERS[path] = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=_added(folder))
     return _ENCODERS[path]
 
 
+def _added(folder: str) -> dict[str, int]:
+    """The added tokens of the vocabulary, which are found in texts as they stand."""
+    with open(f"{folder}/{ADDED}", encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in added):
+        raise ValueError("an added token that takes more or less than its own text")
+    return {a["content"]: a["id"] for a in added}
+
+
 def ids_of(enc, text: str | None) -> np.ndarray:
-    """A text's ids; a null text has none."""
+    """A text's ids; a null text has none. The name of an added token is ordinary text."""
     return np.array(enc.encode_ordinary(text) if text else [], "<u4")
 
 
+def library_ids_of(enc, text: str | None) -> np.ndarray:
+    """A text's ids as the ``tokenizers`` library gives them: added tokens in a text are one id each."""
+    return np.array(enc.encode(text, allowed_special="all", disallowed_special=()) if text else [], "<u4")
+
+
 def token_files(docs: DataFrame, block_tokens: int = 1 << 16, folder: str = TOKENIZER_FILES) -> DataFrame:
     """``docs`` as flat token files: rows (file, block, data), and beside them rows (file, first, doc_ids).
 

@@ -12,7 +12,7 @@ import pytest
 import tokenizers
 
 from cairn.llm import queries as Q
-from cairn.llm import tokens, toxicity
+from cairn.llm import packing, tokens, toxicity
 from cairn.llm.oracles import ORACLES
 
 
@@ -53,6 +53,20 @@ def test_ids_are_those_of_the_vocabulary(tokenizer):
         assert list(tokens.ids_of(enc, text)) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_packed_texts(spark, tokenizer):
+    texts = ["<|endoftext|>", "a  <|endoftext|>  b\n", "x<|endoftext|><|endoftext|>y <|endoftext|", "<|ENDOFTEXT|> <<|endoftext|>>", "word <|endoftext|> " * 900]
+    enc = tokens.encoder()
+    want = {}
+    for i, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(tokens.library_ids_of(enc, text)) == ids
+        want[i] = np.array([*ids, 0], "<u4")
+    out = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2048).toPandas()
+    assert out["doc_id"].nunique() == len(texts) and out.groupby("doc_id")["length"].sum().to_dict() == {i: len(w) for i, w in want.items()}
+    for r in out.itertuples():
+        assert zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+
+
 def test_neighbours(spark, sf):
     table = pd.read_parquet(f"{sf}/embeddings.parquet")
     x = np.stack(table["embedding"]).astype(float)
