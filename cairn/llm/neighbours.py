@@ -5,8 +5,8 @@ side of random planes. Then, again and again, each node introduces its neighbour
 either direction, to each other: a join of the edges with the vectors, a grouping by the
 node in the middle, and a grouping by the node that may have gained. Queries walk the
 graph in rounds: the best nodes found so far and not yet visited are joined with their
-neighbours, until none of the best is left to visit. Vectors travel as bytes; the
-nodes found are compared by their original vectors.
+neighbours, until none of the best is left to visit. Vectors travel as they are and are
+compared in double precision throughout: rounded ones would not tell near copies apart.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ INTRODUCED = 6
 BEAM, VISITS, ROUNDS = 320, 80, 12
 #: Entry points for queries, a bounded sample of the nodes.
 ENTRIES = 32
-#: Nodes found that are compared exactly.
-COMPARED = 48
+#: Turns in which groups of more than two times GROUP vectors are split, and planes of a turn at most.
+SPLITS, PLANES = 6, 16
 
 
 def usable(vector: Column) -> Column:
@@ -51,19 +51,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _packed(vectors: pd.Series) -> list[bytes]:
-    """Vectors of length 1 as signed bytes and one scale."""
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    scale = np.abs(x).max(axis=1, keepdims=True) / 127
-    bytes_ = np.round(x / scale).astype(np.int8)
-    return [b.tobytes() + np.float32(s[0]).tobytes() for b, s in zip(bytes_, scale, strict=True)]
+    """Vectors as 32-bit floats, not rounded further."""
+    return [np.asarray(v, "<f4").tobytes() for v in vectors]
 
 
 def _unpacked(parts: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), -1)
-    scale = np.ascontiguousarray(raw[:, -4:]).view(np.float32)
-    return raw[:, :-4].view(np.int8).astype(np.float32) * scale
+    """Vectors of length 1 in double precision."""
+    x = np.frombuffer(b"".join(parts), "<f4").reshape(len(parts), -1).astype(np.float64)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +86,7 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(nodes, "nodes"), members
 
 
-GRAPH = "node long, ids array<long>, sims array<float>"
+GRAPH = "node long, ids array<long>, sims array<double>"
 
 
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +124,10 @@ def _rows(found: list[tuple]) -> pd.DataFrame:
 
 
 def _start(nodes: DataFrame, n: int) -> DataFrame:
-    """A first graph from groups on the same side of random planes, cut to GROUP vectors."""
+    """A first graph from groups on the same side of random planes, cut to GROUP vectors.
+
+    Near copies lie on the same side of all planes through the origin; large groups are split (see ``_split``).
+    """
     bits = max(0, int(np.log2(max(n, 1) / (GROUP / 2))))
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +136,7 @@ def _start(nodes: DataFrame, n: int) -> DataFrame:
                 continue
             x = _unpacked(batch["packed"].tolist())
             for tree in range(TREES):
-                planes = np.random.default_rng(tree).standard_normal((x.shape[1], bits)).astype(np.float32)
+                planes = np.random.default_rng(tree).standard_normal((x.shape[1], bits))
                 code = ((x @ planes > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
                 yield pd.DataFrame({"tree": tree, "code": code, "node": batch["node"], "packed": batch["packed"]})
 
@@ -147,8 +145,8 @@ def _start(nodes: DataFrame, n: int) -> DataFrame:
         rest = None
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = rows["tree"].to_numpy(np.int64) * (1 << 40) + rows["code"].to_numpy()
-            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key = rows[["tree", "code"]].to_numpy(np.int64)
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
             rest = rows.iloc[cuts[-1] :] if len(rows) - cuts[-1] < GROUP else rows.iloc[len(rows) :]
             yield from (_rows(list(near)) for near in groups(rows.iloc[: len(rows) - len(rest)], cuts))
         if rest is not None and len(rest):
@@ -162,8 +160,41 @@ def _start(nodes: DataFrame, n: int) -> DataFrame:
                     to = min(at + GROUP, b, len(rows))
                     yield _nearest_within(ids[at:to], x[at:to], DEGREE)
 
-    dealt = nodes.mapInPandas(sides, "tree int, code long, node long, packed binary")
-    return dealt.repartition("tree", "code").sortWithinPartitions("tree", "code", "node").mapInPandas(group, GRAPH)
+    codes = nodes.mapInPandas(sides, "tree int, code long, node long, packed binary")
+    codes = _split(written(codes.select("tree", "code", "node"), "codes"), nodes)
+    dealt = codes.join(nodes.select("node", "packed"), "node").select("tree", "code", "node", "packed")
+    # A group that is still too large is cut at random, in each tree at other places.
+    return dealt.repartition("tree", "code").sortWithinPartitions("tree", "code", F.xxhash64("tree", "node")).mapInPandas(group, GRAPH)
+
+
+def _split(codes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``codes`` (tree, code, node) with large groups split by random planes through their own medians."""
+    for turn in range(SPLITS):
+        sizes = codes.groupBy("tree", "code").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * GROUP)
+        sizes = written(sizes, "large")
+        if sizes.isEmpty():
+            break
+
+        def project(batches: Iterator[pd.DataFrame], turn: int = turn) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    x, tree = _unpacked(batch["packed"].tolist()), batch["tree"].to_numpy()
+                    at = np.zeros((len(x), PLANES))
+                    for t in range(TREES):
+                        planes = np.random.default_rng((turn + 1, t)).standard_normal((x.shape[1], PLANES))
+                        at[tree == t] = x[tree == t] @ planes
+                    yield pd.DataFrame({"tree": batch["tree"], "code": batch["code"], "node": batch["node"], "at": list(at)})
+
+        inside = codes.join(sizes.select("tree", "code"), ["tree", "code"], "left_semi").join(nodes.select("node", "packed"), "node")
+        inside = written(inside.select("tree", "code", "node", "packed").mapInPandas(project, "tree int, code long, node long, at array<double>"), "inside")
+        middle = inside.groupBy("tree", "code").agg(F.array(*(F.percentile_approx(F.col("at")[j], 0.5) for j in range(PLANES))).alias("middle"))
+        # As many planes as leave about half of GROUP to a part.
+        used = F.least(F.lit(PLANES), F.floor(F.log2(F.col("n") / (GROUP / 2))).cast("int"))
+        cuts = middle.join(sizes, ["tree", "code"]).select("tree", "code", F.slice("middle", F.lit(1), used).alias("middle"))
+        side = F.transform("middle", lambda m, j: F.get("at", j) > m)
+        parted = inside.join(F.broadcast(cuts), ["tree", "code"]).select("tree", F.xxhash64(F.lit(turn), "code", side).alias("code"), "node")
+        codes = written(codes.join(sizes, ["tree", "code"], "left_anti").select("tree", "code", "node").unionByName(parted), "codes")
+    return codes
 
 
 def _around(graph: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -198,7 +229,7 @@ def build(nodes: DataFrame) -> DataFrame:
     return written(_around(graph, nodes), "around")
 
 
-STATE = "query_id long, ids array<long>, sims array<float>, seen array<boolean>"
+STATE = "query_id long, ids array<long>, sims array<double>, seen array<boolean>"
 
 
 def walk(around: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -208,7 +239,7 @@ def walk(around: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
     entries = [r["node"] for r in nodes.orderBy(F.xxhash64("node")).select("node").limit(ENTRIES).collect()]
     first = F.array_compact(F.array_union(F.array("start"), F.lit(entries).cast("array<long>") if entries else F.array().cast("array<long>")))
     state = written(
-        queries.select("query_id", first.alias("ids"), F.transform(first, lambda x: F.lit(-2.0).cast("float")).alias("sims"), F.transform(first, lambda x: F.lit(False)).alias("seen")),
+        queries.select("query_id", first.alias("ids"), F.transform(first, lambda x: F.lit(-2.0)).alias("sims"), F.transform(first, lambda x: F.lit(False)).alias("seen")),
         "walk",
     )
 
@@ -224,12 +255,12 @@ def walk(around: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for query, ids, sims, seen, more, their in batch[["query_id", "ids", "sims", "seen", "new_ids", "new_sims"]].itertuples(index=False):
-                ids, sims, seen = np.asarray(ids, np.int64), np.asarray(sims, np.float32), np.array(seen, bool)
+                ids, sims, seen = np.asarray(ids, np.int64), np.asarray(sims, np.float64), np.array(seen, bool)
                 seen[_frontier(seen)] = True
                 new, keep = np.unique(np.asarray(more, np.int64), return_index=True)
                 fresh = ~np.isin(new, ids)
                 ids = np.concatenate((ids, new[fresh]))
-                sims = np.concatenate((sims, np.asarray(their, np.float32)[keep][fresh]))
+                sims = np.concatenate((sims, np.asarray(their, np.float64)[keep][fresh]))
                 seen = np.concatenate((seen, np.zeros(int(fresh.sum()), bool)))
                 order = np.lexsort((ids, -sims))[:BEAM]
                 rows.append((query, ids[order], sims[order], seen[order]))
@@ -239,14 +270,14 @@ def walk(around: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         frontier = state.select("query_id", F.explode(open_ids).alias("node")).join(queries.select("query_id", "packed"), "query_id")
         met = frontier.join(held.select("node", "ids", F.col("packed").alias("near")), "node")
-        new = met.select("query_id", "packed", "ids", "near").mapInPandas(score, "query_id long, ids array<long>, sims array<float>")
+        new = met.select("query_id", "packed", "ids", "near").mapInPandas(score, "query_id long, ids array<long>, sims array<double>")
         new = new.groupBy("query_id").agg(F.flatten(F.collect_list("ids")).alias("new_ids"), F.flatten(F.collect_list("sims")).alias("new_sims"))
-        none = [F.coalesce("new_ids", F.array().cast("array<long>")).alias("new_ids"), F.coalesce("new_sims", F.array().cast("array<float>")).alias("new_sims")]
+        none = [F.coalesce("new_ids", F.array().cast("array<long>")).alias("new_ids"), F.coalesce("new_sims", F.array().cast("array<double>")).alias("new_sims")]
         state = written(state.join(new, "query_id", "left").select("query_id", "ids", "sims", "seen", *none).mapInPandas(settle, STATE), "walk")
         if state.filter(F.exists("seen", lambda s: ~s)).isEmpty():
             break
     held.unpersist()
-    return state.select("query_id", F.slice("ids", 1, COMPARED).alias("ids"))
+    return state.select("query_id", "ids")
 
 
 def _frontier(seen: np.ndarray) -> np.ndarray:

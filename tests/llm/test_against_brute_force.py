@@ -12,7 +12,7 @@ import pytest
 import tokenizers
 
 from cairn.llm import queries as Q
-from cairn.llm import packing, tokens, toxicity
+from cairn.llm import neighbours, packing, tokens, toxicity
 from cairn.llm.oracles import ORACLES
 
 
@@ -85,6 +85,26 @@ def test_neighbours(spark, sf):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.002])
+def test_neighbours_among_near_copies(spark, noise):
+    """A third of all rows are near copies of one vector, at cosines of about 0.98 and 0.9998 to each other."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4500, 64))
+    x[::3] = rng.standard_normal(64) + rng.standard_normal((1500, 64)) * noise * 8
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = neighbours.search(table, table.filter("vec_id % 51 = 0")).toPandas()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = total = 0
+    for i in range(0, len(x), 51):
+        sims = unit @ unit[i]
+        sims[i] = -9
+        best = np.lexsort((np.arange(len(x)), -sims))[:5]
+        hits, total = hits + len({*found.loc[found["query_id"] == i, "vec_id"]} & {*best}), total + 5
+    print("recall", noise, hits / total)
+    assert hits / total >= 0.9
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
