@@ -33,6 +33,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells its rows apart, in order of doc_id, nulls last.
+
+    That is ``doc_id`` itself if it is distinct and never null. Otherwise rows are numbered
+    in this order, those of one doc_id as they were read, and written with their numbers.
+    """
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return docs, "doc_id"
+    key = "_".join(["row_key", *(c for c in docs.columns if c.lower().startswith("row_key"))])
+    read = docs.withColumn(key, F.monotonically_increasing_id())
+    ordered = read.orderBy(F.asc_nulls_last("doc_id"), F.col(f"`{key}`"))
+    return written(ordered.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. Spark's ``lower`` does that in ASCII texts only."""
     plain = F.length(text) == F.octet_length(text)

@@ -14,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, row_keyed, written
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Buckets of the table of token counts; each has one of four levels of rarity.
@@ -166,15 +166,32 @@ def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     one, keep all their lines and take none from others: they have no place in the order.
     Columns named n_lines or n_removed are replaced. An empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     plain = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     lone = plain.join(plain.groupBy("doc_id").count().filter("count > 1"), "doc_id", "left_anti") if _repeats(plain) else plain
+    return _without(docs, matches(lone, k, num, den), "doc_id", docs.columns)
+
+
+def dedup_rows(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """As ``dedup_lines``, but every row takes part, whatever its doc_id.
+
+    Rows that repeat a doc_id are documents of their own, in the order in which they are
+    read; rows without one come last.
+    """
+    keyed, key = row_keyed(docs)
+    plain = keyed.filter("text is not null").select(F.col(f"`{key}`").alias("doc_id"), "text")
+    return _without(keyed, matches(plain, k, num, den), key, docs.columns)
+
+
+def _without(docs: DataFrame, lines: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The ``columns`` of ``docs`` without ``lines`` (doc_id, line_no), whose doc_id stands in column ``key``."""
+    kept = [c for c in columns if c.lower() not in ("n_lines", "n_removed")]
     # Names that no column of ``docs`` has.
     free = "_".join(["gone", *(c for c in kept if c.lower().startswith("gone"))])
-    found = matches(lone, k, num, den).groupBy(F.col("doc_id").alias(f"{free}_id")).agg(F.collect_list("line_no").alias(f"{free}_lines"))
+    found = lines.groupBy(F.col("doc_id").alias(f"{free}_id")).agg(F.collect_list("line_no").alias(f"{free}_lines"))
     # Texts are shuffled only if the lines that go are too many to be sent to them.
     found = _small(written(found, "gone"), f"{free}_lines")
-    joined = docs.select(*(F.col(f"`{c}`") for c in kept)).join(found, F.col("doc_id") == F.col(f"`{free}_id`"), "left")
+    held = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, key])))
+    joined = held.join(found, F.col(f"`{key}`") == F.col(f"`{free}_id`"), "left")
     gone = F.col(f"`{free}_lines`")
     all_lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone)

@@ -50,7 +50,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return lines.digest(lines.dedup_rows(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one. A document that loses all lines stays, empty."""
-    cleaned = lines.dedup_lines(docs.select(*COLUMNS))
+    cleaned = lines.dedup_rows(docs.select(*COLUMNS))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
 

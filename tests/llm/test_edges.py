@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import common, decontaminate, graphs, jaccard, lines, neighbours, packing, pii, repeats, sharding, tokens, toxicity
+from cairn.llm import common, decontaminate, graphs, jaccard, lines, neighbours, packing, pii, queries, repeats, sharding, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ("spans", "words", "n_words", "key", "n", "label", "slot", "shard", "piece", "start", "length", "row", "gone", "gone_id", "n_lines", "n_removed", "tokens", "toxic", "fold", "hit_id", "items")
@@ -71,6 +71,16 @@ def test_values_of_odd_rows(spark, odd, bench):
     assert decontaminate.report(odd, bench.limit(0)).filter("contaminated").isEmpty()
 
 
+def test_lines_of_rows_without_a_name_of_their_own(spark, tmp_path):
+    line, other, third = "the quick brown fox jumps over the lazy dog tonight", "seven other words that no one else has", "a third line that is held by two rows"
+    rows = [(None, f"{line}\n{third}"), (5, line), (6, f"{line}\n{other}"), (6, f"{other}\n{other}\nend"), (None, third), (7, None), (7, other), (8, "alone")]
+    spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row_key int").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["row_key"]: (r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_rows(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert got == {0: (None, third, 1), 1: (5, line, 0), 2: (6, other, 1), 3: (6, "end", 2), 4: (None, "", 1), 5: (7, None, 0), 6: (7, "", 1), 7: (8, "alone", 0)}
+    told = queries.op9_line_dedup(spark, str(tmp_path)).collect()
+    assert len(told) == len(rows) and sum(r["n_removed"] for r in told) == 6
+
+
 def test_scan_across_blocks(spark):
     rng, end = np.random.default_rng(3), 9
     flat = {f: np.where(rng.random(n) < 0.05, end, 1).astype("<u2") for f, n in ((0, 5003), (1, 0), (2, 64))}
