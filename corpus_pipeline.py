@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, jaccard, lines, packing, toxicity
-from cairn.llm.common import table, written
+from cairn.llm.common import row_keyed, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,17 +30,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one of the least doc_id; texts without words stay."""
-    groups = jaccard.near_duplicates(docs)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    return kept.select(*COLUMNS)
+    """One document of each group, the one of the least doc_id, nulls last, and of those the first read; texts without words stay."""
+    keyed, key = row_keyed(docs.select(*COLUMNS))
+    groups = jaccard.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"))
+    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with the benchmark, nor the whole of a shorter item."""
-    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    keyed, key = row_keyed(docs.select(*COLUMNS))
+    found = decontaminate.hits(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

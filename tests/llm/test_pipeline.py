@@ -72,6 +72,19 @@ def test_packing_holds_all(stages):
     assert after.groupby("sequence_id")["length"].sum().max() <= 2048
 
 
+def test_rows_without_a_name_of_their_own(spark, duck, sf):
+    item = max((t for (t,) in duck.execute("SELECT text FROM benchmark").fetchall() if t), key=len)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (None, a), (3, b), (3, b), (3, c), (2, ""), (None, b), (None, item), (4, item), (4, f"{c} more")]
+    docs = P.written(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), "test")
+
+    def told(out):
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    assert told(P.drop_near_copies(spark, docs, sf)) == sorted([(None, a), (3, b), (3, c), (2, ""), (4, item)], key=str)
+    assert told(P.drop_contaminated(spark, docs, sf)) == sorted([r for r in rows if r[1] != item], key=str)
+
+
 def test_empty_tables_pass_through(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
