@@ -35,7 +35,7 @@ def tab_sites(spark: SparkSession, path: str, agency: str, without: str) -> Data
 
 
 def placemarks(spark: SparkSession, path: str) -> DataFrame:
-    """Density, start, end and ring (lon lat pairs, closed) of the placemarks of KML files."""
+    """S12 in part: density and ring (lon lat pairs, closed) of the placemarks of KML files."""
     schema = "description string, styleUrl string, Polygon struct<outerBoundaryIs:struct<LinearRing:struct<coordinates:string>>>"
     rows = spark.read.schema(schema).option("rowTag", "Placemark").xml(path)
     density = F.coalesce(F.nullif(F.regexp_extract("description", r"(?i)density:\s*(\w+)", 1), F.lit("")), F.regexp_extract("styleUrl", r"(\w+)$", 1))
