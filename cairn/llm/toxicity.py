@@ -1,16 +1,21 @@
-"""Toxicity by class-conditional Kneser-Ney models of word pairs.
-
-Two bigram models, one of toxic and one of ordinary texts, are smoothed alike: counts are
-discounted, and what the discount frees goes to a lower order. The lowest order
-(how many words a word follows) and the weight of backing off are counted over both
-classes together, so an expression that training texts hardly hold says the same
-under either model and leaves the score alone. Texts are counted, not their words: a pair, or
-a word, counts once in a text, or else one text that repeats a word makes it a sign.
+"""Toxicity by class-conditional Kneser-Ney models of the characters of words.
+
+Two models, one of toxic and one of ordinary texts, predict each character of a word from
+those before it. Counts of a class are discounted; what the discount frees is spread by
+one shared model, whose continuation counts come from the text of all documents. Under
+either class the unseen is thus backed off alike, and a rare spelling that neither class
+knows says next to nothing, while one that starts as toxic words do is recognised.
+
+Most words of a toxic text are ordinary ones. The toxic likelihood of a word therefore mixes
+both models: a word is of the toxic model with probability ``SHARE``, else of the ordinary one.
+A text's two log-likelihoods are summed over its distinct words, and their difference is
+normalised by length: divided by the root of the number of words, as the noise in such a
+sum grows with that root.
 """
 
 from __future__ import annotations
 
-import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .hashing import MULTIPLIER, mixed, powers, prefixes
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Discounts of word and pair counts.
-WORD_DISCOUNT, PAIR_DISCOUNT = 3.0, 3.0
-#: Log-likelihood ratios (nats) up to this are taken for chance and count as 0.
-MARGIN = 1.5
-
-
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+#: Characters of a word, with the blank before it, that a character is predicted from.
+CONTEXT = 6
+#: Characters of the word before that predict a word's first two: they tell its language.
+BEFORE = 3
+#: Probability that a word of a toxic text is of the toxic model.
+SHARE = 0.01
+#: Characters of text that are looked up together.
+SLICE = 1 << 20
+#: Distinct events that a task holds before it hands them on.
+HELD = 1 << 20
 
 
 def fold(doc_id: Column) -> Column:
@@ -36,17 +43,237 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)).cast("int")
 
 
+def events(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(event, word, text) for about SLICE characters of texts at a time.
+
+    An event is a character with its context, packed into a long: how many there are in the
+    highest byte, the character itself in the lowest. A character is one byte: its code
+    point, or beyond 255 one of 128 that it shares with others. ``word`` has the place of each event's
+    word in ``text``, which has the number of each word's text. A word counts once in a text.
+    """
+    chunks: list[str] = []
+    owner: list[int] = []
+    size = 0
+    for number, text in enumerate(texts):
+        for piece in _pieces((text or "").lower()):
+            chunks.append(piece)
+            owner.append(number)
+            size += len(piece)
+            if size >= SLICE:
+                yield _events(chunks, owner)
+                chunks, owner, size = [], [], 0
+    if chunks:
+        yield _events(chunks, owner)
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """The text in pieces of at most SLICE characters, cut at blanks if there are any."""
+    at = 0
+    while len(text) - at > SLICE:
+        cut = text.rfind(" ", at, at + SLICE) + 1 or at + SLICE
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+_LETTERS: list[np.ndarray] = []
+
+
+def _letters() -> np.ndarray:
+    """Of each code point whether words consist of it: letters, and numbers that are no decimal digits."""
+    if not _LETTERS:
+        _LETTERS.append(np.array([c.isalnum() and not c.isdecimal() for c in map(chr, range(sys.maxunicode + 1))]))
+    return _LETTERS[0]
+
+
+def _events(chunks: list[str], owner: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    points = np.frombuffer("".join(f"\n{c}\n" for c in chunks).encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _letters()[points]
+    opens = np.zeros(len(points), bool)
+    opens[np.cumsum([0, *(len(c) + 2 for c in chunks[:-1])])] = True
+    # One blank opens a text, one stands behind each word.
+    keep = letter | opens
+    keep[1:] |= letter[:-1]
+    data = np.where(letter, np.where(points < 256, points, 128 + points % 128), 32).astype(np.uint8)[keep]
+    opens = opens[keep]
+    first = np.flatnonzero(opens)
+    end = np.flatnonzero(data == 32)
+    start = np.append(0, end[:-1] + 1)[~opens[end]]
+    end = end[~opens[end]] + 1
+    chunk = np.searchsorted(first, start, "right") - 1
+    sums = prefixes(data)
+    reach = np.maximum(start - 1 - BEFORE, first[chunk])
+    name = mixed((sums[end] - sums[reach]) * powers(len(sums), inverse=True)[reach] + (end - reach).astype(np.uint64))
+    text = np.array(owner)[chunk]
+    once = np.sort(np.unique(mixed(name + text.astype(np.uint64) * MULTIPLIER), return_index=True)[1])
+    start, end, reach, text = start[once], end[once], reach[once], text[once]
+    count = end - start
+    word = np.repeat(np.arange(len(start)), count)
+    at = np.arange(len(word)) + np.repeat(start - (np.cumsum(count) - count), count)
+    far = np.where(at - start[word] < 2, reach[word], np.maximum(start[word] - 1, at - CONTEXT))
+    held = at - far
+    event = np.zeros(len(at), np.int64)
+    for back in range(CONTEXT, -1, -1):
+        event = np.where(held >= back, (event << 8) | data[np.maximum(at - back, 0)], event)
+    return event | ((held + 1) << 56), word, text
+
+
+def context_of(event: Column) -> Column:
+    """An event without its character."""
+    size = F.shiftright(event, 56)
+    return F.shiftleft(size - 1, 56).bitwiseOR(F.shiftright(event, 8).bitwiseAND((1 << 48) - 1))
+
+
+def shorter(event: Column) -> Column:
+    """An event without the first character of its context."""
+    size = F.shiftright(event, 56)
+    rest = F.call_function("shiftleft", F.lit(1).cast("long"), ((size - 1) * 8).cast("int")) - 1
+    return F.shiftleft(size - 1, 56).bitwiseOR(event.bitwiseAND(rest))
+
+
+def _suffixes(event: Column, least: int) -> Column:
+    """The event without the first ``least`` characters of its context, without one more, and so on to none."""
+    size = F.shiftright(event, 56).cast("int")
+
+    def cut(keep: Column) -> Column:
+        rest = F.call_function("shiftleft", F.lit(1).cast("long"), keep * 8) - 1
+        return F.shiftleft(keep.cast("long"), 56).bitwiseOR(event.bitwiseAND(rest))
+
+    return F.transform(F.sequence(size - least, F.lit(1), F.lit(-1)), cut)
+
+
+def shared_events(docs: DataFrame) -> DataFrame:
+    """(event): the distinct events of all texts."""
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for event, _, _ in events(batch["text"].tolist()):
+                held.append(np.unique(event))
+                size += len(held[-1])
+                if size >= HELD:
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0])
+                    if size >= HELD // 2:
+                        yield pd.DataFrame({"event": held[0]})
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame({"event": np.unique(np.concatenate(held))})
+
+    return docs.select("text").mapInPandas(seen, "event long").distinct()
+
+
+def class_counts(rows: DataFrame) -> DataFrame:
+    """(event, n0, n1): in how many words of ordinary and of toxic texts. ``rows``: (text, toxic); copies count once in a class."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            toxic = batch["toxic"].to_numpy()
+            for event, word, text in events(batch["text"].tolist()):
+                value, place = np.unique(event, return_inverse=True)
+                of = toxic[text[word]] == 1
+                both = np.bincount(place, minlength=len(value))
+                one = np.bincount(place, weights=of, minlength=len(value)).astype(np.int64)
+                yield pd.DataFrame({"event": value, "n0": both - one, "n1": one})
+
+    once = rows.groupBy("toxic", F.xxhash64("text")).agg(F.first("text").alias("text")).select("toxic", "text")
+    return once.mapInPandas(counted, "event long, n0 long, n1 long").groupBy("event").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _discount(ones: int | None, twos: int | None) -> float:
+    """Of Kneser and Ney, by how many events are counted once and twice."""
+    return min(max(ones / (ones + 2 * (twos or 0)), 0.1), 0.95) if ones else 0.5
+
+
+def backoff(everything: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(event, low): the shared model's probability of each wanted event with the first character of its context left out.
+
+    ``everything``: (event), all events of the corpus. Interpolated Kneser-Ney on how many
+    distinct characters stand before a string; below the empty context all are alike.
+    """
+    every = everything.select(F.explode(_suffixes(F.col("event"), 0)).alias("event")).distinct()
+    follows = written(every.filter(F.shiftright("event", 56) > 1).groupBy(shorter(F.col("event")).alias("event")).agg(F.count("*").alias("c")), "follows")
+    ones = follows.filter("c <= 2").groupBy(F.shiftright("event", 56).alias("size"), "c").count().collect()
+    seen = {(r["size"], r["c"]): r["count"] for r in ones}
+    discount = F.element_at(F.create_map(*(F.lit(x) for size in range(1, CONTEXT + 1) for x in (size, _discount(seen.get((size, 1)), seen.get((size, 2)))))), F.shiftright("event", 56).cast("int"))
+    contexts = follows.groupBy(context_of(F.col("event")).alias("context")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+    told = follows.join(contexts, context_of(follows["event"]) == contexts["context"]).select(
+        F.col("event").alias("suffix"),
+        (F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("total")).alias("own"),
+        (discount * F.col("kinds") / F.col("total")).alias("rest"),
+    )
+    each = wanted.select("event", F.explode(_suffixes(F.col("event"), 1)).alias("suffix")).join(told, "suffix")
+    size = F.shiftright("suffix", 56)
+    of = range(1, CONTEXT + 1)
+    steps = each.groupBy("event").agg(*(F.max(F.when(size == k, F.col(c))).alias(f"{c}{k}") for k in of for c in ("own", "rest")))
+    low = F.lit(1 / 256)
+    for k in of:
+        low = F.coalesce(F.col(f"own{k}") + F.col(f"rest{k}") * low, low)
+    return steps.select("event", low.alias("low"))
+
+
+def ratios(rows: DataFrame, everything: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(events, their log-likelihood ratios, contexts, ratios of any other character there); None without both classes.
+
+    ``rows``: (text, toxic), bounded; ``everything``: (event) of all documents. An event that
+    neither class has is backed off to the same shared probability, which cancels: what is
+    left is the ratio of the two weights of backing off.
+    """
+    counts = written(class_counts(rows), "counts")
+    sums = counts.agg(*(F.sum((F.col(f"n{c}") == k).cast("long")).alias(f"c{c}{k}") for c in (0, 1) for k in (1, 2)), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    if not sums["n0"] or not sums["n1"]:
+        return None
+    d = [_discount(sums[f"c{c}1"], sums[f"c{c}2"]) for c in (0, 1)]
+    contexts = counts.groupBy(context_of(F.col("event")).alias("context")).agg(
+        *(F.sum(f"n{c}").alias(f"total{c}") for c in (0, 1)), *(F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"kinds{c}") for c in (0, 1))
+    )
+    contexts = written(contexts, "contexts")
+    weight = [F.when(F.col(f"total{c}") > 0, d[c] * F.col(f"kinds{c}") / F.col(f"total{c}")).otherwise(1.0) for c in (0, 1)]
+    joined = counts.withColumn("context", context_of(F.col("event"))).join(contexts, "context").join(backoff(everything, counts), "event")
+    p = [F.when(F.col(f"total{c}") > 0, F.greatest(F.col(f"n{c}") - d[c], F.lit(0.0)) / F.col(f"total{c}")).otherwise(0.0) + weight[c] * F.col("low") for c in (0, 1)]
+    one = joined.select("event", (F.log(p[1]) - F.log(p[0])).alias("ratio")).toArrow()
+    two = contexts.select("context", (F.log(weight[1]) - F.log(weight[0])).alias("ratio")).toArrow()
+    found = []
+    for table in (one, two):
+        name, ratio = (table.column(i).to_numpy() for i in (0, 1))
+        order = np.argsort(name)
+        found += [name[order], ratio[order]]
+    return tuple(found)
+
+
+def strengths(tables: tuple[np.ndarray, ...] | None, texts: list[str | None]) -> np.ndarray:
+    """Of each text the length-normalised difference of its two log-likelihoods; 0 for a text without words."""
+    total, words = np.zeros(len(texts)), np.zeros(len(texts))
+    if tables is None:
+        return total
+    names, ratios_, contexts, rests = tables
+    for event, word, text in events(texts):
+        at = np.minimum(np.searchsorted(names, event), len(names) - 1)
+        known = names[at] == event
+        ratio = np.where(known, ratios_[at], 0.0)
+        new = event[~known]
+        new = (((new >> 56) - 1) << 56) | ((new >> 8) & ((1 << 48) - 1))
+        at = np.minimum(np.searchsorted(contexts, new), len(contexts) - 1)
+        ratio[~known] = np.where(contexts[at] == new, rests[at], 0.0)
+        each = np.bincount(word, weights=ratio, minlength=len(text))
+        total += np.bincount(text, weights=np.log1p(SHARE * np.expm1(np.minimum(each, 50.0))), minlength=len(texts))
+        words += np.bincount(text, minlength=len(texts))
+    return total / np.sqrt(np.maximum(words, 1))
+
+
 class Model:
-    """Ratios that pass the margin, and the calibration: score = sigmoid(bias + weight * z)."""
+    """Tables of ratios and the calibration: score = sigmoid(bias + weight * strength)."""
 
-    def __init__(self, ratios: dict, bias: float = 0.0, weight: float = 1.0):
-        self.ratios, self.bias, self.weight = ratios, bias, weight
+    def __init__(self, tables: tuple[np.ndarray, ...] | None, bias: float = 0.0, weight: float = 1.0):
+        self.tables, self.bias, self.weight = tables, bias, weight
 
     def strength(self, text: str | None) -> float:
-        """Sum of the ratios of a text's distinct pairs over the root of their number."""
-        words = words_of(text)
-        get, pairs = self.ratios.get, set(zip(["", *words], words, strict=False))
-        return sum(get(p[1], 0.0) if (r := get(p)) is None else r for p in pairs) / np.sqrt(len(pairs) + 1)
+        return float(strengths(self.tables, [text])[0])
+
+    def plain(self) -> tuple:
+        """What goes to the tasks: arrays and numbers, no class of this package."""
+        return self.tables, self.bias, self.weight
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int) -> DataFrame:
@@ -65,83 +292,49 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int) -> Da
     return docs.select("doc_id", "text").join(bounded, "doc_id").dropDuplicates(["doc_id"])
 
 
-def ratios(rows: DataFrame) -> dict:
-    """Log-likelihood ratios of words and pairs (context, word) that pass the margin. ``rows``: (text, toxic)."""
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                some = batch.iloc[at : at + 200]
-                cut = [words_of(t) for t in some["text"]]
-                pairs = [sorted(set(zip(["", *w], w, strict=False))) for w in cut]
-                yield pd.DataFrame({"toxic": some["toxic"], "before": [[v for v, _ in p] for p in pairs], "words": [[w for _, w in p] for p in pairs], "own": [sorted(set(w)) for w in cut]})
-
-    # Copies of a text count once in a class.
-    once = rows.groupBy("toxic", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    cut = once.select("toxic", "text").mapInPandas(counted, "toxic int, before array<string>, words array<string>, own array<string>")
-    cut = written(cut, "cut")
-    flat = cut.select("toxic", F.explode(F.arrays_zip("before", "words")).alias("p")).select("toxic", F.col("p.before").alias("v"), F.col("p.words").alias("w"))
-    pair = flat.groupBy("v", "w").agg(*(F.sum((F.col("toxic") == c).cast("long")).alias(f"n{c}") for c in (0, 1)))
-    pair = written(pair, "pairs")
-    own = cut.select("toxic", F.explode("own").alias("w"))
-    word = own.groupBy("w").agg(*(F.sum((F.col("toxic") == c).cast("long")).alias(f"m{c}") for c in (0, 1)))
-    word = written(word.join(pair.groupBy("w").agg(F.count("*").alias("follows")), "w"), "words")
-    low = [F.least(F.col(f"m{c}"), F.lit(WORD_DISCOUNT)) for c in (0, 1)]
-    sums = word.agg(F.sum("follows").alias("f"), F.sum("m0").alias("n0"), F.sum("m1").alias("n1"), F.sum(low[0]).alias("d0"), F.sum(low[1]).alias("d1")).first()
-    if not sums["n0"] or not sums["n1"]:
-        return {}
-    p = [
-        F.greatest(F.col(f"m{c}") - WORD_DISCOUNT, F.lit(0.0)) / sums[f"n{c}"] + sums[f"d{c}"] / sums[f"n{c}"] * F.col("follows") / sums["f"]
-        for c in (0, 1)
-    ]
-    word = word.select("w", p[0].alias("p0"), p[1].alias("p1")).withColumn("r", F.log("p1") - F.log("p0"))
-
-    left = [F.greatest(F.col(f"n{c}") - PAIR_DISCOUNT, F.lit(0.0)) for c in (0, 1)]
-    context = pair.groupBy("v").agg(F.sum(left[0]).alias("z0"), F.sum(left[1]).alias("z1"), F.sum(F.col("n0") + F.col("n1")).alias("n"))
-    context = context.withColumn("back", 1 - (F.col("z0") + F.col("z1")) / F.col("n"))
-    seen = pair.filter((F.col("n0") > PAIR_DISCOUNT) | (F.col("n1") > PAIR_DISCOUNT)).join(context.drop("n"), "v").join(word, "w")
-    q = [
-        F.when(F.col(f"z{c}") > 0, (1 - F.col("back")) * left[c] / F.col(f"z{c}") + F.col("back") * F.col(f"p{c}")).otherwise(F.col(f"p{c}"))
-        for c in (0, 1)
-    ]
-    seen = seen.select("v", "w", F.col("r").alias("word_r"), (F.log(q[1]) - F.log(q[0])).alias("r"))
-    told = lambda r: F.when(F.col(r) > MARGIN, F.col(r)).otherwise(0.0)
-    words = word.filter(F.col("r") > MARGIN).select("w", "r").toPandas()
-    pairs_ = seen.select("v", "w", told("word_r").alias("word_r"), told("r").alias("r")).filter("word_r > 0 or r > 0").select("v", "w", "r").toPandas()
-    found: dict = dict(zip(words["w"], words["r"], strict=True))
-    found.update({(v, w): r for v, w, r in pairs_.itertuples(index=False)})
-    return found
-
-
 def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of y on z by Newton's method, with a slight pull to 0."""
+    """Logistic regression of y on z by damped Newton steps, with a slight pull to 0, so that separable classes do no harm."""
     x = np.column_stack((np.ones(len(z)), z))
-    beta, pull = np.zeros(2), np.diag([1e-3, 1e-3])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ beta))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + pull, x.T @ (y - p) - pull @ beta)
+    beta, pull = np.zeros(2), 1e-3
+
+    def loss(b: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ b).sum() - y @ (x @ b) + pull * b @ b / 2)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + pull * np.eye(2), x.T @ (y - p) - pull * beta)
+        while np.abs(step).max() > 1e-9 and loss(beta + step) > loss(beta):
+            step /= 2
         beta += step
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() <= 1e-9:
             break
     return float(beta[0]), float(beta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 4000) -> Model:
     """A model from about ``rows_per_class`` labelled rows of either class at most, so its size is bounded.
 
-    Folds 1 to 3 give the counts, fold 4 the calibration. Without labels of both
-    classes the model knows nothing and scores every text by the labels' share.
+    Folds 1 to 3 give the counts of the classes, fold 4 the calibration; what both classes
+    back off to is counted over all ``docs``. Without labels of both classes the model knows
+    nothing, and every text scores next to 0. If only fold 4 lacks a class, scores start
+    from the share of toxic labels.
     """
     rows = written(training_rows(docs, labels, rows_per_class), "labelled")
-    model = Model(ratios(rows.filter("fold < 4")))
+    tables = ratios(rows.filter("fold < 4"), written(shared_events(docs), "events"))
+    if tables is None:
+        return Model(None, -50.0)
+    known = docs.sparkSession.sparkContext.broadcast(tables)
 
-    def strengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"z": [model.strength(t) for t in batch["text"]], "y": batch["toxic"]})
+            yield pd.DataFrame({"z": strengths(known.value, batch["text"].tolist()), "y": batch["toxic"]})
 
-    seen = rows.filter("fold = 4").select("text", "toxic").mapInPandas(strengths, "z double, y int").toPandas()
-    model.bias, model.weight = _calibrated(seen["z"].to_numpy(float), seen["y"].to_numpy(float))
-    return model
+    seen = rows.filter("fold = 4").select("text", "toxic").mapInPandas(judged, "z double, y int").toPandas()
+    y = seen["y"].to_numpy(float)
+    if not 0 < y.sum() < len(y):
+        share = rows.agg(F.avg("toxic")).first()[0]
+        return Model(tables, float(np.log(share / (1 - share))))
+    return Model(tables, *_calibrated(seen["z"].to_numpy(float), y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -151,13 +344,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     score of no evidence. Repeated rows score alike; a null doc_id is held out by
     the CRC of nothing (false); other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        tables, bias, weight = shared.value
         for batch in batches:
-            z = np.array([known.strength(t) for t in batch["text"]], float)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-(known.bias + known.weight * z)))})
+            z = bias + weight * strengths(tables, batch["text"].tolist())
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-z))})
 
     scored = docs.select("doc_id", "text").mapInPandas(judge, "doc_id long, score double")
     return scored.select(
@@ -170,12 +363,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """``docs``, all columns, without the rows whose text scores 0.5 or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        tables, bias, weight = shared.value
         for batch in batches:
-            z = np.array([known.strength(t) for t in batch["text"]], float)
-            yield batch[known.bias + known.weight * z < 0]
+            yield batch[bias + weight * strengths(tables, batch["text"].tolist()) < 0]
 
     return docs.mapInPandas(keep, docs.schema)

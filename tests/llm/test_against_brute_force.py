@@ -213,7 +213,85 @@ def test_suffix_dedup(spark, sf, docs):
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
 
 
-def test_toxicity_ratio_is_shared_for_unseen_pairs(spark):
-    rows = spark.createDataFrame([(f"calm words here number {i % 7}", 0) for i in range(40)] + [(f"vile insult number {i % 7}", 1) for i in range(40)], "text string, toxic int")
-    model = toxicity.Model(toxicity.ratios(rows))
-    assert model.strength("vile insult") > 0 == model.strength("calm words here") == model.strength("never seen before") == model.strength(None)
+def _told(text):
+    """(context, character) of each distinct word of a text, as strings."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    for before, word in {(b[-3:], w) for b, w in zip(["", *words], words)}:
+        line = f"{before} {word} "
+        for i in range(len(before) + 1, len(line)):
+            p = i - len(before) - 1
+            yield line[0 if p < 2 else max(len(before), i - 6) : i], line[i]
+
+
+def test_toxicity_against_plain_kneser_ney(spark):
+    rng = np.random.default_rng(1)
+    words = ["calm", "river", "blue", "stone", "walk", "évening", "thé", "walking"]
+    rows = [(" ".join(rng.choice(words, 9)) + (f" vile{rng.choice(list('abcdef'))}x" if i % 2 else ""), i % 2) for i in range(60)]
+    others = [" ".join(rng.choice([*words, "other", "vines"], 12)) for _ in range(40)] + [None, "", "12 !"]
+    docs = spark.createDataFrame([(t,) for t, _ in rows] + [(t,) for t in others], "text string")
+    tables = toxicity.ratios(spark.createDataFrame(rows, "text string, toxic int"), toxicity.shared_events(docs))
+
+    def discount(counts):
+        one, two = (sum(c == k for c in counts) for k in (1, 2))
+        return min(max(one / (one + 2 * two), 0.1), 0.95) if one else 0.5
+
+    every = {(h[i:], x) for t in [t for t, _ in rows] + others for h, x in _told(t) for i in range(len(h) + 1)}
+    follows = defaultdict(int)
+    for h, x in every:
+        if h:
+            follows[h[1:], x] += 1
+    spare = [discount([c for (h, _), c in follows.items() if len(h) == n]) for n in range(6)]
+
+    def low(h, x):
+        held = {y: c for (g, y), c in follows.items() if g == h}
+        d, rest = spare[len(h)], low(h[1:], x) if h else 1 / 256
+        return (max(held.get(x, 0) - d, 0) + d * len(held) * rest) / sum(held.values())
+
+    counts = [defaultdict(int), defaultdict(int)]
+    for text, toxic in dict.fromkeys(rows):
+        for e in _told(text):
+            counts[toxic][e] += 1
+
+    def weighed(c, h, x):
+        held = {y: n for (g, y), n in counts[c].items() if g == h}
+        if not held:
+            return low(h[1:], x)
+        d, total = discount(list(counts[c].values())), sum(held.values())
+        return (max(held.get(x, 0) - d, 0) + d * len(held) * low(h[1:], x)) / total
+
+    def packed(line):
+        return len(line) << 56 | int.from_bytes(line.encode("latin-1"), "big")
+
+    found = dict(zip(tables[0].tolist(), tables[1].tolist()))
+    known = {*counts[0], *counts[1]}
+    assert found.keys() == {packed(h + x) for h, x in known}
+    for h, x in known:
+        assert abs(found[packed(h + x)] - np.log(weighed(1, h, x) / weighed(0, h, x))) < 1e-9
+    model = toxicity.Model(tables)
+    texts = ["vilezx calm", "calm river", "never seen before", "Walk, walk; VILEAX", "", None]
+    for text, got in zip(texts, toxicity.strengths(tables, texts)):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        seen = {(b[-3:], w) for b, w in zip(["", *words], words)}
+        ratio = [sum(np.log(weighed(1, h, x) / weighed(0, h, x)) if (h, x) in known else _rest(tables, packed(h)) for h, x in _events(b, w)) for b, w in seen]
+        want = sum(np.log1p(0.01 * np.expm1(r)) for r in ratio) / np.sqrt(max(len(seen), 1))
+        assert abs(got - want) < 1e-9 and abs(model.strength(text) - got) < 1e-12
+
+
+def _events(before, word):
+    line = f"{before} {word} "
+    for i in range(len(before) + 1, len(line)):
+        p = i - len(before) - 1
+        yield line[0 if p < 2 else max(len(before), i - 6) : i], line[i]
+
+
+def _rest(tables, context):
+    """The ratio of a character that neither class has in a context: what is shared cancels."""
+    return dict(zip(tables[2].tolist(), tables[3].tolist())).get(context, 0.0)
+
+
+def test_toxicity_without_labels_of_both_classes(spark):
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(20)] + [(None, None)], "doc_id long, text string")
+    for labels in ([], [(i, 1, 1) for i in range(20)], [(i, 1, 0) for i in range(20)]):
+        model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert {r["predicted"] for r in toxicity.score(docs, model).collect()} == {0}
+        assert toxicity.reject(docs, model).count() == 21
