@@ -1,25 +1,34 @@
 """Exact Jaccard join of documents on word shingles: T-occurrence search with short and long lists.
 
-Two sets with a Jaccard similarity of at least t share so many of their rarest
-shingles that it is enough to merge the short inverted lists of those and to probe the
-rest only for pairs that meet often enough there. In order:
+Every document is a query against the inverted lists of all others. A partner within the
+threshold must occur in at least T of the lists of the query's shingles. As in DivideSkip, T is
+met in two parts: the short lists (of the query's rarest shingles) are merged by a heap, and who
+occurs in too few of them is left out, whatever the L long lists hold; the long lists are
+probed by binary search for the few candidates that remain. In order:
 
 1. Documents with equal sets are one class.
 2. Shingles that many classes have are counted; they come last in the order of rarity.
-3. A class puts its rarest shingles, ``slack`` more than needed for one meeting, into
-   inverted lists. A pair within t meets in at least ``1 + slack`` of them.
+3. A class posts its rarest shingles, ``slack`` more than needed for one meeting, in the short
+   lists. A pair within the threshold meets in at least ``1 + slack`` of them. Lists are cut into
+   blocks of ``BLOCK`` members, so no task holds a long one.
 4. Classes that meet often are compared first, so that large groups become one
    component before pairs are listed.
-5. Meetings of classes of different components are counted; pairs that meet often
-   enough are compared by binary search of one sorted set in the other.
+5. For each class the short lists that it stands in are merged by a heap, members of its own
+   component left out. Those that occur often enough are candidates.
+6. That a candidate stands in the long list of a shingle is the same as that the shingle stands in the
+   candidate's sorted set: there it is looked for by binary search, for groups of
+   classes at once, each set sent once to a group.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +36,25 @@ from .common import written
 from .graphs import components
 from .hashing import mixed, shingle_sets
 
-#: Bits of a shingle's hash that choose its bucket; 24 more tell it from others there. What
-#: is taken for one shingle by mistake makes a list longer, never a link.
-BUCKET_BITS = 12
-#: Sizes in lists go up to this; pairs of larger sets pass the filters by size and are compared.
-LARGEST = 65_535
+#: Shingles of all documents in one bucket of the count of frequent ones, and buckets at least (as a power of 2).
+BUCKET_SHINGLES, LEAST_BITS = 1_000_000, 8
 #: Classes that make a shingle frequent.
 FREQUENT = 40
 #: Frequent shingles that are broadcast at most (8 bytes each). If more are frequent, those of most classes.
 BROADCAST_SHINGLES = 4_000_000
 #: Rows of ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
+#: Members of a block of a list; blocks of longer lists are paired with each other.
+BLOCK = 1024
+#: Classes on either side that are compared together.
+SIDE = 64
 #: Pairs listed per entry of the lists before another round of stars is tried instead.
 PAIRS_PER_ENTRY = 8
 STAR_ROUNDS = 4
+#: Of a set's shingles one in so many must be shared in the short lists beyond the first meeting.
+SLACK = 40
+#: Texts that are shingled together, and their bytes; entries that a task holds before it hands them on.
+TEXTS, BYTES, HELD = 256, 1 << 19, 200_000
 
 
 def _set_key(s: np.ndarray) -> np.int64:
@@ -48,38 +62,30 @@ def _set_key(s: np.ndarray) -> np.int64:
     return mixed(np.array([mixed(s).sum(dtype=np.uint64) + np.uint64(len(s))])).view(np.int64)[0]
 
 
-#: Of a set's shingles one in so many must be shared in the lists beyond the first meeting.
-SLACK = 40
-#: Pairs that a task holds before it counts them.
-HELD_PAIRS = 400_000
+def _number(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket (``bits``) and 24 more bits of shingles. Shingles that share them only pass for more frequent than they are."""
+    return (hashes >> np.uint64(40 - bits)).astype(np.int64)
 
 
 def _slack(n: np.ndarray | int):
-    """Shingles beyond the first meeting that a set of n must share in the lists."""
+    """Shingles beyond the first meeting that a set of n must share in the short lists."""
     return n // SLACK
 
 
-def _bucketed(hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted hashes."""
-    buckets = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]))
-    return ((int(buckets[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
-
-
-def _short(hashes: np.ndarray) -> bytes:
-    """The 24 bits after the bucket's, three bytes each."""
-    return (hashes >> np.uint64(40 - BUCKET_BITS)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def _shingled(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of a few rows with the shingle sets of their texts: a batch's sets are never held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            some = batch.slice(at, TEXTS)
+            yield some, list(shingle_sets(some.column("text").to_pylist(), k, BYTES))
 
 
-def _number(hashes: np.ndarray) -> np.ndarray:
-    """Bucket and 24 bits in one number."""
-    return (hashes >> np.uint64(40 - BUCKET_BITS)).astype(np.int64)
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
-def _long(parts: list[bytes]) -> np.ndarray:
-    """What ``_short`` gave, as numbers."""
-    data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 3)
-    return np.column_stack((data, np.zeros(len(data), np.uint8))).view("<u4").ravel()
+def _list_array(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
 
 
 class _Sets:
@@ -88,53 +94,73 @@ class _Sets:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int):
         self.docs, self.k, self.num, self.den = docs.select("doc_id", "text"), k, num, den
         self.spark = docs.sparkSession
+        self.bits = LEAST_BITS
 
     def classes(self) -> DataFrame:
         """(doc_id, n, key)"""
         k = self.k
 
-        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                sets = list(shingle_sets(batch["text"].tolist(), k))
-                out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "key": [_set_key(s) for s in sets]})
-                yield out
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some, sets in _shingled(batches, k):
+                n, key = np.array([len(s) for s in sets], np.int32), np.array([_set_key(s) for s in sets], np.int64)
+                yield _batch(doc_id=some.column("doc_id").cast("int64"), n=n, key=key)
 
-        return self.docs.mapInPandas(find, "doc_id long, n int, key long")
+        return self.docs.mapInArrow(find, "doc_id long, n int, key long")
 
     def frequent(self) -> DataFrame:
-        """(shingle, classes) of those that at least FREQUENT classes have; copies in other partitions count again."""
-        k = self.k
-
-        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(shingle, classes) of the numbers that at least FREQUENT classes have; copies in other partitions count again."""
+        k, bits = self.k, self.bits
+
+        def three(numbers: np.ndarray) -> bytes:
+            return numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+        def whole(parts: list[bytes]) -> np.ndarray:
+            data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 3)
+            return np.column_stack((data, np.zeros(len(data), np.uint8))).view("<u4").ravel().astype(np.int64)
+
+        def chunk(sets: list[np.ndarray]) -> pa.RecordBatch:
+            value, count = np.unique(_number(np.concatenate(sets), bits), return_counts=True)
+            opens = np.flatnonzero(np.append(True, np.diff(value >> 24) > 0))
+            rows = []
+            for i, j in zip(opens.tolist(), [*opens[1:].tolist(), len(value)], strict=True):
+                v, c = value[i:j], count[i:j]
+                again = c > 1
+                rows.append((int(v[0] >> 24), three(v[~again]), three(v[again]), c[again].astype("<u4").tobytes()))
+            bucket, *data = zip(*rows, strict=True)
+            return _batch(bucket=np.array(bucket, np.int32), **dict(zip(("once", "again", "counts"), (pa.array(x, pa.binary()) for x in data), strict=True)))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set = set()
-            for batch in batches:
-                fresh = []
-                for s in shingle_sets(batch["text"].tolist(), k):
+            held: list[np.ndarray] = []
+            size = 0
+            for _, sets in _shingled(batches, k):
+                for s in sets:
                     key = _set_key(s)
-                    if key not in seen:
+                    if len(s) and key not in seen:
                         seen.add(key)
-                        fresh.append(s)
-                    if len(fresh) >= 2048:
-                        yield chunk(fresh)
-                        fresh = []
-                if fresh:
-                    yield chunk(fresh)
-
-        def chunk(sets: list[np.ndarray]) -> pd.DataFrame:
-            every = np.sort(np.concatenate(sets))
-            return pd.DataFrame([(b, _short(every[i:j])) for b, i, j in _bucketed(every)], columns=["bucket", "data"])
-
-        def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for bucket, data in _by_bucket(batches, ["data"]):
-                value, n = np.unique(_long(data["data"]), return_counts=True)
-                keep = n >= FREQUENT
-                yield pd.DataFrame({"shingle": (value[keep].astype(np.int64) | (bucket << 24)), "classes": n[keep].astype(np.int64)})
-
-        dealt = self.docs.mapInPandas(deal, "bucket int, data binary")
-        return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(tally, "shingle long, classes long")
+                        held.append(s)
+                        size += len(s)
+                if size >= 5 * HELD:
+                    yield chunk(held)
+                    held, size = [], 0
+            if held:
+                yield chunk(held)
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for bucket, own in groupby(rows, key=lambda row: row[0]):
+                _, once, again, counts = zip(*own, strict=True)
+                once, again = whole(list(once)), whole(list(again))
+                weight = np.concatenate((np.ones(len(once), np.int64), np.frombuffer(b"".join(counts), "<u4").astype(np.int64)))
+                value, place = np.unique(np.concatenate((once, again)), return_inverse=True)
+                n = np.bincount(place, weights=weight, minlength=len(value)).astype(np.int64)
+                yield _batch(shingle=value[n >= FREQUENT] | (bucket << 24), classes=n[n >= FREQUENT])
+
+        dealt = self.docs.mapInArrow(deal, "bucket int, once binary, again binary, counts binary")
+        return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tally, "shingle long, classes long")
 
     def common(self) -> np.ndarray:
-        """Sorted 42-bit hashes of the most frequent shingles, no more than may be broadcast."""
+        """Sorted numbers of the most frequent shingles, no more than may be broadcast."""
         table = written(self.frequent(), "frequent")
         most = table.groupBy("classes").count().orderBy(F.desc("classes")).limit(100_000).collect()
         least, room = None, BROADCAST_SHINGLES
@@ -145,114 +171,153 @@ class _Sets:
             least = row["classes"]
         if least is None:
             return np.zeros(0, np.int64)
-        return np.sort(table.filter(F.col("classes") >= least).select("shingle").toPandas()["shingle"].to_numpy(np.int64))
+        return np.sort(table.filter(F.col("classes") >= least).select("shingle").toArrow().column("shingle").to_numpy())
 
-    def lists(self) -> DataFrame:
-        """(list, keys, sizes, places): the inverted lists of rare shingles that two classes or more have, keys ascending.
+    def lists(self, shingles: int) -> DataFrame:
+        """(list, block, keys, sizes, places): the short lists that two classes or more stand in, cut into blocks, keys ascending.
 
-        A place is the shingle's in its class's order of rarity, from 0.
+        A place is the shingle's in its class's order of rarity, from 0. ``shingles``: how many
+        all documents have together; it sets the number of buckets in which they are counted.
         """
-        k, num, den = self.k, self.num, self.den
+        self.bits = min(max(LEAST_BITS, (shingles // BUCKET_SHINGLES).bit_length()), 30)
+        k, num, den, bits = self.k, self.num, self.den, self.bits
         common = self.spark.sparkContext.broadcast(self.common())
 
         def rarest(s: np.ndarray) -> np.ndarray:
             n = len(s)
             want = min(n, n - -(-num * n // den) + 1 + _slack(n))
-            have, number = common.value, _number(s)
+            have, numbers = common.value, _number(s, bits)
             if len(have):
-                at = np.minimum(np.searchsorted(have, number), len(have) - 1)
-                often = have[at] == number
+                at = np.minimum(np.searchsorted(have, numbers), len(have) - 1)
+                often = have[at] == numbers
                 if often[:want].any():
                     s = np.concatenate((s[~often], s[often]))
             return s[:want]
 
-        def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set = set()
-            for batch in batches:
-                sets, keys, sizes = [], [], []
-                for s in shingle_sets(batch["text"].tolist(), k):
+            for _, sets in _shingled(batches, k):
+                rare, keys, sizes = [], [], []
+                for s in sets:
                     key = _set_key(s)
                     if len(s) and key not in seen:
                         seen.add(key)
-                        sets.append(rarest(s))
+                        rare.append(rarest(s))
                         keys.append(key)
                         sizes.append(len(s))
-                if not sets:
-                    continue
-                counts = [len(s) for s in sets]
-                hashes = np.concatenate(sets)
-                order = np.argsort(hashes, kind="stable")
-                hashes, key, size = hashes[order], np.repeat(keys, counts)[order], np.repeat(sizes, counts)[order]
-                place = np.concatenate([np.arange(c) for c in counts])[order]
-                yield pd.DataFrame(
-                    [(b, _short(hashes[i:j]), key[i:j].tobytes(), *(np.minimum(x[i:j], LARGEST).astype("<u2").tobytes() for x in (size, place))) for b, i, j in _bucketed(hashes)],
-                    columns=["bucket", "shingles", "keys", "sizes", "places"],
-                )
-
-        def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for bucket, data in _by_bucket(batches, ["shingles", "keys", "sizes", "places"]):
-                shingle = _long(data["shingles"])
-                key = np.frombuffer(b"".join(data["keys"]), "<i8")
-                size = np.frombuffer(b"".join(data["sizes"]), "<u2")
-                place = np.frombuffer(b"".join(data["places"]), "<u2")
-                order = np.lexsort((place, key, shingle))
-                shingle, key, size, place = shingle[order], key[order], size[order], place[order]
-                fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
-                shingle, key, size, place = shingle[fresh], key[fresh], size[fresh], place[fresh]
-                cuts = np.concatenate(([0], np.flatnonzero(np.diff(shingle)) + 1, [len(shingle)]))
-                long = np.flatnonzero(np.diff(cuts) > 1)
-                for some in np.array_split(long, len(long) // 5000 + 1) if len(long) else ():
-                    yield pd.DataFrame(
-                        {
-                            "list": [int(shingle[cuts[i]]) | (bucket << 24) for i in some],
-                            "keys": [key[cuts[i] : cuts[i + 1]] for i in some],
-                            "sizes": [size[cuts[i] : cuts[i + 1]].astype(np.int32) for i in some],
-                            "places": [place[cuts[i] : cuts[i + 1]].astype(np.int32) for i in some],
-                        }
-                    )
-
-        dealt = self.docs.mapInPandas(post, "bucket int, shingles binary, keys binary, sizes binary, places binary")
-        dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-        return dealt.mapInPandas(gather, "list long, keys array<long>, sizes array<int>, places array<int>")
+                if rare:
+                    counts = [len(s) for s in rare]
+                    yield _batch(
+                        list=np.concatenate(rare).view(np.int64), key=np.repeat(np.array(keys, np.int64), counts),
+                        size=np.repeat(np.array(sizes, np.int32), counts), place=np.concatenate([np.arange(c, dtype=np.int32) for c in counts]),
+                    )
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest, block = None, 0
+            for batch in batches:
+                rows = [c.to_numpy() for c in batch.columns]
+                if rest is not None:
+                    rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+                # What belongs to the last list waits for the next batch, but for whole blocks of it.
+                last = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
+                own = len(rows[0]) - last
+                stay = last + max(own - 1, 0) // BLOCK * BLOCK
+                yield from blocks([x[:stay] for x in rows], block)
+                done = (stay - last) // BLOCK
+                block = done + (block if last == 0 else 0)
+                rest = [x[stay:] for x in rows]
+            if rest is not None:
+                yield from blocks(rest, block)
+
+        def blocks(rows: list[np.ndarray], block: int) -> Iterator[pa.RecordBatch]:
+            """``block``: of the first list, those that have gone before."""
+            if not len(rows[0]):
+                return
+            name, key, size, place = rows
+            fresh = np.append(True, (name[1:] != name[:-1]) | (key[1:] != key[:-1]))
+            name, key, size, place = (x[fresh] for x in rows)
+            opens = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+            counts = np.diff(np.append(opens, len(name)))
+            before = np.arange(len(name)) - np.repeat(opens, counts)
+            before[: counts[0]] += block * BLOCK
+            cuts = np.flatnonzero(before % BLOCK == 0)
+            if not len(cuts) or cuts[0]:
+                cuts = np.append(0, cuts)
+            long = np.diff(np.append(cuts, len(name)))
+            keep = (long > 1) | (before[cuts] >= BLOCK)
+            kept = np.repeat(keep, long)
+            ends = np.cumsum(np.append(0, long[keep]))
+            if keep.any():
+                yield _batch(
+                    list=name[cuts[keep]], block=(before[cuts[keep]] // BLOCK).astype(np.int32),
+                    keys=_list_array(key[kept], ends), sizes=_list_array(size[kept], ends), places=_list_array(place[kept], ends),
+                )
+
+        posts = self.docs.mapInArrow(post, "list long, key long, size int, place int")
+        posts = posts.repartition("list").sortWithinPartitions("list", "key")
+        return posts.mapInArrow(cut, "list long, block int, keys array<long>, sizes array<int>, places array<int>")
 
     def linked(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """The pairs (a, b) within the threshold: long lists are probed by binary search.
+        """The pairs (a, b) within the threshold. ``pairs``: (a, b, family).
 
-        ``reps``: (key, doc_id), a document of each class. The sets of a pair's classes are
-        made anew from those documents; that of a travels to b.
+        Pairs of a family are dealt into groups by their sides, about SIDE classes on
+        either. ``reps``: (key, doc_id), a document of each class; the sets are made anew from those
+        documents, and each is sent once to a group that needs it.
         """
         num, den, k = self.num, self.den, self.k
-        left = pairs.join(reps, pairs["a"] == reps["key"]).groupBy("doc_id", "a").agg(F.collect_set("b").alias("others"))
-        right = pairs.select(F.col("b").alias("key")).distinct().join(reps, "key").select("doc_id", F.col("key").alias("b"))
-
-        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = []
-                for a, others, s in zip(batch["a"], batch["others"], shingle_sets(batch["text"].tolist(), k), strict=True):
-                    if _set_key(s) == a:  # a doc_id may name several texts
-                        rows += [(a, b, s.tobytes()) for b in others]
-                yield pd.DataFrame(rows, columns=["a", "b", "left"])
-
-        def stay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(b, s.tobytes()) for b, s in zip(batch["b"], shingle_sets(batch["text"].tolist(), k), strict=True) if _set_key(s) == b]
-                yield pd.DataFrame(rows, columns=["b", "right"])
-
-        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                keep = []
-                for one, two in zip(batch["left"], batch["right"], strict=True):
-                    x, y = sorted((np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")), key=len)
-                    shared = 0
-                    if len(y) * num <= len(x) * den:
-                        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                        shared = int(np.count_nonzero(y[at] == x))
-                    keep.append(den * shared >= num * (len(x) + len(y) - shared))
-                yield batch.loc[keep, ["a", "b"]]
-
-        sent = self.docs.join(_small(left, F.size("others")), "doc_id").mapInPandas(send, "a long, b long, left binary")
-        kept = self.docs.join(_small(right), "doc_id").mapInPandas(stay, "b long, right binary")
-        return sent.join(kept, "b").mapInPandas(probe, "a long, b long").distinct()
+        pairs = written(pairs, "pairs")
+        sides = pairs.groupBy("family").agg(*(F.ceil(F.approx_count_distinct(c) / SIDE).alias(f"{c}s") for c in "ab"))
+        dealt = pairs.join(_small(sides), "family").select("a", "b", F.xxhash64("family", *(F.pmod(F.xxhash64(c), F.col(f"{c}s")) for c in "ab")).alias("pack"))
+        dealt = written(dealt, "dealt")
+        needs = dealt.groupBy("pack", F.col("a").alias("key")).agg(F.collect_set("b").alias("others"))
+        needs = needs.unionByName(dealt.select("pack", F.col("b").alias("key"), F.array().cast("array<long>").alias("others")).distinct())
+        needs = needs.groupBy("key").agg(F.collect_list(F.struct("pack", "others")).alias("packs")).join(reps, "key")
+        needs = _small(needs.select("doc_id", "key", "packs"), F.aggregate("packs", F.lit(0), lambda s, p: s + 1 + F.size(p["others"])))
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some, sets in _shingled(batches, k):
+                rows, size = [], 0
+                for key, packs, s in zip(some.column("key").to_pylist(), some.column("packs").to_pylist(), sets, strict=True):
+                    if _set_key(s) != key:  # a doc_id may name several texts
+                        continue
+                    data = s.tobytes()
+                    for p in packs:
+                        rows.append((p["pack"], key, p["others"], data))
+                        size += len(s)
+                        if size >= HELD:
+                            yield rows_of(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield rows_of(rows)
+
+        def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+            pack, key, others, data = zip(*rows, strict=True)
+            return _batch(pack=np.array(pack, np.int64), key=np.array(key, np.int64), others=pa.array(others, pa.list_(pa.int64())), data=pa.array(data, pa.binary()))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = (tuple(c[i].as_py() for c in batch.columns) for batch in batches for i in range(batch.num_rows))
+            for _, own in groupby(rows, key=lambda row: row[0]):
+                sets, asked = {}, []
+                for _, key, others, data in own:
+                    sets[key] = np.frombuffer(data, "<u8")
+                    if others:
+                        asked.append((key, others))
+                found = [(a, b) for a, others in asked for b in set(others) if b in sets and near(sets[a], sets[b])]
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield _batch(a=np.array(a, np.int64), b=np.array(b, np.int64))
+
+        def near(x: np.ndarray, y: np.ndarray) -> bool:
+            x, y = (x, y) if len(x) <= len(y) else (y, x)
+            if len(y) * num > len(x) * den:
+                return False
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            shared = int(np.count_nonzero(y[at] == x))
+            return den * shared >= num * (len(x) + len(y) - shared)
+
+        sent = self.docs.join(needs, "doc_id").mapInArrow(send, "pack long, key long, others array<long>, data binary")
+        sent = sent.repartition("pack").sortWithinPartitions("pack")
+        return sent.mapInArrow(probe, "a long, b long").distinct()
 
 
 def _small(table: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -262,95 +327,110 @@ def _small(table: DataFrame, weight: Column | None = None) -> DataFrame:
     return F.broadcast(table) if held <= BROADCAST_IDS else table
 
 
-def _by_bucket(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[int, dict]]:
-    """Rows in order of bucket, gathered bucket by bucket."""
-    now, held = None, {c: [] for c in columns}
-    for batch in batches:
-        bucket = batch["bucket"].to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if now is not None and bucket[a] != now:
-                yield now, held
-                held = {c: [] for c in columns}
-            now = int(bucket[a])
-            for c in columns:
-                held[c] += batch[c].iloc[a:b].tolist()
-    if now is not None:
-        yield now, held
-
-
 def _stars(labelled: DataFrame) -> DataFrame:
-    """Pairs (a, b): each class with the class it meets most, among the least class of another component in each list."""
+    """(a, b, family): each class with the class it meets most, among the least class of another component in each block."""
     other = F.expr("filter(members, m -> m.label <> members[0].label)")
     pairs = labelled.select(F.col("members")[0]["key"].alias("b"), F.explode(other).alias("m")).select(F.col("m.key").alias("a"), "b")
     met = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    return met.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    return met.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")).withColumn("family", F.col("b"))
 
 
 def _members(lists: DataFrame) -> DataFrame:
-    """(list, members array<struct<key,size,place,label>>) while every class is its own component."""
+    """(list, block, members array<struct<key,size,place,label>>) while every class is its own component."""
     zipped = F.arrays_zip("keys", "sizes", "places")
     each = F.transform(zipped, lambda z: F.struct(z["keys"].alias("key"), z["sizes"].alias("size"), z["places"].alias("place"), z["keys"].alias("label")))
-    return lists.select("list", each.alias("members"))
+    return lists.select("list", "block", each.alias("members"))
 
 
 def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(list, members array<struct<key,size,place,label>>) of the lists that hold several components."""
+    """(list, block, members array<struct<key,size,place,label>>) of the lists that hold several components."""
 
     def flat(some: DataFrame) -> DataFrame:
-        each = some.select("list", F.explode(F.arrays_zip("keys", "sizes", "places")).alias("z"))
-        each = each.select("list", F.col("z.keys").alias("key"), F.col("z.sizes").alias("size"), F.col("z.places").alias("place"))
-        return each.join(labels, each["key"] == labels["node"], "left").select("list", "key", "size", "place", F.coalesce("label", "key").alias("label"))
+        each = some.select("list", "block", F.explode(F.arrays_zip("keys", "sizes", "places")).alias("z"))
+        each = each.select("list", "block", F.col("z.keys").alias("key"), F.col("z.sizes").alias("size"), F.col("z.places").alias("place"))
+        return each.join(labels, each["key"] == labels["node"], "left").select("list", "block", "key", "size", "place", F.coalesce("label", "key").alias("label"))
 
     labels = _small(labels)
-    mixed = flat(lists).groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("list")
-    grouped = flat(lists.join(_small(mixed), "list")).groupBy("list")
+    mixed_ = flat(lists).groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("list")
+    grouped = flat(lists.join(_small(mixed_), "list")).groupBy("list", "block")
     return grouped.agg(F.array_sort(F.collect_list(F.struct("key", "size", "place", "label"))).alias("members"))
 
 
-def _meetings(labelled: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet often enough and may be of a size.
+def _candidates(labelled: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, family): classes of different components that occur often enough in a's short lists and may be of a size.
 
     A pair of sizes x and y within num/den shares at least ``least = num (x + y) / (num + den)``
     shingles, so of its first ``x - least + 1 + slack`` and ``y - least + 1 + slack`` it
-    shares at least ``1 + slack``. Meetings further back in either order are not listed.
+    shares at least ``1 + slack``, with the slack of the smaller set. Entries further back in either order are left out.
     """
-
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        size = 0
+    most = labelled.agg(F.max("block")).first()[0] or 0
+    blocks = labelled.select("list", "block", *(F.col(f"members.{c}").alias(f"{c}s") for c in ("key", "size", "place", "label")))
+    same = blocks.select("*", *(F.lit(None).cast(blocks.schema[f"{c}s"].dataType).alias(f"{c}s_") for c in ("key", "size", "place", "label")))
+    if most:
+        # Blocks of one list meet each other, not in one task.
+        after = blocks.select("list", F.col("block").alias("block_"), *(F.col(f"{c}s").alias(f"{c}s_") for c in ("key", "size", "place", "label")))
+        same = same.unionByName(blocks.join(after, "list").filter("block < block_").drop("block_"))
+    parts = most + 1
+
+    def occur(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(a, part, size, others): the members of a short list behind a, in order."""
         for batch in batches:
-            for keys, sizes, places, labels in zip(batch["keys"], batch["sizes"], batch["places"], batch["labels"], strict=True):
+            rows, held = [], 0
+            for keys, sizes, places, labels, *later in zip(*(batch[c] for c in ("keys", "sizes", "places", "labels", "keys_", "sizes_", "places_", "labels_")), strict=True):
                 sizes = np.asarray(sizes, np.int64)
-                for i in range(len(keys) - 1):
-                    x, y = sizes[i], sizes[i + 1 :]
+                within = later[0] is None
+                keys_, sizes_, places_, labels_ = (keys, sizes, places, labels) if within else later
+                sizes_ = np.asarray(sizes_, np.int64)
+                for i in range(len(keys)):
+                    at = i + 1 if within else 0
+                    x, y = sizes[i], sizes_[at:]
                     small, large = np.minimum(x, y), np.maximum(x, y)
                     reach = _slack(small) - -(-num * (x + y) // (num + den))
-                    early = (places[i] <= x + reach) & (places[i + 1 :] <= y + reach) | (large >= LARGEST)
-                    j = np.flatnonzero(early & (labels[i + 1 :] != labels[i]) & (small * den >= large * num)) + i + 1
-                    if len(j):
-                        held.append(np.column_stack((np.full(len(j), keys[i]), keys[j], np.minimum(sizes[j], x))))
-                        size += len(j)
-                    if size >= HELD_PAIRS:
-                        yield counted(held)
-                        held, size = [], 0
-        if held:
-            yield counted(held)
-
-    def counted(held: list[np.ndarray]) -> pd.DataFrame:
-        rows = np.concatenate(held)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
-        return pd.DataFrame({"a": rows[first, 0], "b": rows[first, 1], "least": rows[first, 2], "n": np.diff(np.append(first, len(rows)))})
-
-    flat = labelled.select(*(F.col(f"members.{c}").alias(f"{c}s") for c in ("key", "size", "place", "label")))
-    met = flat.mapInPandas(pair, "a long, b long, least long, n long")
-    met = met.groupBy("a", "b", "least").agg(F.sum("n").alias("n"))
-    return met.filter(F.col("n") >= 1 + _slack_column(F.col("least"))).select("a", "b")
-
-
-def _slack_column(n):
-    return F.floor(n / SLACK)
+                    early = (places[i] <= x + reach) & (places_[at:] <= y + reach)
+                    j = np.flatnonzero(early & (labels_[at:] != labels[i]) & (small * den >= large * num)) + at
+                    if not len(j):
+                        continue
+                    others = keys_[j]
+                    if parts == 1:
+                        rows.append((keys[i], 0, x, others))
+                    else:
+                        of = others % parts
+                        rows += [(keys[i], p, x, others[of == p]) for p in np.unique(of)]
+                    held += len(j)
+                    if held >= HELD:
+                        yield pd.DataFrame(rows, columns=["a", "part", "size", "others"])
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["a", "part", "size", "others"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found, held = [], 0
+        for (a, _), own in groupby(rows, key=lambda row: row[:2]):
+            own = list(own)
+            least = 1 + _slack(-(-own[0][2] * num // den))
+            if len(own) < least:
+                continue
+            hits = [b for b, same in groupby(heapq.merge(*(r[3] for r in own))) if sum(1 for _ in same) >= least]
+            if hits:
+                found.append((a, hits))
+                held += len(hits)
+            if held >= HELD:
+                yield pairs_of(found)
+                found, held = [], 0
+        if found:
+            yield pairs_of(found)
+
+    def pairs_of(found: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+        return _batch(a=np.repeat(np.array([a for a, _ in found], np.int64), [len(h) for _, h in found]), b=np.array([b for _, h in found for b in h], np.int64))
+
+    met = same.mapInPandas(occur, "a long, part int, size int, others array<long>")
+    met = met.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(merge, "a long, b long")
+    met = written(met.distinct(), "candidates")
+    # Pairs of one dense family share the least class that they are candidates with.
+    both = met.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(met.select(F.col("b").alias("key"), F.col("a").alias("other")))
+    least = both.groupBy("key").agg(F.min("other").alias("other")).select("key", F.least("key", "other").alias("family"))
+    return met.join(_small(least), met["a"] == F.col("key")).select("a", "b", "family")
 
 
 def _pairs(labelled: DataFrame) -> int:
@@ -373,14 +453,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """
     work = _Sets(docs, k, num, den)
     classes = written(work.classes(), "classes")
-    lists = written(work.lists(), "lists")
+    lists = written(work.lists(classes.agg(F.sum("n")).first()[0] or 0), "lists")
     entries = lists.agg(F.sum(F.size("keys"))).first()[0] or 0
     reps = written(classes.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "reps")
     edges = labels = None
     for turn in range(STAR_ROUNDS + 1):
         labelled = written(_labelled(lists, labels), "labelled") if turn else _members(lists)
         last = turn == STAR_ROUNDS or (turn > 0 and _pairs(labelled) <= PAIRS_PER_ENTRY * entries)
-        found = work.linked(_meetings(labelled, num, den) if last else _stars(labelled), reps)
+        found = work.linked(_candidates(labelled, num, den) if last else _stars(labelled), reps)
         edges = written(edges.unionByName(found) if turn else found, "links")
         if last:
             break

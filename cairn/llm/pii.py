@@ -20,6 +20,8 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 #: Characters of context on either side of a span.
 REACH = 40
+#: Matches whose offsets are added up together: arrays grow by copying, so they grow in blocks.
+BLOCK = 256
 
 
 def _digits(match: Column) -> Column:
@@ -63,7 +65,7 @@ def spans_of(text: Column, kind: str) -> Column:
     """array<struct<kind,start,end,score>> of one kind, in code points, in order of start.
 
     The pieces between matches and the matches themselves alternate, so their running
-    lengths are the offsets, and the neighbouring pieces are the context.
+    lengths, added up block by block, are the offsets, and the neighbouring pieces are the context.
     """
     needs, pattern, valid, score, words = KINDS[kind]
     gaps = F.split(text, pattern, -1)
@@ -84,7 +86,21 @@ def spans_of(text: Column, kind: str) -> Column:
 
     none = F.array().cast(f"array<{span}>")
     start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    swept = F.aggregate(rows, start, grow, lambda acc: acc["spans"])
+
+    def blocks(whole: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(whole), F.lit(1)), F.lit(BLOCK))
+        return F.transform(firsts, lambda i: F.aggregate(F.slice(whole, i, F.lit(BLOCK)), start, grow))
+
+    def shift(acc: Column, block: Column) -> Column:
+        part = F.struct(acc["at"].alias("base"), block["spans"].alias("spans"))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+
+    # The matches are one element of an array, or each block would find them anew.
+    each = F.flatten(F.transform(F.array(rows), blocks))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<base:int,spans:array<{span}>>>").alias("parts"))
+    parts = F.aggregate(each, begin, shift, lambda acc: acc["parts"])
+    moved = lambda p: F.transform(p["spans"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + p["base"]).alias("start"), (s["end"] + p["base"]).alias("end"), s["score"].alias("score")))
+    swept = F.flatten(F.transform(parts, moved))
     held = text.contains(needs) if needs else text.rlike("[0-9]")
     return F.when(held & text.rlike(pattern), swept).otherwise(none)
 

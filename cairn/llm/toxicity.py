@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ BEFORE = 3
 #: Probability that a word of a toxic text is of the toxic model.
 SHARE = 0.01
 #: Characters of text that are looked up together.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Distinct events that a task holds before it hands them on.
 HELD = 1 << 20
 
@@ -142,26 +143,31 @@ def _suffixes(event: Column, least: int) -> Column:
     return F.transform(F.sequence(size - least, F.lit(1), F.lit(-1)), cut)
 
 
+def _some_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time: the texts of a whole batch are never Python objects at once."""
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
 def shared_events(docs: DataFrame) -> DataFrame:
     """(event): the distinct events of all texts."""
 
-    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for batch in batches:
-            for event, _, _ in events(batch["text"].tolist()):
+        for some in _some_rows(batches):
+            for event, _, _ in events(some.column("text").to_pylist()):
                 held.append(np.unique(event))
                 size += len(held[-1])
                 if size >= HELD:
                     held = [np.unique(np.concatenate(held))]
                     size = len(held[0])
                     if size >= HELD // 2:
-                        yield pd.DataFrame({"event": held[0]})
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0])], ["event"])
                         held, size = [], 0
         if held:
-            yield pd.DataFrame({"event": np.unique(np.concatenate(held))})
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["event"])
 
-    return docs.select("text").mapInPandas(seen, "event long").distinct()
+    return docs.select("text").mapInArrow(seen, "event long").distinct()
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
@@ -346,13 +352,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, bias, weight = shared.value
-        for batch in batches:
-            z = bias + weight * strengths(tables, batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-z))})
+        for some in _some_rows(batches):
+            z = bias + weight * strengths(tables, some.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([some.column("doc_id").cast("int64"), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInPandas(judge, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, score double")
     return scored.select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
@@ -365,9 +371,9 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     """``docs``, all columns, without the rows whose text scores 0.5 or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, bias, weight = shared.value
-        for batch in batches:
-            yield batch[bias + weight * strengths(tables, batch["text"].tolist()) < 0]
+        for some in _some_rows(batches):
+            yield some.filter(pa.array(bias + weight * strengths(tables, some.column("text").to_pylist()) < 0))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
