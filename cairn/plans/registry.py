@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from . import conditions, evidence, forecasts, places, rules, sequences, snowfall, texts, verdicts  # noqa: F401
+    from . import conditions, evidence, forecasts, lists, places, rules, sequences, snowfall, texts, verdicts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
