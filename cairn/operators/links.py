@@ -39,7 +39,13 @@ def road_links(places: DataFrame, roads: DataFrame, near_km: float = 8, named_km
 
 
 def zone_of(points: DataFrame, zones: DataFrame) -> DataFrame:
-    """key, zone: of the rings that hold a point the one of the least box. Zones: (zone, ring, west, south, east, north).
+    """key, zone: of the rings that hold a point the one of the least box. Zones: (zone, ring, west, south, east, north)."""
+    size = (F.col("east") - F.col("west")) * (F.col("north") - F.col("south"))
+    return zones_of(points, zones).groupBy("key").agg(F.min_by("zone", F.struct(size, "zone")).alias("zone"))
+
+
+def zones_of(points: DataFrame, zones: DataFrame) -> DataFrame:
+    """key, zone and box of every ring that holds a point.
 
     Each zone is copied to the degree cells that its box touches, so the join is one on
     the cell; boxes, then the ray cast, rule out the rest.
@@ -47,9 +53,7 @@ def zone_of(points: DataFrame, zones: DataFrame) -> DataFrame:
     cells = points.select("key", "lat", "lon", F.floor("lat").alias("row"), F.floor("lon").alias("col"))
     boxed = cells.join(_celled(zones, F.lit(0.0), F.lit(0.0)), ["row", "col"])
     boxed = boxed.filter(F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north")))
-    inside = boxed.filter(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
-    size = (F.col("east") - F.col("west")) * (F.col("north") - F.col("south"))
-    return inside.groupBy("key").agg(F.min_by("zone", F.struct(size, "zone")).alias("zone"))
+    return boxed.filter(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("key", "zone", "west", "south", "east", "north")
 
 
 def _celled(zones: DataFrame, by_lat, by_lon) -> DataFrame:
