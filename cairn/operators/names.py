@@ -26,44 +26,70 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     lengths = sorted(r["n"] for r in sized)
     if sum(r["count"] for r in sized) <= BROADCAST_NAMES:
         known = F.broadcast(known)
-    words = texts.select("key", F.split(normal(F.col("text")), " ").alias("w"))
-    grams = None
-    for n in lengths:
-        cut = words.select("key", F.explode_outer(_runs(n)).alias("alias"))
-        grams = cut if grams is None else grams.unionByName(cut)
-    if grams is None:
+    if not lengths:
         return texts.select("key", F.lit(None).cast("string").alias("name")).limit(0)
+    words = texts.select("key", F.split(normal(F.col("text")), " ").alias("w"))
+    grams = words.select("key", F.explode(_runs(lengths)).alias("alias"))
     found = grams.join(known, "alias")  # a run that comes twice changes no maximum
     return found.groupBy("key").agg(F.max_by("name", F.struct(F.length("alias"), F.reverse("alias"))).alias("name"))
 
 
-def _runs(n: int):
-    """Runs of n words."""
-    several = F.size("w") >= n
-    places = F.sequence(F.lit(0), F.size("w") - n)
-    return F.when(several, F.transform(places, lambda i: F.concat_ws(" ", *(F.get("w", i + j) for j in range(n)))))
+def _runs(lengths: list[int]):
+    """All runs of so many words, from each word on."""
+
+    def at(i):
+        whole = (F.when(i + n <= F.size("w"), F.concat_ws(" ", *(F.get("w", i + j) for j in range(n)))) for n in lengths)
+        return F.array_compact(F.array(*whole))
 
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), at))
 
-def closest(queries: DataFrame, names: DataFrame, cutoff: float = 0.78, bound: int = 20_000) -> DataFrame:
-    """key, name, ratio: the name most like the query by matching blocks, if the ratio reaches ``cutoff``.
 
-    Names are a gazetteer of at most ``bound``, sent to every task.
+def closest(queries: DataFrame, names: DataFrame, cutoff: float = 0.78) -> DataFrame:
+    """key, name, ratio: the name most like the query by matching blocks, if the ratio reaches ``cutoff``; ties to the greater name.
+
+    Two texts with a ratio r share a block of two characters or more (for r above 2/3), and the
+    shorter has at least r / (2 - r) of the longer's length: only such pairs, found by a join
+    on pairs of characters, are compared. The comparison itself is the standard library's, in batches.
     """
-    listed = sorted(r["name"] for r in names.select("name").distinct().limit(bound + 1).collect())
-    if len(listed) > bound:
-        raise ValueError("more names than may be sent to every task")
-    shared = queries.sparkSession.sparkContext.broadcast(listed)
+    asked = queries.filter("text <> ''").select("text").distinct()
+    known = names.select("name").filter("name <> ''").distinct()
+
+    def grams(c: str):
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2)))
+        return F.explode(F.array_distinct(pairs)).alias("gram")
+
+    met = asked.select("text", grams("text")).join(known.select("name", grams("name")), "gram")
+    short, long = F.least(F.length("text"), F.length("name")), F.greatest(F.length("text"), F.length("name"))
+    met = met.filter(short * (2 - cutoff) >= long * cutoff).select("text", "name").distinct()
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["key"], batch["text"], strict=True):
-                best = difflib.get_close_matches(text or "", shared.value, 1, cutoff)
-                if best:
-                    rows.append((key, best[0], round(difflib.SequenceMatcher(None, best[0], text).ratio(), 6)))
-            yield pd.DataFrame(rows, columns=["key", "name", "ratio"])
-
-    return queries.select("key", "text").mapInPandas(match, "key long, name string, ratio double")
+            ratio = []
+            match = difflib.SequenceMatcher()
+            for text, name in zip(batch["text"], batch["name"], strict=True):
+                match.set_seqs(name, text)
+                near = match.real_quick_ratio() >= cutoff and match.quick_ratio() >= cutoff
+                ratio.append(match.ratio() if near else 0.0)
+            batch["ratio"] = ratio
+            yield batch[batch["ratio"] >= cutoff]
+
+    best = met.mapInPandas(compare, "text string, name string, ratio double").groupBy("text").agg(F.max(F.struct("ratio", "name")).alias("b"))
+    return queries.select("key", "text").join(best, "text").select("key", "b.name", F.round("b.ratio", 6).alias("ratio"))
+
+
+def resolve(queries: DataFrame, names: DataFrame, cutoff: float = 0.78) -> DataFrame:
+    """Key, slug of texts by three stages: the whole text is a name, it holds one (the longest), or it is much like one.
+
+    ``names``: slug, name, ord; of equal names the one of the least ``ord`` counts. Each stage sees what the one before left.
+    """
+    own = names.select(normal(F.col("name")).alias("name"), "slug", "ord").filter("name <> ''").groupBy("name").agg(F.min_by("slug", "ord").alias("slug"))
+    asked = queries.select("key", normal(F.col("text")).alias("text")).filter("text <> ''")
+    exact = asked.join(own, asked["text"] == own["name"]).select("key", "slug")
+    left = asked.join(exact, "key", "left_anti")
+    held = mentions(left, own.select("name")).join(own, "name").select("key", "slug")
+    left = left.join(held, "key", "left_anti")
+    like = closest(left, own.select("name"), cutoff).join(own, "name").select("key", "slug")
+    return exact.unionByName(held).unionByName(like)
 
 
 def search(names: DataFrame, typed: str, limit: int = 8) -> DataFrame:
