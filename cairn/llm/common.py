@@ -25,9 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors."""
+#: Rows of a file of a table whose size is known to be small.
+FILE_ROWS = 20_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors.
+
+    ``rows``: how many rows it has at most, if that is known. A small table is then written by
+    few tasks, as a file each for many partitions would cost more than the rows.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     path = f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

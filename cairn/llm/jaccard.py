@@ -94,7 +94,7 @@ class _Sets:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int):
         self.docs, self.k, self.num, self.den = docs.select("doc_id", "text"), k, num, den
         self.spark = docs.sparkSession
-        self.bits = LEAST_BITS
+        self.bits, self.rows = LEAST_BITS, 0
 
     def classes(self) -> DataFrame:
         """(doc_id, n, key)"""
@@ -267,12 +267,13 @@ class _Sets:
         num, den, k = self.num, self.den, self.k
         pairs = written(pairs, "pairs")
         sides = pairs.groupBy("family").agg(*(F.ceil(F.approx_count_distinct(c) / SIDE).alias(f"{c}s") for c in "ab"))
-        dealt = pairs.join(_small(sides), "family").select("a", "b", F.xxhash64("family", *(F.pmod(F.xxhash64(c), F.col(f"{c}s")) for c in "ab")).alias("pack"))
-        dealt = written(dealt, "dealt")
+        count = pairs.count()
+        dealt = pairs.join(_small(sides, min(count, self.rows)), "family").select("a", "b", F.xxhash64("family", *(F.pmod(F.xxhash64(c), F.col(f"{c}s")) for c in "ab")).alias("pack"))
+        dealt = written(dealt, "dealt", count)
         needs = dealt.groupBy("pack", F.col("a").alias("key")).agg(F.collect_set("b").alias("others"))
         needs = needs.unionByName(dealt.select("pack", F.col("b").alias("key"), F.array().cast("array<long>").alias("others")).distinct())
         needs = needs.groupBy("key").agg(F.collect_list(F.struct("pack", "others")).alias("packs")).join(reps, "key")
-        needs = _small(needs.select("doc_id", "key", "packs"), F.aggregate("packs", F.lit(0), lambda s, p: s + 1 + F.size(p["others"])))
+        needs = _small(needs.select("doc_id", "key", "packs"), self.rows, F.aggregate("packs", F.lit(0), lambda s, p: s + 1 + F.size(p["others"])))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for some, sets in _shingled(batches, k):
@@ -317,12 +318,12 @@ class _Sets:
 
         sent = self.docs.join(needs, "doc_id").mapInArrow(send, "pack long, key long, others array<long>, data binary")
         sent = sent.repartition("pack").sortWithinPartitions("pack")
-        return sent.mapInArrow(probe, "a long, b long").distinct()
+        return written(sent.mapInArrow(probe, "a long, b long").distinct(), "links", count)
 
 
-def _small(table: DataFrame, weight: Column | None = None) -> DataFrame:
-    """``table``, to be broadcast if its rows, or the ids that they hold, are no more than BROADCAST_IDS."""
-    table = written(table, "small")
+def _small(table: DataFrame, rows: int, weight: Column | None = None) -> DataFrame:
+    """``table``, of at most ``rows`` rows, to be broadcast if its rows, or the ids that they hold, are no more than BROADCAST_IDS."""
+    table = written(table, "small", rows)
     held = table.count() if weight is None else table.agg(F.sum(weight)).first()[0] or 0
     return F.broadcast(table) if held <= BROADCAST_IDS else table
 
@@ -342,7 +343,7 @@ def _members(lists: DataFrame) -> DataFrame:
     return lists.select("list", "block", each.alias("members"))
 
 
-def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(lists: DataFrame, labels: DataFrame, rows: int, entries: int) -> DataFrame:
     """(list, block, members array<struct<key,size,place,label>>) of the lists that hold several components."""
 
     def flat(some: DataFrame) -> DataFrame:
@@ -350,13 +351,13 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
         each = each.select("list", "block", F.col("z.keys").alias("key"), F.col("z.sizes").alias("size"), F.col("z.places").alias("place"))
         return each.join(labels, each["key"] == labels["node"], "left").select("list", "block", "key", "size", "place", F.coalesce("label", "key").alias("label"))
 
-    labels = _small(labels)
+    labels = _small(labels, rows)
     mixed_ = flat(lists).groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("list")
-    grouped = flat(lists.join(_small(mixed_), "list")).groupBy("list", "block")
+    grouped = flat(lists.join(_small(mixed_, entries), "list")).groupBy("list", "block")
     return grouped.agg(F.array_sort(F.collect_list(F.struct("key", "size", "place", "label"))).alias("members"))
 
 
-def _candidates(labelled: DataFrame, num: int, den: int) -> DataFrame:
+def _candidates(labelled: DataFrame, num: int, den: int, rows: int) -> DataFrame:
     """(a, b, family): classes of different components that occur often enough in a's short lists and may be of a size.
 
     A pair of sizes x and y within num/den shares at least ``least = num (x + y) / (num + den)``
@@ -430,7 +431,7 @@ def _candidates(labelled: DataFrame, num: int, den: int) -> DataFrame:
     # Pairs of one dense family share the least class that they are candidates with.
     both = met.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(met.select(F.col("b").alias("key"), F.col("a").alias("other")))
     least = both.groupBy("key").agg(F.min("other").alias("other")).select("key", F.least("key", "other").alias("family"))
-    return met.join(_small(least), met["a"] == F.col("key")).select("a", "b", "family")
+    return met.join(_small(least, rows), met["a"] == F.col("key")).select("a", "b", "family")
 
 
 def _pairs(labelled: DataFrame) -> int:
@@ -453,15 +454,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """
     work = _Sets(docs, k, num, den)
     classes = written(work.classes(), "classes")
-    lists = written(work.lists(classes.agg(F.sum("n")).first()[0] or 0), "lists")
+    held = classes.agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).first()
+    work.rows = held["rows"]
+    lists = written(work.lists(held["shingles"] or 0), "lists")
     entries = lists.agg(F.sum(F.size("keys"))).first()[0] or 0
-    reps = written(classes.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "reps")
+    reps = written(classes.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "reps", work.rows)
     edges = labels = None
     for turn in range(STAR_ROUNDS + 1):
-        labelled = written(_labelled(lists, labels), "labelled") if turn else _members(lists)
+        labelled = written(_labelled(lists, labels, work.rows, entries), "labelled") if turn else _members(lists)
         last = turn == STAR_ROUNDS or (turn > 0 and _pairs(labelled) <= PAIRS_PER_ENTRY * entries)
-        found = work.linked(_candidates(labelled, num, den) if last else _stars(labelled), reps)
-        edges = written(edges.unionByName(found) if turn else found, "links")
+        found = work.linked(_candidates(labelled, num, den, work.rows) if last else _stars(labelled), reps)
+        edges = edges.unionByName(found) if turn else found
         if last:
             break
         labels = components(edges)
