@@ -31,14 +31,15 @@ def _words(line: Column) -> Column:
 
 
 def _tokens(words: Column, k: int) -> Column:
-    """Distinct hashes of the k-word shingles, for lines of at least k words."""
+    """Distinct hashes of the k-word shingles; a line of fewer words has its whole sequence as one; null without words."""
     # Words are taken one by one: slice() would copy the whole line for each shingle.
     shingles = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
-    return F.array_distinct(shingles)
+    whole = F.array(F.xxhash64(F.size(words), F.array_join(words, " ")))
+    return F.when(F.size(words) >= k, F.array_distinct(shingles)).when(F.size(words) > 0, whole)
 
 
 def _lines(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, line_no, tokens) of every line; tokens are null below k words.
+    """(doc_id, line_no, tokens) of every line; tokens are null without words.
 
     No filter stands on computed arrays, here or below, and they are opened by outer
     explodes: Spark would move a filter below the projections and evaluate the arrays
@@ -46,7 +47,7 @@ def _lines(docs: DataFrame, k: int) -> DataFrame:
     """
     split = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     worded = split.select("doc_id", "line_no", _words(F.col("line")).alias("words"))
-    return worded.select("doc_id", "line_no", F.when(F.size("words") >= k, _tokens(F.col("words"), k)).alias("tokens"))
+    return worded.select("doc_id", "line_no", _tokens(F.col("words"), k).alias("tokens"))
 
 
 def _levels(lines: DataFrame) -> list[int] | None:
@@ -102,11 +103,12 @@ def matches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     own = F.when(F.col("tokens").isNull(), F.xxhash64("doc_id", "line_no")).otherwise(F.xxhash64("tokens"))
     prefix = F.transform(F.slice("tokens", F.lit(1), reach), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
     short = written(ordered.select("doc_id", "line_no", own.alias("set"), n.alias("n"), F.when(F.col("tokens").isNotNull(), prefix).alias("prefix")), "lines")
+    count = short.count()
     # Lines of equal sets are one class, named by its first line.
     classes = short.filter("prefix is not null").groupBy("set").agg(
         F.min(_tuple("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("lines")
     )
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", count)
     # Entries are flat and narrow, size and place in one number: they are most of what is shuffled.
     posted = classes.select("first.*", "n", F.posexplode("prefix").alias("pos", "token"))
     posted = posted.select("token", "doc_id", "line_no", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("size"))
@@ -124,7 +126,7 @@ def matches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         return both.filter(F.least(s - x, t - y) * (num + den) >= num * (s + t)).select("late", "early").distinct()
 
     wanted = met.select("first").distinct().select("first.*").groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
-    wanted = _small(written(wanted, "wanted"), "wanted")
+    wanted = _small(written(wanted, "wanted", count), "wanted")
     # The lines wanted are taken out before they are opened: an explode would copy the whole text for each.
     parts = docs.join(wanted, "doc_id").select("doc_id", "wanted", F.split("text", "\n", -1).alias("all"))
     some = parts.select("doc_id", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get("all", i).alias("line")))).alias("w"))
@@ -134,7 +136,7 @@ def matches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def matched(found: DataFrame) -> DataFrame:
         found = written(found, "pairs")
         met = found.select(F.explode(F.array("late", "early")).alias("first")).distinct()
-        some = sets.join(_small(written(met, "paired")), "first", "left_semi")
+        some = sets.join(_small(written(met, "paired", count)), "first", "left_semi")
         x = some.select(F.col("first").alias("late"), F.col("tokens").alias("x"))
         y = some.select(F.col("first").alias("early"), F.col("tokens").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
@@ -143,7 +145,7 @@ def matches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     # Most lines that go match the first line of one of their lists; only the others meet all.
     heads = met.groupBy("token").agg(F.min(F.struct("first", "size")).alias("h")).select("token", "h.*")
-    easy = written(matched(pairs(met, heads)), "easy")
+    easy = written(matched(pairs(met, heads)), "easy", count)
     rest = met.join(easy, met["first"] == easy["late"], "left_anti")
     hard = matched(pairs(rest, met))
     late = easy.unionByName(hard).distinct()
@@ -159,7 +161,8 @@ def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 
     Lines end at line feeds. A line goes if an earlier one (of a lesser doc_id, or higher in the
     same text) has a Jaccard similarity of at least num/den on distinct k-word shingles,
-    whether or not that one goes too. Lines of fewer than k words stay. What is left is
+    whether or not that one goes too. A line of fewer than k words has its whole sequence as its
+    one shingle, so it goes if an earlier line has the same words; a line without words stays. What is left is
     joined by line feeds; a text of which every line goes becomes empty, and its row stays.
 
     Null texts stay null, with 0 lines. Documents without a doc_id, and rows that repeat

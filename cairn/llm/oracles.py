@@ -33,8 +33,8 @@ WITH lines AS (
 ), worded AS (
   SELECT doc_id, line_no, list_filter(string_split_regex({_LOWER.format('line')}, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS words FROM lines
 ), shingled AS (
-  SELECT doc_id, line_no, list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))) AS tokens
-  FROM worded WHERE len(words) >= 5
+  SELECT doc_id, line_no, list_sort(list_distinct(list_transform(range(1, greatest(len(words) - 3, 2)), lambda i: array_to_string(words[i:i + 4], ' ')))) AS tokens
+  FROM worded WHERE len(words) >= 1
 ), classes AS (
   SELECT tokens, min({{'doc_id': doc_id, 'line_no': line_no}}) AS first FROM shingled GROUP BY tokens
 ), flat AS (
