@@ -9,8 +9,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the vocabulary files of public tokenizers lie if a caller names no other place.
-TOKENIZER_FILES = "/opt/tokenizers"
+def tokenizer_file(folder: str | None, name: str) -> str:
+    """A vocabulary file in a folder, or where the package of public tokenizers keeps it."""
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -12,19 +12,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_FILES, written
+from .common import written
 from .tokens import encoder, library_ids_of
 
 #: Pieces that one task packs at most, on average. More pieces make more groups, not larger ones.
 GROUP_ROWS = 50_000
-#: Underfull bins that local search tries to empty one after the other without success before it stops.
-PATIENCE = 12
+#: How long local search goes on: underfull bins that it tries to empty one after the other without success before
+#: it stops, and items of a bin, the longest, for which it looks for an exchange. More of either costs time in
+#: proportion and may save a sequence of a group; packed pieces are complete whatever they are.
+PATIENCE, EXCHANGED = 12, 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 EMPTY = pd.DataFrame({"doc_id": pd.array([], "Int64"), "piece": [], "start": [], "length": [], "ids_crc32": []}).astype({"piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
 
 
-def pieces(docs: DataFrame, capacity: int, folder: str = TOKENIZER_FILES) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, folder: str | None = None) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): documents as ids, id 0 at the end, cut to ``capacity``.
 
     A document that fits is one piece. A longer one has a first piece of what is left
@@ -141,7 +143,7 @@ class Bins:
             self._index(victim)
             if self.items[victim] and not moved:
                 longest = sorted(self.items[victim], key=lambda i: (-self.size[i], i))
-                if not any(self._exchange(i, victim) for i in longest[:8]):
+                if not any(self._exchange(i, victim) for i in longest[:EXCHANGED]):
                     return False
         return not self.items[victim]
 
@@ -201,7 +203,7 @@ def pack(cut: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> DataFra
     return dealt.mapInPandas(fill, f"{PIECES}, sequence_id long, offset long")
 
 
-def best_fit_pack(docs: DataFrame, capacity: int = 2048, folder: str = TOKENIZER_FILES) -> DataFrame:
+def best_fit_pack(docs: DataFrame, capacity: int = 2048, folder: str | None = None) -> DataFrame:
     """Documents cut into pieces and packed: see ``pieces`` and ``pack``.
 
     Columns of ``docs`` but doc_id and text are ignored. Rows that repeat a doc_id are

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_FILES, written
+from .common import tokenizer_file, written
 
 #: Fixed value: the vocabulary's published rule for cutting a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,9 +33,9 @@ END = 50256
 _ENCODERS: dict = {}
 
 
-def encoder(folder: str = TOKENIZER_FILES, name: str = VOCABULARY):
+def encoder(folder: str | None = None, name: str = VOCABULARY):
     """The worker's encoder; it outlives a task."""
-    path = f"{folder}/{name}"
+    path = tokenizer_file(folder, name)
     if path not in _ENCODERS:
         import tiktoken
 
@@ -45,9 +45,9 @@ def encoder(folder: str = TOKENIZER_FILES, name: str = VOCABULARY):
     return _ENCODERS[path]
 
 
-def _added(folder: str) -> dict[str, int]:
+def _added(folder: str | None) -> dict[str, int]:
     """The added tokens of the vocabulary, which are found in texts as they stand."""
-    with open(f"{folder}/{ADDED}", encoding="utf-8") as file:
+    with open(tokenizer_file(folder, ADDED), encoding="utf-8") as file:
         added = json.load(file)["added_tokens"]
     if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in added):
         raise ValueError("an added token that takes more or less than its own text")
@@ -64,7 +64,7 @@ def library_ids_of(enc, text: str | None) -> np.ndarray:
     return np.array(enc.encode(text, allowed_special="all", disallowed_special=()) if text else [], "<u4")
 
 
-def token_files(docs: DataFrame, block_tokens: int = 1 << 16, folder: str = TOKENIZER_FILES) -> DataFrame:
+def token_files(docs: DataFrame, block_tokens: int = 1 << 16, folder: str | None = None) -> DataFrame:
     """``docs`` as flat token files: rows (file, block, data), and beside them rows (file, first, doc_ids).
 
     Each partition of ``docs`` is one file, the ids of its documents in order, 16 bits
@@ -175,7 +175,7 @@ def _stitched(summaries: DataFrame) -> DataFrame:
     return whole.mapInPandas(documents, "file int, document long, start long, n_tokens long")
 
 
-def count(docs: DataFrame, folder: str = TOKENIZER_FILES) -> DataFrame:
+def count(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Rows (doc_id, n_tokens): documents are written as flat token files, then counted by their separators.
 
     Rows that repeat a ``doc_id``, or have none, get a row each. The separator is not
