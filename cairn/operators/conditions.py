@@ -1,4 +1,4 @@
-"""What is known of each place at each date: sensors, snowline, scenes, reports and fords, fused into one verdict.
+"""What is known of each place at each date: sensors, snow line, scenes, reports and fords, fused into one verdict.
 
 Every component is a DataFrame of rows (slug, eval_date, ...); a place without evidence of a
 kind has no row there. ``fused`` lays them over places and dates.
@@ -15,7 +15,7 @@ from . import asof
 PRIOR = {"sensor": 0.9, "satellite": 0.65, "report": 0.75}
 HALF_LIFE = {"sensor": 4.0, "satellite": 3.0, "report": 5.0}
 WINDOW = {"sensor": 10, "satellite": 12, "report": 14}
-#: Water at full severity (in), bare (in), blind below a place (ft), rise of the snowline (ft a day),
+#: Water at full severity (in), bare (in), blind below a place (ft), rise of the snow line (ft a day),
 #: its margin (ft), ceiling (ft) and weight, days of a gap between seasons, of a bare run, last day for quiet stations.
 FULL, BARE, BLIND = 15.0, 0.5, 300.0
 RISE, MARGIN, CEILING, INFERRED = 40.0, 500.0, 14_500.0, 0.45
@@ -104,8 +104,8 @@ def first_melt_outs(daily: DataFrame) -> DataFrame:
     return first.select("station", "year", "m.since", "m.observed")
 
 
-def snowlines(linked: DataFrame, daily: DataFrame, dates: list[str]) -> DataFrame:
-    """The highest snowline that bare stations of a place imply, risen since they melted out.
+def snow_lines(linked: DataFrame, daily: DataFrame, dates: list[str]) -> DataFrame:
+    """The highest snow line that bare stations of a place imply, risen since they melted out.
 
     ``linked``: slug, station, gap_ft, station_ft. Stations count that report and are blind, or
     that are quiet, were bare when last heard of, and the year is not past QUIET_UNTIL.
@@ -187,10 +187,10 @@ def status_of(severity: Column) -> Column:
     return word.otherwise(STATUSES[3])
 
 
-def fused(places: DataFrame, dates: list[str], sensor: DataFrame, snowline: DataFrame, satellite: DataFrame, human: DataFrame, worst: DataFrame, creek: DataFrame) -> DataFrame:
+def fused(places: DataFrame, dates: list[str], sensor: DataFrame, snow_line: DataFrame, satellite: DataFrame, human: DataFrame, worst: DataFrame, creek: DataFrame) -> DataFrame:
     """Severity, status with the overlay of fords, conflicts as sentences, score and confidence; places without evidence are unknown.
 
-    The snowline counts only where no sensor does. All kinds are one long table, grouped once.
+    The snow line counts only where no sensor does. All kinds are one long table, grouped once.
     """
     nothing = F.lit(None)
 
@@ -200,13 +200,13 @@ def fused(places: DataFrame, dates: list[str], sensor: DataFrame, snowline: Data
 
     same = {c: F.col(c) for c in ("severity", "weight", "age")}
     parts = part(sensor, "sensor", **same)
-    parts = parts.unionByName(part(snowline, "snowline", severity=F.col("severity"), weight=F.col("weight")))
+    parts = parts.unionByName(part(snow_line, "snow_line", severity=F.col("severity"), weight=F.col("weight")))
     parts = parts.unionByName(part(satellite, "satellite", **same, modeled=F.col("modeled")))
     parts = parts.unionByName(part(human, "reports", **same, n=F.col("n_reports")))
     parts = parts.unionByName(part(worst, "worst", word=F.col("worst"))).unionByName(part(creek, "creek", flow=F.col("flow")))
     every = places.select(F.col("key").alias("slug"), F.explode(F.array(*(F.lit(d).cast("date") for d in dates))).alias("eval_date"))
     parts = parts.unionByName(part(every, "place"))
-    kinds = ("sensor", "snowline", "satellite", "reports")
+    kinds = ("sensor", "snow_line", "satellite", "reports")
 
     def of(kind: str, c: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col(c)))
@@ -216,7 +216,7 @@ def fused(places: DataFrame, dates: list[str], sensor: DataFrame, snowline: Data
         of("satellite", "modeled").alias("modeled"), of("reports", "n").alias("n_reports"), of("worst", "word").alias("worst"), of("creek", "flow").alias("flow"), of("place", "kind").alias("known"),
     ).filter("known is not null")
     for c in ("severity", "weight"):
-        wide = wide.withColumn(f"snowline_{c}", F.when(F.col("sensor_severity").isNull(), F.col(f"snowline_{c}")))
+        wide = wide.withColumn(f"snow_line_{c}", F.when(F.col("sensor_severity").isNull(), F.col(f"snow_line_{c}")))
     s = {k: F.col(f"{k}_severity") for k in kinds}
     total = sum((F.coalesce(F.col(f"{k}_weight"), F.lit(0.0)) for k in kinds), F.lit(0.0))
     severity = sum((F.coalesce(s[k] * F.col(f"{k}_weight"), F.lit(0.0)) for k in kinds), F.lit(0.0)) / F.nullif(total, F.lit(0.0))
@@ -224,7 +224,7 @@ def fused(places: DataFrame, dates: list[str], sensor: DataFrame, snowline: Data
     status = F.when(F.col("severity").isNull(), "unknown").when(F.col("worst") == "dangerous", STATUSES[3])
     status = status.when((F.col("worst") == "thigh_high") & (F.col("severity") < CUTS[0]), STATUSES[1]).otherwise(status_of(F.col("severity")))
     scene = F.when(F.col("modeled"), "Modeled snow cover").otherwise("Satellite")
-    names = {"sensor": (F.lit("Sensors"), "suggest", "do"), "snowline": (F.lit("The snowline estimate"), "suggests", "does"), "satellite": (scene, "suggests", "does"), "reports": (F.lit("Parties on the ground"), "suggest", "do")}
+    names = {"sensor": (F.lit("Sensors"), "suggest", "do"), "snow_line": (F.lit("The snow line estimate"), "suggests", "does"), "satellite": (scene, "suggests", "does"), "reports": (F.lit("Parties on the ground"), "suggest", "do")}
 
     def sentence(hi: str, lo: str) -> Column:
         return F.concat(
@@ -237,7 +237,7 @@ def fused(places: DataFrame, dates: list[str], sensor: DataFrame, snowline: Data
     differ = F.coalesce(F.greatest(*(F.abs(s[a] - s[b]) for a, b in pairs)), F.lit(0.0))
     score = (
         F.when(s["sensor"].isNull(), 0.0).when(F.col("sensor_age") <= 2, 2.0).when(F.col("sensor_age") <= 7, 1.0).otherwise(0.5)
-        + F.when(s["snowline"].isNull(), 0.0).otherwise(0.5)
+        + F.when(s["snow_line"].isNull(), 0.0).otherwise(0.5)
         + F.when(s["satellite"].isNull(), 0.0).when(F.col("satellite_age") <= 4, 1.5).otherwise(0.75)
         + F.coalesce(F.least(F.lit(3.0), F.col("n_reports").cast("double")), F.lit(0.0))
         + F.when(F.col("flow").isNull(), 0.0).otherwise(1.0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Cut points of severity, and the statuses below them and above the last.
 CUTS = (0.5, 1.25, 2.1)
-STATUSES = ("open", "patchy", "snow_caution", "not_recommended")
+STATUSES = ("open", "snow_caution", "traction_advised", "not_recommended")
 #: Severity that a fused status may differ between two kinds without a conflict.
 AGREE = 1.0
 
@@ -46,7 +46,7 @@ def fuse(components: DataFrame) -> DataFrame:
     penalty = F.when(F.col("spread") > 1.5, 2).when(F.col("spread") > 0.8, 1).otherwise(0)
     score = F.col("kinds") * 2 + F.when(F.col("age") <= 2, 1).otherwise(0) - penalty
     out = out.withColumn("score", score.cast("int"))
-    grade = F.when(F.col("score") >= 5, "high").when(F.col("score") >= 3, "moderate").otherwise("low")
+    grade = F.when(F.col("score") >= 5, "high").when(F.col("score") >= 2.5, "moderate").otherwise("low")
     return out.select(
         "slug", "eval_date", "severity", status_of(F.col("severity")).alias("status"), F.array_join(pairs, ",").alias("conflicts"), "score", grade.alias("confidence")
     )

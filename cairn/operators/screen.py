@@ -1,56 +1,109 @@
-"""Screening of faulty readings as of a date: a ceiling, and readings that stay flat in the melt season."""
+"""Screening of faulty readings: a ceiling, and readings that stay flat in the melt season."""
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Most water (in), spread and least value of a flat run (in), readings in season that make it a fault.
 CEILING, FLAT, FLAT_LEAST, RUN = 200.0, 0.25, 1.0, 7
 MELT = ("06-01", "09-30")
+WINDOW = 10
+
+
+def run_starts(values: np.ndarray) -> np.ndarray:
+    """For each reading the place of the first of the longest flat run that ends there (itself, if none does).
+
+    The spread of a stretch only grows with its length, so for all readings at once the first place
+    is found by bisection, with the least and greatest of stretches of 1, 2, 4, ... readings at hand.
+    """
+    n = len(values)
+    fit = (values >= FLAT_LEAST) & (values <= CEILING)
+    low, high = [np.where(fit, values, -np.inf)], [np.where(fit, values, np.inf)]
+    while 1 << len(low) <= n:
+        half = 1 << (len(low) - 1)
+        low.append(np.minimum(low[-1][:-half], low[-1][half:]))
+        high.append(np.maximum(high[-1][:-half], high[-1][half:]))
+    start = np.arange(n)
+    least, most = low[0].copy(), high[0].copy()
+    for k in range(len(low) - 1, -1, -1):
+        # Each stretch grows by 2**k readings to the left where it stays flat.
+        at = start - (1 << k)
+        can = at >= 0
+        with np.errstate(invalid="ignore"):
+            a = np.minimum(least[can], low[k][at[can]])
+            b = np.maximum(most[can], high[k][at[can]])
+            flat = b - a <= FLAT
+        grown = np.flatnonzero(can)[flat]
+        start[grown] = at[grown]
+        least[grown], most[grown] = a[flat], b[flat]
+    return start
+
 
+def faults(days: pd.Series, values: np.ndarray) -> np.ndarray:
+    """For each reading the first place of the faulty run that ends there, or -1."""
+    start = run_starts(values)
+    warm = np.concatenate(([0], np.cumsum([MELT[0] <= str(d)[5:10] <= MELT[1] for d in days])))
+    here = np.arange(len(values))
+    stuck = (values >= FLAT_LEAST) & (warm[here + 1] - warm[start] >= RUN)
+    return np.where(values > CEILING, here, np.where(stuck, start, -1))
 
-def faults(days: list[str], values: list[float]) -> list[int]:
-    """For each reading the start of the faulty run that ends there, or -1."""
-    out, low = [], 0
-    for i, value in enumerate(values):
-        low = max(low, 0)
-        start = i
-        lo = hi = value
-        while start > 0 and FLAT_LEAST <= values[start - 1] <= CEILING and max(hi, values[start - 1]) - min(lo, values[start - 1]) <= FLAT:
-            start -= 1
-            lo, hi = min(lo, values[start]), max(hi, values[start])
-        warm = sum(MELT[0] <= d[5:10] <= MELT[1] for d in days[start : i + 1])
-        out.append(i if value > CEILING else start if value >= FLAT_LEAST and warm >= RUN else -1)
-    return out
+
+def _kept(start: np.ndarray, last: int) -> np.ndarray:
+    """Places believed as of the reading ``last``: each fault met on the way back takes its run with it."""
+    kept = []
+    while last >= 0:
+        if start[last] < 0:
+            kept.append(last)
+        last = (start[last] if start[last] >= 0 else last) - 1
+    return np.array(kept[::-1], int)
 
 
 def believed(daily: DataFrame) -> DataFrame:
-    """``daily`` (station, day, value) with ``believed`` as of each station's newest day.
+    """``daily`` (station, day, value) with ``believed`` as of each station's newest day.
 
     From the newest reading backwards a faulty run is rejected whole and the walk goes on
-    before it. What comes next depends on what was rejected, so the walk is a loop
-    over one station's series, which is short (a reading a day); stations are dealt out
-    over the tasks.
+    before it, so what is rejected depends on what was rejected after it. Stations are dealt out
+    over the tasks; a station has a reading a day.
     """
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("day", ignore_index=True)
-        start = faults([str(d) for d in rows["day"]], rows["value"].tolist())
-        ok, i = [True] * len(rows), len(rows) - 1
-        while i >= 0:
-            if start[i] >= 0:
-                ok[start[i] : i + 1] = [False] * (i + 1 - start[i])
-                i = start[i]
-            i -= 1
+        ok = np.zeros(len(rows), bool)
+        ok[_kept(faults(rows["day"], rows["value"].to_numpy(float)), len(rows) - 1)] = True
         return rows.assign(believed=ok)
 
     return daily.select("station", "day", "value").groupBy("station").applyInPandas(walk, "station long, day date, value double, believed boolean")
 
 
+def believed_as_of(daily: DataFrame, dates: list[str]) -> DataFrame:
+    """Station, eval_date, day, value, faulty_since: the readings of the window that are believed at each date.
+
+    If a station's newest reading is rejected, it falls silent: none of its window is believed; if that
+    reading lies in the window, one row without a day tells since when the station is faulty.
+    """
+    whens = [pd.Timestamp(d).date() for d in dates]
+
+    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("day", ignore_index=True)
+        days, values = rows["day"].tolist(), rows["value"].to_numpy(float)
+        start, out = faults(rows["day"], values), []
+        for when in whens:
+            last = int(np.searchsorted(np.array(days, "datetime64[D]"), np.datetime64(when), "right")) - 1
+            if last < 0:
+                continue
+            if start[last] >= 0:
+                if (when - days[last]).days <= WINDOW:
+                    out.append((key[0], when, None, None, days[start[last]]))
+                continue
+            out += [(key[0], when, days[i], values[i], None) for i in _kept(start, last) if (when - days[i]).days <= WINDOW]
+        return pd.DataFrame(out, columns=["station", "eval_date", "day", "value", "faulty_since"])
+
+    return daily.select("station", "day", "value").groupBy("station").applyInPandas(judge, "station long, eval_date date, day date, value double, faulty_since date")
+
+
 def ceiling_counts(daily: DataFrame, ceiling: float) -> DataFrame:
     """station, readings, over: readings above a ceiling."""
     return daily.groupBy("station").agg(F.count("*").alias("readings"), F.sum((F.col("value") > ceiling).cast("long")).alias("over"))
-
-

@@ -12,7 +12,7 @@ from .season import middle, season_day
 #: Least rise of water and depth (in), most water a day, days that a reading stays new, windows in days.
 WATER, DEPTH, MOST, NEW = 0.3, 2.0, 10.0, 2
 WINDOWS = {"24h": 1, "72h": 3}
-#: Feet a day that a snowline climbs, slow and fast, days of scatter, feet between station and place, last day of a window.
+#: Feet a day that a snow line climbs, slow and fast, days of scatter, feet between station and place, last day of a window.
 SLOW, FAST, PAD, GAP, LAST = 40.0, 100.0, 21, 2500.0, "10-15"
 
 

@@ -30,7 +30,7 @@ _RUNS = """SELECT station, day, value, since, observed, next FROM (
     FROM (SELECT station, day, value, lag(value) OVER (PARTITION BY station ORDER BY day) AS before,
       coalesce(day - lag(day) OVER (PARTITION BY station ORDER BY day) <= 20 AND year(day) = year(lag(day) OVER (PARTITION BY station ORDER BY day)), false) AS joined FROM {0} s) a) b
   WINDOW w AS (PARTITION BY station ORDER BY day ROWS UNBOUNDED PRECEDING)) c"""
-_SNOWLINES = f"""SELECT slug, eval_date, CAST(round(least(line, 14500.0) / 100) AS BIGINT) AS hundreds, station, since, observed,
+_SNOW_LINES = f"""SELECT slug, eval_date, CAST(round(least(line, 14500.0) / 100) AS BIGINT) AS hundreds, station, since, observed,
   CAST(round(CAST(CASE WHEN place_ft - line <= -500 THEN 0.0 WHEN place_ft - line <= 0 THEN 0.5 ELSE least(2e0, 5e-1 + (place_ft - line) / 1e3) END AS DECIMAL(12,6)), 2) AS DOUBLE) AS severity, 0.405 AS weight
 FROM (SELECT *, row_number() OVER (PARTITION BY slug, eval_date ORDER BY line DESC, station) AS r FROM (
   SELECT l.lkey AS slug, eval_date, r.station, r.since, r.observed, s.elevation_ft + 40e0 * (eval_date - r.since) AS line, s.elevation_ft + l.gap_ft AS place_ft
@@ -86,10 +86,10 @@ def blind_stations(t: Tables) -> DataFrame:
     return C.blind(_read(t))
 
 
-@query(f"SELECT slug, eval_date, hundreds, station, since, observed, severity FROM ({_SNOWLINES}) s")
-def snowline_estimate(t: Tables) -> DataFrame:
-    """The snowline that melted-out stations imply."""
-    return C.snowlines(_linked(t), t.snowpack, _D).drop("weight")
+@query(f"SELECT slug, eval_date, hundreds, station, since, observed, severity FROM ({_SNOW_LINES}) s")
+def snow_line_estimate(t: Tables) -> DataFrame:
+    """The snow line that melted-out stations imply."""
+    return C.snow_lines(_linked(t), t.snowpack, _D).drop("weight")
 
 
 @query(
@@ -125,8 +125,8 @@ def creek_facts(t: Tables) -> DataFrame:
     return C.creeks(t.gauges, _D)
 
 
-_S = {"sensor": "a", "snowline": "b", "satellite": "c", "reports": "d"}
-_NAME = {"a": "'Sensors'", "b": "'The snowline estimate'", "c": "CASE WHEN modeled THEN 'Modeled snow cover' ELSE 'Satellite' END", "d": "'Parties on the ground'"}
+_S = {"sensor": "a", "snow_line": "b", "satellite": "c", "reports": "d"}
+_NAME = {"a": "'Sensors'", "b": "'The snow line estimate'", "c": "CASE WHEN modeled THEN 'Modeled snow cover' ELSE 'Satellite' END", "d": "'Parties on the ground'"}
 _VERB = {"a": ("suggest", "do"), "b": ("suggests", "does"), "c": ("suggests", "does"), "d": ("suggest", "do")}
 _PAIRS = [(x, y) for i, x in enumerate("abcd") for y in "abcd"[i + 1 :]]
 
@@ -141,7 +141,7 @@ _DIFFER = "greatest(0.0, " + ", ".join(f"coalesce(abs({x} - {y}), 0.0)" for x, y
 _VERDICT = f"""WITH w AS (
   SELECT p.key AS slug, e.eval_date, s.severity AS a, CASE WHEN s.severity IS NULL THEN n.severity END AS b, c.severity AS c, h.severity AS d, s.weight AS wa, n.weight AS wb, c.weight AS wc, h.weight AS wd,
     s.age AS age_a, c.age AS age_c, c.modeled, h.n_reports, x.worst, k.flow
-  FROM $places p CROSS JOIN {_DATES} e LEFT JOIN ({_SENSORS}) s ON s.slug = p.key AND s.eval_date = e.eval_date LEFT JOIN ({_SNOWLINES}) n ON n.slug = p.key AND n.eval_date = e.eval_date
+  FROM $places p CROSS JOIN {_DATES} e LEFT JOIN ({_SENSORS}) s ON s.slug = p.key AND s.eval_date = e.eval_date LEFT JOIN ({_SNOW_LINES}) n ON n.slug = p.key AND n.eval_date = e.eval_date
   LEFT JOIN ({_SCENES}) c ON c.slug = p.key AND c.eval_date = e.eval_date LEFT JOIN ({_REPORTS}) h ON h.slug = p.key AND h.eval_date = e.eval_date
   LEFT JOIN ({_WORST}) x ON x.slug = p.key AND x.eval_date = e.eval_date LEFT JOIN ({_CREEKS}) k ON k.slug = p.key AND k.eval_date = e.eval_date
 ), v AS (
@@ -160,7 +160,7 @@ SELECT slug, eval_date, round(sev, 2) AS severity,
 
 def verdicts(t: Tables) -> DataFrame:
     return C.fused(
-        t.places, _D, C.sensors(_read(t)), C.snowlines(_linked(t), t.snowpack, _D), C.scenes(t.scenes, _D, _rejected(t)), C.reports(t.told, _D), C.worst_crossings(t.told, _D), C.creeks(t.gauges, _D)
+        t.places, _D, C.sensors(_read(t)), C.snow_lines(_linked(t), t.snowpack, _D), C.scenes(t.scenes, _D, _rejected(t)), C.reports(t.told, _D), C.worst_crossings(t.told, _D), C.creeks(t.gauges, _D)
     )
 
 

@@ -43,7 +43,7 @@ def asof_newest(t: Tables) -> DataFrame:
 SELECT station, eval_date, round((arg_max(value, (day, ord)) - arg_min(value, (day, ord))) / greatest(max(day) - min(day), 1), 6) AS per_day FROM o GROUP BY station, eval_date"""
 )
 def trend_in_window(t: Tables) -> DataFrame:
-    """A02."""
+    """Newest minus oldest value of each station alone; the trend of a place (A02) is in ``sensor_component``."""
     return asof.trend(t.readings.filter("kind = 'purchase'"), list(DATES), 10)
 
 
@@ -133,8 +133,8 @@ def weighted_reading(t: Tables) -> DataFrame:
     return _component(t, *_SENSOR).withColumn("value", F.round("value", 4)).withColumn("weight", F.round("weight", 6))
 
 
-_FUSED = f"""SELECT slug, eval_date, severity, CASE WHEN severity < 0.5 THEN 'open' WHEN severity < 1.25 THEN 'patchy' WHEN severity < 2.1 THEN 'snow_caution' ELSE 'not_recommended' END AS status,
-  CASE WHEN kinds = 2 AND spread > 1.0 THEN 'cover~sensor' ELSE '' END AS conflicts, score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'moderate' ELSE 'low' END AS confidence
+_FUSED = f"""SELECT slug, eval_date, severity, CASE WHEN severity < 0.5 THEN 'open' WHEN severity < 1.25 THEN 'snow_caution' WHEN severity < 2.1 THEN 'traction_advised' ELSE 'not_recommended' END AS status,
+  CASE WHEN kinds = 2 AND spread > 1.0 THEN 'cover~sensor' ELSE '' END AS conflicts, score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2.5 THEN 'moderate' ELSE 'low' END AS confidence
 FROM (SELECT *, CAST(kinds * 2 + CASE WHEN age <= 2 THEN 1 ELSE 0 END - CASE WHEN spread > 1.5 THEN 2 WHEN spread > 0.8 THEN 1 ELSE 0 END AS INTEGER) AS score
   FROM (SELECT slug, eval_date, round(sum(severity * weight) / sum(weight), 6) AS severity, count(*) AS kinds, min(age) AS age, max(severity) - min(severity) AS spread
     FROM (SELECT * FROM ({_component_sql(*_SENSOR)}) a UNION ALL SELECT * FROM ({_component_sql(*_COVER)}) b) c GROUP BY slug, eval_date) f) s"""
@@ -147,11 +147,11 @@ def _fused(t: Tables) -> DataFrame:
 
 @query(_FUSED)
 def fused_status(t: Tables) -> DataFrame:
-    """Severity, status, conflicts and confidence of each place at each date."""
+    """A05 in short, of two kinds of evidence; ``place_verdict`` fuses all of them."""
     return _fused(t)
 
 
-@query(f"SELECT slug, string_agg(CASE status WHEN 'open' THEN '0' WHEN 'patchy' THEN '1' WHEN 'snow_caution' THEN '2' ELSE '3' END, '' ORDER BY eval_date) AS codes FROM ({_FUSED}) f GROUP BY slug")
+@query(f"SELECT slug, string_agg(CASE status WHEN 'open' THEN '0' WHEN 'snow_caution' THEN '1' WHEN 'traction_advised' THEN '2' ELSE '3' END, '' ORDER BY eval_date) AS codes FROM ({_FUSED}) f GROUP BY slug")
 def status_string(t: Tables) -> DataFrame:
     """A digit per date."""
     return fusion.status_strings(_fused(t))
@@ -234,7 +234,7 @@ def day_over_day(t: Tables) -> DataFrame:
 SELECT 'union' AS op, user_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'except', user_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'both', user_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b)"""
 )
 def set_ops(t: Tables) -> DataFrame:
-    """Union, difference and intersection of keys."""
+    """Union, difference and intersection of keys."""
     a = t.events.filter("event_type = 'purchase'").select("user_id").distinct()
     b = t.events.filter("event_type = 'error' and ts < timestamp_ntz'2024-01-10'").select("user_id").distinct()
     sets = {"union": a.union(b).distinct(), "except": a.subtract(b), "both": a.intersect(b)}

@@ -42,7 +42,7 @@ def near_a_place(t: Tables) -> DataFrame:
 
 @query("SELECT key FROM $places p WHERE NOT EXISTS (SELECT 1 FROM $stations s WHERE " + _KM.format(a="p", b="s") + " <= 12)")
 def far_from_stations(t: Tables) -> DataFrame:
-    """The others."""
+    """The others."""
     near = links.within(t.places, t.stations, 12).select(F.col("lkey").alias("key"))
     return t.places.select("key").join(near, "key", "left_anti")
 
@@ -95,7 +95,7 @@ x AS (SELECT slug, CAST(day AS DATE) AS day, v, CAST(epoch(least(e, day + INTERV
 SELECT slug, day, max(v) AS highest, min(v) AS lowest, CAST(sum(CAST(round(v * 100) AS BIGINT) * secs // total) AS BIGINT) AS hundredths FROM x WHERE secs > 0 GROUP BY slug, day"""
 )
 def forecast_rollup(t: Tables) -> DataFrame:
-    """Intervals split over days, amounts by their share of each."""
+    """Intervals split over whole days in UTC, amounts by their share of each."""
     end = F.col("o_orderdate") + F.make_dt_interval(hours=(6 + F.col("o_orderkey") % 60).cast("int"))
     spans = t.orders.select((F.col("o_custkey") % 50).alias("slug"), F.col("o_orderdate").alias("start"), end.alias("end"), F.col("o_totalprice").alias("value"))
     return rollup.by_day(spans)
@@ -103,7 +103,7 @@ def forecast_rollup(t: Tables) -> DataFrame:
 
 @query("SELECT day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM (SELECT CAST(ts AS DATE) AS day, event_type FROM events) e GROUP BY day")
 def stream_daily_counts(t: Tables) -> DataFrame:
-    """Counts by event time under a watermark, read as a stream to its end."""
+    """Counts by event time under a watermark, read as a stream to its end."""
     from ..streaming import ingest
 
     return ingest.daily_counts(t.spark, t.sf_dir)
@@ -111,7 +111,7 @@ def stream_daily_counts(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
 def stream_upsert(t: Tables) -> DataFrame:
-    """Micro-batches merged into a table of latest rows."""
+    """Micro-batches merged into a table of latest rows."""
     from ..streaming import ingest
 
     return ingest.upserted(t.spark, t.sf_dir)

@@ -71,7 +71,7 @@ FROM (SELECT station, max(day) AS day, arg_max(value, day) AS value FROM $daily
 
 @query(f"SELECT station, grp, verdict, verdict = 'new' AND count(*) FILTER (WHERE verdict = 'new') OVER (PARTITION BY grp) > 1 AS confirmed FROM (SELECT v.*, station % 40 AS grp FROM ({_VERDICT}) v) g")
 def neighbour_confirm(t: Tables) -> DataFrame:
-    """New snow that another station of the group sees too."""
+    """New snow that another station of the group sees too."""
     delta = F.col("delta")
     verdict = F.when(delta.between(0.3, 30), "new").when(delta.isNull(), "unknown").otherwise("none")
     told = islands.change(t.daily, 3).select("station", (F.col("station") % 40).alias("grp"), verdict.alias("verdict"))
@@ -88,10 +88,16 @@ def fault_ceiling(t: Tables) -> DataFrame:
 
 @query()
 def screened_series(t: Tables) -> DataFrame:
-    """What to believe of each station as of its newest day. No SQL: each rejection moves the next one."""
+    """What to believe of each station as of its newest day. No SQL: each rejection moves the next one."""
     return screen.believed(t.season)
 
 
+@query()
+def screened_as_of(t: Tables) -> DataFrame:
+    """What to believe of each station at several dates, faulty ones silent. No SQL, as above."""
+    return screen.believed_as_of(t.season, ["1996-06-20", "1997-07-15", "1998-09-01", "2001-12-01"])
+
+
 @query(
     """SELECT station, day, round(value, 1) AS value FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY day) AS i, count(*) OVER (PARTITION BY station) AS n FROM $season s) x
 WHERE (i - 1) % 3 = 0 OR i = n"""
@@ -134,7 +140,7 @@ def season_compare(t: Tables) -> DataFrame:
 SELECT years, CAST(max(n) AS BIGINT) AS seasons, count(*) AS stations, round(max(mean), 4) AS highest FROM y GROUP BY years"""
 )
 def baseline_groups(t: Tables) -> DataFrame:
-    """Stations with the same years on file."""
+    """Stations with the same years on file."""
     own = season.summaries(t.season).groupBy("station").agg(
         F.array_join(F.array_sort(F.collect_list("year")).cast("array<string>"), ",").alias("years"), F.count("*").alias("n"), F.round(F.avg("peak"), 6).alias("mean")
     )

@@ -39,7 +39,7 @@ def alias_fuzzy(t: Tables) -> DataFrame:
 
 @query("SELECT key, name FROM (SELECT p_partkey AS key, p_name AS name FROM part) p WHERE contains(lower(name), 'ro') ORDER BY starts_with(lower(name), 'ro') DESC, name, key LIMIT 8")
 def name_search_topk(t: Tables) -> DataFrame:
-    """What is typed, in names; a report of eight."""
+    """What is typed, in names; a report of eight."""
     return names.search(t.part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")), "ro")
 
 
@@ -86,7 +86,7 @@ def html_text(t: Tables) -> DataFrame:
 
 @query()
 def html_items(t: Tables) -> DataFrame:
-    """Headings, lines and cells in order. No SQL: unclosed tags need a parser."""
+    """Headings, lines and cells in order. No SQL: unclosed tags need a parser."""
     return html.items(t.pages.select(F.col("page_id").alias("key"), "html"))
 
 
@@ -94,7 +94,7 @@ def html_items(t: Tables) -> DataFrame:
     """SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(ts AS DATE) WHEN 1 THEN CAST(ts AS DATE) END AS found FROM events"""
 )
 def date_extract(t: Tables) -> DataFrame:
-    """The date in a sentence, in either form, or none."""
+    """the date in a sentence, in either form, or none."""
     us = F.concat_ws("/", F.month("ts"), F.dayofmonth("ts"), F.year("ts") % 100)
     said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("seen "), F.to_date("ts"), F.lit(" at noon"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("on "), us)).otherwise("13/45/2024")
     return t.events.select("event_id", text.found_date(said).alias("found"))
@@ -107,6 +107,6 @@ _AGE = "(DATE '2001-08-01' - CAST(o_orderdate AS DATE))"
     f"""SELECT o_orderkey, CASE WHEN {_AGE} <= 0 THEN 'today' WHEN {_AGE} = 1 THEN 'yesterday' WHEN {_AGE} < 14 THEN {_AGE} || ' days ago' WHEN {_AGE} < 60 THEN {_AGE} // 7 || ' weeks ago' ELSE {_AGE} // 30 || ' months ago' END AS age FROM orders"""
 )
 def age_words(t: Tables) -> DataFrame:
-    """F21, F22."""
+    """F22."""
     days = F.datediff(F.lit("2001-08-01").cast("date"), F.to_date("o_orderdate"))
     return t.orders.select("o_orderkey", text.age_in_words(days).alias("age"))

@@ -52,7 +52,7 @@ def corpus_facts(t: Tables) -> DataFrame:
 
 @query("SELECT id, place, engine - observed AS steps, day FROM $reports r WHERE engine <> observed")
 def misses(t: Tables) -> DataFrame:
-    """What was missed, less first, by steps."""
+    """What was missed, less first, by steps."""
     rows = t.reports.filter("engine <> observed").select("id", "place", (F.col("engine") - F.col("observed")).alias("steps"), "day")
     return rows.orderBy(F.col("steps") > 0, F.abs("steps").desc(), "day", "id")
 

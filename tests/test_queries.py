@@ -3,9 +3,10 @@
 import difflib
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 import pytest
-from cairn.operators import screen
+from cairn.operators import names, screen
 from cairn.plans import registry
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
@@ -17,16 +18,16 @@ def test_same_as_sql(spark, sf, same_as_sql, name):
 
 
 def test_only_these_have_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"screened_series", "alias_fuzzy", "html_items"}
+    assert set(QUERIES) - set(ORACLES) == {"screened_series", "screened_as_of", "alias_fuzzy", "html_items", "resolved_names"}
 
 
 def test_fuzzy_names(spark, sf):
     part = pd.read_parquet(f"{sf}/part.parquet")
-    names = sorted(set(part["p_name"]))
+    known = sorted(set(part["p_name"]))
     want = {}
     for key, name in zip(part["p_partkey"], part["p_name"]):
         typed = name[:4] + name[5:]
-        best = difflib.get_close_matches(typed, names, 1, 0.78)
+        best = difflib.get_close_matches(typed, known, 1, 0.78)
         if best:
             want[key] = best[0]
     assert {r["key"]: r["name"] for r in QUERIES["alias_fuzzy"](spark, sf).collect()} == want
@@ -56,29 +57,60 @@ def test_html_items_hold_all_visible_words(spark, sf):
     assert {"heading", "line"} <= set(got["kind"])
 
 
-def test_screen_of_whole_table(spark, sf):
-    """A slow walk that looks at every run from scratch."""
-    got = QUERIES["screened_series"](spark, sf).toPandas().sort_values(["station", "day"])
+def _fault(days, values, i):
+    """By the definition: of all stretches that end at i the longest flat one, and what makes it a fault."""
+    if values[i] > screen.CEILING:
+        return i
+    flat = [s for s in range(i + 1) if all(screen.FLAT_LEAST <= v <= screen.CEILING for v in values[s : i + 1]) and max(values[s : i + 1]) - min(values[s : i + 1]) <= screen.FLAT]
+    return min(flat) if flat and sum("06-01" <= str(d)[5:10] <= "09-30" for d in days[min(flat) : i + 1]) >= screen.RUN else None
+
 
-    def fault(days, values, i):
-        if values[i] > screen.CEILING:
-            return i
-        if values[i] < screen.FLAT_LEAST:
-            return None
-        start = i
-        while start and screen.FLAT_LEAST <= values[start - 1] <= screen.CEILING and max(values[start - 1 : i + 1]) - min(values[start - 1 : i + 1]) <= screen.FLAT:
-            start -= 1
-        return start if sum("06-01" <= d[5:10] <= "09-30" for d in days[start : i + 1]) >= screen.RUN else None
+def _believed(days, values):
+    """Places believed as of the newest: a set that holds i if no fault that counts covers it."""
+    gone = set()
+    for i in reversed(range(len(values))):
+        if i not in gone and (start := _fault(days, values, i)) is not None:
+            gone |= set(range(start, i + 1))
+    return [i not in gone for i in range(len(values))]
 
+
+def test_screen_of_whole_table(spark, sf):
+    got = QUERIES["screened_series"](spark, sf).toPandas().sort_values(["station", "day"])
     for _, rows in got.groupby("station"):
-        days, values, i, ok = [str(d) for d in rows["day"]], rows["value"].tolist(), len(rows) - 1, [True] * len(rows)
-        while i >= 0:
-            start = fault(days, values, i)
-            if start is not None:
-                ok[start : i + 1] = [False] * (i + 1 - start)
-                i = start
-            i -= 1
-        assert ok == rows["believed"].tolist()
+        assert _believed(rows["day"].tolist(), rows["value"].tolist()) == rows["believed"].tolist()
+
+
+def test_screen_of_flat_runs(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for station in range(30):
+        value, day = 5.0, pd.Timestamp("2024-05-01")
+        for _ in range(90):
+            value = rng.choice([value, value, value, value + 0.1, value - 0.1, value - 0.4, 250.0 if station % 5 == 0 else value, 0.5]) if value < 201 else 5.0
+            day += pd.Timedelta(days=int(rng.integers(1, 3)))
+            rows.append((station, day.date(), float(value)))
+    daily = spark.createDataFrame(rows, "station long, day date, value double")
+    table = pd.DataFrame(rows, columns=["station", "day", "value"])
+    got = screen.believed(daily).toPandas().sort_values(["station", "day"])
+    assert not got["believed"].all()
+    dates = ["2024-06-20", "2024-07-10", "2024-08-20"]
+    seen = screen.believed_as_of(daily, dates).toPandas()
+    for station, own in table.groupby("station"):
+        days, values = own["day"].tolist(), own["value"].tolist()
+        assert _believed(days, values) == got[got["station"] == station]["believed"].tolist()
+        for when in map(lambda d: pd.Timestamp(d).date(), dates):
+            upto = [d for d in days if d <= when]
+            ok = _believed(upto, values[: len(upto)])
+            mine = seen[(seen["station"] == station) & (seen["eval_date"] == when)]
+            near = [d for d, o in zip(upto, ok) if o and (when - d).days <= 10] if ok[-1] else []
+            assert sorted(mine["day"].dropna()) == near
+            assert mine["faulty_since"].notna().sum() == (not ok[-1] and (when - upto[-1]).days <= 10)
+
+
+def test_names_resolved_in_three_stages(spark):
+    known = spark.createDataFrame([("a", "Elk Pass", 1), ("b", "Elk", 2), ("c", "Muir Pass", 3), ("d", "elk pass", 4)], "slug string, name string, ord int")
+    asked = spark.createDataFrame([(1, "ELK pass!"), (2, "over Muir Pass by noon, then elk"), (3, "Muir Pas"), (4, "nothing"), (5, None), (6, "elk")], "key long, text string")
+    assert {r["key"]: r["slug"] for r in names.resolve(asked, known).collect()} == {1: "a", 2: "c", 3: "c", 6: "b"}
 
 
 def test_entry(spark):
