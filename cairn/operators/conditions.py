@@ -239,7 +239,7 @@ def fused(places: DataFrame, dates: list[str], sensor: DataFrame, snow_line: Dat
         F.when(s["sensor"].isNull(), 0.0).when(F.col("sensor_age") <= 2, 2.0).when(F.col("sensor_age") <= 7, 1.0).otherwise(0.5)
         + F.when(s["snow_line"].isNull(), 0.0).otherwise(0.5)
         + F.when(s["satellite"].isNull(), 0.0).when(F.col("satellite_age") <= 4, 1.5).otherwise(0.75)
-        + F.coalesce(F.least(F.lit(3.0), F.col("n_reports").cast("double")), F.lit(0.0))
+        + F.when(F.col("n_reports").isNull(), 0.0).otherwise(F.least(F.lit(3.0), F.col("n_reports").cast("double")))
         + F.when(F.col("flow").isNull(), 0.0).otherwise(1.0)
         - F.when(differ > 1.5, 2.0).when(differ > 0.8, 1.0).otherwise(0.0)
     )

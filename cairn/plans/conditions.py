@@ -149,7 +149,7 @@ _VERDICT = f"""WITH w AS (
     / nullif(CASE WHEN a IS NULL THEN 0.0 ELSE wa END + CASE WHEN b IS NULL THEN 0.0 ELSE wb END + coalesce(wc, 0.0) + coalesce(wd, 0.0), 0.0) AS sev, {_DIFFER} AS differ FROM w
 ), g AS (
   SELECT *, CASE WHEN sev IS NULL THEN 0.0 ELSE CASE WHEN a IS NULL THEN 0.0 WHEN age_a <= 2 THEN 2.0 WHEN age_a <= 7 THEN 1.0 ELSE 0.5 END + CASE WHEN b IS NULL THEN 0.0 ELSE 0.5 END
-    + CASE WHEN c IS NULL THEN 0.0 WHEN age_c <= 4 THEN 1.5 ELSE 0.75 END + coalesce(least(3.0, n_reports), 0.0) + CASE WHEN flow IS NULL THEN 0.0 ELSE 1.0 END
+    + CASE WHEN c IS NULL THEN 0.0 WHEN age_c <= 4 THEN 1.5 ELSE 0.75 END + CASE WHEN n_reports IS NULL THEN 0.0 ELSE least(3.0, n_reports) END + CASE WHEN flow IS NULL THEN 0.0 ELSE 1.0 END
     - CASE WHEN differ > 1.5 THEN 2.0 WHEN differ > 0.8 THEN 1.0 ELSE 0.0 END END AS points FROM v
 )
 SELECT slug, eval_date, round(sev, 2) AS severity,

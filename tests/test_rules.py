@@ -3,8 +3,8 @@
 import datetime as dt
 
 import pytest
-from cairn.functions import geo, text
-from cairn.operators import asof, backtest, fusion, islands, ledger, links, rollup, screen, season
+from cairn.functions import geo, rules, text
+from cairn.operators import asof, backtest, conditions, fusion, islands, ledger, links, rollup, screen, season
 from cairn.sources import feeds, html
 from pyspark.sql import functions as F
 
@@ -75,7 +75,7 @@ def test_median_with_open_ends(spark):
 def test_statuses_and_conflicts(spark):
     rows = [(1, D(2024, 1, 1), "a", 0.0, 1.0, 1), (1, D(2024, 1, 1), "b", 1.0, 1.0, 1), (2, D(2024, 1, 1), "a", 0.0, 1.0, 9), (2, D(2024, 1, 1), "b", 3.0, 1.0, 9)]
     got = {r["slug"]: r for r in fusion.fuse(spark.createDataFrame(rows, "slug long, eval_date date, kind string, severity double, weight double, age int")).collect()}
-    assert (got[1]["status"], got[1]["conflicts"], got[1]["score"]) == ("patchy", "", 4)
+    assert (got[1]["status"], got[1]["conflicts"], got[1]["score"]) == ("snow_caution", "", 4)
     assert (got[2]["status"], got[2]["conflicts"], got[2]["confidence"]) == ("snow_caution", "a~b", "low")
 
 
@@ -152,3 +152,76 @@ def test_feeds(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"slug":"a","n":1}', '{"slug":"b","n":2}']
     feeds.append_raw(spark.createDataFrame([("s", "u", "x")], "source string, url string, body string"), str(tmp_path / "raw"))
     assert spark.read.parquet(str(tmp_path / "raw")).first()["sha256"].startswith("2d711642")
+
+
+def evidence(spark, **kinds):
+    """fused() of one place with literal components: severity, weight, age and the like."""
+    day = D(2024, 6, 1)
+    place = spark.createDataFrame([(1,)], "key long")
+
+    def rows(schema, given):
+        frame = spark.createDataFrame([(1, *given)] if given else [], "slug long, " + schema)
+        return frame.withColumn("eval_date", F.lit(day))
+
+    return conditions.fused(
+        place, ["2024-06-01"], rows("severity double, weight double, age int", kinds.get("sensor")), rows("severity double, weight double", kinds.get("line")),
+        rows("severity double, weight double, age int, modeled boolean", kinds.get("scene")), rows("severity double, weight double, age int, n_reports long", kinds.get("reports")),
+        rows("worst string", kinds.get("worst")), rows("flow double", kinds.get("flow")),
+    ).first()
+
+
+def test_no_evidence_is_unknown(spark):
+    got = evidence(spark, flow=(120.0,))
+    assert (got["status"], got["severity"], got["score"], got["confidence"]) == ("unknown", None, 0.0, "low")
+
+
+def test_weighted_mean_conflict_and_grade(spark):
+    got = evidence(spark, sensor=(2.4, 0.9, 1), scene=(0.6, 0.65, 4, False), reports=(2.0, 0.75, 2, 2), flow=(10.0,))
+    want = (2.4 * 0.9 + 0.6 * 0.65 + 2.0 * 0.75) / (0.9 + 0.65 + 0.75)
+    assert got["severity"] == round(want, 2) and got["status"] == "traction_advised"
+    assert got["conflicts"] == "Sensors suggest more snow than satellite do (severity 2.4 vs 0.6).".replace("satellite do", "satellite does") + " Parties on the ground suggest more snow than satellite does (severity 2.0 vs 0.6)."
+    assert got["score"] == 2.0 + 1.5 + 2.0 + 1.0 - 2.0 and got["confidence"] == "moderate"
+
+
+def test_a_sensor_silences_the_line_and_fords_overlay(spark):
+    got = evidence(spark, sensor=(0.2, 0.9, 0), line=(2.0, 0.405), worst=("thigh_high",))
+    assert (got["severity"], got["status"], got["score"]) == (0.2, "snow_caution", 2.0)
+    assert evidence(spark, sensor=(0.2, 0.9, 0), worst=("dangerous",))["status"] == "not_recommended"
+    assert evidence(spark, line=(2.0, 0.405))["score"] == 0.5
+
+
+@pytest.mark.parametrize(("comfort", "register", "said"), [("relaxed", "thru_hiker", 0.0), ("sketchy", "first_timer", 1.25), ("terrifying", "thru_hiker", 3.0), ("cautious", None, 1.0), ("cautious", "experienced", 1.25), (None, "unknown", None)])
+def test_comfort_by_experience(spark, comfort, register, said):
+    row = spark.createDataFrame([(comfort, register)], "c string, r string").select(conditions.calibrated(F.col("c"), F.col("r")).alias("s")).first()
+    assert row["s"] == said
+
+
+def test_reports_average_what_they_say(spark):
+    told = spark.createDataFrame([(1, D(2024, 6, 1), "deep", "crampons", None, None), (1, D(2024, 5, 27), "none", None, None, None), (1, D(2024, 5, 1), "deep", None, None, None), (1, D(2024, 6, 1), None, None, None, None)], "slug long, day date, snow string, traction string, comfort string, register string")
+    got = conditions.reports(told, ["2024-06-01"]).first()
+    assert got["n_reports"] == 2 and got["age"] == 0 and got["severity"] == round((2.625 * 1 + 0.0 * 0.5) / 1.5, 2) and abs(got["weight"] - 0.75) < 1e-12
+
+
+def test_trend_is_of_the_weighted_mean(spark):
+    linked = spark.createDataFrame(
+        [(1, 10, D(2024, 6, 1), D(2024, 6, 1), 4.0, 0, D(2024, 5, 27), 6.0, 0.0, 0.0), (1, 11, D(2024, 6, 1), D(2024, 5, 31), 8.0, 1, D(2024, 5, 29), 9.0, 10.0, 0.0), (1, 12, D(2024, 6, 1), D(2024, 6, 1), 0.4, 0, D(2024, 6, 1), 0.4, 1.0, 301.0)],
+        "slug long, station long, eval_date date, day date, value double, age int, first_day date, first_value double, km double, gap_ft double",
+    )
+    got = conditions.sensors(linked).first()
+    swe = (4.0 * 1 + 8.0 * 0.5) / 1.5
+    assert got["swe"] == round(swe, 1) and got["trend"] == round((swe - 7.5) / 5, 2) and got["stations"] == [10, 11]
+
+
+def test_line_from_quiet_and_blind_stations(spark):
+    days = [(1, D(2024, 5, 1), 3.0)] + [(1, D(2024, 5, 2) + dt.timedelta(days=i), 0.0) for i in range(3)] + [(2, D(2024, 5, 20) + dt.timedelta(days=i), 0.0) for i in range(13)]
+    daily = spark.createDataFrame(days, "station long, day date, value double")
+    linked = spark.createDataFrame([(7, 1, 1000.0, 6000.0), (7, 2, 2000.0, 5000.0)], "slug long, station long, gap_ft double, station_ft double")
+    got = conditions.snow_lines(linked, daily, ["2024-06-01"]).first()
+    assert (got["station"], got["since"], got["observed"], got["hundreds"]) == (1, D(2024, 5, 2), True, 72) and got["severity"] == 0.5
+    assert conditions.snow_lines(linked.filter("station = 2"), daily, ["2024-06-01"]).first()["hundreds"] == 55
+
+
+def test_excerpt_ends_with_a_sentence(spark):
+    text = "Mt. Hood Rd. closed. " + "Snow at 5 mi. from the gate and on. " * 3 + "Next sentence that runs on and on and on."
+    row = spark.createDataFrame([(text, "short", "x" * 500)], "a string, b string, c string").select(rules.excerpt(F.col("a"), 60).alias("a"), rules.excerpt(F.col("b"), 60).alias("b"), rules.excerpt(F.col("c"), 60).alias("c")).first()
+    assert row["a"] == "Mt. Hood Rd. closed. Snow at 5 mi. from the gate and on." and row["b"] == "short" and row["c"] == "x" * 500
