@@ -76,7 +76,7 @@ def test_statuses_and_conflicts(spark):
     rows = [(1, D(2024, 1, 1), "a", 0.0, 1.0, 1), (1, D(2024, 1, 1), "b", 1.0, 1.0, 1), (2, D(2024, 1, 1), "a", 0.0, 1.0, 9), (2, D(2024, 1, 1), "b", 3.0, 1.0, 9)]
     got = {r["slug"]: r for r in fusion.fuse(spark.createDataFrame(rows, "slug long, eval_date date, kind string, severity double, weight double, age int")).collect()}
     assert (got[1]["status"], got[1]["conflicts"], got[1]["score"]) == ("snow_caution", "", 4)
-    assert (got[2]["status"], got[2]["conflicts"], got[2]["confidence"]) == ("snow_caution", "a~b", "low")
+    assert (got[2]["status"], got[2]["conflicts"], got[2]["confidence"]) == ("traction_advised", "a~b", "low")
 
 
 def test_hold_out_drops_self_and_same_author_that_day(spark):
