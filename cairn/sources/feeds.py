@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import fire_name, local_date
+
 NETWORK = "array<struct<station:string,data:array<struct<element:string,values:array<struct<date:string,value:double>>>>>>"
-PERIMETERS = "struct<features:array<struct<properties:struct<name:string,acres:double,gis_acres:double,category:string,out:string>,geometry:struct<type:string,coordinates:string>>>>"
+PERIMETERS = "struct<features:array<struct<properties:struct<name:string,acres:double,gis_acres:double,category:string,out:string,discovered:double,current:double,modified:double>,geometry:struct<type:string,coordinates:string>>>>"
 
 
 def station_values(payloads: DataFrame) -> DataFrame:
@@ -46,15 +48,38 @@ def placemarks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def perimeters(payloads: DataFrame) -> DataFrame:
-    """Name, acres, shape of GeoJSON ``payloads`` (body); fires that are out, of other categories, nameless or no polygon go."""
-    each = payloads.select(F.explode(F.from_json("body", PERIMETERS)["features"]).alias("f"))
-    kept = each.filter("f.properties.out is null and coalesce(f.properties.category in ('WF', 'CX'), true) and f.geometry.type in ('Polygon', 'MultiPolygon') and f.properties.name <> ''")
-    return kept.select("f.properties.name", F.coalesce("f.properties.acres", "f.properties.gis_acres").alias("acres"), F.col("f.geometry.type").alias("shape"))
-
-
-def directory(fresh: DataFrame, snapshot: DataFrame, least: float = 0.9) -> DataFrame:
-    """A live directory if it is at least ``least`` of the snapshot's size, else the snapshot."""
-    return fresh if fresh.count() >= least * snapshot.count() else snapshot
+    """Name, acres, discovered, updated, rings of GeoJSON pages (body); a feature in several pages counts once.
+
+    Fires that are out, of other categories, nameless or no polygon go, and rings of fewer than four points.
+    """
+    p = F.col("f.properties")
+    each = payloads.select(F.explode(F.from_json("body", PERIMETERS)["features"]).alias("f")).distinct()
+    kept = each.filter("f.properties.out is null and coalesce(f.properties.category in ('WF', 'CX'), true) and f.geometry.type in ('Polygon', 'MultiPolygon') and trim(f.properties.name) <> ''")
+    one, many = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    shape = F.col("f.geometry.coordinates")
+    polygons = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(shape, one))).otherwise(F.from_json(shape, many))
+    points = lambda ring: F.transform(ring, lambda q: F.struct(q[0].alias("lon"), q[1].alias("lat")))
+    rings = F.transform(F.filter(F.flatten(polygons), lambda r: F.size(r) >= 4), points)
+    local = lambda ms: local_date(ms.cast("long"))
+    rows = kept.select(
+        fire_name(p["name"]).alias("name"), F.round(F.coalesce(p["acres"], p["gis_acres"])).cast("long").alias("acres"), local(p["discovered"]).alias("discovered"),
+        local(F.greatest(p["current"], p["modified"])).alias("updated"), rings.alias("rings"),
+    )
+    return rows.filter(F.size("rings") > 0)
+
+
+def directory(fresh: DataFrame, snapshot: DataFrame, least: float = 0.9, age_days: int | None = None, most_days: int = 7) -> DataFrame:
+    """A snapshot that is fresh enough, else a live directory of at least ``least`` of its size, else the snapshot.
+
+    ``age_days``: the snapshot's age, if known. No data at all is an error.
+    """
+    held = snapshot.count()
+    if held and age_days is not None and age_days <= most_days:
+        return snapshot
+    live = fresh.count()
+    if not held and not live:
+        raise ValueError("a directory without any data")
+    return fresh if live and live >= least * held else snapshot
 
 
 def write_documents(rows: DataFrame, key: str, path: str) -> None:
