@@ -257,21 +257,33 @@ class _Sets:
         posts = posts.repartition("list").sortWithinPartitions("list", "key")
         return posts.mapInArrow(cut, "list long, block int, keys array<long>, sizes array<int>, places array<int>")
 
-    def linked(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """The pairs (a, b) within the threshold. ``pairs``: (a, b, family).
+    def linked(self, asked: DataFrame, members: DataFrame | None, reps: DataFrame) -> DataFrame:
+        """The pairs (a, b) within the threshold. ``asked``: (a, family, length, others); ``reps``: (key, doc_id), a document of each class.
 
-        Pairs of a family are dealt into groups by their sides, about SIDE classes on
-        either. ``reps``: (key, doc_id), a document of each class; the sets are made anew from those
-        documents, and each is sent once to a group that needs it.
+        A family's classes are dealt by a hash to sides of about SIDE, and each pair of sides is a
+        group that is compared in one go; the sets are made anew from documents, and each is sent once to
+        a group. Pairs are not opened into rows where a family is dense: there all its
+        ``members`` (family, key), of which the others are some, go to every group of their side.
         """
         num, den, k = self.num, self.den, self.k
-        pairs = written(pairs, "pairs")
-        sides = pairs.groupBy("family").agg(*(F.ceil(F.approx_count_distinct(c) / SIDE).alias(f"{c}s") for c in "ab"))
-        count = pairs.count()
-        dealt = pairs.join(_small(sides, min(count, self.rows)), "family").select("a", "b", F.xxhash64("family", *(F.pmod(F.xxhash64(c), F.col(f"{c}s")) for c in "ab")).alias("pack"))
-        dealt = written(dealt, "dealt", count)
-        needs = dealt.groupBy("pack", F.col("a").alias("key")).agg(F.collect_set("b").alias("others"))
-        needs = needs.unionByName(dealt.select("pack", F.col("b").alias("key"), F.array().cast("array<long>").alias("others")).distinct())
+        asked = written(asked, "asked")
+        sizes = asked.groupBy("family").agg(F.count("*").alias("askers"), F.max("length").alias("length"), F.sum(F.size("others")).alias("pairs"))
+        sides = lambda n: F.ceil(n / SIDE)
+        dense = (F.col("pairs") > F.col("length") * sides(F.col("askers"))) if members is not None else F.lit(False)
+        sizes = sizes.select("family", sides(F.col("askers")).alias("left"), sides(F.least("length", "pairs")).alias("right"), dense.alias("dense"))
+        sizes = _small(sizes, self.rows)
+        side = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+        pack = lambda a, b: F.xxhash64("family", a, b)
+        dealt = asked.join(sizes, "family").withColumn("own", side("a", "left"))
+        of = lambda b: F.pmod(F.xxhash64(b), F.col("right"))
+        each = F.transform(F.array_distinct(F.transform("others", of)), lambda g: F.struct(g.alias("g"), F.filter("others", lambda b: of(b) == g).alias("others")))
+        left = dealt.select("family", "own", F.col("a").alias("key"), F.inline(each)).select(pack("own", "g").alias("pack"), "key", "others")
+        sparse = dealt.filter("not dense").select("family", "own", "right", F.explode("others").alias("key"))
+        right = sparse.select(pack("own", side("key", "right")).alias("pack"), "key").distinct()
+        if members is not None:
+            all_ = members.join(sizes.filter("dense"), "family").select("family", "key", "right", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1)).alias("own"))
+            right = right.unionByName(all_.select(pack("own", side("key", "right")).alias("pack"), "key"))
+        needs = left.unionByName(right.withColumn("others", F.array().cast("array<long>")))
         needs = needs.groupBy("key").agg(F.collect_list(F.struct("pack", "others")).alias("packs")).join(reps, "key")
         needs = _small(needs.select("doc_id", "key", "packs"), self.rows, F.aggregate("packs", F.lit(0), lambda s, p: s + 1 + F.size(p["others"])))
 
@@ -318,7 +330,7 @@ class _Sets:
 
         sent = self.docs.join(needs, "doc_id").mapInArrow(send, "pack long, key long, others array<long>, data binary")
         sent = sent.repartition("pack").sortWithinPartitions("pack")
-        return written(sent.mapInArrow(probe, "a long, b long").distinct(), "links", count)
+        return written(sent.mapInArrow(probe, "a long, b long").distinct(), "links")
 
 
 def _small(table: DataFrame, rows: int, weight: Column | None = None) -> DataFrame:
@@ -329,11 +341,12 @@ def _small(table: DataFrame, rows: int, weight: Column | None = None) -> DataFra
 
 
 def _stars(labelled: DataFrame) -> DataFrame:
-    """(a, b, family): each class with the class it meets most, among the least class of another component in each block."""
+    """(a, family, length, others): each class with the class it meets most, among the least class of another component in each block."""
     other = F.expr("filter(members, m -> m.label <> members[0].label)")
     pairs = labelled.select(F.col("members")[0]["key"].alias("b"), F.explode(other).alias("m")).select(F.col("m.key").alias("a"), "b")
     met = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    return met.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")).withColumn("family", F.col("b"))
+    best = met.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    return best.select("a", F.col("b").alias("family"), F.lit(1).cast("long").alias("length"), F.array("b").alias("others"))
 
 
 def _members(lists: DataFrame) -> DataFrame:
@@ -357,15 +370,22 @@ def _labelled(lists: DataFrame, labels: DataFrame, rows: int, entries: int) -> D
     return grouped.agg(F.array_sort(F.collect_list(F.struct("key", "size", "place", "label"))).alias("members"))
 
 
-def _candidates(labelled: DataFrame, num: int, den: int, rows: int) -> DataFrame:
-    """(a, b, family): classes of different components that occur often enough in a's short lists and may be of a size.
+def _candidates(labelled: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, family, length, others): classes of other components that occur often enough in a's short lists and may be of a size.
+
+    Those that first occur in one list, by its length, are one row; that list is the family of their pairs.
 
     A pair of sizes x and y within num/den shares at least ``least = num (x + y) / (num + den)``
     shingles, so of its first ``x - least + 1 + slack`` and ``y - least + 1 + slack`` it
     shares at least ``1 + slack``, with the slack of the smaller set. Entries further back in either order are left out.
     """
     most = labelled.agg(F.max("block")).first()[0] or 0
-    blocks = labelled.select("list", "block", *(F.col(f"members.{c}").alias(f"{c}s") for c in ("key", "size", "place", "label")))
+    if most:
+        lengths = labelled.groupBy("list").agg(F.sum(F.size("members")).alias("length"))
+        blocks = labelled.join(lengths, "list")
+    else:
+        blocks = labelled.withColumn("length", F.size("members").cast("long"))
+    blocks = blocks.select("list", "block", "length", *(F.col(f"members.{c}").alias(f"{c}s") for c in ("key", "size", "place", "label")))
     same = blocks.select("*", *(F.lit(None).cast(blocks.schema[f"{c}s"].dataType).alias(f"{c}s_") for c in ("key", "size", "place", "label")))
     if most:
         # Blocks of one list meet each other, not in one task.
@@ -374,10 +394,10 @@ def _candidates(labelled: DataFrame, num: int, den: int, rows: int) -> DataFrame
     parts = most + 1
 
     def occur(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(a, part, size, others): the members of a short list behind a, in order."""
+        """(a, part, size, list, length, others): the members of a short list behind a, in order."""
         for batch in batches:
             rows, held = [], 0
-            for keys, sizes, places, labels, *later in zip(*(batch[c] for c in ("keys", "sizes", "places", "labels", "keys_", "sizes_", "places_", "labels_")), strict=True):
+            for name, length, keys, sizes, places, labels, *later in zip(*(batch[c] for c in ("list", "length", "keys", "sizes", "places", "labels", "keys_", "sizes_", "places_", "labels_")), strict=True):
                 sizes = np.asarray(sizes, np.int64)
                 within = later[0] is None
                 keys_, sizes_, places_, labels_ = (keys, sizes, places, labels) if within else later
@@ -393,45 +413,51 @@ def _candidates(labelled: DataFrame, num: int, den: int, rows: int) -> DataFrame
                         continue
                     others = keys_[j]
                     if parts == 1:
-                        rows.append((keys[i], 0, x, others))
+                        rows.append((keys[i], 0, x, name, length, others))
                     else:
                         of = others % parts
-                        rows += [(keys[i], p, x, others[of == p]) for p in np.unique(of)]
+                        rows += [(keys[i], p, x, name, length, others[of == p]) for p in np.unique(of)]
                     held += len(j)
                     if held >= HELD:
-                        yield pd.DataFrame(rows, columns=["a", "part", "size", "others"])
+                        yield pd.DataFrame(rows, columns=OCCURS)
                         rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["a", "part", "size", "others"])
+                yield pd.DataFrame(rows, columns=OCCURS)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         found, held = [], 0
         for (a, _), own in groupby(rows, key=lambda row: row[:2]):
-            own = list(own)
+            own = sorted(own, key=lambda row: (row[4], row[3]))
             least = 1 + _slack(-(-own[0][2] * num // den))
             if len(own) < least:
                 continue
-            hits = [b for b, same in groupby(heapq.merge(*(r[3] for r in own))) if sum(1 for _ in same) >= least]
-            if hits:
-                found.append((a, hits))
-                held += len(hits)
+            hits = {b for b, same in groupby(heapq.merge(*(row[5] for row in own))) if sum(1 for _ in same) >= least}
+            for _, _, _, name, length, others in own:
+                met = [b for b in others if b in hits]
+                if met:
+                    found.append((a, name, length, met))
+                    hits.difference_update(met)
+                    held += len(met)
+                if not hits:
+                    break
             if held >= HELD:
-                yield pairs_of(found)
+                yield rows_of(found)
                 found, held = [], 0
         if found:
-            yield pairs_of(found)
+            yield rows_of(found)
+
+    def rows_of(found: list[tuple[int, int, int, list[int]]]) -> pa.RecordBatch:
+        a, name, length, others = zip(*found, strict=True)
+        return _batch(a=np.array(a, np.int64), family=np.array(name, np.int64), length=np.array(length, np.int64), others=pa.array(others, pa.list_(pa.int64())))
+
+    met = same.mapInPandas(occur, "a long, part int, size int, list long, length long, others array<long>")
+    met = met.repartition("a", "part").sortWithinPartitions("a", "part")
+    return met.mapInArrow(merge, "a long, family long, length long, others array<long>")
 
-    def pairs_of(found: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-        return _batch(a=np.repeat(np.array([a for a, _ in found], np.int64), [len(h) for _, h in found]), b=np.array([b for _, h in found for b in h], np.int64))
 
-    met = same.mapInPandas(occur, "a long, part int, size int, others array<long>")
-    met = met.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(merge, "a long, b long")
-    met = written(met.distinct(), "candidates")
-    # Pairs of one dense family share the least class that they are candidates with.
-    both = met.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(met.select(F.col("b").alias("key"), F.col("a").alias("other")))
-    least = both.groupBy("key").agg(F.min("other").alias("other")).select("key", F.least("key", "other").alias("family"))
-    return met.join(_small(least, rows), met["a"] == F.col("key")).select("a", "b", "family")
+#: Columns of a class's short lists.
+OCCURS = ["a", "part", "size", "list", "length", "others"]
 
 
 def _pairs(labelled: DataFrame) -> int:
@@ -463,7 +489,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     for turn in range(STAR_ROUNDS + 1):
         labelled = written(_labelled(lists, labels, work.rows, entries), "labelled") if turn else _members(lists)
         last = turn == STAR_ROUNDS or (turn > 0 and _pairs(labelled) <= PAIRS_PER_ENTRY * entries)
-        found = work.linked(_candidates(labelled, num, den, work.rows) if last else _stars(labelled), reps)
+        members = labelled.select(F.col("list").alias("family"), F.explode("members.key").alias("key"))
+        found = work.linked(_candidates(labelled, num, den), members, reps) if last else work.linked(_stars(labelled), None, reps)
         edges = edges.unionByName(found) if turn else found
         if last:
             break

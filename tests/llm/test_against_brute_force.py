@@ -12,7 +12,7 @@ import pytest
 import tokenizers
 
 from cairn.llm import queries as Q
-from cairn.llm import neighbours, packing, tokens, toxicity
+from cairn.llm import jaccard, neighbours, packing, tokens, toxicity
 from cairn.llm.oracles import ORACLES
 
 
@@ -189,6 +189,24 @@ def test_jaccard_join(spark):
     assert found == components(docs["doc_id"], docs["text"], 4, 85, 100)
 
 
+def test_jaccard_join_of_a_dense_family(spark, monkeypatch):
+    """Near copies on either side of the threshold, in lists of several blocks, compared in groups of sides."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(240):
+        words = [f"w{j}" for j in range(200)]
+        for j in rng.choice(200, int(rng.integers(0, 9)), replace=False):
+            words[j] = f"x{rng.integers(0, 60)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"u{i}_{j}" for j in range(50))) for i in range(20)]
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    monkeypatch.setattr(jaccard, "SIDE", 16)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 1)
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    want = components([i for i, _ in rows], [t for _, t in rows], 4, 85, 100)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+
+
 def test_token_counts(spark, sf, docs, tokenizer):
     found = {r["doc_id"]: r["n_tokens"] for r in Q.op7_token_counts(spark, sf).collect()}
     assert found == {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for d, t in zip(docs["doc_id"], docs["text"])}
