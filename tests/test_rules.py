@@ -2,9 +2,10 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from cairn.functions import geo, rules, text
-from cairn.operators import asof, backtest, conditions, fusion, islands, ledger, links, rollup, screen, season
+from cairn.operators import asof, backtest, conditions, fusion, islands, ledger, links, rollup, screen, season, shapes
 from cairn.sources import feeds, html
 from pyspark.sql import functions as F
 
@@ -145,8 +146,12 @@ def test_feeds(spark, tmp_path):
     (tmp_path / "k.kml").write_text("<kml><Placemark><description>Density: Heavy</description><styleUrl>#Light</styleUrl><Polygon><outerBoundaryIs><LinearRing><coordinates>0,0 1,0 1,1</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark></kml>")
     got = feeds.placemarks(spark, str(tmp_path / "k.kml")).first()
     assert got["density"] == "heavy" and len(got["ring"]) == 4
-    fires = '{"features":[{"properties":{"name":"A","gis_acres":5,"category":null},"geometry":{"type":"Polygon","coordinates":[[[0,0]]]}},{"properties":{"name":"B","category":"RX"},"geometry":{"type":"Polygon","coordinates":[]}},{"properties":{"name":"C","category":"WF","out":"2024"},"geometry":{"type":"Polygon","coordinates":[]}}]}'
-    assert [tuple(r) for r in feeds.perimeters(spark.createDataFrame([(fires,)], "body string")).collect()] == [("A", 5.0, "Polygon")]
+    fires = '{"features":[{"properties":{"name":"A","gis_acres":5,"category":null},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]],[[0,0],[1,0],[0,0]]]}},{"properties":{"name":"D","acres":1},"geometry":{"type":"Polygon","coordinates":[[[0,0]]]}},{"properties":{"name":"B","category":"RX"},"geometry":{"type":"Polygon","coordinates":[]}},{"properties":{"name":"C","category":"WF","out":"2024"},"geometry":{"type":"Polygon","coordinates":[]}}]}'
+    got = feeds.perimeters(spark.createDataFrame([(fires,)], "body string")).collect()
+    assert [(r["name"], r["acres"], r["updated"], [len(x) for x in r["rings"]]) for r in got] == [("A Fire", 5, None, [4])]
+    assert feeds.directory(spark.range(9), spark.range(10), age_days=3).count() == 10
+    with pytest.raises(ValueError):
+        feeds.directory(spark.range(0), spark.range(0))
     assert feeds.directory(spark.range(8), spark.range(10)).count() == 10 and feeds.directory(spark.range(9), spark.range(10)).count() == 9
     feeds.write_documents(spark.createDataFrame([("a", 1), ("b", 2)], "slug string, n int"), "slug", str(tmp_path / "out"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"slug":"a","n":1}', '{"slug":"b","n":2}']
@@ -154,6 +159,24 @@ def test_feeds(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "raw")).first()["sha256"].startswith("2d711642")
 
 
+def test_thinned_ring_against_the_recursion():
+    rng = np.random.default_rng(2)
+    x, y = np.arange(80) * 1.0, rng.standard_normal(80).cumsum()
+
+    def keep(a, b):
+        if b - a < 2:
+            return set()
+        away = []
+        for i in range(a + 1, b):
+            dx, dy = x[b] - x[a], y[b] - y[a]
+            t = min(1, max(0, ((x[i] - x[a]) * dx + (y[i] - y[a]) * dy) / (dx * dx + dy * dy)))
+            away.append(np.hypot(x[i] - x[a] - t * dx, y[i] - y[a] - t * dy))
+        far = a + 1 + int(np.argmax(away))
+        return {far} | keep(a, far) | keep(far, b) if max(away) > 1.5 else set()
+
+    assert shapes.kept_points(x, y, 1.5, [0, 79]).tolist() == sorted({0, 79} | keep(0, 79))
+
+
 def evidence(spark, **kinds):
     """fused() of one place with literal components: severity, weight, age and the like."""
     day = D(2024, 6, 1)
