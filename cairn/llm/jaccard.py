@@ -47,7 +47,7 @@ BROADCAST_IDS = 2_000_000
 #: Members of a block of a list; blocks of longer lists are paired with each other.
 BLOCK = 1024
 #: Classes on either side that are compared together.
-SIDE = 64
+SIDE = 256
 #: Pairs listed per entry of the lists before another round of stars is tried instead.
 PAIRS_PER_ENTRY = 8
 STAR_ROUNDS = 4
