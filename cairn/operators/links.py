@@ -11,16 +11,20 @@ from ..functions.geo import KM_PER_DEGREE, haversine_km, in_ring, ring_km
 def within(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
     """Pairs of (key, lat, lon) rows within a radius: lkey, rkey, km (0.1 km), other columns of ``right``.
 
-    Each right row is copied to its own and the two neighbouring bands of latitude, so
-    the join is one on the band; longitude rules out most pairs before the sines.
+    Each right row is copied to its own cell of latitude and longitude and those around it, so the join
+    is one on the cell; cells are two radii wide at the equator, and further north a row goes to more of
+    them. Longitude rules out most other pairs before the sines.
     """
     band = radius_km / KM_PER_DEGREE
-    a = left.select(F.col("key").alias("lkey"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.floor(F.col("lat") / band).alias("band"))
-    near = F.explode(F.array(*(F.floor(F.col("lat") / band) + i for i in (-1, 0, 1))))
-    b = right.withColumnRenamed("key", "rkey").withColumn("band", near)
-    wide = F.abs(F.col("lon") - F.col("lon1")) <= band / F.greatest(F.cos(F.radians(F.col("lat1"))), F.lit(0.2)) * 1.1
+    wide = lambda lat: band / F.greatest(F.cos(F.radians(lat)), F.lit(0.2)) * 1.1
+    cell = lambda c, size: F.floor(F.col(c) / size)
+    a = left.select(F.col("key").alias("lkey"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), cell("lat", band).alias("row"), cell("lon", 2 * band).alias("col"))
+    off = F.ceil(wide(F.abs("lat") + band) / (2 * band))
+    b = right.withColumnRenamed("key", "rkey").withColumn("row", F.explode(F.sequence(cell("lat", band) - 1, cell("lat", band) + 1)))
+    b = b.withColumn("col", F.explode(F.sequence(cell("lon", 2 * band) - off, cell("lon", 2 * band) + off)))
+    near = F.abs(F.col("lon") - F.col("lon1")) <= wide(F.col("lat1"))
     km = F.round(haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")), 1)
-    return a.join(b, "band").filter(wide).withColumn("km", km).filter(F.col("km") <= radius_km).drop("band", "lat1", "lon1")
+    return a.join(b, ["row", "col"]).filter(near).withColumn("km", km).filter(F.col("km") <= radius_km).drop("row", "col", "lat1", "lon1")
 
 
 def nearest_k(left: DataFrame, right: DataFrame, radius_km: float, k: int) -> DataFrame:
