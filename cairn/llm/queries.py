@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lines, neighbours, packing, pii, repeats, sharding, tokens, toxicity
+from . import conversations, decontaminate, jaccard, lines, neighbours, packing, pii, repeats, sharding, spelling, tokens, toxicity, urls
 from .common import table
 from .oracles import ORACLES
 
@@ -57,8 +57,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id", SHARDS, SLOTS)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(spelling.damaged_words(table(spark, sf_dir, "documents"))))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digest(rows, *conversations.repair(conversations.damaged(rows)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_nearest_neighbours, op3_pii, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_token_counts, op8_suffix_dedup, op9_line_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_nearest_neighbours, op3_pii, op4_toxicity, op5_jaccard_join, op6_decontamination, op7_token_counts, op8_suffix_dedup, op9_line_dedup, op10_sharding, op11_spelling, op12_url_filters, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
