@@ -76,3 +76,49 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN told USING (doc_id) LEFT JOIN words_hit USING (doc_id)
 """
+
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = f"regexp_replace({_ASCII_LOWER.format('path')}, '[0-9]+', '0', 'g')"
+
+ORACLES["op12_url_filters"] = f"""
+WITH cut AS (
+  SELECT page_id, row_number() OVER () AS r, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+  SELECT page_id, r, {_ASCII_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), tokened AS (
+  SELECT *, list_distinct(
+    list_transform(list_filter(string_split(host, '.'), lambda t: t <> ''), lambda t: 'h:' || t)
+    || list_transform(list_filter(string_split({_PLAIN}, '/'), lambda t: t <> ''), lambda t: 'p:' || t)
+    || list_transform(list_filter(regexp_split_to_array(host || '/' || {_PLAIN}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda t: t <> ''), lambda t: 'w:' || t)) AS tokens
+  FROM parsed
+), said AS (
+  SELECT doc_id, max((coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0)::INT) AS blocked
+  FROM labels WHERE doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL) GROUP BY doc_id
+), known AS (
+  SELECT r, tokens, blocked FROM tokened JOIN said ON page_id = doc_id
+), counts AS (
+  SELECT token, count(*) AS n, sum(blocked) AS b FROM (SELECT unnest(tokens) AS token, blocked FROM known) GROUP BY token HAVING sum(blocked) >= 10
+), telling AS (
+  SELECT token, -abs(b - n * (SELECT sum(blocked)::DOUBLE / count(*) FROM known)) / sqrt(n) AS less FROM counts
+), chosen AS (
+  SELECT r, blocked, (list(token ORDER BY less, token))[1:8] AS items
+  FROM (SELECT r, blocked, unnest(tokens) AS token FROM known) JOIN telling USING (token) GROUP BY r, blocked
+), sets AS (
+  SELECT list_sort(list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS antecedent, blocked
+  FROM (SELECT items, blocked, unnest(range(1, (1 << len(items))::BIGINT)) AS mask FROM chosen)
+), rules AS (
+  SELECT antecedent, sum(blocked) / count(*) AS confidence FROM sets GROUP BY antecedent HAVING sum(blocked) >= 10 AND sum(blocked) / count(*) >= 0.5
+), kept AS (
+  SELECT * FROM rules a WHERE NOT EXISTS (SELECT 1 FROM rules b WHERE len(b.antecedent) < len(a.antecedent) AND list_has_all(a.antecedent, b.antecedent))
+), fixed(host, path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), ruled AS (
+  SELECT t.*, f.host || f.path AS rule, f.verdict FROM tokened t
+  LEFT JOIN fixed f ON (t.host = f.host OR ends_with(t.host, '.' || f.host)) AND starts_with(t.path, f.path)
+  QUALIFY row_number() OVER (PARTITION BY t.r ORDER BY length(f.host || f.path) DESC NULLS LAST) = 1
+), mined AS (
+  SELECT u.r, max(k.confidence) AS confidence FROM ruled u JOIN kept k ON list_has_all(u.tokens, k.antecedent) WHERE u.rule IS NULL GROUP BY u.r
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN confidence IS NULL THEN 'allow' ELSE 'block' END) AS verdict, confidence
+FROM ruled LEFT JOIN mined USING (r)
+"""
