@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,10 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 ADDED = "byte_bpe_50k.json"
 #: The end-of-document id of that vocabulary. ``ids_of`` never yields it, so that it marks ends in flat token files.
 END = 50256
+#: White space of that length is encoded by itself; the pattern's stack ends between 600,000 and 1,000,000 characters.
+LONG_RUN = 100_000
+#: Unicode's White_Space, which the pattern means by \\s.
+RUNS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 _ENCODERS: dict = {}
 
 
@@ -56,12 +61,38 @@ def _added(folder: str | None) -> dict[str, int]:
 
 def ids_of(enc, text: str | None) -> np.ndarray:
     """A text's ids; a null text has none. The name of an added token is ordinary text."""
-    return np.array(enc.encode_ordinary(text) if text else [], "<u4")
+    if not text:
+        return np.empty(0, "<u4")
+    if len(text) < LONG_RUN:
+        return np.array(enc.encode_ordinary(text), "<u4")
+    return _ids_by_runs(enc, text)
 
 
 def library_ids_of(enc, text: str | None) -> np.ndarray:
     """A text's ids as the ``tokenizers`` library gives them: added tokens in a text are one id each."""
-    return np.array(enc.encode(text, allowed_special="all", disallowed_special=()) if text else [], "<u4")
+    if not text:
+        return np.empty(0, "<u4")
+    if len(text) < LONG_RUN:
+        return np.array(enc.encode(text, allowed_special="all", disallowed_special=()), "<u4")
+    parts = re.split("(" + "|".join(map(re.escape, sorted(enc.special_tokens_set))) + ")", text)
+    ids = [np.array([enc.encode_single_token(x)], "<u4") if k % 2 else _ids_by_runs(enc, x) for k, x in enumerate(parts)]
+    return np.concatenate(ids)
+
+
+def _ids_by_runs(enc, text: str) -> np.ndarray:
+    """As ``ids_of``, but long runs of white space go round the pattern, whose stack they overflow.
+
+    The pattern takes such a run as one word, at the end of a text whole, elsewhere up to its
+    last character, which begins the next word; what stands before and after is cut as if it stood alone.
+    """
+    ids, at = [], 0
+    for run in RUNS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids.append(np.array(enc.encode_ordinary(text[at : run.start()]), "<u4"))
+        ids.append(np.array(enc._encode_single_piece(text[run.start() : end]), "<u4"))
+        at = end
+    ids.append(np.array(enc.encode_ordinary(text[at:]), "<u4"))
+    return np.concatenate(ids)
 
 
 def token_files(docs: DataFrame, block_tokens: int = 1 << 16, folder: str | None = None) -> DataFrame:

@@ -156,3 +156,29 @@ def test_search_of_bins_empties_one():
 
 def test_shared_folder_is_the_sessions(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n"])
+def test_long_white_space(blank):
+    import public_tokenizers
+    import tokenizers
+
+    enc = tokens.encoder(None)
+    library = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    run = blank * (1_000_000 // len(blank))
+    for text in (run, f"a{run}", f"{run}b c", f"x {run}<|endoftext|>{run} y{run}\u3000z"):
+        assert tokens.library_ids_of(enc, text).tolist() == library.encode(text, add_special_tokens=False).ids
+        plain = text.replace("<|endoftext|>", "|")
+        assert tokens.ids_of(enc, plain).tolist() == library.encode(plain, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t"])
+def test_very_long_white_space_is_packed_and_counted(spark, blank):
+    text = blank * 10_000_000 + "end"
+    enc = tokens.encoder(None)
+    ids = tokens.library_ids_of(enc, text)
+    assert enc.decode(ids.tolist()) == text
+    docs = spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.count(docs).collect()} == {1: len(ids), 2: 1}
+    packed = packing.best_fit_pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in packed} == {1: len(ids) + 1, 2: 2}
