@@ -28,8 +28,9 @@ def decay(age: Column, half_life: float) -> Column:
 
 
 def station_weight(km: Column, gap_ft: Column) -> Column:
-    """Nearer and of like elevation weighs more; an unknown elevation counts as no gap."""
-    return 1 / (1 + km / 10) / (1 + F.coalesce(F.abs(gap_ft), F.lit(0)) / 3000)
+    """Nearer and of like elevation weighs more; an unknown elevation counts as no gap, an unknown distance, or none at all, as 20 km."""
+    far = F.coalesce(F.nullif(km, F.lit(0.0)), F.lit(20.0))
+    return 1 / (1 + far / 10) / (1 + F.coalesce(F.abs(gap_ft), F.lit(0)) / 3000)
 
 
 def weighted(linked: DataFrame, half_life: float = 4, prior: float = 0.9, full: float = 15) -> DataFrame:

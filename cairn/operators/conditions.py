@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import asof
+from . import asof, screen
 
 #: Weight of each kind of evidence, half-lives and windows in days.
 PRIOR = {"sensor": 0.9, "satellite": 0.65, "report": 0.75}
@@ -41,21 +41,33 @@ def is_blind(value: Column, gap_ft: Column) -> Column:
     return F.coalesce((gap_ft > BLIND) & (value < BARE), F.lit(False))
 
 
-def newest(readings: DataFrame, dates: list[str]) -> DataFrame:
-    """station, eval_date, newest (day, value) and first (day, value) reading in the sensors' window. Of one day the later ``ord`` counts."""
-    opened = asof.dates(readings, dates, WINDOW["sensor"])
-    order = F.struct("day", "ord")
-    ends = opened.groupBy("station", "eval_date").agg(F.max_by(F.struct("day", "value", "ord"), order).alias("l"), F.min_by(F.struct("day", "value"), F.struct("day", -F.col("ord"))).alias("f"))
-    return ends.select("station", "eval_date", "l.*", F.datediff("eval_date", "l.day").alias("age"), F.col("f.day").alias("first_day"), F.col("f.value").alias("first_value"))
+def newest(judged: DataFrame) -> DataFrame:
+    """Station, eval_date, newest (day, value) and first (day, value) believed reading in the sensors' window.
+
+    ``judged`` as ``screen.judged_as_of`` gives it. Of one day the least ``ord`` counts, at either end.
+    """
+    age = F.datediff("eval_date", "day")
+    seen = judged.filter((F.col("state") == "believed") & age.between(0, WINDOW["sensor"]))
+    last = F.max_by(F.struct("day", "value"), F.struct("day", -F.col("ord"))).alias("l")
+    first = F.min_by(F.struct("day", "value"), F.struct("day", "ord")).alias("f")
+    ends = seen.groupBy("station", "eval_date").agg(last, first)
+    named = (F.col("f.day").alias("first_day"), F.col("f.value").alias("first_value"))
+    return ends.select("station", "eval_date", "l.*", F.datediff("eval_date", "l.day").alias("age"), *named)
+
+
+def faulty(judged: DataFrame) -> DataFrame:
+    """Station, eval_date, value, reason, since of stations whose newest reading is rejected and in the sensors' window."""
+    told = judged.filter("newest and state = 'rejected'").filter(F.datediff("eval_date", "day") <= WINDOW["sensor"])
+    return told.select("station", "eval_date", "value", "reason", "since")
 
 
 def sensors(linked: DataFrame) -> DataFrame:
     """Severity, swe, trend, age, weight, stations. ``linked``: newest readings of linked stations, with km, gap_ft.
 
-    Blind stations are left out. The trend is the weighted newest value against the plain mean
+    Blind stations are left out; see ``asof.station_weight``. The trend is the weighted newest value against the plain mean
     of the first ones, a day of the whole span.
     """
-    w = 1 / (1 + F.coalesce("km", F.lit(20.0)) / 10) / (1 + F.coalesce(F.abs("gap_ft"), F.lit(0)) / 3000)
+    w = asof.station_weight(F.col("km"), F.col("gap_ft"))
     seen = linked.filter(~is_blind(F.col("value"), F.col("gap_ft"))).groupBy("slug", "eval_date").agg(
         (F.sum(w * F.col("value")) / F.sum(w)).alias("swe"),
         F.avg("first_value").alias("first"),
@@ -74,27 +86,27 @@ def blind(linked: DataFrame) -> DataFrame:
     seen = linked.filter(is_blind(F.col("value"), F.col("gap_ft")))
     order = F.array_sort(F.collect_list(F.struct((-F.col("station_ft")).alias("down"), "station")))
     out = seen.groupBy("slug", "eval_date").agg(order.alias("all"), F.round(F.min("gap_ft")).cast("long").alias("min_gap_ft"))
-    named = F.array_join(F.transform(F.slice("all", 1, 3), lambda s: F.concat(s["station"].cast("string"), F.lit(" ("), (-s["down"]).cast("string"), F.lit(" ft)"))), ", ")
+    named = F.array_join(F.transform(F.slice("all", 1, 3), lambda s: F.concat(s["station"].cast("string"), F.lit(" ("), F.format_number(-s["down"], 0), F.lit(" ft)"))), ", ")
     return out.select("slug", "eval_date", F.size("all").alias("blind"), "min_gap_ft", named.alias("named"))
 
 
-def melt_outs(daily: DataFrame) -> DataFrame:
-    """W01 at every reading: since when the bare run that it ends has lasted, whether its start was seen, and whether it counts.
+def melt_outs(daily: DataFrame, keys: tuple[str, ...] = ("station",)) -> DataFrame:
+    """W01 at every reading of a series (``keys``): since when the bare run that it ends has lasted, whether its start was seen, and whether it counts.
 
     A run breaks at snow, at a gap of more than SEASON_GAP days and at the turn of a year; one
     whose start was not seen counts once it is BARE_RUN days old. Depends on the past alone, so
     one pass over the series serves every date.
     """
-    by_day = Window.partitionBy("station").orderBy("day")
+    by_day = Window.partitionBy(*keys).orderBy("day")
     last, before = F.lag("day").over(by_day), F.lag("value").over(by_day)
     joined = F.coalesce((F.datediff("day", last) <= SEASON_GAP) & (F.year("day") == F.year(last)), F.lit(False))
     bare = F.col("value") < BARE
-    run = daily.select("station", "day", "value", bare.alias("bare"), (joined & (before >= BARE)).alias("seen"), (~(joined & bare & (before < BARE))).cast("int").alias("opens"))
+    run = daily.select(*keys, "day", "value", bare.alias("bare"), (joined & (before >= BARE)).alias("seen"), (~(joined & bare & (before < BARE))).cast("int").alias("opens"))
     run = run.withColumn("run", F.sum("opens").over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("station", "run").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys, "run").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     run = run.withColumn("since", F.first("day").over(whole)).withColumn("observed", F.first("seen").over(whole))
     counts = F.col("bare") & (F.col("observed") | (F.datediff("day", "since") >= BARE_RUN))
-    return run.select("station", "day", "value", F.when(counts, F.col("since")).alias("since"), F.when(counts, F.col("observed")).alias("observed"))
+    return run.select(*keys, "day", "value", F.when(counts, F.col("since")).alias("since"), F.when(counts, F.col("observed")).alias("observed"))
 
 
 def first_melt_outs(daily: DataFrame) -> DataFrame:
@@ -104,35 +116,41 @@ def first_melt_outs(daily: DataFrame) -> DataFrame:
     return first.select("station", "year", "m.since", "m.observed")
 
 
-def snow_lines(linked: DataFrame, daily: DataFrame, dates: list[str]) -> DataFrame:
+def believed_lines(linked: DataFrame, judged: DataFrame) -> DataFrame:
     """The highest snow line that bare stations of a place imply, risen since they melted out.
 
-    ``linked``: slug, station, gap_ft, station_ft. Stations count that report and are blind, or
-    that are quiet, were bare when last heard of, and the year is not past QUIET_UNTIL.
+    ``linked``: slug, station, gap_ft, station_ft; ``judged``: see ``screen.judged_as_of``, of which believed readings of
+    the date's year count. Stations count that report and are blind, or that are quiet, were bare when last heard of,
+    and the year is not past QUIET_UNTIL.
     """
-    every = F.array(*(F.lit(d).cast("date") for d in dates))
-    runs = melt_outs(daily).withColumn("next", F.lead("day").over(Window.partitionBy("station").orderBy("day")))
-    # A reading is the newest of its year for the dates from its day until before the next one.
-    upto = F.filter(every, lambda d: (d >= F.col("day")) & (F.year(d) == F.year("day")) & (F.col("next").isNull() | (d < F.col("next"))))
-    opened = runs.select("*", F.explode(upto).alias("eval_date")).join(linked, "station")
+    keys = ("station", "eval_date")
+    told = judged.filter((F.col("state") == "believed") & (F.year("day") == F.year("eval_date")))
+    last = F.max_by(F.struct("day", "value", "since", "observed"), "day").alias("l")
+    opened = melt_outs(told, keys).groupBy(*keys).agg(last).select(*keys, "l.*").join(linked, "station")
     quiet = F.datediff("eval_date", "day") > WINDOW["sensor"]
     counts = F.when(quiet, (F.col("value") < BARE) & (F.date_format("eval_date", "MM-dd") <= QUIET_UNTIL)).otherwise(is_blind(F.col("value"), F.col("gap_ft")))
     kept = opened.filter(counts & F.col("since").isNotNull() & F.col("station_ft").isNotNull() & F.col("gap_ft").isNotNull())
+    kept = kept.withColumn("quiet_since", F.when(quiet, F.col("day")))
     days = F.datediff("eval_date", "since")
-    best = F.struct((F.col("station_ft") + RISE * days).alias("line"), (-F.col("station")).alias("down"), "since", "observed", (F.col("station_ft") + F.col("gap_ft")).alias("place_ft"))
+    best = F.struct((F.col("station_ft") + RISE * days).alias("line"), (-F.col("station")).alias("down"), "since", "observed", "quiet_since", "station_ft", (F.col("station_ft") + F.col("gap_ft")).alias("place_ft"))
     out = kept.groupBy("slug", "eval_date").agg(F.max(best).alias("b")).select("slug", "eval_date", "b.*")
     gap = F.col("place_ft") - F.col("line")
     severity = F.when(gap <= -MARGIN, 0.0).when(gap <= 0, 0.5).otherwise(F.least(F.lit(2.0), 0.5 + gap / 1000))
     return out.select(
         "slug", "eval_date", F.round(F.least("line", F.lit(CEILING)) / 100).cast("long").alias("hundreds"), (-F.col("down")).alias("station"),
-        "since", "observed", F.round(severity.cast("decimal(12,6)"), 2).cast("double").alias("severity"), F.lit(PRIOR["sensor"] * INFERRED).alias("weight"),
+        "since", "observed", "quiet_since", "station_ft", F.round(severity.cast("decimal(12,6)"), 2).cast("double").alias("severity"), F.lit(PRIOR["sensor"] * INFERRED).alias("weight"),
     )
 
 
+def snow_lines(linked: DataFrame, daily: DataFrame, dates: list[str]) -> DataFrame:
+    """``believed_lines`` of readings (station, day, value, one a day), which are screened as of each date first."""
+    return believed_lines(linked, screen.judged_as_of(daily.withColumn("ord", F.lit(0)), dates))
+
+
 def scenes(seen: DataFrame, dates: list[str], rejected: DataFrame) -> DataFrame:
-    """The newest scene of a place, modelled ones on rejected readings (station, day) left out."""
-    thrown = rejected.select(F.col("station").alias("from_station"), "day").distinct()
-    opened = asof.dates(seen.join(thrown, ["from_station", "day"], "left_anti"), dates, WINDOW["satellite"])
+    """The newest scene of a place, modelled ones on readings rejected at the date (station, eval_date, day) left out."""
+    thrown = rejected.select(F.col("station").alias("from_station"), "eval_date", "day").distinct()
+    opened = asof.dates(seen, dates, WINDOW["satellite"]).join(thrown, ["from_station", "eval_date", "day"], "left_anti")
     best = opened.groupBy("slug", "eval_date").agg(F.max_by(F.struct("cover", "age", "modeled"), F.struct("day", "cover")).alias("b")).select("slug", "eval_date", "b.*")
     weight = PRIOR["satellite"] * asof.decay(F.col("age"), HALF_LIFE["satellite"])
     return best.select("slug", "eval_date", F.round(F.col("cover") * 3, 2).alias("severity"), "cover", "age", F.coalesce(F.col("modeled"), F.lit(False)).alias("modeled"), weight.alias("weight"))
@@ -246,3 +264,92 @@ def fused(places: DataFrame, dates: list[str], sensor: DataFrame, snow_line: Dat
     score = F.when(F.col("severity").isNull(), 0.0).otherwise(score)
     grade = F.when(score >= 5, "high").when(score >= 2.5, "moderate").otherwise("low")
     return wide.select("slug", "eval_date", F.round("severity", 2).alias("severity"), status.alias("status"), F.array_join(conflicts, " ").alias("conflicts"), F.round(score, 1).alias("score"), grade.alias("confidence"), "worst")
+
+
+def severity_word(severity: Column) -> Column:
+    """A severity in words."""
+    words = ("little or no snow", "patchy snow", "continuous snow", "deep snow or serious hazards")
+    out = F.when(severity < CUTS[0], words[0])
+    for cut, word in zip(CUTS[1:], words[1:3], strict=True):
+        out = out.when(severity < cut, word)
+    return out.otherwise(words[3])
+
+
+def facts(places: DataFrame, dates: list[str], sensor: DataFrame, snow_line: DataFrame, satellite: DataFrame, human: DataFrame, worst: DataFrame, creek: DataFrame, blind_ones: DataFrame, faults: DataFrame) -> DataFrame:
+    """slug, eval_date, facts: what a verdict rests on, a sentence for each kind, as an array of (stream, text) in order.
+
+    The snow line is told only where no sensor counts, blind stations only where no snow line is told. A
+    place without snow evidence says so, and still tells of its creek and of faulty sensors. ``faults``: rows of
+    ``faulty`` with the slug and ``station_ft``. All kinds are one long table, grouped once.
+    """
+
+    def whole(n: Column) -> Column:
+        return F.format_number(F.bround(n.cast("double"), 0), 0)
+
+    def part(df: DataFrame, kind: str, ord: int, stream: str, text: Column) -> DataFrame:
+        return df.select("slug", "eval_date", F.lit(kind).alias("kind"), F.lit(ord).alias("ord"), F.lit(stream).alias("stream"), text.alias("text"))
+
+    age = F.concat(F.col("age").cast("string"), F.lit("d"))
+    melting = F.when(F.col("trend") < -0.15, ", melting fast").when(F.col("trend") < -0.02, ", melting steadily").otherwise("")
+    read = F.concat(F.lit("Nearby snow sensors read "), F.col("swe").cast("string"), F.lit(" in of water in the snowpack"), melting, F.lit(" ("), age, F.lit(" old)."))
+    percent = F.concat(F.bround(F.col("cover") * 100, 0).cast("long").cast("string"), F.lit("%"))
+    shown = F.when(
+        F.col("modeled"),
+        F.concat(F.lit("Modeled snow cover is "), percent, F.lit(" in the pass bowl, worked out from a snow sensor reading "), age, F.lit(" ago; no satellite saw the pass.")),
+    ).otherwise(F.concat(F.lit("Satellite shows "), percent, F.lit(" snow cover in the pass bowl, last clear look "), age, F.lit(" ago.")))
+    parties = F.when(F.col("n_reports") == 1, " party").otherwise(" parties")
+    said = F.concat(F.col("n_reports").cast("string"), parties, F.lit(" reported from this pass recently; calibrated read: "), severity_word(F.col("severity")), F.lit("."))
+    ford = F.concat(F.lit("Worst reported crossing nearby: "), F.translate("worst", "_", " "), F.lit("."))
+    pulse = F.when(F.col("active_melt"), " Strong afternoon melt pulse: flow rises through the day.").otherwise("")
+    trend = F.coalesce(F.concat(F.lit(" and "), F.col("flow_trend")), F.lit(""))
+    flow = F.concat(F.lit("The nearest creek gauge reads "), F.bround("flow", 0).cast("long").cast("string"), F.lit(" cfs"), trend, F.lit("."), pulse)
+    quiet = (
+        F.when(F.col("quiet_since").isNull(), "")
+        .when(F.col("quiet_since") <= F.col("since"), " and stopped reporting")
+        .otherwise(F.concat(F.lit(" and has been quiet since "), F.col("quiet_since").cast("string")))
+    )
+    top = F.col("hundreds") * 100 >= CEILING
+    level = F.when(top, "above the highest terrain").otherwise(F.concat(F.lit("near "), whole(F.col("hundreds") * 100), F.lit(" ft")))
+    tail = (
+        F.when(F.col("severity") == 0, F.concat(F.when(top, "").otherwise(", above the pass"), F.lit(": likely melted out, though no sensor sees it directly.")))
+        .when(F.col("severity") <= 0.5, ", close to the pass: expect lingering patches.")
+        .otherwise(", still below the pass: expect snow up high.")
+    )
+    when = F.when(F.col("observed"), "on").otherwise("by")
+    line = F.concat(
+        F.col("station").cast("string"), F.lit(" ("), whole(F.col("station_ft")), F.lit(" ft) melted out "), when, F.lit(" "), F.col("since").cast("string"), quiet,
+        F.lit(f"; at a typical {RISE:.0f} ft a day that puts the snowline estimate "), level, tail,
+    )
+    one = F.col("blind") == 1
+    unseen = F.concat(
+        F.when(one, "The nearest snow sensor has").otherwise("Snow sensors nearby have"), F.lit(" melted out, but "), F.col("named"), F.when(one, " sits").otherwise(" sit"), F.lit(" at least "),
+        whole(F.col("min_gap_ft")), F.lit(" ft below the pass: "), F.when(one, "it cannot").otherwise("they cannot"), F.lit(" tell whether the pass still holds snow."),
+    )
+    where = F.concat(F.col("station").cast("string"), F.coalesce(F.concat(F.lit(" ("), whole(F.col("station_ft")), F.lit(" ft)")), F.lit("")))
+    value = F.bround("value", 1).cast("string")
+    broken = F.when(
+        F.col("reason") == "ceiling",
+        F.concat(where, F.lit(" reports "), value, F.lit(" in of water, more than any snowpack holds. It is left out as a sensor fault.")),
+    ).otherwise(F.concat(where, F.lit(" has read "), value, F.lit(" in since "), F.col("since").cast("string"), F.lit(" without moving. A snowpack in melt season changes every day, so it is left out as a stuck sensor.")))
+    every = places.select(F.col("key").alias("slug"), F.explode(F.array(*(F.lit(d).cast("date") for d in dates))).alias("eval_date"))
+    parts = part(every, "place", 0, "none", F.lit(""))
+    for more in (
+        part(sensor, "sensor", 1, "sensor", read), part(satellite, "satellite", 2, "satellite", shown), part(human, "reports", 3, "report", said),
+        part(worst, "worst", 4, "report", ford), part(creek.filter("flow is not null"), "creek", 5, "gauge", flow), part(snow_line, "snow_line", 6, "sensor", line),
+        part(blind_ones, "blind", 7, "sensor", unseen), part(faults, "fault", 8, "sensor", broken),
+    ):
+        parts = parts.unionByName(more)
+    told = parts.groupBy("slug", "eval_date").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "stream", "kind"))).alias("all"))
+    kinds = F.transform("all", lambda f: f["kind"])
+    has = {k: F.array_contains(kinds, k) for k in ("place", "sensor", "satellite", "reports", "snow_line", "worst", "creek", "blind")}
+    told = told.filter(has["place"])
+    snow = has["snow_line"] & ~has["sensor"]
+    present = has["sensor"] | has["satellite"] | has["reports"] | snow
+    nothing = F.when(has["worst"] | has["creek"], "No recent snow evidence for this pass.").otherwise("No recent evidence for this pass in any stream.")
+    kept = F.filter(
+        "all",
+        lambda f: F.when(f["kind"] == "place", ~present & ~has["blind"]).when(f["kind"] == "snow_line", snow).when(f["kind"] == "blind", ~snow).otherwise(F.lit(True)),
+    )
+    # Without snow evidence blind stations come first.
+    moved = F.transform(kept, lambda f: F.struct(F.when(~present & (f["kind"] == "blind"), 0).otherwise(f["ord"]).alias("ord"), f["stream"].alias("stream"), F.when(f["kind"] == "place", nothing).otherwise(f["text"]).alias("text")))
+    return told.select("slug", "eval_date", F.transform(F.array_sort(moved), lambda f: F.struct(f["stream"].alias("stream"), f["text"].alias("text"))).alias("facts"))

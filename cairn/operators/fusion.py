@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cut points of severity, and the statuses below them and above the last.
-CUTS = (0.5, 1.25, 2.1)
-STATUSES = ("open", "snow_caution", "traction_advised", "not_recommended")
+from .conditions import STATUSES, status_of
+
 #: Severity that a fused status may differ between two kinds without a conflict.
 AGREE = 1.0
 
 
-def status_of(severity: Column) -> Column:
-    word = F.when(severity < CUTS[0], STATUSES[0])
-    for cut, name in zip(CUTS[1:], STATUSES[1:3], strict=True):
-        word = word.when(severity < cut, name)
-    return F.when(severity.isNull(), "unknown").otherwise(word.otherwise(STATUSES[3]))
-
-
 def fuse(components: DataFrame) -> DataFrame:
     """slug, eval_date, severity, status, conflicts, spread, score, confidence.
 

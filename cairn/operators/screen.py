@@ -13,14 +13,14 @@ MELT = ("06-01", "09-30")
 WINDOW = 10
 
 
-def run_starts(values: np.ndarray) -> np.ndarray:
+def run_starts(values: np.ndarray, ceiling: float = CEILING) -> np.ndarray:
     """For each reading the place of the first of the longest flat run that ends there (itself, if none does).
 
     The spread of a stretch only grows with its length, so for all readings at once the first place
     is found by bisection, with the least and greatest of stretches of 1, 2, 4, ... readings at hand.
     """
     n = len(values)
-    fit = (values >= FLAT_LEAST) & (values <= CEILING)
+    fit = (values >= FLAT_LEAST) & (values <= ceiling)
     low, high = [np.where(fit, values, -np.inf)], [np.where(fit, values, np.inf)]
     while 1 << len(low) <= n:
         half = 1 << (len(low) - 1)
@@ -42,13 +42,13 @@ def run_starts(values: np.ndarray) -> np.ndarray:
     return start
 
 
-def faults(days: pd.Series, values: np.ndarray) -> np.ndarray:
+def faults(days: pd.Series, values: np.ndarray, ceiling: float = CEILING) -> np.ndarray:
     """For each reading the first place of the faulty run that ends there, or -1."""
-    start = run_starts(values)
+    start = run_starts(values, ceiling)
     warm = np.concatenate(([0], np.cumsum([MELT[0] <= str(d)[5:10] <= MELT[1] for d in days])))
     here = np.arange(len(values))
     stuck = (values >= FLAT_LEAST) & (warm[here + 1] - warm[start] >= RUN)
-    return np.where(values > CEILING, here, np.where(stuck, start, -1))
+    return np.where(values > ceiling, here, np.where(stuck, start, -1))
 
 
 def _kept(start: np.ndarray, last: int) -> np.ndarray:
@@ -104,6 +104,43 @@ def believed_as_of(daily: DataFrame, dates: list[str]) -> DataFrame:
     return daily.select("station", "day", "value").groupBy("station").applyInPandas(judge, "station long, eval_date date, day date, value double, faulty_since date")
 
 
+def judged_as_of(daily: DataFrame, dates: list[str], ceiling: float = CEILING, back: int = 14) -> DataFrame:
+    """W03 to W05 for all that reads a station: station, eval_date, day, value, ord, state, reason, since.
+
+    ``daily`` holds station, day, value and ord, which orders readings of a day. At each date a
+    reading up to it is ``believed``, ``rejected`` (reason ``ceiling`` or ``stuck``, since when) or ``silent``: the
+    newest one is rejected, so those of the window count no more, while older ones still date a melt-out. Given are the
+    readings of the date's year and of the ``back`` days before it, and the newest one whenever it was.
+    """
+    whens = [pd.Timestamp(d).date() for d in dates]
+    schema = "station long, eval_date date, day date, value double, ord long, state string, reason string, since date, newest boolean"
+
+    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["day", "ord"], ignore_index=True)
+        days, values, ords = rows["day"].tolist(), rows["value"].to_numpy(float), rows["ord"].tolist()
+        start, out = faults(rows["day"], values, ceiling), []
+        for when in whens:
+            last = int(np.searchsorted(np.array(days, "datetime64[D]"), np.datetime64(when), "right")) - 1
+            if last < 0:
+                continue
+            state, told, i = ["believed"] * (last + 1), {}, last
+            while i >= 0:  # each fault that is met on the way back takes its run with it
+                first = int(start[i])
+                if first >= 0:
+                    state[first : i + 1] = ["rejected"] * (i + 1 - first)
+                    told |= dict.fromkeys(range(first, i + 1), ("ceiling" if values[i] > ceiling else "stuck", days[first]))
+                i = (first if first >= 0 else i) - 1
+            mute = state[last] == "rejected"
+            for i in range(last + 1):
+                age = (when - days[i]).days
+                if i == last or age <= back or days[i].year == when.year:
+                    now = "silent" if mute and state[i] == "believed" and age <= WINDOW else state[i]
+                    out.append((key[0], when, days[i], values[i], ords[i], now, *told.get(i, (None, None)), i == last))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return daily.select("station", "day", "value", "ord").groupBy("station").applyInPandas(judge, schema)
+
+
 def ceiling_counts(daily: DataFrame, ceiling: float) -> DataFrame:
     """station, readings, over: readings above a ceiling."""
     return daily.groupBy("station").agg(F.count("*").alias("readings"), F.sum((F.col("value") > ceiling).cast("long")).alias("over"))

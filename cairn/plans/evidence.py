@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import asof, fusion, ledger, links
+from ..operators import asof, ledger, links
 from .inputs import DATES, Tables
 from .registry import query
 
@@ -121,10 +121,10 @@ def _component(t: Tables, kind: str, age: int, half_life: float, prior: float) -
 def _component_sql(kind: str, age: int, half_life: float, prior: float) -> str:
     return f"""SELECT lkey AS slug, eval_date, sum(w * value) / sum(w) AS value, min(age) AS age, count(*) AS stations,
   round(least(3.0, sum(w * value) / sum(w) / 300.0 * 3), 2) AS severity, {prior} * pow(0.5, min(age) / {half_life}.0) AS weight
-FROM (SELECT l.lkey, n.eval_date, n.value, n.age, 1 / (1 + l.km / 10) / (1 + abs(l.gap_ft) / 3000) AS w FROM ({_SENSOR_LINKS}) l JOIN ({_newest_sql(kind, age)}) n ON n.station = l.rkey) v GROUP BY lkey, eval_date"""
+FROM (SELECT l.lkey, n.eval_date, n.value, n.age, 1 / (1 + coalesce(nullif(l.km, 0.0), 20.0) / 10) / (1 + abs(l.gap_ft) / 3000) AS w FROM ({_SENSOR_LINKS}) l JOIN ({_newest_sql(kind, age)}) n ON n.station = l.rkey) v GROUP BY lkey, eval_date"""
 
 
-_SENSOR, _COVER = ("purchase", 10, 4, 0.9), ("signup", 12, 3, 0.65)
+_SENSOR = ("purchase", 10, 4, 0.9)
 
 
 @query(f"SELECT slug, eval_date, round(value, 4) AS value, age, stations, severity, round(weight, 6) AS weight FROM ({_component_sql(*_SENSOR)}) c")
@@ -133,36 +133,6 @@ def weighted_reading(t: Tables) -> DataFrame:
     return _component(t, *_SENSOR).withColumn("value", F.round("value", 4)).withColumn("weight", F.round("weight", 6))
 
 
-_FUSED = f"""SELECT slug, eval_date, severity, CASE WHEN severity < 0.5 THEN 'open' WHEN severity < 1.25 THEN 'snow_caution' WHEN severity < 2.1 THEN 'traction_advised' ELSE 'not_recommended' END AS status,
-  CASE WHEN kinds = 2 AND spread > 1.0 THEN 'cover~sensor' ELSE '' END AS conflicts, score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2.5 THEN 'moderate' ELSE 'low' END AS confidence
-FROM (SELECT *, CAST(kinds * 2 + CASE WHEN age <= 2 THEN 1 ELSE 0 END - CASE WHEN spread > 1.5 THEN 2 WHEN spread > 0.8 THEN 1 ELSE 0 END AS INTEGER) AS score
-  FROM (SELECT slug, eval_date, round(sum(severity * weight) / sum(weight), 6) AS severity, count(*) AS kinds, min(age) AS age, max(severity) - min(severity) AS spread
-    FROM (SELECT * FROM ({_component_sql(*_SENSOR)}) a UNION ALL SELECT * FROM ({_component_sql(*_COVER)}) b) c GROUP BY slug, eval_date) f) s"""
-
-
-def _fused(t: Tables) -> DataFrame:
-    named = lambda df, kind: df.select("slug", "eval_date", F.lit(kind).alias("kind"), "severity", "weight", "age")
-    return fusion.fuse(named(_component(t, *_SENSOR), "sensor").unionByName(named(_component(t, *_COVER), "cover")))
-
-
-@query(_FUSED)
-def fused_status(t: Tables) -> DataFrame:
-    """A05 in short, of two kinds of evidence; ``place_verdict`` fuses all of them."""
-    return _fused(t)
-
-
-@query(f"SELECT slug, string_agg(CASE status WHEN 'open' THEN '0' WHEN 'snow_caution' THEN '1' WHEN 'traction_advised' THEN '2' ELSE '3' END, '' ORDER BY eval_date) AS codes FROM ({_FUSED}) f GROUP BY slug")
-def status_string(t: Tables) -> DataFrame:
-    """A digit per date."""
-    return fusion.status_strings(_fused(t))
-
-
-@query(f"SELECT eval_date, status, confidence, count(*) AS n FROM ({_FUSED}) f GROUP BY eval_date, status, confidence")
-def status_counts(t: Tables) -> DataFrame:
-    """A37."""
-    return _fused(t).groupBy("eval_date", "status", "confidence").agg(F.count("*").alias("n"))
-
-
 @query(
     f"""SELECT DISTINCT id, source, day FROM (SELECT event_id AS id, event_type AS source, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY eval_date, event_type ORDER BY CAST(ts AS DATE) DESC, event_id) AS r
 FROM events, {_DATES} e WHERE eval_date - CAST(ts AS DATE) BETWEEN 0 AND 29) x WHERE r <= 4"""

@@ -46,5 +46,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of each place at each date, fused from two kinds of evidence."""
+    """Status of each place at each date, fused from all kinds of evidence."""
     return queries()["fused_status"](spark, sf_dir)

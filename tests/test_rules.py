@@ -231,7 +231,7 @@ def test_trend_is_of_the_weighted_mean(spark):
         "slug long, station long, eval_date date, day date, value double, age int, first_day date, first_value double, km double, gap_ft double",
     )
     got = conditions.sensors(linked).first()
-    swe = (4.0 * 1 + 8.0 * 0.5) / 1.5
+    swe = (4.0 / 3 + 8.0 * 0.5) / (1 / 3 + 0.5)  # no distance at all counts as 20 km
     assert got["swe"] == round(swe, 1) and got["trend"] == round((swe - 7.5) / 5, 2) and got["stations"] == [10, 11]
 
 
@@ -248,3 +248,67 @@ def test_excerpt_ends_with_a_sentence(spark):
     text = "Mt. Hood Rd. closed. " + "Snow at 5 mi. from the gate and on. " * 3 + "Next sentence that runs on and on and on."
     row = spark.createDataFrame([(text, "short", "x" * 500)], "a string, b string, c string").select(rules.excerpt(F.col("a"), 60).alias("a"), rules.excerpt(F.col("b"), 60).alias("b"), rules.excerpt(F.col("c"), 60).alias("c")).first()
     assert row["a"] == "Mt. Hood Rd. closed. Snow at 5 mi. from the gate and on." and row["b"] == "short" and row["c"] == "x" * 500
+
+
+def test_a_stuck_station_falls_silent_and_its_scenes_go(spark):
+    day = D(2024, 7, 20)
+    rows = [(1, D(2024, 7, 1) + dt.timedelta(days=i), 14.5, i) for i in range(20)] + [(2, D(2024, 7, 19), 3.0, 1), (2, D(2024, 7, 20), 2.0, 2), (2, D(2024, 7, 20), 9.0, 3), (3, D(2024, 7, 20), 260.0, 1), (3, D(2024, 7, 18), 1.5, 1)]
+    judged = screen.judged_as_of(spark.createDataFrame(rows, "station long, day date, value double, ord long"), [str(day)])
+    got = {r["station"]: r for r in conditions.newest(judged).collect()}
+    assert set(got) == {2} and (got[2]["value"], got[2]["first_value"], got[2]["age"]) == (2.0, 3.0, 0)
+    broken = {r["station"]: (r["reason"], r["since"], r["value"]) for r in conditions.faulty(judged).collect()}
+    assert broken == {1: ("stuck", D(2024, 7, 1), 14.5), 3: ("ceiling", day, 260.0)}
+    states = {(r["station"], r["day"].day): r["state"] for r in judged.collect()}
+    assert states[1, 1] == "rejected" and states[3, 18] == "silent"
+    scene = spark.createDataFrame([(7, D(2024, 7, 19), 0.9, True, 1), (7, D(2024, 7, 15), 0.4, False, None), (8, D(2024, 7, 18), 0.7, True, 3)], "slug long, day date, cover double, modeled boolean, from_station long")
+    seen = {r["slug"]: r["cover"] for r in conditions.scenes(scene, [str(day)], judged.filter("state = 'rejected'").select("station", "eval_date", "day")).collect()}
+    assert seen == {7: 0.4, 8: 0.7}
+
+
+def test_silent_station_still_dates_its_melt_out(spark):
+    rows = [(1, D(2024, 5, 1), 3.0, 1), (1, D(2024, 5, 2), 0.0, 1), (1, D(2024, 5, 3), 0.0, 1), (1, D(2024, 5, 20), 300.0, 1)]
+    judged = screen.judged_as_of(spark.createDataFrame(rows, "station long, day date, value double, ord long"), ["2024-05-21"])
+    linked = spark.createDataFrame([(7, 1, 1000.0, 6000.0)], "slug long, station long, gap_ft double, station_ft double")
+    got = conditions.believed_lines(linked, judged).first()
+    assert (got["since"], got["quiet_since"], got["observed"], got["hundreds"]) == (D(2024, 5, 2), D(2024, 5, 3), True, 68)
+
+
+def facts_of(spark, **kinds):
+    day = D(2024, 7, 20)
+
+    def rows(kind, schema):
+        given = kinds.get(kind)
+        frame = spark.createDataFrame([(1, *r) for r in given] if given else [], "slug long, " + schema)
+        return frame.withColumn("eval_date", F.lit(day))
+
+    got = conditions.facts(
+        spark.createDataFrame([(1,)], "key long"), [str(day)], rows("sensor", "swe double, trend double, age int"),
+        rows("line", "station long, station_ft double, hundreds long, since date, observed boolean, quiet_since date, severity double"),
+        rows("scene", "cover double, modeled boolean, age int"), rows("reports", "n_reports long, severity double"), rows("worst", "worst string"),
+        rows("creek", "flow double, flow_trend string, active_melt boolean"), rows("blind", "blind int, min_gap_ft long, named string"),
+        rows("faulty", "station long, station_ft double, value double, reason string, since date"),
+    ).first()["facts"]
+    return [(f["stream"], f["text"]) for f in got]
+
+
+def test_facts_of_a_place_in_order(spark):
+    got = facts_of(
+        spark, sensor=[(4.0, -0.2, 1)], line=[(5, 6000.0, 70, D(2024, 6, 1), True, None, 0.5)], scene=[(0.345, True, 3)], reports=[(1, 1.3)], worst=[("knee_high",)], creek=[(120.5, "rising", True)],
+        blind=[(1, 1200, "9 (6,000 ft)")], faulty=[(3, None, 260.04, "ceiling", D(2024, 7, 20)), (2, 7100.0, 14.5, "stuck", D(2024, 7, 1))],
+    )
+    assert [s for s, _ in got] == ["sensor", "satellite", "report", "report", "gauge", "sensor", "sensor", "sensor"]
+    text = [t for _, t in got]
+    assert text[0] == "Nearby snow sensors read 4.0 in of water in the snowpack, melting fast (1d old)."
+    assert text[1].startswith("Modeled snow cover is 34% in the pass bowl") and "1 party reported" in text[2] and "continuous snow" in text[2] and text[3].endswith("knee high.")
+    assert text[4] == "The nearest creek gauge reads 120 cfs and rising. Strong afternoon melt pulse: flow rises through the day."
+    assert "sits at least 1,200 ft" in text[5] and text[6].startswith("2 (7,100 ft) has read 14.5 in since 2024-07-01") and text[7].startswith("3 reports 260.0 in")
+
+
+def test_facts_without_snow_evidence(spark):
+    assert facts_of(spark) == [("none", "No recent evidence for this pass in any stream.")]
+    got = facts_of(spark, creek=[(80.0, None, False)])
+    assert got == [("none", "No recent snow evidence for this pass."), ("gauge", "The nearest creek gauge reads 80 cfs.")]
+    got = facts_of(spark, creek=[(80.0, None, False)], blind=[(2, 800, "a, b")])
+    assert got[0][1].startswith("Snow sensors nearby have melted out, but a, b sit at least 800 ft") and got[1][0] == "gauge"
+    got = facts_of(spark, line=[(5, 9000.0, 145, D(2024, 6, 1), False, D(2024, 5, 30), 0.0)], blind=[(2, 800, "a, b")])
+    assert len(got) == 1 and "melted out by 2024-06-01 and stopped reporting" in got[0][1] and got[0][1].endswith("above the highest terrain: likely melted out, though no sensor sees it directly.")
