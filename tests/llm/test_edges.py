@@ -182,3 +182,14 @@ def test_very_long_white_space_is_packed_and_counted(spark, blank):
     assert {r["doc_id"]: r["n_tokens"] for r in tokens.count(docs).collect()} == {1: len(ids), 2: 1}
     packed = packing.best_fit_pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in packed} == {1: len(ids) + 1, 2: 2}
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_leaks_of_rows_that_share_a_doc_id(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    rows = [(1, "a b c d e f g h i j"), (1, "zzz"), (None, "x A B C D E F G H I J k"), (None, None), (2, "b c d e f g h i j"), (3, "p q zzz p q"), (4, "a b c d e f g h i j " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a b c d e f g h i j"), (8, "P q"), (9, "zzz")], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.report(docs, bench).collect()), key=repr)
+    want = [(1, 10, 10, ["7"], True), (1, 1, 1, ["9"], True), (None, 12, 10, ["7"], True), (None, 0, 0, [], False), (2, 9, 0, [], False), (3, 5, 5, ["8", "9"], True), (4, 30000, 30000, ["7"], True)]
+    assert got == sorted(want, key=repr)
