@@ -224,15 +224,23 @@ def fused(places: DataFrame, dates: list[str], sensor: DataFrame, snow_line: Dat
     parts = parts.unionByName(part(worst, "worst", word=F.col("worst"))).unionByName(part(creek, "creek", flow=F.col("flow")))
     every = places.select(F.col("key").alias("slug"), F.explode(F.array(*(F.lit(d).cast("date") for d in dates))).alias("eval_date"))
     parts = parts.unionByName(part(every, "place"))
-    kinds = ("sensor", "snow_line", "satellite", "reports")
 
     def of(kind: str, c: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col(c)))
 
     wide = parts.groupBy("slug", "eval_date").agg(
-        *(of(k, c).alias(f"{k}_{c}") for k in kinds for c in ("severity", "weight", "age")),
+        *(of(k, c).alias(f"{k}_{c}") for k in KINDS for c in ("severity", "weight", "age")),
         of("satellite", "modeled").alias("modeled"), of("reports", "n").alias("n_reports"), of("worst", "word").alias("worst"), of("creek", "flow").alias("flow"), of("place", "kind").alias("known"),
     ).filter("known is not null")
+    return verdict(wide, "slug", "eval_date")
+
+
+KINDS = ("sensor", "snow_line", "satellite", "reports")
+
+
+def verdict(wide: DataFrame, *keys: str) -> DataFrame:
+    """A05 to A08 of rows with ``keys`` and, for each of KINDS, severity, weight and age, null without evidence; modeled, n_reports, worst, flow."""
+    kinds = KINDS
     for c in ("severity", "weight"):
         wide = wide.withColumn(f"snow_line_{c}", F.when(F.col("sensor_severity").isNull(), F.col(f"snow_line_{c}")))
     s = {k: F.col(f"{k}_severity") for k in kinds}
@@ -263,7 +271,7 @@ def fused(places: DataFrame, dates: list[str], sensor: DataFrame, snow_line: Dat
     )
     score = F.when(F.col("severity").isNull(), 0.0).otherwise(score)
     grade = F.when(score >= 5, "high").when(score >= 2.5, "moderate").otherwise("low")
-    return wide.select("slug", "eval_date", F.round("severity", 2).alias("severity"), status.alias("status"), F.array_join(conflicts, " ").alias("conflicts"), F.round(score, 1).alias("score"), grade.alias("confidence"), "worst")
+    return wide.select(*keys, F.round("severity", 2).alias("severity"), status.alias("status"), F.array_join(conflicts, " ").alias("conflicts"), F.round(score, 1).alias("score"), grade.alias("confidence"), "worst")
 
 
 def severity_word(severity: Column) -> Column:

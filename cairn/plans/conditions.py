@@ -156,13 +156,14 @@ def _sentence(hi: str, lo: str) -> str:
 
 _CONFLICTS = ", ".join(f"CASE WHEN abs({x} - {y}) > 1.0 THEN CASE WHEN {x} < {y} THEN {_sentence(y, x)} ELSE {_sentence(x, y)} END END" for x, y in _PAIRS)
 _DIFFER = "greatest(0.0, " + ", ".join(f"coalesce(abs({x} - {y}), 0.0)" for x, y in _PAIRS) + ")"
-_VERDICT = f"""WITH w AS (
+_EVIDENCE = f"""w AS (
   SELECT p.key AS slug, e.eval_date, s.severity AS a, CASE WHEN s.severity IS NULL THEN n.severity END AS b, c.severity AS c, h.severity AS d, s.weight AS wa, n.weight AS wb, c.weight AS wc, h.weight AS wd,
     s.age AS age_a, c.age AS age_c, c.modeled, h.n_reports, x.worst, k.flow
   FROM $places p CROSS JOIN {_DATES} e LEFT JOIN ({_SENSORS}) s ON s.slug = p.key AND s.eval_date = e.eval_date LEFT JOIN ({_SNOW_LINES}) n ON n.slug = p.key AND n.eval_date = e.eval_date
   LEFT JOIN ({_SCENES}) c ON c.slug = p.key AND c.eval_date = e.eval_date LEFT JOIN ({_REPORTS}) h ON h.slug = p.key AND h.eval_date = e.eval_date
   LEFT JOIN ({_WORST}) x ON x.slug = p.key AND x.eval_date = e.eval_date LEFT JOIN ({_CREEKS}) k ON k.slug = p.key AND k.eval_date = e.eval_date
-), v AS (
+)"""
+_JUDGE = f"""v AS (
   SELECT *, (coalesce(a * wa, 0.0) + coalesce(b * wb, 0.0) + coalesce(c * wc, 0.0) + coalesce(d * wd, 0.0))
     / nullif(CASE WHEN a IS NULL THEN 0.0 ELSE wa END + CASE WHEN b IS NULL THEN 0.0 ELSE wb END + coalesce(wc, 0.0) + coalesce(wd, 0.0), 0.0) AS sev, {_DIFFER} AS differ FROM w
 ), g AS (
@@ -170,12 +171,16 @@ _VERDICT = f"""WITH w AS (
     + CASE WHEN c IS NULL THEN 0.0 WHEN age_c <= 4 THEN 1.5 ELSE 0.75 END + CASE WHEN n_reports IS NULL THEN 0.0 ELSE least(3.0, n_reports) END + CASE WHEN flow IS NULL THEN 0.0 ELSE 1.0 END
     - CASE WHEN differ > 1.5 THEN 2.0 WHEN differ > 0.8 THEN 1.0 ELSE 0.0 END END AS points FROM v
 )
-SELECT slug, eval_date, round(sev, 2) AS severity,
+"""
+_SHOW = f"""SELECT {{keys}}, round(sev, 2) AS severity,
   CASE WHEN sev IS NULL THEN 'unknown' WHEN worst = 'dangerous' THEN 'not_recommended' WHEN worst = 'thigh_high' AND sev < 0.5 THEN 'snow_caution' WHEN sev < 0.5 THEN 'open' WHEN sev < 1.25 THEN 'snow_caution' WHEN sev < 2.1 THEN 'traction_advised' ELSE 'not_recommended' END AS status,
   array_to_string(list_filter([{_CONFLICTS}], lambda x: x IS NOT NULL), ' ') AS conflicts, CAST(round(points, 1) AS DOUBLE) AS score,
   CASE WHEN points >= 5 THEN 'high' WHEN points >= 2.5 THEN 'moderate' ELSE 'low' END AS confidence, worst FROM g"""
 
 
+_VERDICT = f"WITH {_EVIDENCE}, {_JUDGE} " + _SHOW.replace("{keys}", "slug, eval_date")
+
+
 def verdicts(t: Tables) -> DataFrame:
     lines, scenes = C.believed_lines(_linked(t), _judged(t)), C.scenes(t.scenes, _D, _rejected(t))
     return C.fused(t.places, _D, C.sensors(_read(t)), lines, scenes, C.reports(t.told, _D), C.worst_crossings(t.told, _D), C.creeks(t.gauges, _D))

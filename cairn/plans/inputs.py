@@ -35,6 +35,8 @@ INPUTS = {
     "reports": "SELECT d.doc_id AS id, lang AS place, source AS author, DATE '2024-01-01' + CAST(d.doc_id % 20 AS INT) AS day, l.quality + l.toxic AS observed, CASE WHEN n_chars < 300 THEN 0 WHEN n_chars < 900 THEN 1 WHEN n_chars < 2500 THEN 2 ELSE 3 END AS engine, lang, source FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id",
 }
 
+INPUTS["posts"] = "SELECT id, slug, day, CASE WHEN id % 7 = 0 THEN ' ' WHEN id % 2 = 0 THEN 'Ann ' ELSE 'ann' END AS author, snow, traction, comfort, register, crossing FROM (" + INPUTS["told"] + ") t"
+
 
 def sql_of(name: str) -> str:
     """The input as a subquery over plain table names."""

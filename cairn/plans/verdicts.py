@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import backtest, season
+from ..functions import rules as R
+from ..operators import backtest, screen, season
+from ..operators import conditions as C
+from . import conditions as P
+from .evidence import _DATES
 from .inputs import Tables
 from .registry import query
 
@@ -71,3 +75,74 @@ SELECT x AS threshold, errors FROM e ORDER BY errors, x LIMIT 1"""
 def best_split(t: Tables) -> DataFrame:
     """The elevation that misplaces fewest."""
     return season.best_split(t.part.select(F.col("p_size").alias("x"), (F.col("p_retailprice") > 1400).alias("up")))
+
+
+#: The backtest in SQL fuses each place anew for each report, from a list of the other reports.
+_STEP = "CASE snow WHEN 'none' THEN 0 WHEN 'patchy' THEN 1 WHEN 'continuous' THEN 2 WHEN 'deep' THEN 3 END"
+_FLOOR = "CASE traction WHEN 'none' THEN 0 WHEN 'microspikes' THEN 2 WHEN 'crampons' THEN 3 WHEN 'ice_axe' THEN 3 WHEN 'spikes_and_axe' THEN 3 END"
+_TARGETS = f"(SELECT *, day AS eval_date, CASE WHEN {_FLOOR} IS NULL THEN {_STEP} ELSE greatest({_STEP}, least({_FLOOR}, {_STEP} + 1)) END AS observed FROM $posts p WHERE {_STEP} IS NOT NULL)"
+_OTHERS = f"""(SELECT t.id AS target, t.eval_date, o.* FROM {_TARGETS} t JOIN $posts o ON o.slug = t.slug AND o.id <> t.id AND NOT (o.day = t.day AND trim(o.author) <> '' AND lower(trim(o.author)) = lower(trim(t.author)))
+  WHERE t.eval_date - o.day BETWEEN 0 AND 14)"""
+_SAID = P._SAID.replace("SELECT slug, day, CASE snow", "SELECT target, eval_date, slug, day, CASE snow").replace("$told", _OTHERS)
+_DAYS = f"(SELECT DISTINCT eval_date FROM {_TARGETS} d)"
+
+
+def _on_days(sql: str) -> str:
+    return sql.replace(_DATES, _DAYS)
+
+
+_LEFT_OUT = f"""WITH said AS (
+  SELECT target, round(sum(said * pow(0.5, (eval_date - day) / 5.0)) / sum(pow(0.5, (eval_date - day) / 5.0)), 2) AS severity, count(*) AS n_reports, min(eval_date - day) AS age FROM ({_SAID}) s GROUP BY target
+), worst AS (
+  SELECT target, list_extract(['dry', 'low', 'knee_high', 'thigh_high', 'dangerous'], CAST(max(list_position(['dry', 'low', 'knee_high', 'thigh_high', 'dangerous'], crossing)) AS INTEGER)) AS worst FROM {_OTHERS} o WHERE crossing IS NOT NULL GROUP BY target
+), w AS (
+  SELECT t.id, t.slug, t.eval_date, t.observed, s.severity AS a, CASE WHEN s.severity IS NULL THEN n.severity END AS b, c.severity AS c, h.severity AS d, s.weight AS wa, n.weight AS wb, c.weight AS wc,
+    0.75 * pow(0.5, h.age / 5.0) * least(1.0, h.n_reports / 2.0) AS wd, s.age AS age_a, c.age AS age_c, c.modeled, h.n_reports, x.worst, k.flow
+  FROM {_TARGETS} t LEFT JOIN ({_on_days(P._SENSORS)}) s ON s.slug = t.slug AND s.eval_date = t.eval_date LEFT JOIN ({_on_days(P._SNOW_LINES)}) n ON n.slug = t.slug AND n.eval_date = t.eval_date
+  LEFT JOIN ({_on_days(P._SCENES)}) c ON c.slug = t.slug AND c.eval_date = t.eval_date LEFT JOIN said h ON h.target = t.id LEFT JOIN worst x ON x.target = t.id
+  LEFT JOIN ({_on_days(P._CREEKS)}) k ON k.slug = t.slug AND k.eval_date = t.eval_date
+), {P._JUDGE}, f AS ({P._SHOW.replace('{keys}', 'id, slug, eval_date, observed, c IS NOT NULL AS satellite, coalesce(n_reports, 0) AS others')}
+), e AS (
+  SELECT *, CASE status WHEN 'open' THEN 0 WHEN 'snow_caution' THEN 1 WHEN 'traction_advised' THEN 2 WHEN 'not_recommended' THEN 3 END AS engine FROM f
+), near AS (
+  SELECT DISTINCT l.lkey AS slug, d.eval_date FROM ({P._SENSOR_LINKS}) l JOIN $snowpack r ON r.station = l.rkey JOIN {_DAYS} d ON d.eval_date - r.day BETWEEN 0 AND 10 WHERE abs(l.gap_ft) <= 300
+)
+SELECT e.*, CASE WHEN engine IS NULL THEN 'no_verdict' WHEN engine = observed THEN 'exact' WHEN abs(engine - observed) = 1 THEN 'off_by_one' ELSE 'off_by_more' END AS outcome,
+  CASE WHEN engine < observed THEN 'engine_less' WHEN engine > observed THEN 'engine_more' END AS direction, near.slug IS NOT NULL AS sensor_near
+FROM e LEFT JOIN near ON near.slug = e.slug AND near.eval_date = e.eval_date"""
+
+
+def _without(t: Tables) -> DataFrame:
+    said = C.report_severity(F.col("snow"), F.col("traction"), F.col("comfort"), F.col("register"))
+    posts = t.posts.select("id", "slug", "day", "author", said.alias("said"), "crossing", R.observed_step(F.col("snow"), F.col("traction")).alias("observed"))
+    targets = backtest.left_out(posts)
+    days = [str(r["day"]) for r in posts.filter("observed is not null and day is not null").select("day").distinct().orderBy("day").collect()]  # days of the calendar
+    linked, judged = P._linked(t), screen.judged_as_of(t.snowpack, days, P.CEILING)
+    scenes = C.scenes(t.scenes, days, judged.filter("state = 'rejected'").select("station", "eval_date", "day"))
+    seen = linked.join(C.newest(judged), "station")
+    out = backtest.judged_without(targets, C.sensors(seen), C.believed_lines(linked, judged), scenes, C.creeks(t.gauges, days))
+    near = backtest.near_in_height(linked, t.snowpack, targets).withColumn("near", F.lit(True))
+    rows = backtest.classified(out).join(near, ["slug", "eval_date"], "left")
+    return rows.withColumn("sensor_near", F.coalesce("near", F.lit(False))).drop("near")
+
+
+@query(_LEFT_OUT)
+def backtest_rows(t: Tables) -> DataFrame:
+    """Every report that states a step, against the verdict of its place and day without it and its party's."""
+    return _without(t)
+
+
+_SEASON = "CASE WHEN month(eval_date) BETWEEN 4 AND 6 THEN 'early' WHEN month(eval_date) IN (7, 8) THEN 'midsummer' WHEN month(eval_date) IN (9, 10) THEN 'fall' ELSE 'winter' END"
+_SPLITS = ["confidence", "season", "year", "satellite", "sensor_near", "others"]
+
+
+@query(
+    f"""WITH r AS (SELECT confidence, {_SEASON} AS season, year(eval_date)::VARCHAR AS year, satellite::VARCHAR AS satellite, sensor_near::VARCHAR AS sensor_near, (others > 0)::VARCHAR AS others, engine, observed FROM ({_LEFT_OUT}) x WHERE engine IS NOT NULL),
+c AS (SELECT CASE {' '.join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in _SPLITS)} ELSE 'overall' END AS split, coalesce({', '.join(_SPLITS)}) AS cell, count(*) AS n, count(*) FILTER (WHERE engine = observed) AS exact,
+  count(*) FILTER (WHERE abs(engine - observed) <= 1) AS within_one, count(*) FILTER (WHERE engine > observed) AS more, count(*) FILTER (WHERE engine < observed) AS less FROM r GROUP BY GROUPING SETS ((), {', '.join(f'({c})' for c in _SPLITS)}))
+SELECT split, cell, n, exact, within_one, more, less, CASE WHEN n >= 10 THEN round(greatest({_wilson('-')}, 0.0), 6) END AS low, CASE WHEN n >= 10 THEN round(least({_wilson('+')}, 1.0), 6) END AS high FROM c"""
+)
+def backtest_report(t: Tables) -> DataFrame:
+    """How often the verdicts of the backtest hold, overall and by what they rest on."""
+    rows = _without(t).filter("engine is not null").withColumn("season", R.season_bucket(F.col("eval_date"))).withColumn("year", F.year("eval_date")).withColumn("others", F.col("others") > 0)
+    return backtest.outcome_sets(rows.select("engine", "observed", *_SPLITS), _SPLITS)

@@ -312,3 +312,20 @@ def test_facts_without_snow_evidence(spark):
     assert got[0][1].startswith("Snow sensors nearby have melted out, but a, b sit at least 800 ft") and got[1][0] == "gauge"
     got = facts_of(spark, line=[(5, 9000.0, 145, D(2024, 6, 1), False, D(2024, 5, 30), 0.0)], blind=[(2, 800, "a, b")])
     assert len(got) == 1 and "melted out by 2024-06-01 and stopped reporting" in got[0][1] and got[0][1].endswith("above the highest terrain: likely melted out, though no sensor sees it directly.")
+
+
+def test_a_report_is_judged_without_its_party(spark):
+    day = D(2024, 6, 10)
+    rows = [
+        (1, 5, day, "Ann", 3.0, "dangerous", 3), (2, 5, day, " ann ", 0.75, "thigh_high", 1), (3, 5, day, "Bob", 1.0, "low", 1), (4, 5, day, None, 2.0, None, 2), (5, 5, day, "", None, "knee_high", None),
+        (6, 5, D(2024, 6, 5), "ann", 0.0, "dry", 0), (7, 5, D(2024, 5, 20), "Cy", 3.0, "dangerous", 3), (8, 6, day, "Ann", 1.0, None, 1), (9, 5, None, "Ann", 3.0, "dangerous", 3),
+    ]
+    posts = spark.createDataFrame(rows, "id long, slug long, day date, author string, said double, crossing string, observed int")
+    got = {r["id"]: r for r in backtest.left_out(posts).collect()}
+    assert set(got) == {1, 2, 3, 4, 6, 7, 8}
+    assert (got[1]["n_reports"], got[1]["worst"], got[1]["reports_age"]) == (3, "knee_high", 0) and got[1]["reports_severity"] == round((1.0 + 2.0 + 0.0 * 0.5) / 2.5, 2)
+    assert got[2]["reports_severity"] == got[1]["reports_severity"]  # one party
+    assert (got[3]["n_reports"], got[3]["worst"]) == (4, "dangerous") and got[3]["reports_severity"] == round((3.0 + 0.75 + 2.0) / 3.5, 2)
+    assert got[4]["n_reports"] == 4 and got[6]["n_reports"] is None and got[6]["worst"] is None and got[8]["n_reports"] is None and got[7]["n_reports"] is None
+    empty = [got[8]["reports_severity"], got[8]["reports_weight"], got[8]["reports_age"]]
+    assert empty == [None, None, None]
