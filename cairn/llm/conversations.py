@@ -27,6 +27,10 @@ from .common import written
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows of a block, as a power of two.
 BLOCK = 12
+#: Edits that are held at once.
+SPREAD = 10_000
+#: Rows that one task derives repairs for, about.
+TASK_ROWS = 200_000
 #: States of the reader: nothing read, read s, u, a. It may end in the first and the last.
 START, S, U, A = range(4)
 #: Where a role's initial leads: to the state in the key, from the states named.
@@ -207,6 +211,11 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tu
         yield name, pd.concat(held) if len(held) > 1 else held[0]
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Partitions for work that takes some 50 microseconds a row."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS)
+
+
 def block_items(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows of ``PARTS``: of each block's conversations the derived items, with what is counted in their rows.
 
@@ -214,10 +223,9 @@ def block_items(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     in others: theirs are derived for all states.
     """
 
-    def part(conv: int | None, key: int, own: pd.DataFrame, whole: bool) -> Iterator[tuple]:
-        initials, kinds = own["initial"].tolist(), own["fault"].tolist()
+    def part(conv: int | None, key: int, at: int, initials: list[str], kinds: list[int], whole: bool) -> Iterator[tuple]:
         illegal = sum(pair not in LEGAL for pair in zip(initials, initials[1:], strict=False))
-        facts = (conv, key, int(own["at"].iloc[0]), len(own), initials[0], initials[-1], kinds.count(BLANK), kinds.count(DUPLICATE), kinds.count(TRUNCATED), illegal)
+        facts = (conv, key, at, len(kinds), initials[0], initials[-1], kinds.count(BLANK), kinds.count(DUPLICATE), kinds.count(TRUNCATED), illegal)
         if whole:
             for p, *rest in derive(initials, kinds, {START: 0, A: 0}, [START], True):
                 yield (*facts, p, A, rest[0], -1, *rest[1:])
@@ -229,12 +237,19 @@ def block_items(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (key,), own in _runs(batches, ["block"]):
-            inside = [(conv[0], run) for conv, run in _runs(iter([own]), ["conv_id"])]
-            out = [row for k, (conv, run) in enumerate(inside) for row in part(conv, key, run, 0 < k < len(inside) - 1)]
+            convs = [None if pd.isna(x) else int(x) for x in own["conv_id"]]
+            at, initials, kinds = int(own["at"].iloc[0]), own["initial"].tolist(), own["fault"].tolist()
+            starts = [k for k in range(len(convs)) if not k or convs[k] != convs[k - 1]]
+            spans = list(zip(starts, [*starts[1:], len(convs)], strict=True))
+            out = [
+                row
+                for k, (a, b) in enumerate(spans)
+                for row in part(convs[a], key, at + a, initials[a:b], kinds[a:b], 0 < k < len(spans) - 1)
+            ]
             yield pd.DataFrame(out, columns=[x.split()[0] for x in PARTS.split(", ")]).astype({"conv_id": "Int64"})
 
     keyed = rows.withColumn("block", F.shiftright("at", block))
-    return keyed.repartition("block").sortWithinPartitions("block", "at").mapInPandas(items, PARTS)
+    return keyed.repartition(_tasks(rows), "block").sortWithinPartitions("block", "at").mapInPandas(items, PARTS)
 
 
 def _paths(parts: DataFrame) -> DataFrame:
@@ -294,13 +309,19 @@ def edits(turns: DataFrame, plans: DataFrame) -> DataFrame:
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.astype({"conv_id": "Int64"}).itertuples(index=False):
-                out, at, place = [], row.first_at, 0
-                for edit, role in zip(row.audit, row.roles, strict=True):
-                    out.append((at, place, edit, ROLES[role] if edit in (INSERT, REROLE) else None))
+            ids = [None if pd.isna(x) else int(x) for x in batch["conv_id"]]
+            out = []
+            for conv, at, audit, roles in zip(ids, batch["first_at"].tolist(), batch["audit"], batch["roles"], strict=True):
+                place = 0
+                for edit, role in zip(audit, roles, strict=True):
+                    out.append((at, place, edit, ROLES[role] if edit in (INSERT, REROLE) else None, conv))
                     at, place = (at, place + 1) if edit == INSERT else (at + 1, 0)
-                yield pd.DataFrame(out, columns=["at", "place", "edit", "put"]).assign(conv_id=pd.array([row.conv_id] * len(out), "Int64"))
+                if len(out) >= SPREAD:
+                    yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                    out = []
+            yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
 
+    names = ["at", "place", "edit", "put", "conv_id"]
     made = plans.select("conv_id", "first_at", "audit", "roles").mapInPandas(spread, "at long, place int, edit string, put string, conv_id long")
     own = turns.select(F.col("at").alias("row"), "role", "text")
     met = made.join(own, (F.col("at") == F.col("row")) & (F.col("edit") != INSERT), "left")
