@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators import ledger
+from ..operators import ledger, watches
 from .ingest import _folder, read
 
 
@@ -36,3 +38,72 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream.trigger(availableNow=True).start().awaitTermination()
     log = spark.read.schema("user_id long, n long, changes long, batch int").parquet(out)
     return ledger.latest(log.select("user_id", "n", "changes", "batch"), ["user_id"], "batch").select("user_id", "n", "changes")
+
+
+PAIR = "slug long, now string, was string"
+
+
+class _Pairs(StatefulProcessor):
+    """Of each place the last export seen; each later one is given with it. What comes again, or late, gives nothing."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "date date, body string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        date, body = self.last.get() if self.last.exists() else (None, None)
+        out, began = [], date
+        for row in pd.concat(list(rows)).sort_values(["date", "body"]).itertuples(index=False):
+            if date is None or row.date > date:
+                if body is not None:
+                    out.append((key[0], row.body, body))
+                date, body = row.date, row.body
+        if date != began:
+            self.last.update((date, body))
+        yield pd.DataFrame(out, columns=["slug", "now", "was"]).astype({"slug": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def paired_stream(exports: DataFrame) -> DataFrame:
+    """``watches.paired`` of a stream of exports: (now, was), with a typed state for each place. A place has a row a day.
+
+    Needs the state store that keeps typed states (RocksDB); see ``state_store``.
+    """
+    body = F.to_json(F.struct(*watches.FIELDS), {"ignoreNullFields": "false"})
+    told = exports.select("slug", "date", body.alias("body")).groupBy("slug").transformWithStateInPandas(_Pairs(), PAIR, "Append", "None")
+    return told.select(*(F.from_json(c, watches.EXPORT).alias(c) for c in ("now", "was")))
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The session with the store for typed states, and with what it had before afterwards."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def watched(exports: DataFrame, days: list[str]) -> DataFrame:
+    """slug, date, kind, reason: exports landed in steps, each up to a day of ``days``, and a stream over the folder run after each.
+
+    The streams share a checkpoint, so a run goes on from the states of the one before.
+    """
+    spark = exports.sparkSession
+    landed, out, state = _folder(spark, "exports"), _folder(spark, "fired"), _folder(spark, "state")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    before = "0001-01-01"
+    with state_store(spark):
+        for day in days:
+            part = exports.filter((F.col("date") > F.lit(before)) & (F.col("date") <= F.lit(day)))
+            part.write.mode("append").parquet(landed)
+            stream = watches.fired(paired_stream(spark.readStream.schema(watches.EXPORT).parquet(landed)))
+            run = stream.writeStream.outputMode("append").option("checkpointLocation", state).foreachBatch(keep)
+            run.trigger(availableNow=True).start().awaitTermination()
+            before = day
+    return spark.read.schema("slug long, date date, kind string, reason string").parquet(out).select("slug", "date", "kind", "reason")
