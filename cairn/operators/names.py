@@ -44,15 +44,13 @@ def _runs(lengths: list[int]):
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), at))
 
 
-def closest(queries: DataFrame, names: DataFrame, cutoff: float = 0.78) -> DataFrame:
-    """key, name, ratio: the name most like the query by matching blocks, if the ratio reaches ``cutoff``; ties to the greater name.
+def alike(asked: DataFrame, known: DataFrame, cutoff: float = 0.78) -> DataFrame:
+    """text, name, ratio: pairs of distinct texts and names whose ratio of matching blocks reaches ``cutoff``.
 
     Two texts with a ratio r share a block of two characters or more (for r above 2/3), and the
     shorter has at least r / (2 - r) of the longer's length: only such pairs, found by a join
     on pairs of characters, are compared. The comparison itself is the standard library's, in batches.
     """
-    asked = queries.filter("text <> ''").select("text").distinct()
-    known = names.select("name").filter("name <> ''").distinct()
 
     def grams(c: str):
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2)))
@@ -73,7 +71,14 @@ def closest(queries: DataFrame, names: DataFrame, cutoff: float = 0.78) -> DataF
             batch["ratio"] = ratio
             yield batch[batch["ratio"] >= cutoff]
 
-    best = met.mapInPandas(compare, "text string, name string, ratio double").groupBy("text").agg(F.max(F.struct("ratio", "name")).alias("b"))
+    return met.mapInPandas(compare, "text string, name string, ratio double")
+
+
+def closest(queries: DataFrame, names: DataFrame, cutoff: float = 0.78) -> DataFrame:
+    """key, name, ratio: the name most like the query (see ``alike``), if the ratio reaches ``cutoff``; ties to the greater name."""
+    asked = queries.filter("text <> ''").select("text").distinct()
+    known = names.select("name").filter("name <> ''").distinct()
+    best = alike(asked, known, cutoff).groupBy("text").agg(F.max(F.struct("ratio", "name")).alias("b"))
     return queries.select("key", "text").join(best, "text").select("key", "b.name", F.round("b.ratio", 6).alias("ratio"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import gazetteer as G
-from ..operators import names, upkeep
+from ..operators import names, trips, upkeep
 from .evidence import _links
 from .inputs import Tables
 from .places import _KM
@@ -154,3 +154,32 @@ def season_windows(t: Tables) -> DataFrame:
 def daily_window(t: Tables) -> DataFrame:
     """The days to read again: ten back, or three before the laggard stream's newest day."""
     return upkeep.daily_window(t.events.filter("event_id % 7 > 0").select(F.col("event_type").alias("stream"), F.col("ts").cast("date").alias("day")), "2024-01-31")
+
+
+_PASS = "CASE p_partkey % 3 WHEN 0 THEN ' pass' WHEN 1 THEN ' gap' ELSE ' peak' END"
+
+
+def _trip_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Trips of customers, passes named like parts, routes of regions and places of suppliers."""
+    passes = t.spark.sql(
+        f"""SELECT concat('pass-', p_partkey) AS slug, concat(p_name, {_PASS}) AS name, CASE WHEN p_partkey % 4 = 0 THEN 'featured' ELSE 'osm' END AS tier, CASE WHEN p_partkey % 4 = 0 THEN array(concat('the pass after ', p_type, ' lakes')) END AS aliases,
+        32 + (p_partkey * 91) % 1700 / 1e2 AS lat, -124 + (p_partkey * 17) % 1000 / 1e2 AS lon, CAST(p_partkey AS BIGINT) AS ord FROM {{part}}""", part=t.part,
+    )
+    trips = t.spark.sql(
+        f"""SELECT c_custkey AS trip, concat_ws(' ', 'From', a.name, 'to', CASE WHEN c_custkey % 3 = 0 THEN concat(substr(b.name, 1, 3), substr(b.name, 5)) ELSE b.name END, CASE WHEN c_custkey % 5 = 0 THEN 'by the ASIA loop' END, CASE WHEN c_custkey % 4 = 1 THEN concat('near ', d.lake) END) AS text,
+        CASE WHEN c_custkey % 2 = 0 THEN 40D END AS lat, CASE WHEN c_custkey % 2 = 0 THEN -120D END AS lon
+        FROM {{customer}} JOIN {{passes}} a ON a.ord = 1 + c_custkey % 150 JOIN {{passes}} b ON b.ord = 1 + c_custkey * 7 % 170 JOIN (SELECT s_suppkey, concat('supplier ', s_suppkey, ' lake') AS lake FROM {{supplier}}) d ON d.s_suppkey = 1 + c_custkey % 10""",
+        customer=t.customer, passes=passes, supplier=t.supplier,
+    )
+    routes = t.spark.sql("SELECT concat(r_name, ' loop') AS route, array(r_name) AS aliases, transform(sequence(1, 6), i -> concat('pass-', i * 11 + r_regionkey)) AS passes FROM {region}", region=t.region)
+    places = t.spark.sql(
+        """SELECT concat('Supplier ', s_suppkey, ' Lake ', CASE WHEN s_suppkey % 2 = 0 THEN 'Trailhead' ELSE 'Campground' END) AS place, CASE WHEN s_suppkey % 2 = 0 THEN 'trailhead' ELSE 'campground' END AS kind,
+        transform(sequence(1, 7), i -> named_struct('slug', concat('pass-', (s_suppkey * 13 + i * 5) % 190), 'distance_mi', i * 7 % 5 + i / 1e1)) AS passes FROM {supplier}""", supplier=t.supplier,
+    )
+    return trips, passes, routes, places
+
+
+@query()
+def trip_candidates(t: Tables) -> DataFrame:
+    """Forty passes at most that each typed trip may mean. No SQL: likeness is by matching blocks; a test fuses plainly."""
+    return trips.candidates(*_trip_inputs(t))
