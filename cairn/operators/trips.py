@@ -152,3 +152,52 @@ def candidates(trips: DataFrame, passes: DataFrame, routes: DataFrame, places: D
     rank = F.row_number().over(Window.partitionBy("trip").orderBy("k", "at", "away", "far", "ord"))
     here = F.when(F.col("here_lat").isNotNull() & F.col("here_lon").isNotNull(), (F.floor(F.col("away") / 10 + 0.5) * 10).cast("long"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= limit).select("trip", "rank", "slug", "kind", "matched", "at", here.alias("from_you_mi"))
+
+
+#: Activities, days that a trip may lie away, passes of a trip, phrases told back and their longest, of a rejected slug.
+ACTIVITIES = ("hiking", "backpacking", "trail running", "climbing", "skiing", "snowshoeing", "cycling", "driving", "other")
+DAYS_AWAY, PASSES, PHRASES, PHRASE_MOST, SLUG_MOST = 732, 20, 8, 80, 80
+
+
+def understood(drafts: DataFrame, allowed: DataFrame, today: str) -> DataFrame:
+    """Trip, passes, start, end, activity, party_size, unplaced, rejected of drafts (trip, text, body) that a model wrote as JSON.
+
+    Whatever has the wrong type counts as not there, and so does a body that is no JSON. ``allowed`` (trip, slug): candidates of each
+    trip. Passes: distinct, in order, candidates only, twenty at most; others are rejected. Dates far from today go; one stands for
+    the other, and they are swapped if need be. Phrases told back as unplaced must stand in the typed text, so that no
+    sentence of the model's own is shown.
+    """
+    sets = allowed.groupBy("trip").agg(F.collect_set("slug").alias("allowed"))
+    read = drafts.select("trip", "text", F.try_parse_json("body").alias("v")).join(sets, "trip", "left")
+    none = F.array().cast("array<string>")
+
+    def of(path: str, kind: str) -> Column:
+        return F.try_variant_get("v", path, kind)
+
+    def word(path: str) -> Column:
+        return F.when(F.schema_of_variant(of(path, "variant")) == "STRING", of(path, "string"))
+
+    def words(path: str) -> Column:
+        own = F.transform(of(path, "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+        return F.coalesce(F.array_compact(own), none)
+
+    slugs = F.array_distinct(words("$.passes"))
+    known = lambda s: F.array_contains(F.coalesce("allowed", none), s)
+    when = {}
+    for name in ("start", "end"):
+        raw = word(f"$.{name}_date")
+        day = F.try_to_date(F.when(raw.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), raw), "yyyy-MM-dd")
+        when[name] = F.when(F.abs(F.datediff(day, F.lit(today).cast("date"))) <= DAYS_AWAY, day)
+    start, end = F.coalesce(when["start"], when["end"]), F.coalesce(when["end"], when["start"])
+    size = F.when(F.schema_of_variant(of("$.party_size", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL)"), of("$.party_size", "double"))
+    typed = F.concat(F.lit(" "), normal(F.coalesce("text", F.lit(""))), F.lit(" "))
+    phrases = F.transform(words("$.unplaced"), lambda p: F.trim(F.regexp_replace(F.trim(p), r"\s+", " ")))
+    told = F.transform(phrases, lambda p: F.struct(p.alias("phrase"), normal(p).alias("key")))
+    told = F.filter(told, lambda p: (p["key"] != "") & (F.length(p["phrase"]) <= PHRASE_MOST) & F.contains(typed, F.concat(F.lit(" "), p["key"], F.lit(" "))))
+    read = read.withColumn("told", told)
+    once = F.filter("told", lambda p, i: F.size(F.filter(F.slice("told", 1, i), lambda o: o["key"] == p["key"])) == 0)["phrase"]
+    return read.select(
+        "trip", F.slice(F.filter(slugs, known), 1, PASSES).alias("passes"), F.least(start, end).alias("start"), F.greatest(start, end).alias("end"),
+        F.when(word("$.activity").isin(*ACTIVITIES), word("$.activity")).alias("activity"), F.when((size == F.floor(size)) & size.between(1, 99), size.cast("int")).alias("party_size"),
+        F.slice(once, 1, PHRASES).alias("unplaced"), F.transform(F.filter(slugs, lambda s: ~known(s)), lambda s: F.left(s, F.lit(SLUG_MOST))).alias("rejected"),
+    )

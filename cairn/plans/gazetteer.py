@@ -183,3 +183,26 @@ def _trip_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
 def trip_candidates(t: Tables) -> DataFrame:
     """Forty passes at most that each typed trip may mean. No SQL: likeness is by matching blocks; a test fuses plainly."""
     return trips.candidates(*_trip_inputs(t))
+
+
+@query(
+    """WITH k AS (SELECT c_custkey AS k FROM customer), s AS (SELECT o_custkey AS k, list(DISTINCT o_orderkey % 50) AS held FROM orders GROUP BY o_custkey),
+p AS (SELECT k, CASE WHEN k % 50 = k * 3 % 50 THEN [k % 50] ELSE [k % 50, k * 3 % 50] END AS ns FROM k),
+h AS (SELECT k, list_filter(ns, lambda n: list_contains(coalesce(held, []), n)) AS ok, ns FROM p LEFT JOIN s USING (k))
+SELECT h.k AS trip, array_to_string(list_transform(ok, lambda n: 'pass-' || n), ',') AS passes,
+  CASE WHEN k % 4 = 0 AND k % 3 = 0 THEN least(DATE '2024-02-01' + CAST(k % 28 AS INTEGER), DATE '2024-02-10') WHEN k % 4 = 0 THEN DATE '2024-02-01' + CAST(k % 28 AS INTEGER) WHEN k % 3 = 0 THEN DATE '2024-02-10' END AS start,
+  CASE WHEN k % 4 = 0 AND k % 3 = 0 THEN greatest(DATE '2024-02-01' + CAST(k % 28 AS INTEGER), DATE '2024-02-10') WHEN k % 4 = 0 THEN DATE '2024-02-01' + CAST(k % 28 AS INTEGER) WHEN k % 3 = 0 THEN DATE '2024-02-10' END AS end,
+  CASE WHEN k % 2 = 1 THEN 'hiking' END AS activity, CAST(CASE k % 5 WHEN 0 THEN 3 WHEN 4 THEN 4 END AS INTEGER) AS party_size, 'Near the Lake' AS unplaced,
+  array_to_string(list_transform(list_filter(ns, lambda n: NOT list_contains(ok, n)), lambda n: 'pass-' || n) || ['gone-' || k], ',') AS rejected FROM h"""
+)
+def trip_drafts(t: Tables) -> DataFrame:
+    """What a model drafted of each customer's trip, checked against the candidates and the typed text."""
+    drafts = t.customer.selectExpr(
+        "c_custkey AS trip", "concat('Going near the lake with ', c_name) AS text",
+        """concat('{"passes":["pass-', c_custkey % 50, '",7,"pass-', c_custkey % 50, '","pass-', c_custkey * 3 % 50, '","gone-', c_custkey, '"],"start_date":', CASE c_custkey % 4 WHEN 0 THEN concat('"2024-02-', lpad(1 + c_custkey % 28, 2, '0'), '"') WHEN 1 THEN 'null' WHEN 2 THEN '"2024-13-01"' ELSE '"2020-01-01"' END,
+        ',"end_date":', if(c_custkey % 3 = 0, '"2024-02-10"', '20240210'), ',"activity":', if(c_custkey % 2 = 1, '"hiking"', '"flying"'), ',"party_size":', CASE c_custkey % 5 WHEN 0 THEN '3' WHEN 1 THEN '"3"' WHEN 2 THEN '2.5' WHEN 3 THEN '100' ELSE '4.0' END,
+        ',"unplaced":["Near  the Lake","near the lake!","not typed",5,""]}') AS body""",
+    )
+    allowed = t.orders.select(F.col("o_custkey").alias("trip"), F.concat(F.lit("pass-"), (F.col("o_orderkey") % 50).cast("string")).alias("slug"))
+    told = trips.understood(drafts, allowed, "2024-01-29")
+    return told.select("trip", *(F.array_join(c, ",").alias(c) for c in ("passes", "unplaced", "rejected")), "start", "end", "activity", "party_size")

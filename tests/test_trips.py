@@ -171,3 +171,18 @@ def test_literal_trips(spark):
 def test_trips_of_the_tables(spark, sf, free):
     want = same(_trip_inputs(Tables(spark, sf)))
     assert {k for rows in want.values() for _, k, *_ in rows} == set(trips.KINDS) - {"mention"} and max(map(len, want.values())) > 6
+
+
+def test_drafts(spark):
+    allowed = spark.createDataFrame([(1, f"p{i}") for i in range(30)] + [(2, "a")], "trip long, slug string")
+    many = "[" + ",".join(f'"p{i}"' for i in range(25)) + "]"
+    rows = [
+        (1, "Via Rae lakes", f'{{"passes":{many},"start_date":"2024-03-05","end_date":"2024-03-01","party_size":99,"activity":"hiking","unplaced":["rae lakes"," rae   lakes ","lakes via"]}}'),
+        (2, None, '{"passes":["a","a",null,{"x":1},"b"],"start_date":"2024-02-30","end_date":"2024-03-09","party_size":0,"unplaced":"rae"}'), (3, "x", "no json"), (4, "x", '{"passes":{"a":1},"party_size":true,"start_date":"2021-01-01"}'), (5, "x", None),
+    ]
+    got = {r["trip"]: r for r in trips.understood(spark.createDataFrame(rows, "trip long, text string, body string"), allowed, "2024-02-01").collect()}
+    assert got[1]["passes"] == [f"p{i}" for i in range(20)] and (str(got[1]["start"]), str(got[1]["end"])) == ("2024-03-01", "2024-03-05")
+    assert (got[1]["party_size"], got[1]["activity"], got[1]["unplaced"]) == (99, "hiking", ["rae lakes"])
+    assert got[2]["passes"] == ["a"] and got[2]["rejected"] == ["b"] and str(got[2]["start"]) == str(got[2]["end"]) == "2024-03-09" and got[2]["party_size"] is None and got[2]["unplaced"] == []
+    for k in (3, 4, 5):
+        assert got[k]["passes"] == [] and got[k]["start"] is None and got[k]["party_size"] is None and got[k]["activity"] is None
