@@ -64,12 +64,9 @@ def _unpacked(parts: list[bytes]) -> np.ndarray:
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, vector, packed) of the distinct usable vectors, and (node, members): the least vec_ids of each, six at most.
 
-    Six are enough: five nearest are wanted, and one may be the query itself. Only
-    vectors of the commonest length take part.
+    Six are enough: five nearest are wanted, and one may be the query itself. All vectors are of one length.
     """
     good = vectors.select("vec_id", F.col("embedding").alias("vector")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    sizes = good.groupBy(F.size("vector").alias("s")).count().orderBy(F.desc("count"), "s").first()
-    good = good.filter(F.size("vector") == (sizes["s"] if sizes else 0))
     keyed = good.withColumn("k1", F.xxhash64("vector")).withColumn("k2", F.hash("vector"))
     first = Window.partitionBy("k1", "k2").orderBy("vec_id")
     least = keyed.select("k1", "k2", "vec_id").distinct().withColumn("r", F.row_number().over(first)).filter("r <= 6")
@@ -82,7 +79,8 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pd.DataFrame({"node": batch["node"], "vector": batch["vector"], "packed": _packed(batch["vector"])})
 
     heads = good.join(members.select(F.col("node").alias("vec_id")), "vec_id").dropDuplicates(["vec_id"])
-    nodes = heads.select(F.col("vec_id").alias("node"), "vector").mapInPandas(pack, "node long, vector array<float>, packed binary")
+    kind = heads.schema["vector"].dataType.simpleString()  # as it came: scores are of the original vectors
+    nodes = heads.select(F.col("vec_id").alias("node"), "vector").mapInPandas(pack, f"node long, vector {kind}, packed binary")
     return written(nodes, "nodes"), members
 
 
@@ -291,17 +289,47 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     ``vectors`` and ``queries`` have (vec_id, embedding); a query's own vec_id is no
     candidate. Nearest first, ties to the lesser vec_id; fewer rows if there are fewer candidates.
     Vectors that are null, zero, or hold a null or a number that is not finite take no part, as
-    query or candidate, nor do vectors of another length than the commonest or without a
-    vec_id. Equal vectors are one node, whose members stand in order of vec_id; of rows
+    query or candidate, nor do those without a vec_id. A cosine needs equal lengths, so each length
+    of vectors is searched by itself: by a graph of its own, or, if they are no more than GROUP, all of
+    them. Equal vectors are one node, whose members stand in order of vec_id; of rows
     that repeat a vec_id the nearest counts. Empty tables give no rows.
     """
     if k > 5:
         raise ValueError("k is 5 at most")
+    fine = F.col("vec_id").isNotNull() & usable(F.col("embedding"))
+    held, asked = vectors.filter(fine), queries.filter(fine)
+    counts = {r["s"]: r["count"] for r in held.groupBy(F.size("embedding").alias("s")).count().collect()}  # a row a length
+    large = sorted(s for s, n in counts.items() if n > GROUP)
+    size = F.size("embedding")
+    out = [_graph_search(held.filter(size == s), asked.filter(size == s), k) for s in large]
+    if len(large) < len(counts) or not counts:
+        out.append(_ranked(_compared(held.filter(~size.isin(large)), asked.filter(~size.isin(large))), k))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _compared(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of all vectors of a query's length, of which there are at most GROUP."""
+    there = vectors.select("vec_id", F.col("embedding").alias("vector"), F.size("embedding").alias("s"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.size("embedding").alias("s")).dropDuplicates(["query_id"])
+    return asked.join(there, "s").filter("query_id <> vec_id").select("query_id", "vec_id", cosine(F.col("q"), F.col("vector")).alias("score"))
+
+
+def _ranked(each: DataFrame, k: int) -> DataFrame:
+    best = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _graph_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``search`` among usable vectors of one length."""
     nodes, members = nodes_of(vectors)
     around = build(nodes)
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).filter(F.col("query_id").isNotNull() & usable(F.col("q")))
-    size = nodes.select(F.size("vector").alias("s")).first()
-    asked = written(asked.filter(F.size("q") == (size["s"] if size else 0)).dropDuplicates(["query_id"]), "asked")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = written(asked.dropDuplicates(["query_id"]), "asked")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -316,7 +344,4 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     found = walk(around, nodes, starts).select("query_id", F.explode("ids").alias("node"))
     exact = found.join(nodes.select("node", "vector"), "node").join(asked, "query_id").select("query_id", "node", cosine(F.col("q"), F.col("vector")).alias("score"))
     each = exact.join(members, "node").select("query_id", "score", F.explode("members").alias("vec_id")).filter("query_id <> vec_id")
-    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return _ranked(each, k)

@@ -193,3 +193,46 @@ def test_leaks_of_rows_that_share_a_doc_id(spark, monkeypatch, limit):
     got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.report(docs, bench).collect()), key=repr)
     want = [(1, 10, 10, ["7"], True), (1, 1, 1, ["9"], True), (None, 12, 10, ["7"], True), (None, 0, 0, [], False), (2, 9, 0, [], False), (3, 5, 5, ["8", "9"], True), (4, 30000, 30000, ["7"], True)]
     assert got == sorted(want, key=repr)
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(20)] + [(2000, [1.0] * 5), (3000, [1.0, 2.0]), (3001, [2.0, 4.0]), (3002, [0.0, 0.0]), (None, [1.0, 1.0])]
+    rows[0] = (0, [1.0 + 1e-12, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0])
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(table, table.filter("vec_id % 50 = 0 or vec_id > 500")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {*range(0, 400, 50), *range(1000, 1020), 3000, 3001}
+    own = {k: np.array(v) for k, v in rows if k is not None}
+    for query, found in got.items():
+        q = own[query]
+        want = sorted(((-float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), k) for k, v in own.items() if k != query and len(v) == len(q) and v.any()))[:5]
+        assert [k for _, k, _ in sorted(found)] == [k for _, k in want]
+        assert np.allclose([s for *_, s in sorted(found)], [-s for s, _ in want], atol=1e-14)
+
+
+def test_rows_lose_repeated_lines_whatever_their_columns(spark, odd, none):
+    assert lines.digest(lines.dedup_rows(none)).collect() == []
+    got = lines.dedup_rows(odd)
+    assert set(CLASH) - {"n_lines", "n_removed"} <= set(got.columns) and got.schema["n_lines"].dataType.simpleString() == "int"
+    kept = [(r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()]
+    line = "the quick brown fox jumps over the lazy dog tonight"
+    assert sorted(k for k in kept if k[0] in (5, 6, 7)) == [(5, line, 0), (6, "", 1), (6, "", 1), (7, "", 2)] and (None, "", 1) in kept
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_lines_by_shuffles_and_broadcasts(spark, sf, monkeypatch, limit):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(lines, "BROADCAST_NUMBERS", limit)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_md5"]) for r in lines.digest(lines.dedup_rows(docs)).collect()}
+    want = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_md5"]) for r in queries.op9_line_dedup(spark, sf).collect()}
+    assert got == want
+
+
+def test_hot_digits_give_the_same(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 120")
+    want = {r["doc_id"]: r["kept_sha256"] for r in repeats.digest(repeats.remove(docs)).collect()}
+    monkeypatch.setattr(repeats, "HOT", 0)
+    assert {r["doc_id"]: r["kept_sha256"] for r in repeats.digest(repeats.remove(docs)).collect()} == want
