@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,11 @@ def current_rows(landed: DataFrame, runs: DataFrame) -> DataFrame:
     return told.filter(F.col("run") == last).select(*landed.columns)
 
 
-def season_windows(spark: SparkSession, first: int, today: str) -> DataFrame:
-    """year, begin, end: from April to August; the year of ``today`` runs through it, and opens in January if it has not come to April."""
-    now = F.lit(today).cast("date")
-    years = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.year(now))).alias("year"))
+def season_windows(stored: DataFrame) -> DataFrame:
+    """year, begin, end: a window for each year from the first stored ``day`` on, April to August; the year of the newest day runs through it, and opens in January if it has not come to April."""
+    ends = stored.agg(F.year(F.min("day")).alias("first"), F.max("day").alias("now")).filter("now is not null")
+    years = ends.select("now", F.explode(F.sequence("first", F.year("now"))).alias("year"))
+    now = F.col("now")
     begin, end = F.make_date("year", F.lit(4), F.lit(1)), F.make_date("year", F.lit(8), F.lit(31))
     own = F.col("year") == F.year(now)
     return years.select(F.col("year").cast("long").alias("year"), F.when(own & (now < begin), F.make_date("year", F.lit(1), F.lit(1))).otherwise(begin).alias("begin"), F.when(own, now).otherwise(end).alias("end"))

@@ -143,11 +143,12 @@ def window_replace(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT y AS year, make_date(y, 4, 1) AS "begin", CASE WHEN y = 2001 THEN DATE '2001-06-20' ELSE make_date(y, 8, 31) END AS "end" FROM (SELECT unnest(range(1995, 2002)) AS y) x"""
+    """SELECT y AS year, CASE WHEN y = year(now) AND now < make_date(y, 4, 1) THEN make_date(y, 1, 1) ELSE make_date(y, 4, 1) END AS "begin", CASE WHEN y = year(now) THEN now ELSE make_date(y, 8, 31) END AS "end"
+FROM (SELECT unnest(range(year(first), year(now) + 1)) AS y, now FROM (SELECT min(day) AS first, max(day) AS now FROM $season s) e) x"""
 )
 def season_windows(t: Tables) -> DataFrame:
-    """A window per melt season, the current one through today."""
-    return upkeep.season_windows(t.spark, 1995, "2001-06-20")
+    """A window per melt season since the first stored reading, the newest reading's year through it."""
+    return upkeep.season_windows(t.season)
 
 
 @query("""SELECT least(DATE '2024-01-31' - 10, min(latest) - 3) AS "begin", DATE '2024-01-31' AS "end" FROM (SELECT max(CAST(ts AS DATE)) AS latest FROM events WHERE event_id % 7 > 0 GROUP BY event_type) x""")

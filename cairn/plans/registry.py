@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from . import conditions, evidence, feeds, forecasts, gazetteer, layers, lists, official, places, rules, sequences, shapes, snowfall, texts, verdicts, watches  # noqa: F401
+    from . import conditions, evidence, feeds, forecasts, gazetteer, landing, layers, lists, official, places, rules, sequences, shapes, snowfall, texts, verdicts, watches  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -41,10 +41,14 @@ def confusion(t: Tables) -> DataFrame:
     return backtest.confusion(t.reports, [0, 1, 2, 3])
 
 
-@query("SELECT min(n) AS n FROM range(1, 5000) t(n) WHERE 1.959964e0 * sqrt(0.25 / n + (1.959964e0 * 1.959964e0) / (4.0 * n * n)) / (1 + (1.959964e0 * 1.959964e0) / n) <= 0.05")
+@query(
+    """SELECT place, count(*) AS n, greatest((SELECT min(n) FROM range(1, 5000) t(n) WHERE 1.959964e0 * sqrt(0.25 / n + (1.959964e0 * 1.959964e0) / (4.0 * n * n)) / (1 + (1.959964e0 * 1.959964e0) / n) <= 0.05) - count(*), 0) AS more
+FROM $reports r GROUP BY place"""
+)
 def reports_needed(t: Tables) -> DataFrame:
-    """The least sample for an interval of a tenth."""
-    return t.spark.range(1).select(F.lit(backtest.reports_needed(0.05)).cast("long").alias("n"))
+    """Reports of each place, and how many more its rate needs to be known to a twentieth either way."""
+    needed = F.lit(backtest.reports_needed(0.05)).cast("long")
+    return t.reports.groupBy("place").agg(F.count("*").alias("n")).select("place", "n", F.greatest(needed - F.col("n"), F.lit(0)).alias("more"))
 
 
 @query("SELECT place, count(*) AS n, count(DISTINCT author) AS authors, min(day) AS first, max(day) AS last, count(*) FILTER (WHERE engine < observed) AS misses FROM $reports r GROUP BY place")
