@@ -33,12 +33,12 @@ def left_out(posts: DataFrame) -> DataFrame:
 
     ``posts``: id (distinct), slug, day, author, said (severity), crossing, observed (step; targets have one). Left
     out are the target and its party's other reports of that day. Nothing is fused anew for that: all of them are of age
-    0, so sums at age 0 are kept apart and the party's own are taken off again. Severities are twelfths, so these
+    0, so sums at age 0 are kept apart and the party's own are taken off again. Severities are quarters, or means of two or three of them, so in 24ths these
     sums are whole numbers and taking off is exact; the worst ford is found from counts of each kind.
     """
     step = F.array_position(F.array(*map(F.lit, conditions.CROSSINGS)), F.col("crossing"))
     told = posts.filter("day is not null").select(
-        "id", "slug", "day", party(F.col("author"), F.col("id")).alias("party"), "said", step.cast("int").alias("step"), "observed", F.round(F.col("said") * 12).cast("long").alias("units")
+        "id", "slug", "day", party(F.col("author"), F.col("id")).alias("party"), "said", step.cast("int").alias("step"), "observed", F.round(F.col("said") * 24).cast("long").alias("units")
     )
     steps = range(1, len(conditions.CROSSINGS) + 1)
     sums = (F.coalesce(F.sum("units"), F.lit(0)).alias("units"), F.count("units").alias("n"), *(F.count_if(F.col("step") == k).alias(f"c{k}") for k in steps))
@@ -59,7 +59,7 @@ def left_out(posts: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     n0 = F.col("n") - F.col("own_n")
     n = F.coalesce("rest_n", F.lit(0)) + n0
-    total = F.coalesce("rest_s", zero) + (F.col("units") - F.col("own_units")) / 12
+    total = F.coalesce("rest_s", zero) + (F.col("units") - F.col("own_units")) / 24
     severity = F.round(total / F.nullif(F.coalesce("rest_w", zero) + n0, zero), 2)
     fresh = F.when(n0 > 0, 0).otherwise(F.col("rest_age"))
     weight = conditions.PRIOR["report"] * asof.decay(fresh, conditions.HALF_LIFE["report"]) * F.least(F.lit(1.0), n / 2.0)
