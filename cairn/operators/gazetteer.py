@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import slug, words_key
@@ -13,6 +13,21 @@ ENDINGS = ("pass", "gap", "col", "saddle", "summit", "notch", "divide", "crest")
 OTHERS = ("junction", "jct", "camp", "camps", "campground", "creek", "lake", "lakes", "trailhead", "ski", "resort", "lodge", "sno")
 
 
+def one_per_site(ordered: Column, km: float = 1.5, feet: float = 500) -> Column:
+    """Of an array of stations (network, lat, lon, elevation_ft) those that are at no earlier kept one's site in another network.
+
+    Which one goes depends on which ones stay, so the array is folded in order. A station without a position is a site of its own.
+    """
+
+    def apart(a, b):
+        half = F.pow(F.sin(F.radians(b["lat"] - a["lat"]) / 2), 2) + F.cos(F.radians(a["lat"])) * F.cos(F.radians(b["lat"])) * F.pow(F.sin(F.radians(b["lon"] - a["lon"]) / 2), 2)
+        far = F.coalesce(2 * 6371 * F.asin(F.sqrt(half)) > km, F.lit(True))
+        return F.coalesce(a["network"] == b["network"], F.lit(False)) | far | F.coalesce(F.abs(a["elevation_ft"] - b["elevation_ft"]) > feet, F.lit(False))
+
+    none = F.filter(ordered, lambda x: F.lit(False))
+    return F.aggregate(ordered, none, lambda acc, x: F.when(F.forall(acc, lambda k: apart(k, x)), F.concat(acc, F.array(x))).otherwise(acc))
+
+
 def same_sites(stations: DataFrame, km: float = 1.5, feet: float = 500) -> DataFrame:
     """Slug, station of the stations of a place with each site once, the one of most usable seasons, then the nearest.
 
@@ -22,13 +37,7 @@ def same_sites(stations: DataFrame, km: float = 1.5, feet: float = 500) -> DataF
     row = F.struct((-F.col("usable")).alias("u"), "distance_km", "station", "network", "lat", "lon", "elevation_ft")
     lists = stations.groupBy("slug").agg(F.array_sort(F.collect_list(row)).alias("all"))
 
-    def apart(a, b):
-        half = F.pow(F.sin(F.radians(b["lat"] - a["lat"]) / 2), 2) + F.cos(F.radians(a["lat"])) * F.cos(F.radians(b["lat"])) * F.pow(F.sin(F.radians(b["lon"] - a["lon"]) / 2), 2)
-        far = 2 * 6371 * F.asin(F.sqrt(half)) > km
-        return (a["network"] == b["network"]) | far | F.coalesce(F.abs(a["elevation_ft"] - b["elevation_ft"]) > feet, F.lit(False))
-
-    none = F.filter("all", lambda x: F.lit(False))
-    kept = F.aggregate("all", none, lambda acc, x: F.when(F.forall(acc, lambda k: apart(k, x)), F.concat(acc, F.array(x))).otherwise(acc))
+    kept = one_per_site(F.col("all"), km, feet)
     return lists.select("slug", F.explode(kept).alias("k")).select("slug", "k.station")
 
 

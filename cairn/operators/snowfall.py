@@ -124,7 +124,7 @@ def peak_ranks(ranked: DataFrame, linked: DataFrame) -> DataFrame:
     return kept.groupBy("slug", "year", "peak_rank").agg(F.array_sort(F.collect_list("station")).alias("stations"))
 
 
-def _middle_day(days: Column, up: bool) -> Column:
+def middle_day(days: Column, up: bool) -> Column:
     """The middle of days as numbers; between two, down or up."""
     ordered = F.array_sort(days)
     n = F.size(ordered)
@@ -147,7 +147,7 @@ def windows(days: DataFrame, linked: DataFrame, last_readings: DataFrame) -> Dat
         F.collect_list(F.when(melted, lo)).alias("lows"), F.collect_list(F.when(melted, hi)).alias("highs"),
         F.max(F.when((F.col("status") == "snow") & (F.col("gap_ft") >= 0), F.col("last"))).alias("floor"),
     ).filter(F.size("lows") > 0)
-    start, end = _middle_day(F.col("lows"), False), _middle_day(F.col("highs"), True)
+    start, end = middle_day(F.col("lows"), False), middle_day(F.col("highs"), True)
     out = out.select("slug", "year", start.alias("start"), end.alias("end"), "floor", (F.array_max("lows") > F.array_min("highs")).alias("apart"))
     late = (F.year("end") != F.col("year")) | (F.date_format("end", "MM-dd") > LAST)
     state = F.when(F.col("apart") | F.coalesce(F.col("floor") > F.col("end"), F.lit(False)), "disagree").when(late, "none").otherwise("window")
