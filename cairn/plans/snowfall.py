@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import conditions as C
-from ..operators import season
+from ..operators import season, season_record
 from ..operators import snowfall as S
-from .conditions import _linked
+from .conditions import _RUNS, _linked
 from .evidence import _DATES, _LINKS, _SENSOR_LINKS, _links
 from .inputs import DATES, Tables
 from .registry import query
@@ -127,3 +127,52 @@ def carried_windows(t: Tables) -> DataFrame:
     """When snow leaves each place, carried from its stations."""
     last = t.season.groupBy("station", F.year("day").alias("year")).agg(F.max("day").alias("last"))
     return S.windows(_days(t), _near(t).select("slug", "station", "gap_ft"), last)
+
+
+_NOW = "1998-07-20"
+_SEASONS = f"""WITH o AS (SELECT station * 10000 + year(day) AS k, day, CASE WHEN value < 1.5 THEN 0.0 ELSE value * 4 END AS value FROM $season z WHERE strftime(day, '%m-%d') BETWEEN '04-01' AND '08-31' AND day <= DATE '{_NOW}'),
+n AS (SELECT *, lag(value) OVER w AS pv, lag(day) OVER w AS pd, lead(value) OVER w AS nv, lead(day) OVER w AS nd FROM o WINDOW w AS (PARTITION BY k ORDER BY day)),
+s AS (SELECT k, day, value FROM n WHERE NOT coalesce(abs(pv - value) > 17 * (day - pd) AND abs(value - nv) > 17 * (nd - day) AND NOT abs(pv - nv) > 17 * (nd - pd), false)),
+f AS (SELECT *, day - lag(day) OVER w AS gap, value - lag(value) OVER w AS step, value >= 0.5 AND value < 6.2 AS inside FROM s WINDOW w AS (PARTITION BY k ORDER BY day)),
+g AS (SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY day ROWS UNBOUNDED PRECEDING) AS island FROM f),
+i AS (SELECT k, max(day) FILTER (WHERE inside) - min(day) FILTER (WHERE inside) AS span, bool_or(coalesce(abs(step) > 17 * gap, false)) AS erratic, count(*) FILTER (WHERE gap = 1 AND step >= 0.3 AND value < 6.2) AS rises FROM g GROUP BY k, island),
+b AS (SELECT k, bool_or(erratic) AS erratic, bool_or(coalesce(span > 28, false)) AS lingers, sum(rises) > 8 AS wanders FROM i GROUP BY k),
+u AS (SELECT *, sum(CASE WHEN value >= 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY day ROWS UNBOUNDED PRECEDING) AS island FROM s WHERE strftime(day, '%m-%d') >= '06-01'),
+h AS (SELECT a.k, bool_or(e.day = (SELECT min(x.day) FROM u x WHERE x.k = a.k AND x.island = a.island AND x.value >= 0.5 AND x.day >= a.day - 28) AND a.day - e.day >= 26 AND e.value - a.value < 1) AS holds
+  FROM u a JOIN u e ON e.k = a.k AND e.island = a.island AND e.value >= 0.5 AND e.day BETWEEN a.day - 28 AND a.day WHERE a.value >= 0.5 GROUP BY a.k),
+r AS ({_RUNS.format(keys='k', source='s')}),
+m AS (SELECT k, since, observed FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY day) AS i FROM r WHERE value < 0.5 AND day - since >= 7) x WHERE i = 1),
+l AS (SELECT k, day AS last, value AS last_value, since AS end_since, observed AS end_observed FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY day DESC) AS i FROM r) x WHERE i = 1),
+w AS (SELECT k, min(day) AS first, max(value) AS peak, arg_min(day, (-value, day)) AS peak_day, min(day) FILTER (WHERE value >= 0.5) AS snow_from FROM s GROUP BY k),
+c AS (SELECT *, CASE WHEN erratic THEN 'erratic' WHEN lingers THEN 'residual' WHEN wanders THEN 'wandering' WHEN holds THEN 'stuck' END AS fault, least(make_date(k % 10000, 8, 31), DATE '{_NOW}') - last <= 10 AS current
+  FROM w JOIN l USING (k) JOIN b USING (k) LEFT JOIN m USING (k) LEFT JOIN h USING (k)),
+d AS (SELECT *, CASE WHEN fault IS NOT NULL THEN fault WHEN since IS NOT NULL THEN CASE WHEN observed THEN 'melted' WHEN snow_from < since THEN 'gap' ELSE 'bare_at_start' END
+  WHEN last_value >= 0.5 THEN CASE WHEN current THEN 'snow' ELSE 'quiet' END WHEN current THEN 'unconfirmed' WHEN end_observed THEN 'melted' ELSE 'quiet' END AS outcome,
+  fault IS NULL AND first - make_date(k % 10000, 4, 1) <= 7 AND NOT coalesce(NOT observed AND since = first, false) AS peaked FROM c)
+SELECT k // 10000 AS station, CAST(k % 10000 AS INTEGER) AS year, CASE WHEN outcome IN ('melted', 'snow', 'bare_at_start') THEN outcome ELSE 'unusable' END AS status, CASE WHEN outcome NOT IN ('melted', 'snow', 'bare_at_start') THEN outcome END AS reason,
+  CASE WHEN outcome = 'melted' THEN coalesce(since, end_since) END AS melt_out, CASE WHEN peaked THEN round(peak, 1) END AS peak, CASE WHEN peaked THEN peak_day END AS peak_day, last, round(last_value, 1) AS last_value FROM d"""
+
+
+def _melting(t: Tables) -> DataFrame:
+    """The stored series as water on the ground: bare below 1.5, else fourfold."""
+    return t.season.withColumn("value", F.when(F.col("value") < 1.5, 0.0).otherwise(F.col("value") * 4))
+
+
+@query(_SEASONS)
+def station_seasons(t: Tables) -> DataFrame:
+    """What each season of a station comes to, and why it has no date (17 a day is steep and 6.2 thin, for these tables)."""
+    return season_record.station_seasons(_melting(t), _NOW, steep=17.0, thin=6.2)
+
+
+@query()
+def season_records(t: Tables) -> DataFrame:
+    """The season of each place against earlier ones at its stations, its facts in sentences. No SQL: tested against ``station_seasons``."""
+    here = t.stations.select(F.col("key").alias("station"), "name", (F.col("key") % 2).alias("network"), "lat", "lon", F.col("elevation_ft").cast("double").alias("elevation_ft"))
+    linked = _near(t).select("slug", "station", F.col("km").alias("distance_km"), "gap_ft").join(here, "station")
+    linked = linked.withColumn("place_ft", F.col("elevation_ft") + F.col("gap_ft")).drop("gap_ft")
+    told = season_record.records(linked, _melting(t), _NOW, steep=17.0, thin=6.2)
+    sentences = F.transform("facts", lambda f: F.concat(f["kind"], F.lit(": "), f["text"]))
+    return told.select(
+        "slug", "year", F.array_join(F.col("earlier_years").cast("array<string>"), ",").alias("earlier_years"), F.col("melt_out.kind").alias("kind"), "melt_out.min_days", "melt_out.max_days", "melt_out.agree",
+        F.col("pass_window.state").alias("state"), F.col("pass_window.from").alias("start"), F.col("pass_window.through").alias("end"), F.col("chart.station").alias("charted"), F.array_join(sentences, "\n").alias("facts"),
+    )

@@ -18,7 +18,7 @@ def test_same_as_sql(spark, sf, same_as_sql, name):
 
 
 def test_only_these_have_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"screened_series", "screened_as_of", "alias_fuzzy", "html_items", "resolved_names", "thinned_rings", "trip_candidates"}
+    assert set(QUERIES) - set(ORACLES) == {"screened_series", "screened_as_of", "alias_fuzzy", "html_items", "resolved_names", "thinned_rings", "trip_candidates", "season_records"}
 
 
 def test_fuzzy_names(spark, sf):

@@ -217,3 +217,43 @@ def test_no_rows(spark):
     linked, daily = Places().add("x", "Alder Flat", 8600, LATE).frames(spark)
     assert R.records(linked, daily.limit(0), "2026-09-29").count() == 0
     assert R.records(linked.limit(0), daily, "2026-09-29").count() == 0
+
+
+def test_records_of_whole_tables(spark, sf):
+    """Which places have a record, and what it compares, from the seasons of their stations."""
+    from cairn.plans import registry
+
+    queries, folder = registry.queries(), sf.replace("sf0.001", "sf0.01")
+    seasons = {}
+    for r in queries["station_seasons"](spark, folder).collect():
+        seasons.setdefault(r["station"], {})[r["year"]] = r
+    stations = {}
+    for r in queries["links_nearest_k"](spark, folder).collect():
+        stations.setdefault(r["lkey"], []).append((r["km"], r["rkey"]))
+    want = {}
+    for slug, near in stations.items():
+        exact, other, ranked = {}, 0, 0
+        for km, station in sorted(near):
+            own = seasons.get(station, {})
+            now, usable = own.get(1998), {y: s for y, s in own.items() if y < 1998 and s["status"] != "unusable"}
+            ends = {"snow": float("inf"), "bare_at_start": float("-inf")}
+            days = sorted(ends.get(s["status"]) or (s["melt_out"] - date(y, 4, 1)).days for y, s in usable.items())
+            ranked += now is not None and now["peak"] is not None and sum(s["peak"] is not None for s in own.values()) > 2
+            if now is None or now["status"] == "unusable" or len(days) < 2:
+                continue
+            low, high = days[(len(days) - 1) // 2], days[len(days) // 2]
+            if abs(low) == float("inf") or abs(high) == float("inf"):
+                continue
+            if now["status"] == "melted":
+                off = (now["melt_out"] - date(1998, 4, 1)).days - (low + high) / 2
+                exact.setdefault(tuple(sorted(usable)), []).append((km, int(abs(off) + 0.5) * (1 if off >= 0 else -1)))
+            else:
+                other += 1
+        if exact:
+            best = max(exact, key=lambda k: (len(k), len(exact[k]), -exact[k][0][0]))
+            shifts = [d for _, d in exact[best]]
+            want[slug] = (min(shifts), max(shifts))
+        elif other or ranked:
+            want[slug] = None
+    got = {r["slug"]: (r["min_days"], r["max_days"]) if r["kind"] == "exact" else None for r in queries["season_records"](spark, folder).collect()}
+    assert got == want and any(got.values()) and not all(got.values())
