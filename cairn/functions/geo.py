@@ -65,6 +65,15 @@ def ring_area_km2(ring: Column) -> Column:
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
 
 
+def ring_bounds(ring: Column) -> Column:
+    """west, south, east, north of a ring; null of one without points."""
+    of = lambda f, field: f(F.transform(ring, lambda p: p[field]))
+    return F.when(
+        F.size(ring) > 0,
+        F.struct(of(F.array_min, "lon").alias("west"), of(F.array_min, "lat").alias("south"), of(F.array_max, "lon").alias("east"), of(F.array_max, "lat").alias("north")),
+    )
+
+
 def compass(bearing: Column) -> Column:
     """One of eight directions."""
     sector = F.pmod(F.bround(F.pmod(bearing, F.lit(360)) / 45), F.lit(8)).cast("int")

@@ -88,3 +88,9 @@ def snowfall(days: DataFrame, today: str, ahead: int = 3, least: float = 0.5) ->
     near = days.filter(F.datediff("day", F.lit(today).cast("date")).between(0, ahead - 1))
     total = near.groupBy("slug").agg(F.min("day").alias("from"), F.max("day").alias("through"), F.round(F.sum("snowfall_in"), 1).alias("total_in"))
     return total.filter(F.col("total_in") >= least)
+
+
+def in_force(days: DataFrame, today: str) -> DataFrame:
+    """C14: the days from ``today`` on of forecasts issued (``issued_for``) at most a day before or after it; none of those without a date."""
+    now = F.lit(today).cast("date")
+    return days.filter((F.abs(F.datediff("issued_for", now)) <= 1) & (F.col("day") >= now))

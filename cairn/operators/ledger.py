@@ -15,6 +15,23 @@ def ledger(entries: DataFrame, eval_dates: list[str], days: int = 30, cap: int =
     return opened.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cap).select("id", "source", "day").distinct()
 
 
+def place_ledger(readings: DataFrame, reports: DataFrame, eval_dates: list[str], days: int = 30, cap: int = 4) -> DataFrame:
+    """Slug, source, id, day of what the statuses of a place rest on, at any of the dates.
+
+    ``readings``: slug, source, id (what they are of), day. Of each half of 14 days of a month the newest reading of an id counts;
+    of those the newest ``cap`` of a source in the ``days`` up to a date are kept, equal days by id. ``reports`` (slug, source, id, day)
+    are always kept. A date is laid over the few readings that its window holds, never over all, and places spread the rows.
+    """
+    half = F.concat(F.date_format("day", "yyyy-MM"), F.lit("-"), F.floor((F.dayofmonth("day") - 1) / 14).cast("string"))
+    newest_of = readings.groupBy("slug", "source", "id", half.alias("half")).agg(F.max("day").alias("day"))
+    every = F.array(*(F.lit(d).cast("date") for d in eval_dates))
+    age = lambda d: F.datediff(d, F.col("day"))
+    opened = newest_of.withColumn("eval_date", F.explode(F.filter(every, lambda d: (age(d) >= 0) & (age(d) < days))))
+    order = Window.partitionBy("slug", "source", "eval_date").orderBy(F.desc("day"), "id")
+    kept = opened.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cap).select("slug", "source", "id", "day").distinct()
+    return kept.unionByName(reports.select("slug", "source", "id", "day"))
+
+
 def tally(rows: DataFrame) -> DataFrame:
     """value, count, latest day, words of the latest: rows (value, day, ord, words)."""
     return rows.groupBy("value").agg(F.count("*").alias("n"), F.max("day").alias("latest"), F.max_by("words", F.struct("day", "ord")).alias("words"))

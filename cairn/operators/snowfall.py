@@ -63,6 +63,26 @@ def new_snow(linked: DataFrame) -> DataFrame:
     return told.filter(confirmed["24h"] | confirmed["72h"]).select("slug", "station", "as_of", "checked", F.coalesce(*by).alias("confirmed_by"), *columns)
 
 
+def gains_told(found: DataFrame) -> DataFrame:
+    """slug, station, text: what each station gained, in a sentence.
+
+    ``found``: the columns of ``new_snow``, with name, elevation_ft (null or 0: not told) and miles. The gain of one day is told first,
+    with that of three days behind it; a depth that confirms nothing is null and not told.
+    """
+
+    def gain(label: str, water: str, depth: str) -> Column:
+        deep = F.concat(F.lit(" and "), F.col(f"depth_{label}").cast("long").cast("string"), F.lit(f" in of {depth}"))
+        return F.concat(F.col(f"water_{label}").cast("string"), F.lit(f" in of {water}"), F.coalesce(deep, F.lit("")))
+
+    feet = F.when(F.col("elevation_ft") != 0, F.concat(F.format_number(F.col("elevation_ft").cast("double"), 0), F.lit(" ft, ")))
+    head = F.concat(F.col("name"), F.lit(" ("), F.coalesce(feet, F.lit("")), F.col("miles").cast("string"), F.lit(" mi away) gained "))
+    until = F.date_format("as_of", "MMM d")
+    three = F.coalesce(F.concat(F.lit("; "), gain("72h", "water", "depth"), F.lit(" over 72 hours")), F.lit(""))
+    day = F.concat(head, gain("24h", "snow water", "snow depth"), F.lit(" in the 24 hours to "), until, three, F.lit("."))
+    longer = F.concat(head, gain("72h", "snow water", "snow depth"), F.lit(" in the 72 hours to "), until, F.lit("."))
+    return found.select("slug", "station", F.coalesce(day, longer).alias("text"))
+
+
 def stalled(daily: DataFrame, linked: DataFrame, dates: list[str], rows: int = 7, tolerance: float = 0.02, least: float = 1.0) -> DataFrame:
     """Slug, eval_date, stations that vote and whose last ``rows`` readings hardly moved.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import conditions as C
-from ..operators import fusion, links, screen
+from ..operators import fusion, ledger, links, screen
 from .evidence import _DATES, _SENSOR_LINKS, _links
 from .inputs import DATES, Tables
 from .registry import query
@@ -262,3 +262,18 @@ def place_facts(t: Tables) -> DataFrame:
         t.places, _D, C.sensors(_read(t)), C.believed_lines(linked, judged), C.scenes(t.scenes, _D, _rejected(t)), C.reports(t.told, _D), C.worst_crossings(t.told, _D), C.creeks(t.gauges, _D), C.blind(_read(t)), broken,
     )
     return told.select("slug", "eval_date", F.array_join(F.transform("facts", lambda f: F.concat(f["stream"], F.lit(": "), f["text"])), "\n").alias("facts"))
+
+
+@query(
+    f"""WITH a AS (SELECT lkey AS slug, 'sensor' AS source, station AS id, day FROM ({_SENSOR_LINKS}) l JOIN $snowpack s ON s.station = l.rkey
+  UNION ALL SELECT slug, 'satellite', slug, day FROM $scenes c UNION ALL SELECT slug, 'gauge', slug, day FROM $gauges g WHERE metric = 'discharge_cfs'),
+w AS (SELECT slug, source, id, max(day) AS day FROM a GROUP BY slug, source, id, strftime(day, '%Y-%m'), (day(day) - 1) // 14)
+SELECT DISTINCT slug, source, id, day FROM (SELECT *, row_number() OVER (PARTITION BY slug, source, eval_date ORDER BY day DESC, id) AS r FROM w, {_DATES} e WHERE eval_date - day BETWEEN 0 AND 29) x WHERE r <= 4
+UNION ALL SELECT slug, 'report', id, day FROM $told t"""
+)
+def place_ledger(t: Tables) -> DataFrame:
+    """The dated evidence that the statuses of each place rest on; its reports always."""
+    entry = lambda df, source, id_: df.select("slug", F.lit(source).alias("source"), F.col(id_).alias("id"), "day")
+    sensors = entry(_linked(t).join(t.snowpack, "station"), "sensor", "station")
+    rest = entry(t.scenes, "satellite", "slug").unionByName(entry(t.gauges.filter("metric = 'discharge_cfs'"), "gauge", "slug"))
+    return ledger.place_ledger(sensors.unionByName(rest), entry(t.told, "report", "id"), list(DATES))

@@ -66,3 +66,12 @@ def forecast_headlines(t: Tables) -> DataFrame:
 def forecast_snowfall(t: Tables) -> DataFrame:
     """A25."""
     return W.snowfall(_days(t), _TODAY)
+
+
+_ISSUED = f"CASE WHEN slug % 7 > 0 THEN DATE '{_TODAY}' + CAST(slug % 5 - 2 AS INT) END"
+
+
+@query(f"SELECT slug, day, issued_for, snow_level_ft FROM (SELECT *, {_ISSUED} AS issued_for FROM ({_DAYS}) d) x WHERE issued_for BETWEEN DATE '{_TODAY}' - 1 AND DATE '{_TODAY}' + 1 AND day >= DATE '{_TODAY}'")
+def forecast_days_in_force(t: Tables) -> DataFrame:
+    """C14: the days of forecasts that are current."""
+    return W.in_force(_days(t).withColumn("issued_for", F.expr(_ISSUED)), _TODAY).select("slug", "day", "issued_for", "snow_level_ft")

@@ -73,6 +73,12 @@ def zone_area(t: Tables) -> DataFrame:
     return _zones(t).select("zone", F.round(geo.ring_area_km2(F.col("ring")), 3).alias("km2"))
 
 
+@query(f"SELECT zone, west, south, east, north FROM {_ZONES} z")
+def zone_bounds(t: Tables) -> DataFrame:
+    """The box of a ring."""
+    return _zones(t).select("zone", geo.ring_bounds(F.col("ring")).alias("b")).select("zone", "b.*")
+
+
 @query(
     f"""WITH d AS (SELECT key, zone, sqrt(pow(greatest(west - lon, 0, lon - east) * 111.320 * cos(radians(lat)), 2) + pow(greatest(south - lat, 0, lat - north) * 110.574, 2)) AS km FROM $places p, {_ZONES} z)
 SELECT key, zone, round(km, 2) AS km FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(km, 2), zone) AS r FROM d WHERE km <= 50) x WHERE r = 1"""

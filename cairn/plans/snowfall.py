@@ -11,7 +11,7 @@ from ..operators import snowfall as S
 from .conditions import _RUNS, _linked
 from .evidence import _DATES, _LINKS, _SENSOR_LINKS, _links
 from .inputs import DATES, Tables
-from .registry import query
+from .registry import ORACLES, query
 from .sequences import _SUMMARY
 
 _TODAY = "2024-01-22"
@@ -48,6 +48,23 @@ def new_snow(t: Tables) -> DataFrame:
     return S.new_snow(linked)
 
 
+_GAIN = "water_{0} || ' in of {1}' || coalesce(' and ' || CAST(depth_{0} AS BIGINT) || ' in of {2}', '')"
+
+
+@query(
+    f"""WITH n AS (SELECT n.*, 'Station ' || n.station || ' (' || format('{{:,}}', CAST(s.elevation_ft AS BIGINT)) || ' ft, ' || round(l.km / 1.609344, 1) || ' mi away) gained ' AS head, strftime(as_of, '%b %-d') AS until
+  FROM ({ORACLES['new_snow']}) n JOIN ({_SENSOR_LINKS}) l ON l.lkey = n.slug AND l.rkey = n.station JOIN $sensors s ON s.key = n.station)
+SELECT slug, station, head || CASE WHEN water_24h IS NOT NULL THEN {_GAIN.format('24h', 'snow water', 'snow depth')} || ' in the 24 hours to ' || until || coalesce('; ' || {_GAIN.format('72h', 'water', 'depth')} || ' over 72 hours', '')
+  ELSE {_GAIN.format('72h', 'snow water', 'snow depth')} || ' in the 72 hours to ' || until END || '.' AS text FROM n"""
+)
+def new_snow_told(t: Tables) -> DataFrame:
+    """the new snow at the stations of a place in sentences."""
+    near = _linked(t).select("slug", "station", "km", F.col("station_ft").alias("elevation_ft"))
+    found = S.new_snow(near.select("slug", "station").join(S.recent_changes(_depths(t), _TODAY), "station")).join(near, ["slug", "station"])
+    named = found.withColumn("name", F.concat(F.lit("Station "), F.col("station").cast("string"))).withColumn("miles", F.round(F.col("km") / season_record.KM_A_MILE, 1))
+    return S.gains_told(named)
+
+
 @query(
     f"""WITH f AS (SELECT *, count(*) OVER w = 2 AND round(max(value) OVER w - min(value) OVER w, 6) <= 4 AND value >= 1 AS flat FROM $snowpack s WINDOW w AS (PARTITION BY station ORDER BY day ROWS 1 PRECEDING)),
 n AS (SELECT station, eval_date, arg_max(value, day) AS value, arg_max(flat, day) AS flat FROM f, {_DATES} e WHERE eval_date - day BETWEEN 0 AND 10 GROUP BY station, eval_date)
