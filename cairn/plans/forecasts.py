@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import forecast as W
+from ..operators import trip_summary
 from .inputs import Tables
 from .registry import query
 
@@ -75,3 +76,43 @@ _ISSUED = f"CASE WHEN slug % 7 > 0 THEN DATE '{_TODAY}' + CAST(slug % 5 - 2 AS I
 def forecast_days_in_force(t: Tables) -> DataFrame:
     """C14: the days of forecasts that are current."""
     return W.in_force(_days(t).withColumn("issued_for", F.expr(_ISSUED)), _TODAY).select("slug", "day", "issued_for", "snow_level_ft")
+
+
+_STOPS = f"""SELECT l_orderkey AS trip, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_suppkey % 50 AS slug, s_name AS name, 3000 + (l_suppkey * 131) % 8000 AS elevation_ft, CASE l_returnflag WHEN 'A' THEN 'Open' WHEN 'N' THEN 'Traction advised' ELSE 'Snow caution' END AS label,
+  CASE WHEN l_tax < 0.03 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN l_orderkey % 3 = 0 AND l_linenumber > 2 THEN DATE '{_TODAY}' - 400 ELSE DATE '{_TODAY}' - CAST(l_orderkey % 2 AS INT) END AS as_of FROM {{lineitem}} JOIN {{supplier}} ON s_suppkey = l_suppkey"""
+
+
+def _listed(x: str) -> str:
+    return f"(CASE WHEN len({x}) <= 1 THEN array_to_string({x}, '') ELSE array_to_string({x}[:len({x}) - 1], ', ') || ' and ' || {x}[len({x})] END)"
+
+
+def _label(d: str) -> str:
+    return f"strftime({d}, '%a, %b %-d') || CASE WHEN year({d}) = {_TODAY[:4]} THEN '' ELSE strftime({d}, ', %Y') END"
+
+
+def _kinds(field: str) -> str:
+    return f"SELECT trip, list(n || ' ' || k ORDER BY p) AS l FROM (SELECT trip, {field} AS k, count(*) AS n, min(pos) AS p FROM s GROUP BY ALL) x GROUP BY trip"
+
+
+def _worst(field: str) -> str:
+    top = f"SELECT trip, {field} AS v, day FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY {field} DESC, pos, day) AS r FROM a WHERE {field} IS NOT NULL) x WHERE r = 1"
+    return f"SELECT trip, any_value(v) AS v, any_value(day) AS day, list(name ORDER BY p) AS l FROM (SELECT t.trip, t.v, t.day, a.name, min(a.pos) AS p FROM ({top}) t JOIN a ON a.trip = t.trip AND a.day = t.day AND a.{field} = t.v GROUP BY ALL) y GROUP BY trip"
+
+
+def _line(x: str, word: str) -> str:
+    return f"""CASE WHEN {x}.v > 0 THEN 'Highest chance of {word} in the forecast for the trip''s days: ' || {x}.v || '% on ' || {_label(x + '.day')} || ' at ' || {_listed(x + '.l')} || '.'
+  WHEN {x}.v <= 0 THEN 'The forecast for the trip''s days shows a 0% chance of {word} at every pass that has one.' END"""
+
+
+@query(
+    f"""WITH s AS ({_STOPS.format(lineitem='lineitem', supplier='supplier')}), a AS (SELECT s.trip, s.pos, s.name, d.day, d.precip_chance, d.thunder_chance FROM s JOIN ({_DAYS}) d USING (slug)),
+n AS (SELECT trip, count(*) AS n, count(DISTINCT as_of) AS dates, min(as_of) AS as_of FROM s GROUP BY trip), k AS ({_kinds('lower(label)')}), c AS ({_kinds('confidence')}),
+h AS (SELECT trip, name, elevation_ft FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY elevation_ft DESC, pos) AS r FROM s) x WHERE r = 1), p AS ({_worst('precip_chance')}), t AS ({_worst('thunder_chance')})
+SELECT n.trip, n.n || CASE WHEN n.n = 1 THEN ' pass' ELSE ' passes' END || ' on this plan, ' || CASE WHEN dates = 1 THEN 'as of ' || {_label('as_of')} || CASE WHEN as_of = DATE '{_TODAY}' THEN ', today' ELSE '' END ELSE 'each as of the date shown on it' END || ': ' || {_listed('k.l')} || '. Confidence: ' || {_listed('c.l')} || '.' AS verdicts,
+  CASE WHEN n.n > 1 THEN 'Highest pass: ' || h.name || ', ' || format('{{:,}}', CAST(h.elevation_ft AS BIGINT)) || ' ft.' END AS highest, {_line('p', 'precipitation')} AS precipitation, {_line('t', 'thunder')} AS thunder
+FROM n JOIN k USING (trip) JOIN c USING (trip) JOIN h USING (trip) LEFT JOIN p USING (trip) LEFT JOIN t USING (trip)"""
+)
+def trip_summaries(t: Tables) -> DataFrame:
+    """What a trip's stops come to: verdicts counted, the highest, the worst days of the forecast with all that tie."""
+    stops = t.spark.sql(_STOPS, lineitem=t.lineitem, supplier=t.supplier)
+    return trip_summary.summaries(stops, _days(t), _TODAY)

@@ -1,9 +1,9 @@
-"""Literal cases: new snow in sentences, forecasts in force, the ledger of a place, bounds of rings."""
+"""Literal cases: new snow in sentences, forecasts in force, the ledger of a place, bounds of rings, trips summed up."""
 
 from datetime import date, timedelta
 
 from cairn.functions import geo
-from cairn.operators import forecast, ledger, snowfall
+from cairn.operators import forecast, ledger, snowfall, trip_summary
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,24 @@ def test_bounds(spark):
     rings = spark.createDataFrame([([(-120.0, 38.0), (-119.0, 38.5), (-119.5, 37.0), (-120.0, 38.0)],), ([],), (None,)], f"ring {point}")
     got = [r["b"] for r in rings.select(geo.ring_bounds(F.col("ring")).alias("b")).collect()]
     assert tuple(got[0]) == (-120.0, 37.0, -119.0, 38.5) and got[1:] == [None, None]
+
+
+def test_what_a_trip_comes_to(spark):
+    day = lambda n: date(2026, 2, n)
+    stops = [
+        ("t", 0, 1, "Muir", 11955, "Open", "high", day(3)), ("t", 1, 2, "Pinchot", 12130, "Snow caution", "low", day(3)), ("t", 2, 3, "Glen", 11978, "Open", "high", day(3)), ("t", 3, 4, "Mather", 12130, None, "high", day(3)),
+        ("one", 0, 1, "Muir", 11955, "Open", "high", day(1)), ("none", 0, 9, "Far", 9000, "Open", "low", day(3)), ("none", 1, 9, "Far", 9000, "Open", "low", day(2)),
+    ]
+    days = [(1, day(4), 40, 0), (1, day(5), 60, None), (2, day(5), 60, 0), (3, day(6), 60, 0), (4, day(5), 60, 0), (2, day(4), None, 0)]
+    stops = spark.createDataFrame(stops, "trip string, pos int, slug int, name string, elevation_ft int, label string, confidence string, as_of date")
+    days = spark.createDataFrame(days, "slug int, day date, precip_chance int, thunder_chance int")
+    got = {r["trip"]: tuple(r)[1:] for r in trip_summary.summaries(stops, days, "2026-02-03").collect()}
+    dry = "The forecast for the trip's days shows a 0% chance of thunder at every pass that has one."
+    assert got == {
+        "t": (
+            "4 passes on this plan, as of Tue, Feb 3, today: 2 open, 1 snow caution and 1 unknown. Confidence: 3 high and 1 low.", "Highest pass: Pinchot, 12,130 ft.",
+            "Highest chance of precipitation in the forecast for the trip's days: 60% on Thu, Feb 5 at Muir, Pinchot and Mather.", dry,
+        ),
+        "one": ("1 pass on this plan, as of Sun, Feb 1: 1 open. Confidence: 1 high.", None, "Highest chance of precipitation in the forecast for the trip's days: 60% on Thu, Feb 5 at Muir.", dry),
+        "none": ("2 passes on this plan, each as of the date shown on it: 2 open. Confidence: 2 low.", "Highest pass: Far, 9,000 ft.", None, None),
+    }
