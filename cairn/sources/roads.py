@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import mean, rounded
 from ..functions.rules import ZONE, position
 
 #: Texts that restrict nothing, and the code of no controls.
@@ -114,8 +115,8 @@ def official_reports(found: DataFrame) -> DataFrame:
 
 def daily_swings(values: DataFrame, least: int = 24) -> DataFrame:
     """Site, day, swing in percent of quarter-hour flows; a day needs ``least`` readings and a mean above nothing."""
-    days = values.groupBy("site", "day").agg(F.count("value").alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.avg("value").alias("mean")).filter((F.col("n") >= least) & (F.col("mean") > 0))
-    return days.select("site", "day", F.round((F.col("hi") - F.col("lo")) / F.col("mean") * 100, 1).alias("swing"))
+    days = values.groupBy("site", "day").agg(F.count("value").alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"), mean(F.col("value")).alias("mean")).filter((F.col("n") >= least) & (F.col("mean") > 0))
+    return days.select("site", "day", rounded((F.col("hi") - F.col("lo")) / F.col("mean") * 100, 1).alias("swing"))
 
 
 def cell_order(points: DataFrame) -> DataFrame:
