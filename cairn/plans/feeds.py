@@ -152,16 +152,16 @@ def fresh_layers(t: Tables) -> DataFrame:
 _SMOKE = "(SELECT n_nationkey AS id, 32 + (n_nationkey * 637) % 1700 / 1e2 AS lat, -124 + (n_nationkey * 353) % 1000 / 1e2 AS lon, CASE n_nationkey % 4 WHEN 0 THEN 'light' WHEN 1 THEN 'heavy' ELSE 'medium' END AS density FROM nation WHERE n_nationkey % 9 > 0)"
 
 
-def _plumes(t: Tables) -> DataFrame:
-    """Squares of two degrees round each nation's position, as KML placemarks."""
+def _plumes(t: Tables, digits: int | None = 3) -> DataFrame:
+    """Squares of two degrees round each nation's position, as KML placemarks; corners are written in full."""
     key = F.col("n_nationkey")
     lat, lon = 32 + (key * 637) % 1700 / F.lit(1e2), -124 + (key * 353) % 1000 / F.lit(1e2)
-    corner = lambda x, y: F.format_string("%.2f,%.2f,0", lon + x, lat + y)
+    corner = lambda x, y: F.concat_ws(",", (lon + x).cast("string"), (lat + y).cast("string"), F.lit("0"))
     ring = F.concat_ws(" ", corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
     density = F.when(key % 4 == 0, "Light").when(key % 4 == 1, "Heavy").otherwise("")
     told = F.concat(F.when(density != "", F.concat(F.lit("Density: "), density)).otherwise(""), F.format_string(" Start Time: 2024%03d 0%d30 UTC End Time: 2024%03d 2200 UTC", 1 + key, key % 10, 1 + key))
     body = F.concat(F.when(key % 9 == 0, "<!DOCTYPE x>").otherwise(""), F.lit("<Placemark><description>"), told, F.lit("</description><styleUrl>#Smoke_Medium</styleUrl><coordinates>"), ring, F.lit("</coordinates></Placemark>"))
-    return S.plumes(t.nation.select(key.alias("id"), body.alias("body")))
+    return S.plumes(t.nation.select(key.alias("id"), body.alias("body")), digits)
 
 
 @query(f"SELECT id, density, strftime(DATE '2024-01-01' + id, '%Y-%m-%d') || 'T0' || id % 10 || ':30Z' AS start, strftime(DATE '2024-01-01' + id, '%Y-%m-%d') || 'T22:00Z' AS end, CAST(5 AS INTEGER) AS corners FROM {_SMOKE} s")
@@ -176,7 +176,7 @@ def smoke_plumes(t: Tables) -> DataFrame:
 def smoke_over_places(t: Tables) -> DataFrame:
     """The heaviest smoke over each place, by cells of a degree, boxes and the ray cast."""
     box = lambda f, c: f(F.transform("ring", lambda p: p[c]))
-    zones = _plumes(t).select(
+    zones = _plumes(t, None).select(  # as written: a place on an edge lies in or out by the last digit
         F.col("id").alias("zone"), "density", "ring", box(F.array_min, "lon").alias("west"), box(F.array_min, "lat").alias("south"), box(F.array_max, "lon").alias("east"), box(F.array_max, "lat").alias("north")
     )
     held = links.zones_of(t.places, zones)

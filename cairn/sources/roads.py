@@ -130,8 +130,12 @@ def fresh_layer(rows: DataFrame, today: str, days: int = 1) -> DataFrame:
     return rows.filter(F.datediff(F.lit(today).cast("date"), "issued_for") <= days)
 
 
-def plumes(kml: DataFrame) -> DataFrame:
-    """Density, start, end, ring of smoke placemarks (body: one placemark); documents that declare a DOCTYPE or ENTITY are not read."""
+def plumes(kml: DataFrame, digits: int | None = 3) -> DataFrame:
+    """Density, start, end, ring of smoke placemarks (body: one placemark); documents that declare a DOCTYPE or ENTITY are not read.
+
+    Corners are rounded to ``digits``, or taken as written with None.
+    """
+    degree = lambda text: text.cast("double") if digits is None else F.round(text.cast("double"), digits)
     safe = kml.filter(~F.contains("body", F.lit("<!DOCTYPE")) & ~F.contains("body", F.lit("<!ENTITY")))
     tag = lambda n: F.regexp_extract("body", rf"(?s)<{n}>(.*?)</{n}>", 1)
     told = F.nullif(F.regexp_extract(tag("description"), r"(?i)density:\s*(\w+)", 1), F.lit(""))
@@ -144,7 +148,7 @@ def plumes(kml: DataFrame) -> DataFrame:
         return F.when(year.isNotNull(), F.format_string("%sT%02d:%02dZ", day.cast("string"), hour, minute))
 
     pairs = F.filter(F.split(F.trim(tag("coordinates")), r"\s+"), lambda p: p != "")
-    ring = F.transform(pairs, lambda p: F.struct(F.round(F.split(p, ",")[0].cast("double"), 3).alias("lon"), F.round(F.split(p, ",")[1].cast("double"), 3).alias("lat")))
+    ring = F.transform(pairs, lambda p: F.struct(degree(F.split(p, ",")[0]).alias("lon"), degree(F.split(p, ",")[1]).alias("lat")))
     closed = F.when(F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
     rows = safe.select("id", density.alias("density"), at("start").alias("start"), at("end").alias("end"), closed.alias("ring"))
     return rows.filter(F.col("density").isin("light", "medium", "heavy") & (F.size("ring") >= 4))
