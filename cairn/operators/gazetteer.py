@@ -43,10 +43,9 @@ def same_sites(stations: DataFrame, km: float = 1.5, feet: float = 500) -> DataF
 
 def namesakes(entries: DataFrame, nodes: DataFrame, km: float = 15) -> DataFrame:
     """Key, node, km of the nearest node of the same name within reach; entries without one have nulls."""
-    names = lambda df, k: df.select(F.col("key").alias(k), F.lower("name").alias(f"{k}_name"))
-    near = links.within(entries, nodes.select("key", "lat", "lon"), km)
-    named = near.join(names(entries, "lkey"), "lkey").join(names(nodes, "rkey"), "rkey").filter("lkey_name = rkey_name")
-    best = named.groupBy("lkey").agg(F.min(F.struct("km", "rkey")).alias("m")).select(F.col("lkey").alias("key"), F.col("m.rkey").alias("node"), F.col("m.km").alias("km"))
+    named = lambda df: df.select("key", "lat", "lon", F.lower("name").alias("name"))
+    first = named(nodes).groupBy("name", "lat", "lon").agg(F.min("key").alias("key"))  # of one position the least key counts
+    best = links.within(named(entries), first, km, ("name",)).groupBy("lkey").agg(F.min(F.struct("km", "rkey")).alias("m")).select(F.col("lkey").alias("key"), F.col("m.rkey").alias("node"), F.col("m.km").alias("km"))
     return entries.select("key").join(best, "key", "left")
 
 
@@ -56,10 +55,13 @@ def merged(featured: DataFrame, nodes: DataFrame, near_km: float = 0.3, same_km:
     A slug that is taken, by a featured place or an earlier node, gets the node's key behind it.
     """
     known = nodes.filter("elevation_ft is not null")
-    pairs = links.within(known, featured.select("key", "lat", "lon"), same_km)
-    pairs = pairs.join(known.select(F.col("key").alias("lkey"), F.lower("name").alias("a")), "lkey").join(featured.select(F.col("key").alias("rkey"), F.lower("name").alias("b")), "rkey")
-    gone = pairs.filter((F.col("a") == F.col("b")) & (F.col("km") < same_km) | (F.col("km") < near_km)).select(F.col("lkey").alias("key")).distinct()
-    left = known.join(gone, "key", "left_anti").select("key", slug(F.col("name")).alias("slug"))
+    # Whether a node goes hangs on its position and name alone, so each is asked once: those near any, then those near a namesake.
+    spot = ["lat", "lon"]
+    spots = lambda df, *also: df.select(*spot, *also).distinct().withColumn("key", F.struct(*spot, *also))
+    lower = [df.withColumn("name", F.lower("name")) for df in (known, featured)]
+    near = links.within(spots(known), spots(featured), near_km).filter(F.col("km") < near_km).select("lkey.*").distinct()
+    same = links.within(spots(lower[0], "name"), spots(lower[1], "name"), same_km, ("name",)).filter(F.col("km") < same_km).select("lkey.*").distinct()
+    left = known.join(near, spot, "left_anti").withColumn("low", F.lower("name")).join(same.withColumnRenamed("name", "low"), [*spot, "low"], "left_anti").select("key", slug(F.col("name")).alias("slug"))
     taken = featured.select(slug(F.col("name")).alias("slug"), F.lit(True).alias("taken")).distinct()
     first = F.row_number().over(Window.partitionBy("slug").orderBy("key")) == 1
     told = left.join(taken, "slug", "left").withColumn("own", first & F.col("taken").isNull())
