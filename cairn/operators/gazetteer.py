@@ -70,11 +70,18 @@ def merged(featured: DataFrame, nodes: DataFrame, near_km: float = 0.3, same_km:
 
 def inverted(starts: DataFrame, places: DataFrame, km: float, nearest: int, featured: int = 4) -> DataFrame:
     """Start, place, rank: the nearest places of each start, and the nearest featured ones, each once, nearest first."""
-    near = links.within(starts.filter("trim(name) <> ''"), places.select("key", "lat", "lon", "featured"), km)
+    # Starts of one position reach the same places, and of one position only the least keys can be among the nearest.
+    starts, spot = starts.filter("trim(name) <> ''"), ["lat", "lon"]
+    spots = starts.select(*spot).filter("lat is not null and lon is not null").distinct().withColumn("key", F.struct(*spot))
+    own = lambda *also: F.row_number().over(Window.partitionBy(*spot, *also).orderBy("key"))
+    least = places.select("key", *spot, "featured").withColumn("n", own()).withColumn("m", own("featured")).filter((F.col("n") <= nearest) | (F.col("featured") & (F.col("m") <= featured))).drop("n", "m")
+    near = links.within(spots, least, km)
     by = Window.partitionBy("lkey").orderBy("km", "rkey")
     ranked = near.withColumn("r", F.row_number().over(by)).withColumn("f", F.sum(F.col("featured").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     kept = ranked.filter((F.col("r") <= nearest) | (F.col("featured") & (F.col("f") <= featured)))
-    return kept.select(F.col("lkey").alias("start"), F.col("rkey").alias("place"), F.row_number().over(by).alias("rank"))
+    found = kept.select("lkey", F.struct(F.col("rkey").alias("place"), F.row_number().over(by).alias("rank")).alias("f")).groupBy("lkey").agg(F.collect_list("f").alias("found"))
+    rows = starts.select(F.col("key").alias("start"), *spot).join(found.select("lkey.*", "found"), spot)
+    return rows.select("start", F.explode("found").alias("f")).select("start", "f.*")
 
 
 def _hits(reports: DataFrame, field: str, places: DataFrame) -> DataFrame:
