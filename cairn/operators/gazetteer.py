@@ -84,6 +84,26 @@ def inverted(starts: DataFrame, places: DataFrame, km: float, nearest: int, feat
     return rows.select("start", F.explode("found").alias("f")).select("start", "f.*")
 
 
+def _in_bounds(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """alias, bounds, least, greatest: where any place bears a name within bounds, its slug twice if it is the only one, else two of them.
+
+    ``asked``: distinct (alias, bounds). Namesakes are counted by cells of a degree first. Only where the cells that lie wholly
+    within do not show two owners are the places of the other cells met, so bounds are never paired with all namesakes.
+    """
+    b, ends = F.col("bounds"), (F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    spots = known.filter(~F.isnan("lat") & ~F.isnan("lon")).groupBy("alias", "lat", "lon").agg(F.min("slug").alias("least"), F.max("slug").alias("greatest"))
+    spots = spots.withColumn("row", F.floor("lat")).withColumn("col", F.floor("lon"))
+    cells = spots.groupBy("alias", "row", "col").agg(*ends)
+    inside = (F.col("row") >= b["south"]) & (F.col("row") + 1 <= b["north"]) & (F.col("col") >= b["west"]) & (F.col("col") + 1 <= b["east"])
+    rows = F.when((b["south"] <= b["north"]) & (b["west"] <= b["east"]), F.sequence(F.floor(b["south"]), F.floor(b["north"])))
+    opened = asked.select("alias", "bounds", F.explode(rows).alias("row"))
+    sure = opened.join(cells, ["alias", "row"]).filter(inside).groupBy("alias", "bounds").agg(*ends)
+    shared = sure.filter("least < greatest").select("alias", "bounds")
+    edge = opened.join(shared, ["alias", "bounds"], "left_anti").join(spots, ["alias", "row"])
+    edge = edge.filter(~inside & F.col("lat").between(b["south"], b["north"]) & F.col("lon").between(b["west"], b["east"]))
+    return sure.unionByName(edge.select("alias", "bounds", "least", "greatest")).groupBy("alias", "bounds").agg(*ends)
+
+
 def _hits(reports: DataFrame, field: str, places: DataFrame) -> DataFrame:
     """id, slug of the places that ``field`` names, as ``naming`` says."""
     known = places.select("slug", "lat", "lon", words_key(F.col("name")).alias("alias")).withColumn("n", F.size(F.split("alias", " ")))
@@ -104,12 +124,11 @@ def _hits(reports: DataFrame, field: str, places: DataFrame) -> DataFrame:
     cut = split.select("id", "bounds", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0))), runs))).alias("h")).select("id", "bounds", "h.*") if lengths else None
     if cut is None:
         return reports.select("id", F.lit(None).cast("string").alias("slug")).limit(0)
-    b = F.col("bounds")
-    met = cut.join(known.drop("n"), "alias").filter(F.col("lat").between(b["south"], b["north"]) & F.col("lon").between(b["west"], b["east"]))
+    met = cut.join(_in_bounds(cut.select("alias", "bounds").distinct(), known), ["alias", "bounds"])
     # A name inside a longer one that also matched is not meant; one with two owners names neither.
     spans = met.groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
     alone = met.join(spans, "id").filter(~F.exists("spans", lambda s: (s["at"] <= F.col("at")) & (s["at"] + s["n"] >= F.col("at") + F.col("n")) & (s["n"] > F.col("n"))))
-    owners = alone.groupBy("id", "alias").agg(F.count_distinct("slug").alias("owners"), F.min("slug").alias("slug")).filter("owners = 1")
+    owners = alone.groupBy("id", "alias").agg(F.min("least").alias("slug"), F.max("greatest").alias("greatest")).filter("slug = greatest")
     return owners.select("id", "slug").distinct()
 
 

@@ -7,6 +7,8 @@ A match is (trip, slug, kind, matched, at): ``at`` is where in the text it stand
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +71,22 @@ def mention(alias: Column) -> Column:
     return F.when((F.size(words) >= 3) & (F.size(kept) >= 2) & (F.size(kept) < F.size(words)) & run, joined)
 
 
-def _fuzzy(grams: DataFrame, named: DataFrame, free: DataFrame, cutoff: float) -> DataFrame:
+def _owned(asked: DataFrame, owners: DataFrame, trips: DataFrame, passes: DataFrame, limit: int, away: Column) -> DataFrame:
+    """``asked`` (trip, key, ...) with the slugs (key, slug) of each key.
+
+    Of one key and one position of typers only the first ``limit`` passes in the order of candidates: all of a key
+    found at one place of a text share what orders them before, so no others can be among a trip's first ``limit``.
+    """
+    here = F.struct(F.col("lat").alias("here_lat"), F.col("lon").alias("here_lon")).alias("here")
+    placed = asked.join(trips.select("trip", here), "trip")
+    met = placed.select("key", "here").distinct().join(owners.select("key", "slug").distinct(), "key")
+    met = met.join(passes.select("slug", (F.col("tier") != "featured").alias("far"), "ord", "lat", "lon"), "slug").select("*", "here.*").withColumn("away", away)
+    rank = F.row_number().over(Window.partitionBy("key", "here").orderBy("away", "far", "ord"))
+    first = met.withColumn("rank", rank).filter(F.col("rank") <= limit).groupBy("key", "here").agg(F.collect_set("slug").alias("slugs"))
+    return placed.join(first, ["key", "here"]).select(*asked.columns, F.explode("slugs").alias("slug"))
+
+
+def _fuzzy(grams: DataFrame, named: DataFrame, free: DataFrame, cutoff: float, owned: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Windows that no name covers, much like a key that begins with the same letter; of overlapping ones the most alike stay."""
     spans = named.groupBy("trip").agg(F.collect_set(F.struct("at", "to")).alias("spans"))
     touched = F.exists(F.coalesce("spans", F.array().cast("array<struct<at:int,to:int>>")), lambda s: (s["at"] < F.col("to")) & (F.col("at") < s["to"]))
@@ -84,7 +101,7 @@ def _fuzzy(grams: DataFrame, named: DataFrame, free: DataFrame, cutoff: float) -
     hits = hits.filter(~(last("gram").isin(*GENERIC) & (last("gram") != last("key"))))
     rivals = hits.groupBy("trip").agg(F.collect_list(F.struct("at", "to", "ratio")).alias("all"))
     beaten = F.exists("all", lambda o: (o["at"] < F.col("to")) & (F.col("at") < o["to"]) & (o["ratio"] > F.col("ratio")))
-    return hits.join(rivals, "trip").filter(~beaten).join(free.select("key", "slug"), "key").select("trip", "slug", F.lit("fuzzy").alias("kind"), F.col("gram").alias("matched"), F.col("at").cast("double").alias("at"))
+    return owned(hits.join(rivals, "trip").filter(~beaten).select("trip", "key", "gram", "at"), free).select("trip", "slug", F.lit("fuzzy").alias("kind"), F.col("gram").alias("matched"), F.col("at").cast("double").alias("at"))
 
 
 def _places(trips: DataFrame, passes: DataFrame, places: DataFrame, told: DataFrame, away: Column) -> DataFrame:
@@ -119,17 +136,20 @@ def candidates(trips: DataFrame, passes: DataFrame, routes: DataFrame, places: D
     """
     texts = trips.select("trip", normal(F.col("text")).alias("q")).filter("q <> ''")
     free, every = keys(passes, True), keys(passes, False)
-    whole = texts.join(every, texts["q"] == every["key"]).select("trip", "slug", "key", F.lit(0).alias("at"))
+    away = F.when(F.col("here_lat").isNotNull() & F.col("here_lon").isNotNull(), rules.miles(F.col("here_lat"), F.col("here_lon"), F.col("lat"), F.col("lon"))).otherwise(0.0)
+    owned = lambda asked, owners: _owned(asked, owners, trips, passes, limit, away)
+    whole = texts.join(every.select("key").distinct(), texts["q"] == F.col("key")).select("trip", "key", F.lit(0).alias("at"))
     grams = windows(texts, max(WINDOW_WORDS, _longest(free, "key")))
     hits = _outer(grams.join(free.select("key").distinct(), grams["gram"] == F.col("key")).select("trip", "key", "at", "to"))
-    named = hits.join(free.select("key", "slug"), "key").select("trip", "slug", "key", "at").unionByName(whole)
+    named = owned(hits.select("trip", "key", "at"), free).unionByName(owned(whole, every))
     found = [named.select("trip", "slug", F.lit("name").alias("kind"), F.col("key").alias("matched"), F.col("at").cast("double").alias("at"))]
     short = grams.filter(F.size(F.split("gram", " ")) <= WINDOW_WORDS)
-    found.append(_fuzzy(short, hits, free, cutoff))
+    found.append(_fuzzy(short, hits, free, cutoff, owned))
     said = passes.filter("tier = 'featured'").select("slug", F.explode("aliases").alias("alias")).select("slug", mention(F.col("alias")).alias("m")).filter("m is not null").distinct()
     longer = windows(texts, _longest(said, "m"))
-    met = longer.join(said, longer["gram"] == said["m"]).groupBy("trip", "slug", "m").agg(F.min("at").alias("at"))
-    found.append(met.select("trip", "slug", F.lit("mention").alias("kind"), F.col("m").alias("matched"), F.col("at").cast("double").alias("at")))
+    met = longer.join(said.select("m").distinct(), longer["gram"] == F.col("m")).groupBy("trip", F.col("m").alias("key")).agg(F.min("at").alias("at"))
+    met = owned(met, said.withColumnRenamed("m", "key"))
+    found.append(met.select("trip", "slug", F.lit("mention").alias("kind"), F.col("key").alias("matched"), F.col("at").cast("double").alias("at")))
     called = routes.select("route", "passes", F.explode(F.array_distinct(F.concat(F.array("route"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("n"))
     called = called.select("route", "passes", normal(F.col("n")).alias("n")).filter(F.length("n") >= 3)
     runs = windows(texts, _longest(called, "n"))
@@ -139,7 +159,6 @@ def candidates(trips: DataFrame, passes: DataFrame, routes: DataFrame, places: D
     # A route's passes keep its order, counted over those that are known.
     step = F.row_number().over(Window.partitionBy("trip", "route").orderBy("i")) - 1
     found.append(legs.select("trip", "slug", F.lit("route").alias("kind"), F.col("route").alias("matched"), (F.col("at") + step / 1000).alias("at")))
-    away = F.when(F.col("here_lat").isNotNull() & F.col("here_lon").isNotNull(), rules.miles(F.col("here_lat"), F.col("here_lon"), F.col("lat"), F.col("lon"))).otherwise(0.0)
     found.append(_places(trips, passes, places, hits.select("trip", "key").unionByName(whole.select("trip", "key")), away))
     rows = found[0]
     for more in found[1:]:

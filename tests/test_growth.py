@@ -3,7 +3,8 @@
 import datetime as dt
 
 import numpy as np
-from cairn.operators import screen
+from cairn.operators import gazetteer, screen, trips
+from pyspark.sql import functions as F
 
 
 def test_series_are_screened_together(spark):
@@ -47,3 +48,48 @@ def test_series_are_screened_together(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert {r[5] for r in expected} == {"rejected", "silent", "believed"} and {r[6] for r in expected} == {"stuck", "ceiling", None}
+
+
+def test_names_within_bounds_meet_cells_of_namesakes(spark):
+    """Bounds of all widths, edges included, find what comparing all pairs finds; of many namesakes only cells are met."""
+    rng = np.random.default_rng(3)
+    spots = [(f"s{i % 90}" if i % 40 else None, "red pass" if i % 3 else "blue pass", float(rng.integers(0, 40)) / 4, float(rng.integers(-40, 0)) / 4) for i in range(120)]
+    spots += [("n", "red pass", float("nan"), -1.0), ("m", "red pass", None, -1.0)]
+    south, west, *over = (rng.integers(*ends, 150) / 4 for ends in ((-2, 42), (-42, 2), (-1, 14), (-1, 14)))
+    asked = [("red pass" if i % 2 else "blue pass", *map(float, (south[i], west[i], south[i] + over[0][i], west[i] + over[1][i]))) for i in range(150)]
+    asked += [("red pass", 0.0, None, 9.0, 0.0), ("grey pass", -90.0, -180.0, 90.0, 180.0), ("red pass", -90.0, -180.0, 90.0, 180.0)]
+    expected = {}
+    for name, s, w, n, e in set(asked):
+        met = [k for k, a, lat, lon in spots if a == name and lat is not None and w is not None and s <= lat <= n and w <= lon <= e]
+        if met:
+            held = sorted(k for k in met if k)
+            expected[name, s, w, n, e] = held[0] if len(set(held)) == 1 else len(held) > 1
+    known = spark.createDataFrame(spots, "slug string, alias string, lat double, lon double")
+    bounds = F.struct("south", "west", "north", "east").alias("bounds")
+    rows = gazetteer._in_bounds(spark.createDataFrame(asked, "alias string, south double, west double, north double, east double").select("alias", bounds).distinct(), known).collect()
+    assert {(r["alias"], *r["bounds"]): r["least"] if r["least"] and r["least"] == r["greatest"] else r["least"] is not None for r in rows} == expected and len(rows) == len(expected)
+    assert {True, "s0"} & set(expected.values()) and any(isinstance(v, str) for v in expected.values())
+
+
+def test_trips_meet_only_the_first_passes_of_a_name(spark, monkeypatch):
+    """Of a name that many passes bear a trip is given as many as it may have, the same ones as if it met all."""
+    names = ["cold water pass", "dark wood gap", "old iron peak"]
+    rows = [(f"p{i}", names[i % 3], "featured" if i % 4 == 0 else "osm", ["the pass after big blue lakes"] if i % 8 == 0 else None, 40 + i % 7 / 10, -120 + i % 5 / 10, i) for i in range(240)]
+    passes = spark.createDataFrame(rows, "slug string, name string, tier string, aliases array<string>, lat double, lon double, ord long")
+    texts = ["from cold water pass to drk wood gap", "to drk wood gap", "after big blue lakes to old iron peak", "cold water pass and dark wood gap"]
+    asked = spark.createDataFrame([(i, texts[i % 4], *((40.1 + i / 10, -120.2) if i % 3 else (None, None))) for i in range(12)], "trip long, text string, lat double, lon double")
+    routes = spark.createDataFrame([], "route string, aliases array<string>, passes array<string>")
+    places = spark.createDataFrame([], "place string, kind string, passes array<struct<slug:string,distance_mi:double>>")
+    most, plain = [], trips._owned
+
+    def owned(asked, owners, table, known, limit, away):
+        found = plain(asked, owners, table, known, limit, away)
+        most.append(found.groupBy("trip", "key", "at").count().agg(F.max("count")).first()[0] or 0)
+        return found
+
+    monkeypatch.setattr(trips, "_owned", owned)
+    got = trips.candidates(asked, passes, routes, places, limit=9).collect()
+    assert max(most) == 9
+    monkeypatch.setattr(trips, "_owned", lambda asked, owners, *more: asked.join(owners.select("key", "slug").distinct(), "key").select(*asked.columns, "slug"))
+    whole = trips.candidates(asked, passes, routes, places, limit=9).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and {r["kind"] for r in got} >= {"name", "fuzzy"}
