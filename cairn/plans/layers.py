@@ -92,6 +92,6 @@ def status_sink(t: Tables) -> DataFrame:
 def stale_documents(t: Tables) -> DataFrame:
     """Documents of stations that left, by an anti join of the listing and of what was written."""
     path = _folder(t.spark, "documents")
-    station = t.supplier.select(F.col("s_suppkey").alias("slug"), "s_name").repartition(1)
+    station = t.supplier.select(F.col("s_suppkey").alias("slug"), "s_name")
     feeds.write_documents(station, "slug", path)
     return L.stale(t.spark, path, "slug", station.filter("slug % 3 > 0")).select("slug").distinct()

@@ -83,8 +83,12 @@ def directory(fresh: DataFrame, snapshot: DataFrame, least: float = 0.9, age_day
 
 
 def write_documents(rows: DataFrame, key: str, path: str) -> None:
-    """One JSON document a key, in folders by key; folders of keys that are no longer there go with the overwrite."""
-    rows.select(F.col(key), F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    """One JSON document a key, in folders by key; folders of keys that are no longer there go with the overwrite.
+
+    A file takes its time whatever its size, so keys are dealt out over as many tasks as can run, though their rows be few.
+    """
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(tasks, key).select(F.col(key), F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
 def append_raw(payloads: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 from cairn.operators import gazetteer, screen, trips
+from cairn.sources import feeds
 from pyspark.sql import functions as F
 
 
@@ -93,3 +94,10 @@ def test_trips_meet_only_the_first_passes_of_a_name(spark, monkeypatch):
     monkeypatch.setattr(trips, "_owned", lambda asked, owners, *more: asked.join(owners.select("key", "slug").distinct(), "key").select(*asked.columns, "slug"))
     whole = trips.candidates(asked, passes, routes, places, limit=9).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and {r["kind"] for r in got} >= {"name", "fuzzy"}
+
+
+def test_documents_are_written_by_many_tasks(spark, tmp_path):
+    rows = [(k, f"name {k}") for k in range(64)]
+    feeds.write_documents(spark.createDataFrame(rows, "slug long, name string").coalesce(1), "slug", str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("slug=*/part-*"))
+    assert len(files) == 64 and (spark.sparkContext.defaultParallelism == 1 or len({f.name.split("-")[1] for f in files}) > 1)
