@@ -3,6 +3,7 @@
 A page is a stream of headings and lines; those inside a table know its number, row and cell.
 What a page carries forward (a heading, the area, the day) is a window over its stream.
 A page is read by one task, and its reports are rows (key, section, place, lines, day) for ``roads.official_reports``.
+Pages and their streams are dealt by key over tasks of a bounded number of pages; what follows groups by the key, and nothing is dealt again.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.rows import tasks
+
+#: Pages of one task at most, and rows of a stream that are given on at a time.
+TASK_PAGES, BATCH_ROWS = 20_000, 20_000
 #: Tags whose text is not read, tags that end a line, the level of an accordion's title.
 UNREAD = {"script", "style", "noscript", "svg", "nav", "template", "select", "form"}
 LINE_ENDS = {
@@ -124,19 +129,27 @@ def stream(pages: DataFrame) -> DataFrame:
     ``linked``: a line that is a link's caption and nothing else. Text belongs to the innermost open table's last cell. A null page has no rows.
     """
 
+    columns = [c.split()[0] for c in STREAM.split(", ")]
+
+    def table(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"tbl": "Int32", "row": "Int32", "cell": "Int32"})
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for batch in batches:
-            rows = []
             for key, html in zip(batch["key"], batch["html"], strict=True):
                 reader = _Stream()
                 reader.feed(html or "")
                 reader.close()
                 reader.end_line()
                 rows += [(key, i, *item) for i, item in enumerate(reader.found)]
-            columns = [c.split()[0] for c in STREAM.split(", ")]
-            yield pd.DataFrame(rows, columns=columns).astype({"tbl": "Int32", "row": "Int32", "cell": "Int32"})
+                if len(rows) >= BATCH_ROWS:
+                    yield table(rows)
+                    rows = []
+        yield table(rows)
 
-    return pages.select("key", "html").mapInPandas(read, STREAM)
+    n = tasks(pages, TASK_PAGES)
+    return pages.select("key", "html").repartition(n, "key").mapInPandas(read, STREAM).repartition(n, "key")
 
 
 def _day(text: Column, pattern: str) -> Column:
@@ -224,18 +237,22 @@ def table_rows(items: DataFrame) -> DataFrame:
     table, ``linked`` its lines that are captions of links; ``page_day`` the first line that is a date, else when the page was updated.
     """
     line = F.col("kind") == LINE
-    read = items.withColumn("updated", updated_on(items)).withColumn("page_day", F.coalesce(_first(line & whole_date(F.col("text")).isNotNull(), whole_date(F.col("text"))), F.col("updated")))
-    read = read.withColumn("above", F.coalesce(F.last(F.when(F.col("kind") == HEADING, F.col("text")), True).over(_before()), F.lit("")))
-    marks = read.filter("kind = 'table'").select("key", "tbl", F.col("above").alias("heading"), "page_day", "updated")
-    inside = read.filter("cell is not null")
+    read = items.withColumn("heading", F.coalesce(F.last(F.when(F.col("kind") == HEADING, F.col("text")), True).over(_before()), F.lit("")))
+    read = read.withColumn("updated", updated_on(items)).withColumn("page_day", F.coalesce(_first(line & whole_date(F.col("text")).isNotNull(), whole_date(F.col("text"))), F.col("updated")))
+    # A table's mark has no row and no cell; it is carried as a group of its own, so that nothing is joined.
+    mark = F.first(F.when(F.col("kind") == "table", F.struct("heading", "page_day", "updated")), True).alias("mark")
     text = F.when(F.col("kind").isin("heading", "line"), F.struct("ord", "text"))
-    cells = inside.groupBy("key", "tbl", "row", "cell").agg(F.array_sort(F.collect_list(text))["text"].alias("lines"))
-    rows = cells.groupBy("key", "tbl", "row").agg(F.array_sort(F.collect_list(F.struct("cell", "lines")))["lines"].alias("cells"))
-    linked = inside.filter("linked").groupBy("key", "tbl").agg(F.collect_set("text").alias("linked"))
+    cells = read.filter("cell is not null or kind = 'table'").groupBy("key", "tbl", "row", "cell").agg(
+        F.array_sort(F.collect_list(text))["text"].alias("lines"), F.collect_set(F.when(F.col("linked"), F.col("text"))).alias("linked"), mark
+    )
+    own = F.array_sort(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "lines"))))["lines"]
+    rows = cells.groupBy("key", "tbl", "row").agg(own.alias("cells"), F.flatten(F.collect_list("linked")).alias("linked"), F.first("mark", True).alias("mark"))
     # Rows without cells are no items, so the first row with cells may not be row 0; such a table has no header.
-    header = rows.filter("row = 0").select("key", "tbl", F.col("cells").alias("header"))
-    whole = rows.join(marks, ["key", "tbl"]).join(header, ["key", "tbl"], "left").join(linked, ["key", "tbl"], "left")
-    return whole.withColumn("linked", F.coalesce("linked", F.array().cast("array<string>")))
+    table = Window.partitionBy("key", "tbl")
+    header = F.first(F.when(F.col("row") == 0, F.col("cells")), True).over(table)
+    linked, mark = F.flatten(F.collect_list("linked").over(table)), F.first("mark", True).over(table)
+    whole = rows.select("key", "tbl", "row", "cells", header.alias("header"), linked.alias("linked"), mark.alias("mark")).filter("row is not null and mark is not null")
+    return whole.select("key", "tbl", "row", "mark.heading", "cells", "header", "linked", "mark.page_day", "mark.updated")
 
 
 def _joined(cell: Column) -> Column:
