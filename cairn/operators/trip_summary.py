@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Places whose worst days are sent to every task (some hundred bytes each); more are shuffled.
+BROADCAST_PLACES = 100_000
+
 
 def listed(parts: Column) -> Column:
     """Parts in a row, the last after an and."""
@@ -22,10 +25,18 @@ def summaries(stops: DataFrame, days: DataFrame, today: str) -> DataFrame:
     ``stops``: trip, pos, slug, name, elevation_ft, label, confidence, as_of; ``days``: slug, day, precip_chance, thunder_chance.
     Labels and grades stand in the order in which they come up. The highest of several stops is the first of those that tie. A worst day is
     that of the first stop that has the worst value, its first such day; all stops with that value on that day are named, once each. A trip
-    has a bounded list of stops, so one row holds it; forecasts are joined by place.
+    has a bounded list of stops, so one row holds it. The worst value of a trip is the worst of some stop's place, so a stop
+    carries only its place's worst values and their days, not its forecast, and stops are dealt by trip once.
     """
-    entry = F.struct("pos", "name", "elevation_ft", "label", "confidence", "as_of")
-    trips = stops.groupBy("trip").agg(F.array_sort(F.collect_list(entry)).alias("stops"))
+    chances = {"precipitation": "precip_chance", "thunder": "thunder_chance"}
+    most = days.filter("slug is not null").groupBy("slug").agg(*(F.max(c).alias(f"most_{c}") for c in chances.values()))
+    ahead = days.join(most, "slug").groupBy("slug").agg(
+        *(F.array_sort(F.collect_set(F.when(F.col(c) == F.col(f"most_{c}"), F.struct(F.col(c).alias("value"), "day")))).alias(c) for c in chances.values())
+    )
+    if most.count() <= BROADCAST_PLACES:
+        ahead = F.broadcast(ahead)
+    entry = F.struct("pos", "name", "elevation_ft", "label", "confidence", "as_of", *chances.values())
+    trips = stops.filter("trip is not null").join(ahead, "slug", "left").groupBy("trip").agg(F.array_sort(F.collect_list(entry)).alias("stops"))
 
     def counted(field: str, word) -> Column:
         kinds = F.array_distinct(F.transform("stops", lambda s: s[field]))
@@ -42,20 +53,14 @@ def summaries(stops: DataFrame, days: DataFrame, today: str) -> DataFrame:
     )
     top = F.array_max(F.transform("stops", lambda s: F.struct(s["elevation_ft"].alias("feet"), (-s["pos"]).alias("p"), s["name"].alias("name"))))
     highest = F.when(n > 1, F.concat(F.lit("Highest pass: "), top["name"], F.lit(", "), F.format_number(top["feet"].cast("double"), 0), F.lit(" ft.")))
-    out = trips.select("trip", verdicts.alias("verdicts"), highest.alias("highest"))
-
-    def at(value: Column, day: Column):
-        return lambda x: (x["value"] == value) & (x["day"] == day)
-
-    chances = {"precipitation": "precip_chance", "thunder": "thunder_chance"}
-    ahead = stops.select("trip", "pos", "slug", "name").join(days.select("slug", "day", *chances.values()), "slug")
-    seen = ahead.groupBy("trip").agg(*(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", "day", F.col(c).alias("value"), "name")))).alias(c) for c in chances.values()))
     told = []
     for word, c in chances.items():
-        worst = F.array_max(F.transform(c, lambda x: F.struct(x["value"].alias("value"), (-x["pos"]).alias("p"), (-F.unix_date(x["day"])).alias("d"))))
-        seen = seen.withColumn(f"{c}_top", worst)
+        seen = F.filter("stops", lambda s: F.size(s[c]) > 0)  # noqa: B023
+        worst = F.array_max(F.transform(seen, lambda s: F.struct(s[c][0]["value"].alias("value"), (-s["pos"]).alias("p"), (-F.unix_date(s[c][0]["day"])).alias("d"))))  # noqa: B023
+        trips = trips.withColumn(f"{c}_top", worst)
         value, day = F.col(f"{c}_top.value"), F.date_from_unix_date(-F.col(f"{c}_top.d"))
-        names = F.array_distinct(F.transform(F.filter(c, at(value, day)), lambda x: x["name"]))
+        same = F.filter("stops", lambda s: F.exists(s[c], lambda x: (x["value"] == value) & (x["day"] == day)))  # noqa: B023
+        names = F.array_distinct(F.transform(same, lambda s: s["name"]))
         some = F.concat(F.lit(f"Highest chance of {word} in the forecast for the trip's days: "), value.cast("string"), F.lit("% on "), _label(day, today), F.lit(" at "), listed(names), F.lit("."))
         told.append(F.when(value > 0, some).when(value <= 0, f"The forecast for the trip's days shows a 0% chance of {word} at every pass that has one.").alias(word))
-    return out.join(seen.select("trip", *told), "trip", "left")
+    return trips.select("trip", verdicts.alias("verdicts"), highest.alias("highest"), *told)

@@ -30,3 +30,14 @@ def test_pages_are_read_by_many_tasks_and_nothing_is_joined(spark, monkeypatch):
 
 def test_rows_are_dealt_by_their_number(spark):
     assert rows.dealt(spark.range(100).coalesce(1), "id", most=5).rdd.getNumPartitions() >= 21
+
+
+def test_a_stop_carries_only_the_worst_days_of_its_place(spark):
+    days = spark.createDataFrame([("a", dt.date(2024, 1, d), d % 3 * 10, 0) for d in range(1, 9)] + [("b", dt.date(2024, 1, 2), 20, None), ("b", dt.date(2024, 1, 5), 5, None)], "slug string, day date, precip_chance int, thunder_chance int")
+    stops = [(t, p, s, f"{s}{p}", 100 + p, "Open", "high", dt.date(2024, 1, 1)) for t, p, s in ((1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "b"), (3, 1, "none"))]
+    stops = spark.createDataFrame(stops, "trip long, pos int, slug string, name string, elevation_ft long, label string, confidence string, as_of date")
+    found = trip_summary.summaries(stops, days, "2024-01-01")
+    # Stops are joined to places, places to their own maxima, and nothing else; then they are grouped by trip.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    got = {r["trip"]: (r["precipitation"], r["thunder"]) for r in found.collect()}
+    assert got[1][0].endswith("20% on Tue, Jan 2 at a1, b2 and a3.") and got[1][1].startswith("The forecast") and got[2][0].endswith("20% on Tue, Jan 2 at b1.") and got[2][1] is None and got[3] == (None, None)
