@@ -32,6 +32,16 @@ def test_rows_are_dealt_by_their_number(spark):
     assert rows.dealt(spark.range(100).coalesce(1), "id", most=5).rdd.getNumPartitions() >= 21
 
 
+def test_zones_are_searched_once_a_position(spark):
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    zone = spark.createDataFrame([(1, [dict(lon=x, lat=y) for x, y in ring], 0.0, 0.0, 1.0, 1.0)], "zone int, ring array<struct<lon:double,lat:double>>, west double, south double, east double, north double")
+    points = spark.createDataFrame([(k, *((0.5, 0.5) if k % 2 else (0.5, 1.2)), ) for k in range(40)] + [(99, None, 0.5), (98, 30.0, 30.0)], "key long, lat double, lon double")
+    found = links.nearest_ring(points.coalesce(1), zone, 50)
+    got = {r["key"]: r["km"] for r in found.collect()}
+    assert set(got) == set(range(40)) and len(set(got.values())) == 2 and all((got[k] == 0) == (k % 2 == 1) for k in got)
+    assert "Aggregate [lat" in found._jdf.queryExecution().optimizedPlan().toString() and "REPARTITION_BY_NUM" in plan(found)
+
+
 def test_a_stop_carries_only_the_worst_days_of_its_place(spark):
     days = spark.createDataFrame([("a", dt.date(2024, 1, d), d % 3 * 10, 0) for d in range(1, 9)] + [("b", dt.date(2024, 1, 2), 20, None), ("b", dt.date(2024, 1, 5), 5, None)], "slug string, day date, precip_chance int, thunder_chance int")
     stops = [(t, p, s, f"{s}{p}", 100 + p, "Open", "high", dt.date(2024, 1, 1)) for t, p, s in ((1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "b"), (3, 1, "none"))]
