@@ -216,9 +216,15 @@ def excerpt(text: Column, most: int = 400) -> Column:
     clean = F.trim(text)
     # Each match runs from the start of a sentence to its end.
     parts = F.regexp_extract_all(clean, F.lit(f"(?s)(?:.+?(?:\\n|[!?](?=\\s|$)|(?<!(?i:\\b(?:{'|'.join(SHORT)})))\\.(?=\\s*$|\\s+[^\\sa-z])))|.+$"), F.lit(0))
-    ends = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda s, q: s + F.length(q)))
-    fit = F.array_max(F.filter(ends, lambda e: e <= most))
-    return F.when(F.length(clean) <= most, clean).otherwise(F.trim(F.left(clean, F.coalesce(fit, F.get(ends, F.lit(0))))))
+    # The parts are gone through once: a lambda that named them would look for them again for each.
+    nothing = F.struct(F.lit(0).alias("end"), F.lit(None).cast("int").alias("fit"), F.lit(None).cast("int").alias("first"))
+
+    def longer(told: Column, part: Column) -> Column:
+        end = told["end"] + F.length(part)
+        return F.struct(end.alias("end"), F.when(end <= most, end).otherwise(told["fit"]).alias("fit"), F.coalesce(told["first"], end).alias("first"))
+
+    cut = F.aggregate(parts, nothing, longer, lambda told: F.coalesce(told["fit"], told["first"]))
+    return F.when(F.length(clean) <= most, clean).otherwise(F.trim(F.left(clean, cut)))
 
 
 #: Short forms after which a dot ends no sentence.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import rules as R
+from ..functions.rows import dealt
 from ..sources import access, feeds
 from ..streaming.ingest import _folder
 from .inputs import Tables
@@ -91,7 +92,7 @@ def sentence_excerpts(t: Tables) -> DataFrame:
     head = F.concat(F.lit("Mt. "), "p_name", F.lit(" is open. Go by Rd. "), F.col("p_size").cast("string"), F.lit(" now!"))
     more = F.concat(F.lit(" "), "p_type", F.lit(" follows"))
     rows = t.part.select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 2 == 0, F.concat(head, F.lit(" ") , F.repeat(F.lit("z"), 300), F.lit("."))).otherwise(F.concat(head, more)).alias("text"))
-    return rows.select("key", R.excerpt(F.col("text"), 200).alias("said"))
+    return dealt(rows, "key").select("key", R.excerpt(F.col("text"), 200).alias("said"))
 
 
 _KIND = "CASE s_suppkey % 3 WHEN 0 THEN 'trailhead' WHEN 1 THEN 'campground' ELSE 'parking' END"

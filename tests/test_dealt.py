@@ -32,6 +32,12 @@ def test_rows_are_dealt_by_their_number(spark):
     assert rows.dealt(spark.range(100).coalesce(1), "id", most=5).rdd.getNumPartitions() >= 21
 
 
+def test_a_text_is_cut_into_sentences_once(spark):
+    cut = spark.createDataFrame([("Mt. A is. B! c",), ("No end " * 3,), (None,), ("",), ("A. B. C. D. E.",)], "t string").select(rules.excerpt(F.col("t"), 9).alias("x"))
+    assert cut._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert [r["x"] for r in cut.collect()] == ["Mt. A is.", "No end No end No end", None, "", "A. B. C."]
+
+
 def test_zones_are_searched_once_a_position(spark):
     ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
     zone = spark.createDataFrame([(1, [dict(lon=x, lat=y) for x, y in ring], 0.0, 0.0, 1.0, 1.0)], "zone int, ring array<struct<lon:double,lat:double>>, west double, south double, east double, north double")
