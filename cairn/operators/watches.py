@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import dealt
+
 #: The kinds in order, miles that a fire must come nearer, the longest quotation.
 KINDS = ("any_change", "snow_free", "new_snow", "fire_nearby", "road_restriction")
 CLOSER, QUOTED = 3.0, 160
@@ -27,7 +29,8 @@ def paired(exports: DataFrame) -> DataFrame:
     A date that comes again counts once: of its rows the one that sorts last by status and label.
     """
     whole = F.struct(*FIELDS)
-    once = exports.groupBy("slug", "date").agg(F.max_by(whole, F.struct("status", "label", "name")).alias("now"))
+    # Dealt by place first: exports are wide, and grouping sorts them, so what one task holds must not grow with them.
+    once = dealt(exports, "slug").groupBy("slug", "date").agg(F.max_by(whole, F.struct("status", "label", "name")).alias("now"))
     was = F.lag("now").over(Window.partitionBy("slug").orderBy("date"))
     return once.withColumn("was", was).filter("was is not null").select("now", "was")
 

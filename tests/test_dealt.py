@@ -48,6 +48,12 @@ def test_zones_are_searched_once_a_position(spark):
     assert "Aggregate [lat" in found._jdf.queryExecution().optimizedPlan().toString() and "REPARTITION_BY_NUM" in plan(found)
 
 
+def test_exports_are_dealt_by_place_before_they_are_grouped(spark):
+    exports = spark.createDataFrame([(k, "n", dt.date(2024, 1, d), "open", "Open", None, None) for k in range(5) for d in (1, 2)], watches.EXPORT)
+    found = watches.paired(exports.coalesce(1))
+    assert found.count() == 5 and "REPARTITION_BY_NUM" in plan(found) and "ENSURE_REQUIREMENTS" not in plan(found)
+
+
 def test_a_stop_carries_only_the_worst_days_of_its_place(spark):
     days = spark.createDataFrame([("a", dt.date(2024, 1, d), d % 3 * 10, 0) for d in range(1, 9)] + [("b", dt.date(2024, 1, 2), 20, None), ("b", dt.date(2024, 1, 5), 5, None)], "slug string, day date, precip_chance int, thunder_chance int")
     stops = [(t, p, s, f"{s}{p}", 100 + p, "Open", "high", dt.date(2024, 1, 1)) for t, p, s in ((1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "b"), (3, 1, "none"))]
