@@ -48,6 +48,18 @@ def test_zones_are_searched_once_a_position(spark):
     assert "Aggregate [lat" in found._jdf.queryExecution().optimizedPlan().toString() and "REPARTITION_BY_NUM" in plan(found)
 
 
+def test_items_are_given_on_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(html, "BATCH_ROWS", 10)
+
+    class Pages:
+        def mapInPandas(self, read, schema):
+            return read
+
+    pages = pd.DataFrame({"key": range(30), "html": ["<p>a<p>b<p>c"] * 29 + [None]})
+    parts = list(html.items(Pages())([pages]))
+    assert max(map(len, parts)) <= 12 and sum(map(len, parts)) == 87 and list(pd.concat(parts)["ord"]) == [0, 1, 2] * 29
+
+
 def test_exports_are_dealt_by_place_before_they_are_grouped(spark):
     exports = spark.createDataFrame([(k, "n", dt.date(2024, 1, d), "open", "Open", None, None) for k in range(5) for d in (1, 2)], watches.EXPORT)
     found = watches.paired(exports.coalesce(1))
