@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions.rows import dealt
 from ..operators import ledger, watches
 from .ingest import _folder, read
 
@@ -49,17 +50,16 @@ class _Pairs(StatefulProcessor):
     def init(self, handle) -> None:
         self.last = handle.getValueState("last", "date date, body string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        date, body = self.last.get() if self.last.exists() else (None, None)
-        out, began = [], date
-        for row in pd.concat(list(rows)).sort_values(["date", "body"]).itertuples(index=False):
-            if date is None or row.date > date:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        date, body = self.last.get() or (None, None)
+        began = date
+        for row in sorted(rows, key=lambda r: (r["date"], r["body"])):
+            if date is None or row["date"] > date:
                 if body is not None:
-                    out.append((key[0], row.body, body))
-                date, body = row.date, row.body
+                    yield Row(slug=key[0], now=row["body"], was=body)
+                date, body = row["date"], row["body"]
         if date != began:
             self.last.update((date, body))
-        yield pd.DataFrame(out, columns=["slug", "now", "was"]).astype({"slug": "int64"})
 
     def close(self) -> None:
         pass
@@ -68,10 +68,11 @@ class _Pairs(StatefulProcessor):
 def paired_stream(exports: DataFrame) -> DataFrame:
     """``watches.paired`` of a stream of exports: (now, was), with a typed state for each place. A place has a row a day.
 
+    Rows are handed over as they are: a table of pandas for each place takes longer than all that is done with it.
     Needs the state store that keeps typed states (RocksDB); see ``state_store``.
     """
     body = F.to_json(F.struct(*watches.FIELDS), {"ignoreNullFields": "false"})
-    told = exports.select("slug", "date", body.alias("body")).groupBy("slug").transformWithStateInPandas(_Pairs(), PAIR, "Append", "None")
+    told = exports.select("slug", "date", body.alias("body")).groupBy("slug").transformWithState(_Pairs(), PAIR, "Append", "None")
     return told.select(*(F.from_json(c, watches.EXPORT).alias(c) for c in ("now", "was")))
 
 
@@ -101,7 +102,7 @@ def watched(exports: DataFrame, days: list[str]) -> DataFrame:
     with state_store(spark):
         for day in days:
             part = exports.filter((F.col("date") > F.lit(before)) & (F.col("date") <= F.lit(day)))
-            part.write.mode("append").parquet(landed)
+            dealt(part, "slug").write.mode("append").parquet(landed)
             stream = watches.fired(paired_stream(spark.readStream.schema(watches.EXPORT).parquet(landed)))
             run = stream.writeStream.outputMode("append").option("checkpointLocation", state).foreachBatch(keep)
             run.trigger(availableNow=True).start().awaitTermination()

@@ -66,6 +66,25 @@ def test_exports_are_dealt_by_place_before_they_are_grouped(spark):
     assert found.count() == 5 and "REPARTITION_BY_NUM" in plan(found) and "ENSURE_REQUIREMENTS" not in plan(found)
 
 
+def test_states_take_rows_as_they_come():
+    class State:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls, self.held = self.calls + 1, value
+
+    pairs, day = watch._Pairs(), dt.date(2024, 1, 2)
+    pairs.last = State()
+    later = day + dt.timedelta(days=1)
+    told = list(pairs.handleInputRows((7,), iter([Row(slug=7, date=later, body="b"), Row(slug=7, date=day, body="a")]), None))
+    assert told == [Row(slug=7, now="b", was="a")] and pairs.last.held == (later, "b") and pairs.last.calls == 2
+    assert list(pairs.handleInputRows((7,), iter([Row(slug=7, date=day, body="late")]), None)) == [] and pairs.last.held == (later, "b")
+
+
 def test_a_stop_carries_only_the_worst_days_of_its_place(spark):
     days = spark.createDataFrame([("a", dt.date(2024, 1, d), d % 3 * 10, 0) for d in range(1, 9)] + [("b", dt.date(2024, 1, 2), 20, None), ("b", dt.date(2024, 1, 5), 5, None)], "slug string, day date, precip_chance int, thunder_chance int")
     stops = [(t, p, s, f"{s}{p}", 100 + p, "Open", "high", dt.date(2024, 1, 1)) for t, p, s in ((1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "b"), (3, 1, "none"))]
