@@ -19,29 +19,33 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """key, name: the longest name whose words stand in the text in that order, whole; ties to the lesser name.
 
     The text's runs of words, as long as names are, are matched to names by equality;
-    names and texts are never paired otherwise.
+    names and texts are never paired otherwise. If names are few, only runs that begin with the first word of one are made.
     """
     known = names.select(normal(F.col("name")).alias("alias"), "name").filter("alias <> ''").groupBy("alias").agg(F.min("name").alias("name"))
     sized = known.groupBy(F.size(F.split("alias", " ")).alias("n")).count().collect()  # a row per length of a name
     lengths = sorted(r["n"] for r in sized)
-    if sum(r["count"] for r in sized) <= BROADCAST_NAMES:
-        known = F.broadcast(known)
     if not lengths:
         return texts.select("key", F.lit(None).cast("string").alias("name")).limit(0)
-    words = texts.select("key", F.split(normal(F.col("text")), " ").alias("w"))
-    grams = words.select("key", F.explode(_runs(lengths)).alias("alias"))
-    found = grams.join(known, "alias")  # a run that comes twice changes no maximum
+    starts = _starts(texts, max(lengths))
+    if sum(r["count"] for r in sized) <= BROADCAST_NAMES:
+        first = known.select(F.substring_index("alias", " ", 1).alias("w1")).distinct()
+        starts, known = starts.join(F.broadcast(first), "w1", "left_semi"), F.broadcast(known)
+    # The last runs of a text may be shorter: they are runs of fewer words that stand in it too.
+    runs = F.array(*(F.concat_ws(" ", *(f"w{i}" for i in range(1, n + 1))) for n in lengths))
+    found = starts.select("key", F.explode(runs).alias("alias")).join(known, "alias")  # a run that comes twice changes no maximum
     return found.groupBy("key").agg(F.max_by("name", F.struct(F.length("alias"), F.reverse("alias"))).alias("name"))
 
 
-def _runs(lengths: list[int]):
-    """All runs of so many words, from each word on."""
+def _starts(texts: DataFrame, n: int) -> DataFrame:
+    """key, w1 to wn: each word of a text and those after it, null past the end.
 
-    def at(i):
-        whole = (F.when(i + n <= F.size("w"), F.concat_ws(" ", *(F.get("w", i + j) for j in range(n)))) for n in lengths)
-        return F.array_compact(F.array(*whole))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), at))
+    Columns rather than a lambda over words, which Spark does not compile; and an outer explode, as for an inner one
+    it asks of the text first whether there is a word, and normalises it again for that.
+    """
+    words = texts.select("key", F.split(normal(F.col("text")), " ").alias("w"))
+    names = [f"w{i}" for i in range(1, n + 1)]
+    ahead = words.select("key", *(F.slice("w", F.lit(i), F.size("w")).alias(f"w{i}") for i in range(1, n + 1)))
+    return ahead.select("key", F.explode_outer(F.arrays_zip(*names)).alias("at")).select("key", *(F.col(f"at.{c}") for c in names))
 
 
 def alike(asked: DataFrame, known: DataFrame, cutoff: float = 0.78) -> DataFrame:

@@ -94,3 +94,15 @@ def test_a_stop_carries_only_the_worst_days_of_its_place(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
     got = {r["trip"]: (r["precipitation"], r["thunder"]) for r in found.collect()}
     assert got[1][0].endswith("20% on Tue, Jan 2 at a1, b2 and a3.") and got[1][1].startswith("The forecast") and got[2][0].endswith("20% on Tue, Jan 2 at b1.") and got[2][1] is None and got[3] == (None, None)
+
+
+def test_runs_of_words_are_columns(spark, monkeypatch):
+    said = "Red pass,  by the OLD  red mill - pass"
+    found = names.mentions(spark.createDataFrame([(1, said), (2, "old"), (3, ""), (4, None)], "key long, text string"), spark.createDataFrame([("red mill pass",), ("the old",), ("old",)], "name string"))
+    assert {(r["key"], r["name"]) for r in found.collect()} == {(1, "red mill pass"), (2, "old")}
+    monkeypatch.setattr(names, "BROADCAST_NAMES", 0)
+    many = names.mentions(spark.createDataFrame([(1, said), (2, "old"), (3, ""), (4, None)], "key long, text string"), spark.createDataFrame([("red mill pass",), ("the old",), ("old",)], "name string"))
+    assert sorted(many.collect()) == sorted(found.collect())
+    starts = names._starts(spark.createDataFrame([(1, "a, b c")], "key long, text string"), 2)
+    assert {tuple(r) for r in starts.collect()} == {(1, "a", "b"), (1, "b", "c"), (1, "c", None)} and "lambda" not in plan(found)
+    assert spark.createDataFrame([(" A--b  c,D ",), ("",), (None,)], "t string").select(text.normal(F.col("t")).alias("n")).collect() == [Row(n="a b c d"), Row(n=""), Row(n=None)]
