@@ -1,41 +1,45 @@
 """Line dedup: an exact set-similarity join of lines on word shingles, in DataFrame operations.
 
-A line's tokens are the hashes of its ``k``-word shingles. Tokens are ordered by
-rarity; two lines within the threshold share one of their rarest (prefix filter). The
+A line's tokens are the hashes of its ``k``-word shingles, in the order of their values; two
+lines within the threshold share one of their first (prefix filter). Tokens that stand in
+too many prefixes come last in the order: lines that hold one there get another prefix. The
 rest of the join follows from that: lines of equal sets are one class; prefixes meet in
-a window by token; sizes and places in the order rule pairs out (length and positional
-filter); Jaccard is verified on whole sets; of two matching lines the later goes.
+a window by token; sizes, places in the order and signatures rule pairs out (length, positional
+and bitmap filter); Jaccard is verified on whole sets; of two matching lines the later goes.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, row_keyed, written
 
-BLANKS = r"[\x20\x09-\x0D]+"
-#: Buckets of the table of token counts; each has one of four levels of rarity.
-BUCKETS = 1 << 16
-#: A bucket is of the level of as many of these multiples of the mean as its count exceeds.
-LEVELS = (1.25, 2.0, 8.0)
+#: Blanks beside the space and the line feed.
+BLANKS = "\t\x0b\x0c\r"
+#: Prefixes of classes that a token may stand in before it comes last in the order.
+HEAVY = 500
 #: Rows that may be broadcast (names of documents or lines), and line numbers in their lists.
 BROADCAST_ROWS = 300_000
 BROADCAST_NUMBERS = 2_000_000
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(line), BLANKS, -1), "")
+    """A split by one character needs no pattern, so other blanks become spaces where there are any."""
+    odd = line.contains(BLANKS[0]) | line.contains(BLANKS[1]) | line.contains(BLANKS[2]) | line.contains(BLANKS[3])
+    plain = F.when(odd, F.translate(line, BLANKS, " " * len(BLANKS))).otherwise(line)
+    return F.array_remove(F.split(ascii_lower(plain), " ", -1), "")
 
 
 def _tokens(words: Column, k: int) -> Column:
-    """Distinct hashes of the k-word shingles; a line of fewer words has its whole sequence as one; null without words."""
+    """Distinct hashes of the k-word shingles, in order; a line of fewer words has its whole sequence as one; null without words."""
     # Words are taken one by one: slice() would copy the whole line for each shingle.
-    shingles = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
+    first = F.slice(words, 1, F.size(words) - (k - 1))
+    shingles = F.transform(first, lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, k))))
     whole = F.array(F.xxhash64(F.size(words), F.array_join(words, " ")))
-    return F.when(F.size(words) >= k, F.array_distinct(shingles)).when(F.size(words) > 0, whole)
+    return F.when(F.size(words) >= k, F.sort_array(F.array_distinct(shingles))).when(F.size(words) > 0, whole)
 
 
 def _lines(docs: DataFrame, k: int) -> DataFrame:
@@ -50,33 +54,14 @@ def _lines(docs: DataFrame, k: int) -> DataFrame:
     return worded.select("doc_id", "line_no", _tokens(F.col("words"), k).alias("tokens"))
 
 
-def _levels(lines: DataFrame) -> list[int] | None:
-    """Level of each bucket, two bits each, 32 to a number; None if no bucket stands out.
+def _entry(token: Column) -> Column:
+    """The upper half of a hash, as prefixes keep it: a chance meeting only adds a pair to verify."""
+    return F.shiftright(token, 32).cast("int")
 
-    The counts are of all tokens of all lines. They are as many as there are buckets.
-    """
-    counts = lines.select(F.explode_outer("tokens").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).count().collect()
-    counts = [r for r in counts if r["b"] is not None]
-    total = sum(r["count"] for r in counts)
-    packed = [0] * (BUCKETS // 32)
-    for r in counts:
-        level = sum(r["count"] > 40 + m * total / BUCKETS for m in LEVELS)
-        packed[r["b"] // 32] |= level << (2 * (r["b"] % 32))
-    return [v - (1 << 64) if v >> 63 else v for v in packed] if any(packed) else None
-
-
-def _ordered(tokens: Column, levels: list[int] | None) -> Column:
-    """Tokens in order of rarity, as numbers: the level first, then the hash."""
-    if levels is None:
-        return F.sort_array(F.transform(tokens, lambda t: t.bitwiseAND((1 << 61) - 1)))
-    table = F.from_json(F.lit(json.dumps(levels)), "array<bigint>")
-
-    def key(t: Column) -> Column:
-        bucket = F.pmod(t, F.lit(BUCKETS)).cast("int")
-        level = F.call_function("shiftrightunsigned", F.get(table, F.shiftright(bucket, 5)), bucket.bitwiseAND(31) * 2).bitwiseAND(3)
-        return t.bitwiseAND((1 << 61) - 1).bitwiseOR(F.shiftleft(level, 61))
 
-    return F.sort_array(F.transform(tokens, key))
+def _signature(tokens: Column) -> Column:
+    """64 parities of the tokens: two sets differ by at least as many tokens as their signatures by bits."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(t))))
 
 
 def _tuple(*names: str) -> Column:
@@ -89,68 +74,97 @@ def _small(table: DataFrame, numbers: str | None = None) -> DataFrame:
     return F.broadcast(table) if held["rows"] <= BROADCAST_ROWS and (held["numbers"] or 0) <= BROADCAST_NUMBERS else table
 
 
+def _sets(docs: DataFrame, asked: DataFrame, k: int, count: int) -> DataFrame:
+    """(id, tokens) of the lines ``asked`` (id, doc_id, line_no)."""
+    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("id", "line_no")).alias("wanted"))
+    wanted = _small(written(wanted, "wanted", count), "wanted")
+    # The lines wanted are taken out before they are opened: an explode would copy the whole text for each.
+    parts = docs.join(wanted, "doc_id").select("wanted", F.split("text", "\n", -1).alias("all"))
+    some = parts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get("all", w["line_no"]).alias("line")))).alias("w"))
+    return some.select("w.id", _words(F.col("w.line")).alias("words")).select("id", _tokens(F.col("words"), k).alias("tokens"))
+
+
+def _posted(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], reach: Callable[[Column], Column]) -> DataFrame:
+    """(token, id, pos) of the prefixes of ``classes`` (id, n, prefix, ...); ``sets`` gives the tokens of some classes.
+
+    A token is heavy if it stands in more than HEAVY prefixes, or in more of the sets that hold
+    such a one there. Heavy tokens come last, so a prefix without one stays as it is.
+    """
+    posted = classes.select("id", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "pos")
+    heavy = written(posted.groupBy("token").count().filter(F.col("count") > HEAVY).select("token"), "heavy")
+    if heavy.isEmpty():
+        return posted
+
+    def held(heavy: DataFrame) -> DataFrame:
+        """The tokens of the classes that hold a heavy token in their prefix."""
+        some = written(posted.join(_small(heavy), "token", "left_semi").select("id").distinct(), "held")
+        return written(sets(classes.join(_small(some), "id", "left_semi")), "sets")
+
+    each = held(heavy).select(F.explode(F.transform("tokens", _entry)).alias("token"))
+    heavy = heavy.unionByName(each.groupBy("token").count().filter(F.col("count") > HEAVY).select("token")).distinct()
+    heavy = written(heavy, "heavy")
+    again = held(heavy)
+    each = again.select("id", F.explode("tokens").alias("t")).withColumn("token", _entry(F.col("t")))
+    last = each.join(_small(heavy).withColumn("heavy", F.lit(1)), "token", "left")
+    whole = last.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("heavy", F.lit(0)).alias("heavy"), "t"))).alias("all"))
+    fresh = whole.select("id", F.posexplode(F.slice("all", F.lit(1), reach(F.size("all")))).alias("pos", "e")).select(_entry(F.col("e.t")).alias("token"), "id", "pos")
+    return posted.join(_small(again.select("id")), "id", "left_anti").select("token", "id", "pos").unionByName(fresh)
+
+
 def matches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, line_no) of the lines that go: an earlier line has a Jaccard similarity of num/den or more.
 
     ``docs``: (doc_id, text) with distinct doc_id.
     """
-    lines = _lines(docs, k)
-    levels = _levels(lines)
-    ordered = lines.select("doc_id", "line_no", _ordered(F.col("tokens"), levels).alias("tokens"))
     n = F.size("tokens")
-    reach = n - F.ceil(n * num / den).cast("int") + 1
-    # Lines without tokens are sets of their own. Prefixes keep 32 bits of a hash: a chance meeting only adds a pair to verify.
+    reach = lambda n: n - F.ceil(n * num / den).cast("int") + 1
+    # Lines without tokens are sets of their own.
     own = F.when(F.col("tokens").isNull(), F.xxhash64("doc_id", "line_no")).otherwise(F.xxhash64("tokens"))
-    prefix = F.transform(F.slice("tokens", F.lit(1), reach), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
-    short = written(ordered.select("doc_id", "line_no", own.alias("set"), n.alias("n"), F.when(F.col("tokens").isNotNull(), prefix).alias("prefix")), "lines")
+    prefix = F.transform(F.slice("tokens", F.lit(1), reach(n)), _entry)
+    short = _lines(docs, k).select("doc_id", "line_no", own.alias("set"), n.alias("n"), F.when(F.col("tokens").isNotNull(), prefix).alias("prefix"), _signature(F.col("tokens")).alias("sig"))
+    short = written(short, "lines")
     count = short.count()
     # Lines of equal sets are one class, named by its first line.
     classes = short.filter("prefix is not null").groupBy("set").agg(
-        F.min(_tuple("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("lines")
+        F.min(_tuple("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"), F.count("*").alias("lines")
     )
-    classes = written(classes, "classes", count)
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes", count)
+    sets = lambda some: _sets(docs, some.select("id", "first.*"), k, count)
     # Entries are flat and narrow, size and place in one number: they are most of what is shuffled.
-    posted = classes.select("first.*", "n", F.posexplode("prefix").alias("pos", "token"))
-    posted = posted.select("token", "doc_id", "line_no", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("size"))
-    by_token = Window.partitionBy("token")
-    ranked = posted.withColumn("c", F.count("*").over(by_token)).filter("c > 1")
-    met = written(ranked.select("token", _tuple("doc_id", "line_no").alias("first"), "size"), "met")
-
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        """(late, early) by token, of sizes and places that leave the threshold in reach."""
-        a = left.select("token", F.col("first").alias("late"), F.col("size").alias("s"))
-        b = right.select("token", F.col("first").alias("early"), F.col("size").alias("t"))
-        both = a.join(b, "token").filter("early < late")
-        (s, x), (t, y) = ((F.shiftright(c, 32), F.col(c).bitwiseAND(0x7FFFFFFF)) for c in ("s", "t"))
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("size")
+    posted = _posted(classes, sets, reach).withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1")
+    met = posted.join(classes.select("id", "first", "n", "sig"), "id").select("token", "first", place, "sig")
+    # Each entry stands beside the first line of its list.
+    head = F.min(_tuple("first", "size", "sig")).over(Window.partitionBy("token"))
+    met = written(met.withColumn("head", head).select("token", "first", "size", "sig", F.col("head.first").alias("first_"), F.col("head.size").alias("size_"), F.col("head.sig").alias("sig_")), "met")
+
+    def pairs(both: DataFrame) -> DataFrame:
+        """(late, early) of entries (first, size, sig and the same of the other), whose sizes, places and signatures leave the threshold in reach."""
+        both = both.filter("first_ < first")
+        (s, x), (t, y) = ((F.shiftright(c, 32), F.col(c).bitwiseAND(0x7FFFFFFF)) for c in ("size", "size_"))
         both = both.filter(F.least(s, t) * den >= F.greatest(s, t) * num)
-        return both.filter(F.least(s - x, t - y) * (num + den) >= num * (s + t)).select("late", "early").distinct()
-
-    wanted = met.select("first").distinct().select("first.*").groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
-    wanted = _small(written(wanted, "wanted", count), "wanted")
-    # The lines wanted are taken out before they are opened: an explode would copy the whole text for each.
-    parts = docs.join(wanted, "doc_id").select("doc_id", "wanted", F.split("text", "\n", -1).alias("all"))
-    some = parts.select("doc_id", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get("all", i).alias("line")))).alias("w"))
-    some = some.select(F.struct("doc_id", "w.line_no").alias("first"), _words(F.col("w.line")).alias("words"))
-    sets = written(some.select("first", _tokens(F.col("words"), k).alias("tokens")), "sets")
+        both = both.filter(F.least(s - x, t - y) * (num + den) >= num * (s + t))
+        both = both.filter(F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_"))) * (num + den) <= (den - num) * (s + t))
+        return both.select(F.col("first").alias("late"), F.col("first_").alias("early")).distinct()
 
     def matched(found: DataFrame) -> DataFrame:
         found = written(found, "pairs")
-        met = found.select(F.explode(F.array("late", "early")).alias("first")).distinct()
-        some = sets.join(_small(written(met, "paired", count)), "first", "left_semi")
-        x = some.select(F.col("first").alias("late"), F.col("tokens").alias("x"))
-        y = some.select(F.col("first").alias("early"), F.col("tokens").alias("y"))
+        named = written(found.select(F.explode(F.array("late", "early")).alias("id")).distinct(), "paired", count)
+        some = written(_sets(docs, named.select("id", "id.*"), k, count), "sets")
+        x = some.select(F.col("id").alias("late"), F.col("tokens").alias("x"))
+        y = some.select(F.col("id").alias("early"), F.col("tokens").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
         near = found.join(x, "late").join(y, "early").select("late", shared.alias("shared"), (F.size("x") + F.size("y")).alias("both"))
         return near.filter(F.col("shared") * den >= (F.col("both") - F.col("shared")) * num).select("late").distinct()
 
     # Most lines that go match the first line of one of their lists; only the others meet all.
-    heads = met.groupBy("token").agg(F.min(F.struct("first", "size")).alias("h")).select("token", "h.*")
-    easy = written(matched(pairs(met, heads)), "easy", count)
-    rest = met.join(easy, met["first"] == easy["late"], "left_anti")
-    hard = matched(pairs(rest, met))
+    easy = written(matched(pairs(met)), "easy", count)
+    rest = met.select("token", "first", "size", "sig").join(_small(easy), met["first"] == easy["late"], "left_anti")
+    others = met.select("token", *(F.col(c).alias(f"{c}_") for c in ("first", "size", "sig")))
+    hard = matched(pairs(rest.join(others, "token")))
     late = easy.unionByName(hard).distinct()
     # A class goes with its first line, or but for its first line.
-    gone = classes.join(late, classes["first"] == late["late"], "left")
+    gone = classes.join(_small(written(late, "late", count)), classes["first"] == F.col("late"), "left")
     gone = gone.filter("late is not null or lines > 1").select("set", "first", F.col("late").isNotNull().alias("all_go"))
     each = short.select("doc_id", "line_no", "set").join(gone, "set")
     return each.filter(F.col("all_go") | (_tuple("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no")
@@ -196,7 +210,9 @@ def _without(docs: DataFrame, lines: DataFrame, key: str, columns: list[str]) ->
     held = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, key])))
     joined = held.join(found, F.col(f"`{key}`") == F.col(f"`{free}_id`"), "left")
     gone = F.col(f"`{free}_lines`")
-    all_lines = F.split("text", "\n", -1)
+    # Split in a step of its own: inside the lambda below the text would be split once for each line that stays.
+    joined = joined.withColumn(f"{free}_all", F.when(gone.isNotNull(), F.split("text", "\n", -1)))
+    all_lines = F.col(f"`{free}_all`")
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone)
     text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
     # Counted by their ends: texts that keep all lines are not split again.

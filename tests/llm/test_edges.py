@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; scans, shards, components."""
 
 import hashlib
+import random
 import time
 
 import numpy as np
@@ -231,6 +232,53 @@ def test_lines_by_shuffles_and_broadcasts(spark, sf, monkeypatch, limit):
     assert got == want
 
 
+@pytest.mark.parametrize("heavy", [1, 5])
+def test_lines_that_share_frequent_shingles(spark, monkeypatch, heavy):
+    """A passage in all lines: its shingles come last in the order, whatever the limit, and no pair is lost."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(24))
+    texts = [f"{passage} " + " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(12))) for _ in range(60)]
+    texts = [f"{t}\n{t.replace(' p9 ', ' q ')}" for t in texts]
+    whole = [(d, i, line.split()) for d, t in enumerate(texts) for i, line in enumerate(t.split("\n"))]
+    sets = [(d, i, {tuple(w[j : j + 5]) for j in range(len(w) - 4)}) for d, i, w in whole]
+    want = {(d, i) for n, (d, i, s) in enumerate(sets) if any(5 * len(s & e) >= 4 * len(s | e) for *_, e in sets[:n])}
+    monkeypatch.setattr(lines, "HEAVY", heavy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["line_no"]) for r in lines.matches(docs, 5, 80, 100).collect()} == want
+    assert 0 < len(want) < len(sets)
+
+
+def test_lists_hold_no_token_of_very_many_lines(spark):
+    """A passage in 700 otherwise different lines is in none of their first tokens."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"a{n}x{i}" for i in range(20)) + f" {passage} " + " ".join(f"b{n}x{i}" for i in range(20)) for n in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    each = lines._lines(docs, 5).select(F.col("doc_id").alias("id"), F.size("tokens").alias("n"), F.struct("doc_id", "line_no").alias("first"), "tokens")
+    reach = lambda n: n - F.ceil(n * 0.8).cast("int") + 1
+    classes = each.withColumn("prefix", F.transform(F.slice("tokens", F.lit(1), reach(F.col("n"))), lines._entry))
+    posted = lines._posted(classes, lambda some: some.select("id", "tokens"), reach)
+    assert posted.count() == classes.agg(F.sum(F.size("prefix"))).first()[0]
+    assert classes.select(F.explode("prefix").alias("t")).groupBy("t").count().agg(F.max("count")).first()[0] == 700
+    assert posted.groupBy("token").count().agg(F.max("count")).first()[0] < 10
+
+
+def test_pairs_of_lines_that_share_a_little_are_not_verified(spark, monkeypatch):
+    """Of 40 groups of six lines, each with a run of ten words in common and 40 of their own, no pair is near."""
+    texts = [" ".join(f"a{n}x{i}" for i in range(20)) + " " + " ".join(f"g{n // 6}x{i}" for i in range(10)) + " " + " ".join(f"b{n}x{i}" for i in range(20)) for n in range(240)]
+    docs, listed, write = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name, *rows: (listed.append(df.count()) if name == "pairs" else None, write(df, name, *rows))[1])
+    assert lines.matches(docs, 5, 80, 100).count() == 0
+    assert listed and sum(listed) < 10
+
+
+def test_a_long_text_is_split_once_for_the_lines_that_stay(spark):
+    texts = [(1, "\n".join(f"line {i}" for i in range(60_000)) + "\nline 7")]
+    began = time.time()
+    (row,) = lines.dedup_rows(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert (row["text"], row["n_lines"], row["n_removed"]) == (texts[0][1][:-7], 60_001, 1)
+    assert time.time() - began < 60
+
+
 def test_hot_digits_give_the_same(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 120")
     want = {r["doc_id"]: r["kept_sha256"] for r in repeats.digest(repeats.remove(docs)).collect()}
