@@ -132,7 +132,7 @@ def report_records(t: Tables) -> DataFrame:
 @query("SELECT user_id AS site, CAST(ts AS DATE) AS day, round((max(value) - min(value)) / avg(value) * 100, 1) AS swing FROM events GROUP BY user_id, CAST(ts AS DATE) HAVING count(*) >= 3")
 def quarter_hour_swings(t: Tables) -> DataFrame:
     """The swing of days with enough readings (three, for these tables)."""
-    return S.daily_swings(t.events.select(F.col("user_id").alias("site"), F.col("ts").cast("date").alias("day"), "value"), 3)
+    return S.daily_swings(t.events.select(F.col("user_id").alias("site"), F.col("ts").cast("date").alias("day"), "value", "event_id"), 3, "event_id")
 
 
 @query("SELECT 'O' || key % 4 AS office, CAST(floor(lon) AS BIGINT) AS x, CAST(floor(lat) AS BIGINT) AS y, bool_or(key % 10 = 0) AS featured, max(elevation_ft) FILTER (WHERE (key % 10 = 0) = f) AS elevation_ft FROM (SELECT *, bool_or(key % 10 = 0) OVER (PARTITION BY key % 4, floor(lon), floor(lat)) AS f FROM $places p) q GROUP BY 1, 2, 3")

@@ -113,9 +113,12 @@ def official_reports(found: DataFrame) -> DataFrame:
     return found.withColumn("text", text).filter((F.trim("place") != "") & (F.col("text") != "") & F.col("day").isNotNull() & (F.col("day") <= fetched)).drop("lines")
 
 
-def daily_swings(values: DataFrame, least: int = 24) -> DataFrame:
-    """Site, day, swing in percent of quarter-hour flows; a day needs ``least`` readings and a mean above nothing."""
-    days = values.groupBy("site", "day").agg(F.count("value").alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"), mean(F.col("value")).alias("mean")).filter((F.col("n") >= least) & (F.col("mean") > 0))
+def daily_swings(values: DataFrame, least: int = 24, order: str | None = None) -> DataFrame:
+    """Site, day, swing in percent of quarter-hour flows; a day needs ``least`` readings and a mean above nothing.
+
+    Readings are added up in the order of the column ``order``, if one is named, as the reference adds them.
+    """
+    days = values.groupBy("site", "day").agg(F.count("value").alias("n"), F.max("value").alias("hi"), F.min("value").alias("lo"), mean(F.col("value"), F.col(order) if order else None).alias("mean")).filter((F.col("n") >= least) & (F.col("mean") > 0))
     return days.select("site", "day", rounded((F.col("hi") - F.col("lo")) / F.col("mean") * 100, 1).alias("swing"))
 
 

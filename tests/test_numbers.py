@@ -72,6 +72,19 @@ def test_swing_of_a_day_rounds_the_scaled_double(spark):
         assert r["swing"] == math.floor((values[-1] - values[0]) / (reduce(operator.add, values) / len(values)) * 100 * 10 + 0.5) / 10
 
 
+def test_swings_add_readings_in_their_order(spark, tmp_path):
+    """Days that repeat their readings, whose swing lies on an edge of rounding."""
+    import duckdb
+
+    days = [[12.09, 7.75] * 6, [23.52, 0.9, 13.02] * 60, [1.48, 6.66, 31.86] * 60, [30.09, 24.31] * 60]
+    folder = _events(spark, tmp_path, [(u, "view", v) for u, values in enumerate(days) for v in values])
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE TABLE events AS FROM '{folder}/events.parquet/*.parquet' ORDER BY event_id")
+    want = {tuple(map(str, r)) for r in con.execute(registry.oracle_sql()["quarter_hour_swings"]).fetchall()}
+    assert {tuple(map(str, r)) for r in registry.queries()["quarter_hour_swings"](spark, folder).collect()} == want and len(want) == len(days)
+
+
 def test_corners_as_written(spark):
     body = "<Placemark><description>Density: Heavy</description><coordinates>-120.00999999999999,1,0 2,1,0 2,3,0 -120.00999999999999,3,0</coordinates></Placemark>"
     kml = spark.createDataFrame([(1, body)], "id long, body string")
